@@ -10,18 +10,17 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.functions.numeric import micros
-
 SLICE_ROWS = 2_000_000
 _TEMPORAL = {"timestamp", "timestamp_ntz", "date"}
 
 
-def _axis(df: DataFrame, name: str) -> Column:
+def _axis(df: DataFrame, name: str) -> str:
     kind = dict(df.dtypes)[name]
-    return (micros(name) if kind in _TEMPORAL else F.col(name)).cast("double")
+    source = f"unix_micros(CAST(`{name}` AS TIMESTAMP))" if kind in _TEMPORAL else f"`{name}`"
+    return f"CAST({source} AS DOUBLE)"
 
 
 def split_hot(
@@ -32,18 +31,18 @@ def split_hot(
     The broadcast table holds only keys above ``slice_rows``, so it has at most
     ``rows / slice_rows`` rows (one million for 2e12 rows).
     """
+    at = _axis(df, axis)
     heavy = (
-        df.select(*keys, _axis(df, axis).alias("_at"))
+        df.selectExpr(*keys, f"{at} AS _at")
         .groupBy(*keys)
-        .agg(F.count("*").alias("_rows"), F.min("_at").alias("_lo"), F.max("_at").alias("_hi"))
-        .filter(F.col("_rows") > slice_rows)
-        .select(*keys, "_lo", "_hi", (F.ceil(F.col("_rows") / slice_rows) * 4).alias("_cuts"))
+        .agg(F.expr("count(*) AS _rows"), F.expr("min(_at) AS _lo"), F.expr("max(_at) AS _hi"))
+        .filter(f"_rows > {slice_rows}")
+        .selectExpr(*keys, "_lo", "_hi", f"ceil(_rows / {slice_rows}) * 4 AS _cuts")
     )
-    joined = df.join(F.broadcast(heavy), list(keys), "left")
-    share = (_axis(df, axis) - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))
-    cut = F.least(F.floor(share * F.col("_cuts")), F.col("_cuts") - 1) + 1
-    return joined.withColumn("_slice", F.coalesce(cut, F.lit(0)).cast("long")).drop(
-        "_lo", "_hi", "_cuts"
+    cut = f"least(floor(({at} - _lo) / (_hi - _lo) * _cuts), _cuts - 1) + 1"
+    columns = [f"`{c}`" for c in df.columns]
+    return df.join(F.broadcast(heavy), list(keys), "left").selectExpr(
+        *columns, f"CAST(coalesce({cut}, if(_cuts IS NULL, 0, 1)) AS BIGINT) AS _slice"
     )
 
 
@@ -61,43 +60,40 @@ def sequenced(
     ``previous`` maps a new column to the column whose previous value it takes. ``total`` names a
     column for the row count of the key.
     """
-    keys, order = list(keys), list(order)
     previous = previous or {}
+    key, by = ", ".join(keys), ", ".join(order)
+    columns = [f"`{c}`" for c in df.columns]
     cut = split_hot(df, keys, order[0], slice_rows)
-    inner = Window.partitionBy(*keys, "_slice").orderBy(*order)
-    whole = Window.partitionBy(*keys, "_slice")
-    rows = cut.withColumn("_rn", F.row_number().over(inner).cast("long"))
-    for name, source in previous.items():
-        rows = rows.withColumn(name, F.lag(source).over(inner))
-    rows = rows.withColumn("_held", F.count("*").over(whole))
+    inner = f"OVER (PARTITION BY {key}, _slice ORDER BY {by})"
+    rows = cut.selectExpr(
+        *columns,
+        "_slice",
+        f"CAST(row_number() {inner} AS BIGINT) AS _rn",
+        *[f"lag({source}) {inner} AS _p_{name}" for name, source in previous.items()],
+        *([f"count(*) OVER (PARTITION BY {key}, _slice) AS _held"] if total else []),
+    )
 
     # One row per slice of a heavy key; empty when there is none.
-    tail = F.struct(*[F.col(source).alias(name) for name, source in previous.items()], F.lit(1).alias("_"))
-    last = F.max_by(tail, F.struct(*[F.col(c) for c in order]))
+    tail = "struct(" + ", ".join([f"{source} AS {name}" for name, source in previous.items()] + ["1 AS _"]) + ")"
     heavy = (
         cut.filter("_slice > 0")
         .groupBy(*keys, "_slice")
-        .agg(F.count("*").alias("_n"), last.alias("_last"))
+        .agg(F.expr("count(*) AS _n"), F.expr(f"max_by({tail}, struct({by})) AS _last"))
     )
-    by_key = Window.partitionBy(*keys).orderBy("_slice")
-    borders = heavy.select(
+    by_key = f"OVER (PARTITION BY {key} ORDER BY _slice"
+    borders = heavy.selectExpr(
         *keys,
         "_slice",
-        F.coalesce(
-            F.sum("_n").over(by_key.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
-        ).alias("_before"),
-        F.sum("_n").over(Window.partitionBy(*keys)).alias("_all"),
-        F.lag("_last").over(by_key).alias("_tail"),
+        f"sum(_n) {by_key} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS _before",
+        f"sum(_n) OVER (PARTITION BY {key}) AS _all",
+        f"lag(_last) {by_key}) AS _tail",
+    )
+    return rows.join(borders, [*keys, "_slice"], "left").selectExpr(
+        *columns,
+        *[f"if(_rn = 1, _tail.{name}, _p_{name}) AS {name}" for name in previous],
+        f"_rn + coalesce(_before, 0) AS {position}",
+        *([f"coalesce(_all, _held) AS {total}"] if total else []),
     )
-    merged = rows.join(borders, [*keys, "_slice"], "left")
-    merged = merged.withColumn(position, F.col("_rn") + F.coalesce("_before", F.lit(0)))
-    for name in previous:
-        merged = merged.withColumn(
-            name, F.when(F.col("_rn") == 1, F.col("_tail")[name]).otherwise(F.col(name))
-        )
-    if total:
-        merged = merged.withColumn(total, F.coalesce("_all", "_held"))
-    return merged.drop("_slice", "_rn", "_held", "_before", "_all", "_tail")
 
 
 def series_summary(
@@ -119,118 +115,107 @@ def series_summary(
     ``base_mean`` and ``base_m2`` (the same moments without the last value), ``first_ts``,
     ``last_ts``.
     """
-    rows = df.filter(F.col(value).isNotNull()).select(
-        key, F.col(ts).alias("_ts"), F.col(row_id).alias("_id"), F.col(value).cast("double").alias("_x")
+    keep = f"CAST({1.0 - alpha!r} AS DOUBLE)"
+    rows = df.filter(f"{value} IS NOT NULL").selectExpr(
+        key, f"{ts} AS _ts", f"{row_id} AS _id", f"CAST({value} AS DOUBLE) AS _x"
     )
     cut = split_hot(rows, [key], "_ts", slice_rows)
-    inner = Window.partitionBy(key, "_slice").orderBy("_ts", "_id")
-    whole = Window.partitionBy(key, "_slice")
-    keep = 1.0 - alpha
-    local = (
-        cut.withColumn("_rn", F.row_number().over(inner))
-        .withColumn("_d", F.col("_x") - F.lag("_x").over(inner))
-        .withColumn("_g", (micros("_ts") - micros(F.lag("_ts").over(inner))) / F.lit(86400e6))
-        .withColumn("_held", F.count("*").over(whole))
-        .withColumn("_back", F.col("_held") - F.col("_rn"))
-    )
-    x, back = F.col("_x"), F.col("_back")
-    early = F.when(back > 0, x)
-    slices = local.groupBy(key, "_slice").agg(
-        F.count("*").alias("n"),
-        F.sum("_x").alias("s"),
-        (F.var_pop("_x") * F.count("*")).alias("m2"),
-        F.min("_x").alias("low"),
-        F.max("_x").alias("peak"),
-        F.sum((F.col("_rn") - 1) * x).alias("ix"),
-        F.sum(F.lit(alpha) * F.pow(F.lit(keep), back) * x).alias("ema"),
-        F.max(F.when(F.col("_rn") == 1, x)).alias("first"),
-        F.array(*[F.max(F.when(back == b, x)) for b in (3, 2, 1, 0)]).alias("tail"),
-        F.min("_d").alias("d_low"),
-        F.max("_d").alias("d_peak"),
-        F.max("_g").alias("g_max"),
-        F.count_if(F.floor("_g") > gap_days).alias("n_gaps"),
-        F.count_if(x >= high).alias("n_high"),
-        F.count(early).alias("n_e"),
-        F.coalesce(F.sum(early), F.lit(0.0)).alias("s_e"),
-        F.coalesce(F.var_pop(early) * F.count(early), F.lit(0.0)).alias("m2_e"),
-        F.min("_ts").alias("t0"),
-        F.max("_ts").alias("t1"),
-    )
-    by_key = Window.partitionBy(key).orderBy("_slice")
-    every = Window.partitionBy(key)
-    placed = (
-        slices.withColumn("_k", F.count("*").over(every) - F.row_number().over(by_key))
-        .withColumn("off", F.coalesce(F.sum("n").over(by_key.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-        .withColumn("N", F.sum("n").over(every))
-        .withColumn("S", F.sum("s").over(every))
-        .withColumn("px", F.element_at(F.lag("tail").over(by_key), -1))
-        .withColumn("pt", F.lag("t1").over(by_key))
-    )
-    is_last = F.col("_k") == 0
-    placed = (
-        placed.withColumn("n_e", F.when(is_last, F.col("n_e")).otherwise(F.col("n")))
-        .withColumn("s_e", F.when(is_last, F.col("s_e")).otherwise(F.col("s")))
-        .withColumn("m2_e", F.when(is_last, F.col("m2_e")).otherwise(F.col("m2")))
-        .withColumn("S_e", F.sum("s_e").over(every))
-        .withColumn("N_e", F.sum("n_e").over(every))
-        .withColumn("bd", F.col("first") - F.col("px"))
-        .withColumn("bg", (micros("t0") - micros("pt")) / F.lit(86400e6))
-    )
-    c = F.col
-    base_mean = F.when(c("N_e") > 0, c("S_e") / c("N_e"))
-    shift_e = F.when(
-        (c("n_e") > 0) & (c("N_e") > 0), c("n_e") * F.pow(c("s_e") / c("n_e") - base_mean, 2)
-    ).otherwise(0.0)
-    tails = F.collect_list(F.when(c("_k") < 4, F.struct("_slice", "tail")))
-    last4 = F.filter(
-        F.flatten(F.transform(F.array_sort(tails), lambda s: s["tail"])), lambda v: v.isNotNull()
+    inner = f"OVER (PARTITION BY {key}, _slice ORDER BY _ts, _id)"
+    local = cut.selectExpr(
+        key,
+        "_slice",
+        "_ts",
+        "_x",
+        f"row_number() {inner} AS _rn",
+        f"_x - lag(_x) {inner} AS _d",
+        f"(unix_micros(CAST(_ts AS TIMESTAMP)) - unix_micros(CAST(lag(_ts) {inner} AS TIMESTAMP))) / 86400e6 AS _g",
+        f"count(*) OVER (PARTITION BY {key}, _slice) AS _held",
     )
-    out = placed.groupBy(key).agg(
-        F.sum("n").alias("n"),
-        F.sum("s").alias("s"),
-        F.sum(c("m2") + c("n") * F.pow(c("s") / c("n") - c("S") / c("N"), 2)).alias("m2"),
-        F.min("low").alias("low"),
-        F.max("peak").alias("peak"),
-        F.sum(c("ix") + c("off") * c("s")).alias("ix"),
-        F.sum(c("ema") * F.pow(F.lit(keep), c("N") - c("off") - c("n"))).alias("ema"),
-        F.min_by("first", "_slice").alias("first"),
-        last4.alias("last4"),
-        F.min(F.least("d_low", "bd")).alias("delta_low"),
-        F.max(F.greatest("d_peak", "bd")).alias("delta_peak"),
-        F.max(F.greatest("g_max", "bg")).alias("gap_max"),
-        (F.sum("n_gaps") + F.count_if(F.floor("bg") > gap_days)).alias("n_gaps"),
-        F.sum("n_high").alias("n_high"),
-        F.max(base_mean).alias("base_mean"),
-        F.sum(c("m2_e") + shift_e).alias("base_m2"),
-        F.min("t0").alias("first_ts"),
-        F.max("t1").alias("last_ts"),
+    # Per slice; the suffix _e marks figures without the slice's last row.
+    measures = {
+        "n": "count(*)",
+        "s": "sum(_x)",
+        "m2": "var_pop(_x) * count(*)",
+        "low": "min(_x)",
+        "peak": "max(_x)",
+        "ix": "sum((_rn - 1) * _x)",
+        "ema": f"sum(CAST({alpha!r} AS DOUBLE) * pow({keep}, _held - _rn) * _x)",
+        "first": "max(if(_rn = 1, _x, NULL))",
+        "tail": "array(" + ", ".join(f"max(if(_held - _rn = {b}, _x, NULL))" for b in (3, 2, 1, 0)) + ")",
+        "d_low": "min(_d)",
+        "d_peak": "max(_d)",
+        "g_max": "max(_g)",
+        "n_gaps": f"count_if(floor(_g) > {gap_days})",
+        "n_high": f"count_if(_x >= CAST({high!r} AS DOUBLE))",
+        "s_e": "coalesce(sum(if(_held > _rn, _x, NULL)), 0e0)",
+        "m2_e": "coalesce(var_pop(if(_held > _rn, _x, NULL)) * (count(*) - 1), 0e0)",
+        "t0": "min(_ts)",
+        "t1": "max(_ts)",
+    }
+    slices = local.groupBy(key, "_slice").agg(*[F.expr(f"{e} AS {n}") for n, e in measures.items()])
+    by_key = f"OVER (PARTITION BY {key} ORDER BY _slice"
+    every = f"OVER (PARTITION BY {key})"
+    placed = slices.selectExpr(
+        "*",
+        f"count(*) {every} - row_number() {by_key}) AS _k",
+        f"coalesce(sum(n) {by_key} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off",
+        f"sum(n) {every} AS _n_all",
+        f"sum(s) {every} AS _s_all",
+        f"element_at(lag(tail) {by_key}), -1) AS _px",
+        f"lag(t1) {by_key}) AS _pt",
+    ).selectExpr(
+        "*",
+        "if(_k = 0, n - 1, n) AS _ne",
+        "if(_k = 0, s_e, s) AS _se",
+        "if(_k = 0, m2_e, m2) AS _m2e",
+        f"sum(if(_k = 0, s_e, s)) {every} / nullif(_n_all - 1, 0) AS _base",
+        "first - _px AS _bd",
+        "(unix_micros(CAST(t0 AS TIMESTAMP)) - unix_micros(CAST(_pt AS TIMESTAMP))) / 86400e6 AS _bg",
     )
-    n = c("n").cast("double")
-    slope = F.when(
-        c("n") > 1, (c("ix") - (n - 1) / 2 * c("s")) / (n * (n * n - 1) / 12)
-    ).otherwise(0.0)
-
-    def from_end(back: int) -> Column:
-        return F.when(F.size("last4") >= back, F.element_at("last4", F.lit(-back)))
-
-    return out.select(
+    merged = {
+        "n": "sum(n)",
+        "_s": "sum(s)",
+        "m2": "sum(m2 + n * pow(s / n - _s_all / _n_all, 2))",
+        "low": "min(low)",
+        "peak": "max(peak)",
+        "_ix": "sum(ix + off * s)",
+        "_ema": f"sum(ema * pow({keep}, _n_all - off - n))",
+        "first": "min_by(first, _slice)",
+        # the last four values; only the last four slices can hold them
+        "_tail": "filter(flatten(transform(array_sort(collect_list(if(_k < 4, struct(_slice, tail), NULL))), p -> p.tail)), v -> v IS NOT NULL)",
+        "delta_low": "min(least(d_low, _bd))",
+        "delta_peak": "max(greatest(d_peak, _bd))",
+        "_gap": "max(greatest(g_max, _bg))",
+        "n_gaps": f"sum(n_gaps) + count_if(floor(_bg) > {gap_days})",
+        "n_high": "sum(n_high)",
+        "base_mean": "max(_base)",
+        "base_m2": "sum(_m2e + if(_ne > 0 AND _base IS NOT NULL, _ne * pow(_se / _ne - _base, 2), 0e0))",
+        "first_ts": "min(t0)",
+        "last_ts": "max(t1)",
+    }
+    out = placed.groupBy(key).agg(*[F.expr(f"{e} AS {n}") for n, e in merged.items()])
+
+    def from_end(back: int, name: str) -> str:
+        return f"if(size(_tail) >= {back}, element_at(_tail, -{back}), NULL) AS {name}"
+
+    return out.selectExpr(
         key,
         "n",
         "first",
-        from_end(1).alias("last"),
-        from_end(2).alias("prev"),
-        from_end(3).alias("prev2"),
-        from_end(4).alias("prev3"),
-        (c("s") / c("n")).alias("mean"),
+        from_end(1, "last"),
+        from_end(2, "prev"),
+        from_end(3, "prev2"),
+        from_end(4, "prev3"),
+        "_s / n AS mean",
         "low",
         "peak",
         "m2",
-        slope.alias("slope"),
-        (c("ema") + F.pow(F.lit(keep), n) * c("first")).alias("ema"),
+        "if(n > 1, (_ix - (n - 1) / 2 * _s) / (CAST(n AS DOUBLE) * (CAST(n AS DOUBLE) * n - 1) / 12), 0e0) AS slope",
+        f"_ema + pow({keep}, n) * first AS ema",
         "delta_low",
         "delta_peak",
         "n_high",
-        F.floor("gap_max").cast("long").alias("gap_max_days"),
+        "CAST(floor(_gap) AS BIGINT) AS gap_max_days",
         "n_gaps",
         "base_mean",
         "base_m2",

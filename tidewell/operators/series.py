@@ -291,9 +291,11 @@ def temporal_attention(session: DataFrame, last: int = 10) -> DataFrame:
 
 
 # --- alerts -------------------------------------------------------------------------------------
-def alert_inputs(score: DataFrame, mood: DataFrame | None = None, slice_rows: int = SLICE_ROWS) -> DataFrame:
+def alert_inputs(
+    score: DataFrame, mood: DataFrame | None = None, gap_days: int = 7, slice_rows: int = SLICE_ROWS
+) -> DataFrame:
     """Series summary plus latest confidence and negative mood, one row per user."""
-    summary = series_summary(score, slice_rows=slice_rows)
+    summary = series_summary(score, gap_days=gap_days, slice_rows=slice_rows)
     latest = score.groupBy("user_id").agg(F.max_by("confidence", F.struct("ts", "id")).alias("last_confidence"))
     out = summary.join(latest, "user_id", "left")
     if mood is not None:

@@ -108,21 +108,22 @@ add("WIN26_time_features", lambda t: sr.time_features(t.score).select("user_id",
     "SELECT user_id, id, " + ", ".join(f"{q9(e)} AS {n}" for n, e in {
         "minutes": "s / 60", "hours": "s / 3600", "days": "s / 86400", "weeks": "s / 86400 / 7", "months": "s / 86400 / 30",
         "relative": "sin(s / 86400 * 3141592653589793e-15)"}.items())
-    + " FROM (SELECT user_id, id, coalesce(gap * 86400, 0e0) AS s FROM seq)", "seq")
+    + " FROM (SELECT user_id, id, coalesce((epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, id))) / 1e6, 0e0) AS s FROM score)", "score")
 
 
 # --- alerts -------------------------------------------------------------------------------------
 def inputs(t):
     negative = t.emotion.filter(tl.first_present("emotion_name", "emotion") == "error")
-    return sr.alert_inputs(t.score, negative)
+    return sr.alert_inputs(t.score, negative, gap_days=1)
 
 
 NEG = "SELECT user_id AS u, count(*) AS mood_n, avg(probability) AS mood_mean FROM emotion WHERE coalesce(emotion_name, emotion) = 'error' GROUP BY 1"
+GAPS = "SELECT user_id AS g, count(CASE WHEN floor(gap) > 1 THEN 1 END) AS gaps FROM seq GROUP BY 1"
 ALERTS = {
     "risk_increase": ("last - prev >= 15e-2", "last - prev"),
     "repeated_high_risk": ("n_high >= 3", "CAST(n_high AS DOUBLE)"),
-    "rapid_deterioration": (f"{S4} >= 5e-2", S4),
-    "missing_checkins": ("n_gaps > 0", "CAST(n_gaps AS DOUBLE)"),
+    "rapid_deterioration": (f"{S4} >= 2e-3", S4),
+    "missing_checkins": ("gaps > 0", "CAST(gaps AS DOUBLE)"),
     "persistent_negative_mood": ("mood_n >= 3 AND mood_mean >= 5e-1", "mood_mean"),
     "low_confidence": ("last_confidence < 5e-1", "last_confidence"),
 }
@@ -131,11 +132,11 @@ ALERTS = {
 def alert_sql(kind: str) -> str:
     cond, value = ALERTS[kind]
     return (f"SELECT user_id, '{kind}' AS alert_type, '{sr.SEVERITY[kind]}' AS severity, {q9(value)} AS value, 'active' AS status "
-            f"FROM trend LEFT JOIN ({NEG}) ON u = user_id WHERE {cond}")
+            f"FROM trend LEFT JOIN ({NEG}) ON u = user_id JOIN ({GAPS}) ON g = user_id WHERE {cond}")
 
 
 def all_alerts(t):
-    return sr.alerts(inputs(t), mood=0.5).withColumn("value", r9("value"))
+    return sr.alerts(inputs(t), mood=0.5, slope=0.002).withColumn("value", r9("value"))
 
 
 for _n, _kind in enumerate(ALERTS, 1):
