@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidewell.functions.numeric import blank_or_zero, r4
 from tidewell.functions.quality import sync_score
+from tidewell.operators.ordered import exact_quantiles
 
 
 def session_index(index: DataFrame) -> DataFrame:
@@ -73,19 +74,20 @@ def present_only(name: str) -> Column:
 def participant_statistics(participants: DataFrame) -> DataFrame:
     """Counts, mean, median and total hours; zeros and nulls skipped (AGG8)."""
     d = present_only("audio_length")
+    median = exact_quantiles(participants.select(d.alias("x")), "x", [0.5]).select(F.col("q0").alias("median_duration"))
     return participants.agg(
         F.count("*").alias("participant_count"),
         F.count_distinct("session_id").alias("session_count"),
         F.avg(d).alias("average_duration"),
-        F.median(d).alias("median_duration"),
         (F.sum(d) / 3600.0).alias("total_hours"),
         F.avg(present_only("transcript_length")).alias("avg_transcript_length"),
-    )
+    ).crossJoin(median)
 
 
 def session_statistics(sessions: DataFrame) -> DataFrame:
     """Means, missing modalities and the quality description (AGG9)."""
     q = "quality_score"
+    middle = exact_quantiles(sessions, q, [0.25, 0.5, 0.75]).toDF("quality_q25", "quality_q50", "quality_q75")
     return sessions.agg(
         F.count_distinct("participant_id").alias("participants"),
         F.count("*").alias("sessions"),
@@ -97,11 +99,8 @@ def session_statistics(sessions: DataFrame) -> DataFrame:
         F.avg(q).alias("quality_mean"),
         F.stddev_samp(q).alias("quality_std"),
         F.min(q).alias("quality_min"),
-        F.percentile(q, 0.25).alias("quality_q25"),
-        F.percentile(q, 0.5).alias("quality_q50"),
-        F.percentile(q, 0.75).alias("quality_q75"),
         F.max(q).alias("quality_max"),
-    )
+    ).crossJoin(middle)
 
 
 def numeric_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -110,15 +109,19 @@ def numeric_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     agg = long.filter("x IS NOT NULL AND NOT isnan(x)").groupBy("field").agg(
         F.count("*").alias("n"), F.avg("x").alias("mean"), F.var_samp("x").alias("variance"), F.stddev_samp("x").alias("std"),
         F.skewness("x").alias("g1"), F.kurtosis("x").alias("g2"),
-        F.percentile("x", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"),
     )
+    quartiles = None
+    for c in columns:
+        part = exact_quantiles(df, c, [0.25, 0.5, 0.75]).select(F.lit(c).alias("field"), "q0", "q1", "q2")
+        quartiles = part if quartiles is None else quartiles.unionByName(part)
+    agg = agg.join(quartiles, "field")
     n = F.col("n").cast("double")
     skew = F.when(n > 2, F.col("g1") * F.sqrt(n * (n - 1)) / (n - 2)).otherwise(0.0)
     kurt = F.when(n > 3, ((n + 1) * F.col("g2") + 6) * (n - 1) / ((n - 2) * (n - 3))).otherwise(0.0)
     return agg.select(
-        "field", "n", "mean", F.col("q")[1].alias("median"), "variance", "std",
+        "field", "n", "mean", F.col("q1").alias("median"), "variance", "std",
         F.coalesce(skew, F.lit(0.0)).alias("skewness"), F.coalesce(kurt, F.lit(0.0)).alias("kurtosis"),
-        F.col("q")[0].alias("q25"), F.col("q")[2].alias("q75"),
+        F.col("q0").alias("q25"), F.col("q2").alias("q75"),
     )
 
 
@@ -270,16 +273,16 @@ def scaled(df: DataFrame, column: str, method: str = "zscore") -> DataFrame:
         rows = with_totals(df, [F.min(column).alias("_a"), F.max(column).alias("_b")])
         out = (x - F.col("_a")) / (F.col("_b") - F.col("_a") + 1e-8)
     elif method == "robust":
-        rows = with_totals(df, [F.percentile(column, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("_q")])
-        out = (x - F.col("_q")[1]) / (F.col("_q")[2] - F.col("_q")[0] + 1e-8)
+        rows = df.crossJoin(F.broadcast(exact_quantiles(df, column, [0.25, 0.5, 0.75])))
+        out = (x - F.col("q1")) / (F.col("q2") - F.col("q0") + 1e-8)
     elif method == "quantile":
-        rows = with_totals(df, [F.percentile(column, F.array(F.lit(0.05), F.lit(0.95))).alias("_q")])
-        raw = (x - F.col("_q")[0]) / (F.col("_q")[1] - F.col("_q")[0] + 1e-8)
+        rows = df.crossJoin(F.broadcast(exact_quantiles(df, column, [0.05, 0.95])))
+        raw = (x - F.col("q0")) / (F.col("q1") - F.col("q0") + 1e-8)
         out = F.greatest(F.lit(0.0), F.least(F.lit(1.0), raw))
     else:
         rows = with_totals(df, [F.avg(column).alias("_a"), F.stddev_pop(column).alias("_b")])
         out = (x - F.col("_a")) / (F.col("_b") + 1e-8)
-    return rows.withColumn("scaled", out).drop("_a", "_b", "_q")
+    return rows.withColumn("scaled", out).drop("_a", "_b", "q0", "q1", "q2")
 
 
 def sync_by_session(utterance: DataFrame, durations: DataFrame) -> DataFrame:

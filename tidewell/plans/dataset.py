@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tidewell.functions import quality as ql
 from tidewell.functions.numeric import r4, r9
 from tidewell.operators import dataset as ds
+from tidewell.operators.ordered import exact_quantiles
 from tidewell.plans.registry import add, q4, q9
 from tidewell.schemas import LABEL_TEXTS
 
@@ -54,9 +55,10 @@ add("AGG12_sample_weights", lambda t: ds.sample_weights(t.scored).select("doc_id
     f"SELECT doc_id, {q9('CASE WHEN label >= 0 THEN 1e0 / count(*) OVER (PARTITION BY label) ELSE 0e0 END')} AS sample_weight FROM scored", "scored")
 add("AGG13_extents", lambda t: rounded_all(ds.extents(idx(t), "audio_length")),
     f"SELECT {q9('avg(audio_length)')} AS avg_duration, {q9('max(audio_length)')} AS max_duration, {q9('min(audio_length)')} AS min_duration FROM {SES}", "dataset_index")
-add("AGG15_corpus_statistics", lambda t: rounded_all(idx(t).agg(F.count("*").alias("n"), F.avg("audio_length").alias("avg_duration"), F.median("audio_length").alias("median_duration"),
+add("AGG15_corpus_statistics", lambda t: rounded_all(idx(t).agg(F.count("*").alias("n"), F.avg("audio_length").alias("avg_duration"),
                                                                F.avg("sync_score").alias("avg_speech_ratio"), (1 - F.avg("sync_score")).alias("avg_silence_ratio"),
-                                                               (F.count_if(F.col("quality_score") >= 0.5) / F.count("*")).alias("pass_rate"))),
+                                                               (F.count_if(F.col("quality_score") >= 0.5) / F.count("*")).alias("pass_rate")).crossJoin(
+                                                               exact_quantiles(idx(t), "audio_length", [0.5]).withColumnRenamed("q0", "median_duration"))),
     f"SELECT count(*) AS n, {q9('avg(audio_length)')} AS avg_duration, {q9('median(audio_length)')} AS median_duration, {q9('avg(sync_score)')} AS avg_speech_ratio, {q9('1 - avg(sync_score)')} AS avg_silence_ratio, "
     f"{q9('count(CASE WHEN quality_score >= 5e-1 THEN 1 END) / CAST(count(*) AS DOUBLE)')} AS pass_rate FROM {SES}", "dataset_index")
 
