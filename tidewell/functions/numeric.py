@@ -55,3 +55,11 @@ def micros(ts: Column | str) -> Column:
 def elapsed_days(later: Column, earlier: Column) -> Column:
     """Whole days between two timestamps (rounded down)."""
     return F.floor((micros(later) - micros(earlier)) / F.lit(86400e6)).cast("long")
+
+
+def let(value: Column, use) -> Column:
+    """Bind a costly expression once and use it several times.
+
+    An expression used inside a lambda is evaluated again for every element; a lambda variable is not.
+    """
+    return F.get(F.transform(F.array(value), use), 0)

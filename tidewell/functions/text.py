@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tidewell.functions.numeric import r4
+from tidewell.functions.numeric import let, r4
 from tidewell.schemas import (
     EMOTION_LABELS, EMOTION_TERMS, LEXICONS, MENTIONS, NEGATION_WORDS, NEGATIVE_WORDS, POSITIVE_WORDS, PRONOUN_WORDS,
 )
@@ -75,11 +75,6 @@ def code_mix(text: Column) -> Column:
     return F.map_from_entries(F.transform(F.array_distinct(words(text)), lambda w: F.struct(w, token_language(w))))
 
 
-def let(value: Column, use) -> Column:
-    """Bind a costly expression once and use it several times."""
-    return F.get(F.transform(F.array(value), use), 0)
-
-
 def _kept(text: Column, pattern: str) -> Column:
     """Number of characters of a class."""
     return F.length(F.regexp_replace(text, "[^" + pattern[1:-1] + "]+", ""))

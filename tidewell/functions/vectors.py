@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tidewell.functions.numeric import let
+
 
 def _d(v: Column) -> Column:
     return v.cast("array<double>")
@@ -28,8 +30,10 @@ def mean(v: Column) -> Column:
 
 def spread(v: Column) -> Column:
     """Population deviation."""
-    m = mean(v)
-    return F.when(F.size(v) > 0, F.sqrt(F.aggregate(_d(v), F.lit(0.0), lambda a, x: a + (x - m) * (x - m)) / F.size(v))).otherwise(0.0)
+    def squares(m: Column) -> Column:
+        return F.aggregate(_d(v), F.lit(0.0), lambda a, x: a + (x - m) * (x - m))
+
+    return F.when(F.size(v) > 0, F.sqrt(let(mean(v), squares) / F.size(v))).otherwise(0.0)
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -98,18 +102,17 @@ def problems(v: Column, dim: Column | int) -> Column:
 
 def zscored(v: Column) -> Column:
     """Vector minus its mean over its deviation (MTH7)."""
-    m, s = mean(v), spread(v) + 1e-8
-    return F.transform(_d(v), lambda x: (x - m) / s)
+    stats = F.struct(mean(v).alias("m"), (spread(v) + 1e-8).alias("s"))
+    return let(stats, lambda t: F.transform(_d(v), lambda x: (x - t["m"]) / t["s"]))
 
 
 def min_maxed(v: Column) -> Column:
-    low, high = F.array_min(_d(v)), F.array_max(_d(v))
-    return F.transform(_d(v), lambda x: (x - low) / (high - low + 1e-8))
+    ends = F.struct(F.array_min(_d(v)).alias("a"), F.array_max(_d(v)).alias("b"))
+    return let(ends, lambda t: F.transform(_d(v), lambda x: (x - t["a"]) / (t["b"] - t["a"] + 1e-8)))
 
 
 def l2_scaled(v: Column) -> Column:
-    n = F.greatest(norm(v), F.lit(1e-8))
-    return F.transform(_d(v), lambda x: x / n)
+    return let(F.greatest(norm(v), F.lit(1e-8)), lambda n: F.transform(_d(v), lambda x: x / n))
 
 
 def amplitude(v: Column, method: str = "peak") -> Column:
@@ -121,13 +124,15 @@ def amplitude(v: Column, method: str = "peak") -> Column:
         factor = F.lit(10 ** (-23.0 / 20) * 0.1) / rms
     else:
         factor = F.lit(0.95) / (F.array_max(F.transform(_d(v), F.abs)) + 1e-8)
-    return F.transform(_d(v), lambda x: x * factor)
+    return let(factor, lambda f: F.transform(_d(v), lambda x: x * f))
 
 
 def energy_score(logits: Column) -> Column:
     """Minus log-sum-exp (EV21)."""
-    top = F.array_max(_d(logits))
-    return -(top + F.log(F.aggregate(_d(logits), F.lit(0.0), lambda a, x: a + F.exp(x - top))))
+    def total_from(top: Column) -> Column:
+        return top + F.log(F.aggregate(_d(logits), F.lit(0.0), lambda a, x: a + F.exp(x - top)))
+
+    return -let(F.array_max(_d(logits)), total_from)
 
 
 def entropy(probs: Column, floor: float = 1e-8) -> Column:
