@@ -13,10 +13,12 @@ def as_col(value: Column | str) -> Column:
 def rounded(value: Column | str, places: int = 4) -> Column:
     """Round half up at ``places`` digits with plain double arithmetic.
 
-    ``F.round`` goes through decimals, whose treatment of ties differs between engines.
+    ``F.round`` goes through decimals, whose treatment of ties differs between engines. The small
+    excess over one half lets an exact tie round up whatever the last bit of the sum behind it.
     """
     scale = float(10**places)
-    return F.floor(as_col(value) * F.lit(scale) + F.lit(0.5)) / F.lit(scale)
+    half = 0.5000001 if places < 7 else 0.501
+    return F.floor(as_col(value) * F.lit(scale) + F.lit(half)) / F.lit(scale)
 
 
 def r4(value: Column | str) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tidewell.functions.numeric import blank_or_zero, r4
+from tidewell.functions.numeric import blank_or_zero, r4, rounded
 from tidewell.schemas import LABEL_INTS, LABEL_TEXTS
 
 
@@ -109,7 +109,7 @@ def sync_score(seconds: Column, chars: Column, frames: Column) -> Column:
 def alignment(durations: Column) -> dict[str, Column]:
     """Offset and ratio of a list of durations; halved beyond 30 seconds (MTH10)."""
     kept = F.filter(durations, lambda d: d.isNotNull() & (d != 0))
-    offset = F.floor((F.array_max(kept) - F.array_min(kept)) * 1e3 + 0.5) / 1e3
+    offset = rounded(F.array_max(kept) - F.array_min(kept), 3)
     base = r4(F.least(F.lit(1.0), F.when(F.array_max(kept) > 0, F.array_min(kept) / F.array_max(kept)).otherwise(0.0)))
     score = F.when(offset > 30.0, r4(base * 0.5)).otherwise(base)
     few = F.size(kept) < 2

@@ -14,12 +14,23 @@ from tidewell.operators.gates import edge_issues, entity_issues
 from tidewell.operators.graph import neighbourhood
 from tidewell.schemas import APPEND_ONLY_LABELS, NATURAL_KEYS
 
+# Default field values per label.
 DEFAULTS: dict[str, dict[str, object]] = {
-    "User": {"preferred_language": "en", "timezone": "UTC", "country": "", "consent_status": "pending", "privacy_mode": "standard", "edge_enabled": True, "cloud_enabled": True},
-    "Session": {"duration": 0.0, "device": "unknown", "platform": "unknown", "network_type": "unknown", "quality_score": 0.0, "language": "en", "offline_mode": False, "edge_processing": True},
-    "Prediction": {"binary_prediction": 0, "severity_score": 0.0, "confidence": 0.0, "uncertainty": 0.0},
-    "Recommendation": {"priority": 1, "status": "pending", "confidence": 0.5},
+    "User": {"preferred_language": "en", "timezone": "UTC", "consent_status": "granted", "privacy_mode": "standard", "edge_enabled": True,
+             "cloud_enabled": True, "graph_version": "2.0.0", "reasoning_version": "1.0.0", "country": ""},
+    "Assessment": {"assessment_type": "phq9", "assessment_version": "1.0", "assessment_source": "app", "assessment_duration": 0, "language": "en"},
+    "Session": {"duration": 0, "quality_score": 0.0, "device": "unknown", "platform": "mobile", "network_type": "wifi", "processing_time": 0.0,
+                "language": "en", "battery_level": 1.0, "offline_mode": False, "edge_processing": False, "cloud_processing": True},
+    "Observation": {"quality": 0.8, "processing_version": "1.0.0"},
+    "Prediction": {"binary_prediction": 0, "model_version": "MODEL_010"},
+    "Risk": {"trend": "stable", "change_rate": 0.0},
+    "Emotion": {"source_modality": "multimodal"},
+    "Symptom": {"source": "inference"},
+    "Behaviour": {"duration": 0.0},
+    "Recommendation": {"priority": "medium", "status": "pending"},
+    "Intervention": {"status": "scheduled", "completion_status": "pending"},
 }
+ID_PREFIX = {"Observation": "obs", "Prediction": "pred", "Risk": "risk", "Emotion": "emo", "Symptom": "sym", "Behaviour": "beh", "Recommendation": "rec", "Intervention": "int"}
 
 
 def upsert(old: DataFrame, new: DataFrame, key: str, updated: str | None = None) -> DataFrame:
@@ -56,7 +67,7 @@ def merge_edges(old: DataFrame, new: DataFrame) -> DataFrame:
     return rows.groupBy("src", "dst", "rel_type").agg(kept.alias("_r")).select("src", "dst", "rel_type", "_r.*")
 
 
-def with_defaults(df: DataFrame, label: str, key_parts: Sequence[str], prefix: str, defaults: dict[str, object] | None = None) -> DataFrame:
+def with_defaults(df: DataFrame, label: str, key_parts: Sequence[str], prefix: str | None = None, defaults: dict[str, object] | None = None) -> DataFrame:
     """Fill default fields and derive a replayable id ``prefix_12hex`` (PRJ15)."""
     values = DEFAULTS[label] if defaults is None else defaults
     out = df
@@ -64,7 +75,7 @@ def with_defaults(df: DataFrame, label: str, key_parts: Sequence[str], prefix: s
         out = out.withColumn(name, F.coalesce(F.col(name), F.lit(value)) if name in df.columns else F.lit(value))
     digest = F.substring(F.sha2(F.concat_ws("|", *[F.col(c).cast("string") for c in key_parts]), 256), 1, 12)
     key = NATURAL_KEYS[label]
-    made = F.concat(F.lit(f"{prefix}_"), digest)
+    made = F.concat(F.lit(f"{prefix or ID_PREFIX.get(label, label.lower())}_"), digest)
     return out.withColumn(key, F.coalesce(F.col(key).cast("string"), made) if key in df.columns else made)
 
 
@@ -96,21 +107,25 @@ def detach(node: DataFrame, edge: DataFrame, gone: DataFrame) -> tuple[DataFrame
     return node.join(gone, "node_id", "left_anti"), left.select(*edge.columns)
 
 
-def anonymise(user: DataFrame, match: Column, blank: Sequence[str] = ("external_id", "country", "notification_preferences")) -> DataFrame:
-    """Blank identifying fields and mark the privacy mode (MUT10)."""
-    out = user
-    for name in blank:
-        if name in out.columns:
-            out = out.withColumn(name, F.when(match, F.lit(None)).otherwise(F.col(name)))
-    return out.withColumn("privacy_mode", F.when(match, "anonymized").otherwise(F.col("privacy_mode")))
+def anonymise(user: DataFrame, match: Column, at: str) -> DataFrame:
+    """Replace identifying fields by placeholders, keep the row for research (MUT10)."""
+    def put(name: str, value: Column | str) -> Column:
+        return F.when(match, value).otherwise(F.col(name) if name in user.columns else F.lit(None).cast("string"))
+
+    return user.withColumns({
+        "external_id": put("external_id", F.concat(F.lit("anon_"), F.col("uuid"))),
+        "preferred_language": put("preferred_language", "redacted"),
+        "country": put("country", "redacted"),
+        "consent_status": put("consent_status", "anonymized"),
+        "anonymized_at": put("anonymized_at", at),
+    })
 
 
-def withdraw_consent(user: DataFrame, match: Column) -> DataFrame:
-    """Withdrawn consent switches edge and cloud use off (MUT10)."""
+def withdraw_consent(user: DataFrame, match: Column, at: str) -> DataFrame:
+    """Mark the consent as withdrawn (MUT10)."""
     return user.withColumns({
         "consent_status": F.when(match, "withdrawn").otherwise(F.col("consent_status")),
-        "cloud_enabled": F.when(match, False).otherwise(F.col("cloud_enabled")),
-        "edge_enabled": F.when(match, False).otherwise(F.col("edge_enabled")),
+        "consent_withdrawn_at": F.when(match, at),
     })
 
 

@@ -182,7 +182,7 @@ def durations(t):
 
 
 AL = ("SELECT id, list_filter([CASE WHEN k % 4 <> 0 THEN value END, CASE WHEN k % 3 <> 0 THEN value * 9e-1 END, CASE WHEN k % 5 <> 0 THEN value + 20 END], lambda x: x IS NOT NULL AND x <> 0) AS l FROM checkin")
-AL = f"SELECT id, len(l) AS c, floor((list_max(l) - list_min(l)) * 1e3 + 5e-1) / 1e3 AS off, {q4('least(1e0, list_min(l) / list_max(l))')} AS base FROM ({AL})"
+AL = f"SELECT id, len(l) AS c, floor((list_max(l) - list_min(l)) * 1e3 + 5000001e-7) / 1e3 AS off, {q4('least(1e0, list_min(l) / list_max(l))')} AS base FROM ({AL})"
 add("MTH10_alignment", lambda t: t.checkin.select("id", *[c.alias(n) for n, c in ql.alignment(durations(t)).items()]).withColumnRenamed("offset", "off"),
     f"SELECT id, CASE WHEN c >= 2 THEN off END AS off, CASE WHEN c < 2 THEN CAST(c AS DOUBLE) WHEN off > 30 THEN {q4('base * 5e-1')} ELSE base END AS score FROM ({AL})", "checkin")
 add("MTH11_session_quality", lambda t: idx(t).select("participant_id", r4(ql.session_quality(F.col("quality_score"), F.col("sync_score"), F.col("has_audio"), F.col("has_visual"), F.col("has_transcript"), F.lit(True))).alias("overall")),

@@ -75,7 +75,7 @@ REG = {"mae": "avg(abs(e))", "mse": "avg(e * e)", "rmse": "sqrt(avg(e * e))", "m
 
 
 def q6(e):
-    return f"floor(({e}) * 1e6 + 5e-1) / 1e6"
+    return f"floor(({e}) * 1e6 + 5000001e-7) / 1e6"
 
 
 def rd6(df):

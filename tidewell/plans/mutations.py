@@ -74,9 +74,11 @@ add("MUT9_erase_users", lambda t: mu.erase(t.node, t.edge, gone_users(t), rounds
     f"SELECT * FROM node WHERE node_id NOT IN ({GONE})", "node")
 add("MUT9_erase_users_edges", lambda t: mu.erase(t.node, t.edge, gone_users(t), rounds=3)[1],
     f"SELECT * FROM edge WHERE src NOT IN ({GONE}) AND dst NOT IN ({GONE})", "edge")
-add("MUT10_anonymise", lambda t: mu.withdraw_consent(mu.anonymise(old_users(t), F.col("user_id") % 4 == 0), F.col("user_id") % 5 == 0),
-    "SELECT c_custkey AS user_id, CASE WHEN c_custkey % 4 <> 0 THEN c_name END AS external_id, c_mktsegment AS preferred_language, CASE WHEN c_custkey % 5 = 0 THEN 'withdrawn' ELSE 'granted' END AS consent_status, "
-    "CASE WHEN c_custkey % 4 = 0 THEN 'anonymized' ELSE 'standard' END AS privacy_mode, c_custkey % 5 <> 0 AS cloud_enabled, c_custkey % 5 <> 0 AS edge_enabled FROM customer")
+add("MUT10_anonymise", lambda t: mu.withdraw_consent(mu.anonymise(old_users(t).withColumn("uuid", F.sha2("external_id", 256)), F.col("user_id") % 4 == 0, "2025-01-01"), F.col("user_id") % 5 == 0, "2025-01-02").select(
+        "user_id", "external_id", "preferred_language", "consent_status", "country", "anonymized_at", "consent_withdrawn_at"),
+    "SELECT c_custkey AS user_id, CASE WHEN c_custkey % 4 = 0 THEN 'anon_' || sha256(c_name) ELSE c_name END AS external_id, CASE WHEN c_custkey % 4 = 0 THEN 'redacted' ELSE c_mktsegment END AS preferred_language, "
+    "CASE WHEN c_custkey % 5 = 0 THEN 'withdrawn' WHEN c_custkey % 4 = 0 THEN 'anonymized' ELSE 'granted' END AS consent_status, CASE WHEN c_custkey % 4 = 0 THEN 'redacted' END AS country, "
+    "CASE WHEN c_custkey % 4 = 0 THEN '2025-01-01' END AS anonymized_at, CASE WHEN c_custkey % 5 = 0 THEN '2025-01-02' END AS consent_withdrawn_at FROM customer")
 LEV = f"SELECT root, count(DISTINCT a.dst) AS level1, count(DISTINCT b.dst) AS level2 FROM {USERS} r LEFT JOIN edge a ON a.src = root LEFT JOIN edge b ON b.src = a.dst GROUP BY 1"
 
 
@@ -100,7 +102,7 @@ add("MUT17_session_links", lambda t: mu.merge_edges(t.edge.filter("rel_type = 'H
     "SELECT DISTINCT 'User:' || o_custkey AS src, 'Session:' || o_orderkey AS dst, 'HAS_SESSION' AS rel_type FROM orders")
 add("AGG27_backup_manifest", lambda t: mu.backup_manifest(t.node, t.edge), "SELECT (SELECT count(*) FROM node) AS node_count, (SELECT count(*) FROM edge) AS edge_count, '2.0.0' AS version", "node edge")
 add("PRJ15_entity_defaults", lambda t: mu.with_defaults(t.customer.selectExpr("c_name AS external_id", "IF(c_nationkey < 10, NULL, c_mktsegment) AS preferred_language"), "User", ["external_id"], "user").select("user_id", "external_id", "preferred_language", "timezone", "consent_status", "edge_enabled"),
-    "SELECT 'user_' || substr(sha256(c_name), 1, 12) AS user_id, c_name AS external_id, CASE WHEN c_nationkey < 10 THEN 'en' ELSE c_mktsegment END AS preferred_language, 'UTC' AS timezone, 'pending' AS consent_status, true AS edge_enabled FROM customer")
+    "SELECT 'user_' || substr(sha256(c_name), 1, 12) AS user_id, c_name AS external_id, CASE WHEN c_nationkey < 10 THEN 'en' ELSE c_mktsegment END AS preferred_language, 'UTC' AS timezone, 'granted' AS consent_status, true AS edge_enabled FROM customer")
 add("PRJ16_checksum", lambda t: t.checkin.select("id", mu.checksum(["user_id", "event_type"]).alias("checksum")),
     """SELECT id, substr(sha256('{"event_type":"' || event_type || '","user_id":' || user_id || '}'), 1, 16) AS checksum FROM checkin""", "checkin")
 add("UDF4_feature_registry", lambda t: mu.mark_validated(t.part.selectExpr("concat(p_name, '#', p_partkey) AS name", "p_brand AS owner", "'draft' AS status"), ["x#1"]).withColumn("status", F.when(F.col("owner") == "Brand#11", "validated").otherwise(F.col("status"))),

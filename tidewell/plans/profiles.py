@@ -62,7 +62,7 @@ DONE = f"SELECT user_id AS du, count(CASE WHEN status = 'completed' THEN 1 END)
 RECOV = (f"SELECT user_id, {q4('CASE WHEN n >= 2 THEN first - last ELSE 0e0 END')} AS risk_reduction, {q4('CASE WHEN n >= 2 THEN (first - last) / n ELSE 0e0 END')} AS improvement_speed, "
          f"{q4('coalesce(done / CAST(greatest(made, 1) AS DOUBLE), 0e0)')} AS recommendation_compliance, greatest(0e0, {q4('CASE WHEN n >= 2 THEN first - last ELSE 0e0 END')}) AS recovery_rate, "
          f"coalesce(made, 0) AS recommendation_count FROM trend LEFT JOIN ({DONE}) ON du = user_id")
-INTER = ("SELECT user_id, count(*) AS total_sessions, floor(avg(duration) * 1e2 + 5e-1) / 1e2 AS avg_session_duration, count(CASE WHEN offline_mode THEN 1 END) AS offline_sessions, "
+INTER = ("SELECT user_id, count(*) AS total_sessions, floor(avg(duration) * 1e2 + 5000001e-7) / 1e2 AS avg_session_duration, count(CASE WHEN offline_mode THEN 1 END) AS offline_sessions, "
          f"count(CASE WHEN edge_processing THEN 1 END) AS edge_sessions, {q4('least(1e0, count(*) / 12e0)')} AS engagement_score FROM session GROUP BY 1")
 PROFILE = (f"SELECT i.user_id, total_sessions AS sessions, engagement_score, average_emotion_score, variability, stability, dominant_emotion, rare_emotions, recurring, "
            f"risk_reduction, recommendation_compliance, n AS risk_history_length, last AS latest_risk FROM ({INTER}) i JOIN ({EMO_ALL}) e ON e.user_id = i.user_id "
@@ -132,7 +132,7 @@ add("TW15_emotion_analytics", lambda t: sr.emotion_stability(t.emotion).drop("me
     f"SELECT c.user_id, {q4('greatest(0e0, 1 - sd)')} AS stability, {q4('sd')} AS volatility, event_type AS emotion, count(*) AS n FROM checkin c JOIN "
     "(SELECT user_id AS u, CASE WHEN count(*) >= 2 THEN stddev_pop(k / 1e2) ELSE 0e0 END AS sd FROM checkin GROUP BY 1) ON u = c.user_id GROUP BY c.user_id, sd, event_type", "checkin")
 STORY = ("concat_ws(' ', 'Over the past 30 days, ' || sessions || ' recorded interaction(s) contributed to your evolving profile.', "
-         "CASE WHEN dominant_emotion <> 'Neutral' THEN 'Dominant emotional tone observed: ' || dominant_emotion || ' (stability score: ' || printf('%.2f', floor(stability * 1e2 + 5e-1) / 1e2) || ').' END, "
+         "CASE WHEN dominant_emotion <> 'Neutral' THEN 'Dominant emotional tone observed: ' || dominant_emotion || ' (stability score: ' || printf('%.2f', floor(stability * 1e2 + 5000001e-7) / 1e2) || ').' END, "
          "CASE WHEN risk_reduction > 5e-2 THEN 'Recorded interactions show a gradual improvement in engagement indicators, with decreasing risk scores over time.' "
          "WHEN risk_reduction < -5e-2 THEN 'Recent sessions show increased risk indicators. Consider the supportive recommendations provided.' "
          "ELSE 'Your interaction patterns have remained relatively stable.' END, "

@@ -23,8 +23,8 @@ def add(name: str, plan: Callable[[Tables], DataFrame], sql: str | None = None,
 
 def q4(expression: str) -> str:
     """SQL twin of ``functions.numeric.r4``."""
-    return f"floor(({expression}) * 1e4 + 5e-1) / 1e4"
+    return f"floor(({expression}) * 1e4 + 5000001e-7) / 1e4"
 
 
 def q9(expression: str) -> str:
-    return f"floor(({expression}) * 1e9 + 5e-1) / 1e9"
+    return f"floor(({expression}) * 1e9 + 501e-3) / 1e9"

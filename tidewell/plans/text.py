@@ -124,7 +124,7 @@ QUAL = f"{q4(f'3e-1 * least(1e0, len({WORDS}) / 5e1) + 2e-1 * CASE WHEN text <>
 add("TXT17_text_quality", lambda t: said(t).select("doc_id", tx.quality(F.col("text"), tx.language_columns(F.col("text"))["confidence"]).alias("quality")),
     f"SELECT doc_id, {QUAL} AS quality FROM (SELECT *, {CONF} AS conf FROM ({LANG}))")
 add("TXT18_transcript_metrics", lambda t: tr.transcript_metrics(t.conversations),
-    f"SELECT c.conv_id, utterances, word_count, sentence_count, floor(word_count / CAST(greatest(sentence_count, 1) AS DOUBLE) * 1e2 + 5e-1) / 1e2 AS avg_sentence_length, coalesce(v, 0) AS vocabulary_size, unknown_tokens, "
+    f"SELECT c.conv_id, utterances, word_count, sentence_count, floor(word_count / CAST(greatest(sentence_count, 1) AS DOUBLE) * 1e2 + 5000001e-7) / 1e2 AS avg_sentence_length, coalesce(v, 0) AS vocabulary_size, unknown_tokens, "
     f"{q4('least(1e0, utterances / 1e1 * 3e-1 + coalesce(v, 0) / 1e2 * 3e-1 + 4e-1)')} AS quality_score FROM (SELECT conv_id, count(*) AS utterances, CAST(sum(len(k)) AS BIGINT) AS word_count, count(CASE WHEN len(k) > 0 THEN 1 END) AS sentence_count, "
     r"CAST(sum(len(list_filter(k, lambda w: NOT regexp_full_match(w, '[\p{L}\p{N}]+') AND w <> '''' AND w <> '-'))) AS BIGINT) AS unknown_tokens FROM "
     f"(SELECT conv_id, {WORDS.replace('text', 'lower(text)')} AS k FROM conversations) GROUP BY 1) c LEFT JOIN (SELECT conv_id, count(DISTINCT w) AS v FROM (SELECT conv_id, unnest({WORDS.replace('text', 'lower(text)')}) AS w FROM conversations) GROUP BY 1) z ON z.conv_id = c.conv_id")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,19 +27,28 @@ def build_session(app: str = "tidewell", cpus: str | int = "*", partitions: int
     return spark
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder named by ``spark.checkpoint.dir``; a temporary one only on a single machine."""
+    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="tidewell-")
+    return folder
+
+
+def work_folder(spark: SparkSession, name: str) -> str:
+    """A new sub-folder of the shared folder for one run."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def reliable_checkpoint(df: DataFrame) -> DataFrame:
     """Cut the lineage with a checkpoint that outlives lost executors.
 
     The folder is the one the cluster names in ``spark.checkpoint.dir``; a temporary folder is
     used only where none is set (single-machine tests).
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        folder = context.getConf().get("spark.checkpoint.dir", None) or spark.conf.get(
-            "spark.checkpoint.dir", None
-        )
-        if folder is None and not context.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tidewell-checkpoint-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
