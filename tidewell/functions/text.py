@@ -16,14 +16,14 @@ TAMIL, HINDI, LATIN = r"[஀-௿]", r"[ऀ-ॿ]", "[a-zA-Z]"
 SPACE = r"(?U)\s+"
 
 
-@F.pandas_udf("string")
 def _nfkc(texts: pd.Series) -> pd.Series:
     return texts.str.normalize("NFKC")
 
 
 def compose(text: Column) -> Column:
     """Unicode NFKC, a no-op for ASCII rows."""
-    return F.when(text.rlike(r"[^\x00-\x7F]"), _nfkc(text)).otherwise(text)
+    normalise = F.pandas_udf(_nfkc, "string")
+    return F.when(text.rlike(r"[^\x00-\x7F]"), normalise(text)).otherwise(text)
 
 
 def _trim(text: Column) -> Column:
@@ -32,11 +32,11 @@ def _trim(text: Column) -> Column:
 
 def clean(text: Column, keep_punctuation: bool = True, cap_repeats: bool = True, nfkc: bool = True) -> Column:
     """Drop control characters, fold quotes and spaces, cap long repeats at three (TXT1, TXT2)."""
-    out = F.regexp_replace(F.regexp_replace(text, CONTROL, ""), "�", "")
+    out = F.replace(F.when(text.rlike(CONTROL), F.regexp_replace(text, CONTROL, "")).otherwise(text), F.lit("�"), F.lit(""))
     if nfkc:
         out = compose(out)
     out = F.replace(F.replace(out, F.lit("''"), F.lit("'")), F.lit('""'), F.lit('"'))
-    out = _trim(F.regexp_replace(out, SPACE, " "))
+    out = F.trim(F.regexp_replace(out, SPACE, " "))
     if not keep_punctuation:
         out = F.regexp_replace(out, r"(?U)[^\w\s.,!?'-]", "")
     if cap_repeats:
@@ -76,8 +76,8 @@ def code_mix(text: Column) -> Column:
 
 
 def _kept(text: Column, pattern: str) -> Column:
-    """Number of characters of a class."""
-    return F.length(F.regexp_replace(text, "[^" + pattern[1:-1] + "]+", ""))
+    """Number of characters of a class; most texts have none of a foreign script."""
+    return F.when(text.rlike(pattern), F.length(text) - F.length(F.regexp_replace(text, pattern + "+", ""))).otherwise(0)
 
 
 def language(text: Column) -> Column:
@@ -177,10 +177,15 @@ def top_entry(scores: Column) -> Column:
 
 def keyword_hits(text: Column, lexicons: dict[str, tuple[str, ...]] | None = None) -> Column:
     """Map category to the terms found, only categories with a hit (TXT15)."""
-    low = F.lower(text)
     cats = lexicons or LEXICONS
-    entries = [F.struct(F.lit(c).alias("category"), F.filter(_list(terms), lambda t: low.contains(t)).alias("terms")) for c, terms in cats.items()]
-    return F.map_from_entries(F.filter(F.array(*entries), lambda e: F.size(e["terms"]) > 0))
+
+    def find(low: Column) -> Column:
+        return F.array(*[
+            F.struct(F.lit(c).alias("category"), F.array_compact(F.array(*[F.when(low.contains(t), t) for t in terms])).alias("terms"))
+            for c, terms in cats.items()
+        ])
+
+    return F.map_from_entries(F.filter(let(F.lower(text), find), lambda e: F.size(e["terms"]) > 0))
 
 
 def hits(text: Column, category: str) -> Column:
@@ -228,8 +233,19 @@ def psycholinguistic(text: Column, sents: Column, toks: Column) -> dict[str, Col
         "vocabulary_size": vocab,
         "lexical_diversity": vocab / F.greatest(n, F.lit(1)),
     }
-    for name, pattern in MENTIONS.items():
-        out[name] = F.regexp_count(text, F.lit(rf"(?iU)\b({pattern})\b")).cast("long")
+    # one pass finds the mentions of all kinds; they share no word
+    every = "|".join(MENTIONS.values())
+    found = F.regexp_extract_all(F.lower(text), F.lit(rf"(?U)\b({every})\b"), 1)
+
+    def tally(hits_: Column) -> Column:
+        def count(pattern: str) -> Column:
+            return F.size(F.filter(hits_, lambda w: w.isin(*pattern.split("|")))).cast("long")
+
+        return F.struct(*[count(pattern).alias(name) for name, pattern in MENTIONS.items()])
+
+    counts = let(found, tally)
+    for name in MENTIONS:
+        out[name] = counts[name]
     out["pronoun_frequency"] = out["self_references"] / F.greatest(n, F.lit(1))
     for name, category in (("sleep_mentions", "sleep"), ("isolation_indicators", "isolation"), ("hopelessness_indicators", "depression"),
                            ("stress_indicators", "stress"), ("fatigue_indicators", "fatigue")):

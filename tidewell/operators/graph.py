@@ -135,7 +135,8 @@ def connected_components(node: DataFrame, edge: DataFrame, max_rounds: int = 60)
             out = joined.filter("dst > src").select(F.col("dst").alias("src"), F.col("m").alias("dst"))
         else:
             out = joined.select(F.col("dst").alias("src"), F.col("m").alias("dst")).unionAll(low.select("src", F.col("m").alias("dst")))
-        return out.filter("src <> dst").distinct()
+        out = out.filter("src <> dst")
+        return out if large else out.distinct()
 
     def mark(rows: DataFrame) -> tuple:
         return tuple(rows.agg(F.count("*"), F.sum(F.xxhash64("src", "dst").cast("decimal(38,0)"))).first())

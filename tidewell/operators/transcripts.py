@@ -41,7 +41,9 @@ def text_features(documents: DataFrame, row_id: str, raw: str = "text", keep_col
     """
     base = documents.select(row_id, *keep_columns, F.col(raw).alias("raw_text"), tx.clean(F.col(raw), nfkc=nfkc).alias("cleaned_text"))
     text = F.col("cleaned_text")
-    base = base.withColumns({"sentences": tx.sentences(text), "tokens": tx.tokens(text)})
+    # cleaned text holds single blanks only
+    tokens = F.when(text == "", F.expr("CAST(array() AS ARRAY<STRING>)")).otherwise(F.split(text, " "))
+    base = base.withColumns({"sentences": tx.sentences(text), "tokens": tokens})
     lang = tx.language_columns(text)
     flags = tx.encoding_errors(F.col("raw_text"))
     base = base.withColumns({

@@ -45,9 +45,14 @@ def has(term):
     return f"contains(low, '{term}')::INT"
 
 
-TX1 = tx.clean(F.col("text"), cap_repeats=False, nfkc=False)
+
+
+def plain_clean():
+    return tx.clean(F.col("text"), cap_repeats=False, nfkc=False)
+
+
 add("TXT1_clean_text", lambda t: said(t).select("doc_id", tx.clean(F.col("text")).alias("text")))
-add("TXT1_clean_without_nfkc", lambda t: said(t).select("doc_id", F.sha2(TX1, 256).alias("digest"), F.length(TX1).cast("long").alias("chars")),
+add("TXT1_clean_without_nfkc", lambda t: said(t).select("doc_id", F.sha2(plain_clean(), 256).alias("digest"), F.length(plain_clean()).cast("long").alias("chars")),
     f"SELECT doc_id, sha256(c) AS digest, length(c) AS chars FROM (SELECT doc_id, {CLEAN} AS c FROM {SAID})")
 add("TXT2_clean_transcript", lambda t: t.conversations.select("conv_id", "turn", F.sha2(tx.clean(F.col("text"), cap_repeats=False, nfkc=False), 256).alias("digest")),
     f"SELECT conv_id, turn, sha256({CLEAN}) AS digest FROM conversations")

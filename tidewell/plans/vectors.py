@@ -11,7 +11,6 @@ from tidewell.operators import vectorsets as vs
 from tidewell.operators.timelines import weekly_summary
 from tidewell.plans.registry import add, q4, q9
 
-E = F.col("embedding")
 DV = "(SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings)"
 
 
@@ -31,18 +30,18 @@ add("MTH4_train_scaling", lambda t: exploded(vs.train_scaled(t.embeddings.withCo
     unnest(f"SELECT vec_id, list_transform(e, lambda x: (x - m) / greatest(sd, 1e-8)) AS s FROM {DV}, (SELECT avg(x) AS m, stddev_pop(x) AS sd FROM (SELECT unnest(e) AS x FROM {DV} WHERE {SPLIT} = 'train'))"))
 add("MTH5_dimension_scaling", lambda t: exploded(vs.dimension_scaled(t.embeddings, "embedding"), "vec_id", "scaled"),
     f"SELECT vec_id, pos - 1 AS pos, {q9('(e[pos] - avg(e[pos]) OVER (PARTITION BY pos)) / (stddev_pop(e[pos]) OVER (PARTITION BY pos) + 1e-8)')} AS x FROM (SELECT vec_id, e, unnest(range(1, 65)) AS pos FROM {DV})")
-add("MTH7_vector_zscore", lambda t: exploded(t.embeddings.select("vec_id", vx.zscored(E).alias("s")), "vec_id", "s"),
+add("MTH7_vector_zscore", lambda t: exploded(t.embeddings.select("vec_id", vx.zscored(F.col("embedding")).alias("s")), "vec_id", "s"),
     f"SELECT vec_id, pos - 1 AS pos, {q9('(x - avg(x) OVER (PARTITION BY vec_id)) / (stddev_pop(x) OVER (PARTITION BY vec_id) + 1e-8)')} AS x FROM (SELECT vec_id, pos, e[pos] AS x FROM (SELECT vec_id, e, unnest(range(1, 65)) AS pos FROM {DV}))")
-add("MTH7_vector_minmax", lambda t: exploded(t.embeddings.select("vec_id", vx.min_maxed(E).alias("s")), "vec_id", "s"),
+add("MTH7_vector_minmax", lambda t: exploded(t.embeddings.select("vec_id", vx.min_maxed(F.col("embedding")).alias("s")), "vec_id", "s"),
     unnest(f"SELECT vec_id, list_transform(e, lambda x: (x - list_min(e)) / (list_max(e) - list_min(e) + 1e-8)) AS s FROM {DV}"))
 for _m, _f in (("peak", "95e-2 / (list_max(list_transform(e, lambda x: abs(x))) + 1e-8)"), ("rms", "1e-1 / (sqrt(list_sum(list_transform(e, lambda x: x * x)) / len(e)) + 1e-8)"),
                ("lufs", "power(10, -23e0 / 20) * 1e-1 / (sqrt(list_sum(list_transform(e, lambda x: x * x)) / len(e)) + 1e-8)")):
-    add(f"MTH8_{_m}_amplitude", lambda t, m=_m: exploded(t.embeddings.select("vec_id", vx.amplitude(E, m).alias("s")), "vec_id", "s"),
+    add(f"MTH8_{_m}_amplitude", lambda t, m=_m: exploded(t.embeddings.select("vec_id", vx.amplitude(F.col("embedding"), m).alias("s")), "vec_id", "s"),
         unnest(f"SELECT vec_id, list_transform(e, lambda x: x * f) AS s FROM (SELECT vec_id, e, {_f} AS f FROM {DV})"))
 
 
 def audio(t):
-    parts = vx.audio_quality(F.transform(E, lambda x: x * 4), F.col("label") / 10.0, F.col("label"))
+    parts = vx.audio_quality(F.transform(F.col("embedding"), lambda x: x * 4), F.col("label") / 10.0, F.col("label"))
     return t.embeddings.select("vec_id", *[r9(c).alias(n) if n != "flags" else c.alias(n) for n, c in parts.items()])
 
 
@@ -57,7 +56,7 @@ add("MTH16_visual_quality", lambda t: t.checkin.select("id", r9(vx.visual_qualit
 add("MTH19_first_vector_outliers", lambda t: vs.first_vector_outliers(t.embeddings.selectExpr("vec_id", "IF(label < 3, embedding, NULL) AS audio", "IF(label < 6, slice(embedding, 1, 32), NULL) AS text", "slice(embedding, 1, 16) AS visual"), "vec_id", threshold=1.5).select("vec_id", "outlier"),
     "SELECT vec_id, abs((nm - avg(nm) OVER ()) / (stddev_pop(nm) OVER () + 1e-8)) > 15e-1 AS outlier FROM (SELECT vec_id, sqrt(list_sum(list_transform(CASE WHEN label < 3 THEN e WHEN label < 6 THEN e[1:32] ELSE e[1:16] END, lambda x: x * x))) AS nm "
     f"FROM {DV})")
-add("MTH20_array_summary", lambda t: t.embeddings.select("vec_id", F.size(E).cast("long").alias("size"), r9(vx.mean(E)).alias("mean"), r9(vx.spread(E)).alias("deviation")),
+add("MTH20_array_summary", lambda t: t.embeddings.select("vec_id", F.size(F.col("embedding")).cast("long").alias("size"), r9(vx.mean(F.col("embedding"))).alias("mean"), r9(vx.spread(F.col("embedding"))).alias("deviation")),
     f"SELECT vec_id, count(*) AS size, {q9('avg(x)')} AS mean, {q9('stddev_pop(x)')} AS deviation FROM (SELECT vec_id, unnest(e) AS x FROM {DV}) GROUP BY 1")
 
 
@@ -88,7 +87,7 @@ add("ARR5_fused_vectors", lambda t: exploded(vs.fused(parts(t)).select("particip
 
 def neighbours(t):
     a = t.embeddings.select("vec_id", E.alias("a"))
-    b = t.embeddings.select((F.col("vec_id") - 1).alias("vec_id"), F.when(F.col("label") == 0, F.slice(E, 1, 10)).otherwise(E).alias("b"))
+    b = t.embeddings.select((F.col("vec_id") - 1).alias("vec_id"), F.when(F.col("label") == 0, F.slice(F.col("embedding"), 1, 10)).otherwise(F.col("embedding")).alias("b"))
     return a.join(b, "vec_id")
 
 
