@@ -138,8 +138,9 @@ def running_trend(score: DataFrame, gap_days: float = 7, watermark: str = WATERM
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
-            yield pd.DataFrame([trend_of(key[0], state.get, "missing_checkins")])
-            state.remove()
+            held = state.get
+            state.update(held)  # the sums stay, so a returning user goes on with the old history
+            yield pd.DataFrame([trend_of(key[0], held, "missing_checkins")])
             return
         rows = pd.concat(list(batches)).dropna(subset=["risk"]).sort_values(["ts", "id"])
         if rows.empty:
