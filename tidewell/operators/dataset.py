@@ -110,10 +110,7 @@ def numeric_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
         F.count("*").alias("n"), F.avg("x").alias("mean"), F.var_samp("x").alias("variance"), F.stddev_samp("x").alias("std"),
         F.skewness("x").alias("g1"), F.kurtosis("x").alias("g2"),
     )
-    quartiles = None
-    for c in columns:
-        part = exact_quantiles(df, c, [0.25, 0.5, 0.75]).select(F.lit(c).alias("field"), "q0", "q1", "q2")
-        quartiles = part if quartiles is None else quartiles.unionByName(part)
+    quartiles = exact_quantiles(long, "x", [0.25, 0.5, 0.75], by=["field"])
     agg = agg.join(quartiles, "field")
     n = F.col("n").cast("double")
     skew = F.when(n > 2, F.col("g1") * F.sqrt(n * (n - 1)) / (n - 2)).otherwise(0.0)

@@ -63,7 +63,11 @@ def integrity(index: DataFrame, listing: DataFrame, allowed: dict[str, tuple[str
     ])
     twice = rows.filter(there & ~blank).groupBy("file_path").agg(
         F.count("*").alias("n"), F.min("participant_id").alias("participant_id")
-    ).filter("n > 1").withColumn("_again", F.explode(F.sequence(F.lit(2), F.col("n").cast("int"))))
+    ).filter("n > 1")
+    # one row per repeat, made in chunks so that a path repeated very often does not burden one task
+    chunk = 100_000
+    twice = twice.withColumn("_c", F.explode(F.expr(f"sequence(0, (n - 2) DIV {chunk})"))).repartition("file_path", "_c")
+    twice = twice.withColumn("_again", F.explode(F.expr(f"sequence(_c * {chunk} + 2, least(n, (_c + 1) * {chunk} + 1))")))
     return single.unionByName(issue(twice, "integrity", "duplicate", "warning", F.concat(F.lit("Duplicate path: "), name)))
 
 

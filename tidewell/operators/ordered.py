@@ -225,51 +225,56 @@ def series_summary(
 
 
 def running_totals(
-    df: DataFrame, axis: str, sums: Sequence[str], descending: bool = False, slice_rows: int = SLICE_ROWS
+    df: DataFrame, axis: str, sums: Sequence[str], descending: bool = False, by: Sequence[str] = (), slice_rows: int = SLICE_ROWS
 ) -> DataFrame:
     """Add ``<name>_before`` for each of ``sums``: its total over all rows ahead on ``axis``.
 
-    ``df`` has one row per value of ``axis``. The axis is cut into 1024 equal ranges, crowded ranges
-    further; only the range totals (at most ``1024 + 4 * rows / slice_rows`` rows) are ordered in
-    one task, the rows themselves per range.
+    ``df`` has one row per value of ``axis`` (within ``by``, a handful of groups such as field
+    names). The axis is cut into 1024 equal ranges, crowded ranges further; only the range totals
+    (at most ``1024 + 4 * rows / slice_rows`` rows per group) are ordered in one task, the rows
+    themselves per range.
     """
-    bounds = df.agg(F.expr(f"CAST(min({axis}) AS DOUBLE) AS _min"), F.expr(f"CAST(max({axis}) AS DOUBLE) AS _max"))
+    by = list(by)
+    ends = [F.expr(f"CAST(min({axis}) AS DOUBLE) AS _min"), F.expr(f"CAST(max({axis}) AS DOUBLE) AS _max")]
+    bounds = F.broadcast(df.groupBy(*by).agg(*ends) if by else df.agg(*ends))
     columns = [f"`{c}`" for c in df.columns]
-    ranged = df.crossJoin(F.broadcast(bounds)).selectExpr(
+    ranged = (df.join(bounds, by) if by else df.crossJoin(bounds)).selectExpr(
         *columns, f"coalesce(CAST(floor(({axis} - _min) / nullif(_max - _min, 0) * 1023) AS BIGINT), 0) AS _b"
     )
-    cut = split_hot(ranged, ["_b"], axis, slice_rows)
+    cut = split_hot(ranged, [*by, "_b"], axis, slice_rows)
     way = "DESC" if descending else "ASC"
-    totals = cut.groupBy("_b", "_slice").agg(*[F.expr(f"sum({s}) AS _t_{s}") for s in sums])
+    ahead_rows = "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
+    totals = cut.groupBy(*by, "_b", "_slice").agg(*[F.expr(f"sum({s}) AS _t_{s}") for s in sums])
+    group = f"PARTITION BY {', '.join(by)}" if by else ""
     ahead = totals.selectExpr(
-        "_b",
-        "_slice",
-        *[
-            f"coalesce(sum(_t_{s}) OVER (ORDER BY _b {way}, _slice {way} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS _a_{s}"
-            for s in sums
-        ],
+        *by, "_b", "_slice", *[f"coalesce(sum(_t_{s}) OVER ({group} ORDER BY _b {way}, _slice {way} {ahead_rows}), 0) AS _a_{s}" for s in sums]
     )
-    inside = f"OVER (PARTITION BY _b, _slice ORDER BY {axis} {way} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    inside = f"OVER (PARTITION BY {', '.join([*by, '_b', '_slice'])} ORDER BY {axis} {way} {ahead_rows})"
     local = cut.selectExpr(*columns, "_b", "_slice", *[f"coalesce(sum({s}) {inside}, 0) AS _l_{s}" for s in sums])
-    return local.join(F.broadcast(ahead), ["_b", "_slice"]).selectExpr(
+    return local.join(F.broadcast(ahead), [*by, "_b", "_slice"]).selectExpr(
         *columns, *[f"_a_{s} + _l_{s} AS {s}_before" for s in sums]
     )
 
 
-def exact_quantiles(df: DataFrame, column: str, quantiles: Sequence[float], slice_rows: int = SLICE_ROWS) -> DataFrame:
-    """One row ``q0, q1, ...`` with linearly interpolated exact quantiles of a column.
+def exact_quantiles(
+    df: DataFrame, column: str, quantiles: Sequence[float], by: Sequence[str] = (), slice_rows: int = SLICE_ROWS
+) -> DataFrame:
+    """Exact quantiles ``q0, q1, ...`` of a column, linearly interpolated; one row (per ``by``).
 
     The built-in exact percentile keeps all distinct values of the table in one task; this one
     counts per value and looks the two neighbours up by their running count.
     """
-    counts = df.selectExpr(f"CAST({column} AS DOUBLE) AS _x").filter("_x IS NOT NULL AND NOT isnan(_x)").groupBy("_x").agg(F.expr("count(*) AS _n"))
-    placed = running_totals(counts, "_x", ["_n"], slice_rows=slice_rows)
-    total = counts.agg(F.expr("sum(_n) AS _all"))
-    rows = placed.crossJoin(F.broadcast(total))
+    by = list(by)
+    values = df.selectExpr(*by, f"CAST({column} AS DOUBLE) AS _x").filter("_x IS NOT NULL AND NOT isnan(_x)")
+    counts = values.groupBy(*by, "_x").agg(F.expr("count(*) AS _n"))
+    placed = running_totals(counts, "_x", ["_n"], by=by, slice_rows=slice_rows)
+    size = F.expr("sum(_n) AS _all")
+    total = F.broadcast(counts.groupBy(*by).agg(size) if by else counts.agg(size))
+    rows = placed.join(total, by) if by else placed.crossJoin(total)
     picks = []
     for i, q in enumerate(quantiles):
         at = f"((_all - 1) * CAST({q!r} AS DOUBLE))"
         for name, index in (("l", f"floor({at})"), ("h", f"ceil({at})")):
             picks.append(F.expr(f"max(if(_n_before <= {index} AND {index} < _n_before + _n, _x, NULL)) AS _{name}{i}"))
         picks.append(F.expr(f"max({at} - floor({at})) AS _f{i}"))
-    return rows.agg(*picks).selectExpr(*[f"_l{i} + (_h{i} - _l{i}) * _f{i} AS q{i}" for i in range(len(quantiles))])
+    return rows.groupBy(*by).agg(*picks).selectExpr(*by, *[f"_l{i} + (_h{i} - _l{i}) * _f{i} AS q{i}" for i in range(len(quantiles))])

@@ -44,8 +44,8 @@ def interval_half_width(z: float = 1.96) -> Column:
     return F.lit(z) * F.sqrt(variance() / _s("n"))
 
 
-def trend_record(summary: DataFrame) -> DataFrame:
-    """Ten trend fields per user, rounded to four places (WIN9)."""
+def trend_record(summary: DataFrame, *more: Column) -> DataFrame:
+    """Ten trend fields per user, rounded to four places (WIN9), and further columns of the summary."""
     half = interval_half_width()
     return summary.select(
         "user_id",
@@ -60,6 +60,7 @@ def trend_record(summary: DataFrame) -> DataFrame:
         r4(_s("mean") - half).alias("ci_low"),
         r4(_s("mean") + half).alias("ci_high"),
         _s("n").alias("n_points"),
+        *more,
     )
 
 

@@ -70,8 +70,9 @@ add("SRC3_numbered_labels", numbered, f"SELECT participant_id, label, split FROM
 def transcript_files(t):
     folder = work_folder(t.spark, "transcripts")
     line = F.concat_ws("\t", F.col("turn").cast("string"), (F.col("turn") + 1).cast("string"), "role", F.regexp_replace("text", "[\t\r\n]+", " "))
-    body = t.conversations.filter("text <> ''").groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", line.alias("l")))), lambda x: x["l"]), "\n").alias("b"))
-    body.select(F.concat(F.lit("start_time\tstop_time\tspeaker\tvalue\n"), "b").alias("value"), "conv_id").write.partitionBy("conv_id").text(folder, lineSep="\n")
+    # a file holds up to 1000 turns, so a long conversation is several files
+    body = t.conversations.filter("text <> ''").groupBy("conv_id", F.expr("turn DIV 1000").alias("piece")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", line.alias("l")))), lambda x: x["l"]), "\n").alias("b"))
+    body.select(F.concat(F.lit("start_time\tstop_time\tspeaker\tvalue\n"), "b").alias("value"), "conv_id", "piece").write.partitionBy("conv_id", "piece").text(folder, lineSep="\n")
     return folder
 
 
@@ -86,7 +87,7 @@ def plain(t):
 
 
 add("SRC5_plain_transcripts", plain, "SELECT 'unknown' AS speaker, 0 AS ords")
-add("SRC6_listing", lambda t: src.listing(t.spark, transcript_files(t)).groupBy("modality").agg(F.count("*").alias("n")), "SELECT 'text' AS modality, count(DISTINCT conv_id) AS n FROM conversations WHERE text <> ''")
+add("SRC6_listing", lambda t: src.listing(t.spark, transcript_files(t)).groupBy("modality").agg(F.count("*").alias("n")), "SELECT 'text' AS modality, count(*) AS n FROM (SELECT DISTINCT conv_id, turn // 1000 FROM conversations WHERE text <> '')")
 add("SRC6_classified_names", lambda t: t.pages.select("page_id", src.classify(F.concat(F.element_at(F.split("url", "/"), -1), F.expr("CASE page_id % 6 WHEN 0 THEN '_CLNF_AUs.txt' WHEN 1 THEN '.wav' WHEN 2 THEN '.mp4' WHEN 3 THEN '_TRANSCRIPT.csv' WHEN 4 THEN '_COVAREP.csv' ELSE '.bin' END"))).alias("kind")),
     "SELECT page_id, CASE WHEN regexp_matches(lower(url), '(clnf|hog|gaze|pose|_aus)[^/]*$') THEN 'facial_features' ELSE CASE page_id % 6 WHEN 0 THEN 'facial_features' WHEN 1 THEN 'audio' WHEN 2 THEN 'video' WHEN 3 THEN 'transcript' WHEN 4 THEN 'audio_features' ELSE 'other' END END AS kind FROM pages")
 add("SRC7_adapter_discovery", lambda t: reg.discover(t.spark, "daic_woz", interview_tree(t)).groupBy("modality", "label").agg(F.count("*").alias("n")),

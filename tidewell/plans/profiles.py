@@ -125,7 +125,12 @@ add("TW11_reasoning_report", lambda t: pf.reasoning_report(t.score, emo(t), sym(
     f"LEFT JOIN (SELECT user_id AS w, count(CASE WHEN frequency >= 3 THEN 1 END) AS persistent_symptoms FROM ({SYM_R}) GROUP BY 1) ON w = t.user_id", V)
 add("TW12_latest_views", lambda t: pf.latest_views({"emotion": (emo(t), "emotion", "ts"), "symptom": (sym(t), "symptom", "ts")}),
     " UNION ALL ".join(f"SELECT user_id, '{k}' AS view_type, arg_max(event_type, (ts, id)) AS latest_value, max(ts) AS ts FROM checkin GROUP BY 1" for k in ("emotion", "symptom")), "checkin")
-add("TW14_risk_analytics", lambda t: sr.trend_record(series_summary(t.score)).join(sr.temporal_states(series_summary(t.score)).select("user_id", "state"), "user_id"),
+def risk_analytics(t):
+    s = series_summary(t.score)
+    return sr.trend_record(s, sr.temporal_state().alias("state"))
+
+
+add("TW14_risk_analytics", risk_analytics,
     f"SELECT user_id, {RECORD}, {STATE0} AS state FROM trend", "trend")
 add("TW15_emotion_analytics", lambda t: sr.emotion_stability(t.emotion).drop("mean").join(
         emo(t).groupBy("user_id", "emotion").agg(F.count("*").alias("n")), "user_id"),

@@ -43,12 +43,12 @@ def work_folder(spark: SparkSession, name: str) -> str:
 
 
 def reliable_checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a checkpoint that outlives lost executors.
+    """Cut the lineage with a table in the shared folder, which outlives lost executors.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``; a temporary folder is
-    used only where none is set (single-machine tests).
+    A written table keeps columns compressed and gives the next round its size, which an RDD
+    checkpoint does not.
     """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    path = work_folder(spark, "round")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
