@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from tidewell.operators import gates as gt
 from tidewell.plans.dataset import INDEX_SQL, idx
-from tidewell.plans.gates import every_issue
+from tidewell.plans.gates import ISSUES, ROLL, every_issue
+from tidewell.plans.graphs import BUILT
 from tidewell.plans.registry import add
 from tidewell.schemas import LEXICONS
 from tidewell.session import work_folder
@@ -192,7 +193,8 @@ def gate_report(t):
     return t.spark.read.json(path).select("gate", "status", "issues", "approved")
 
 
-add("SNK11_gate_report", gate_report)
+SOME = f"(SELECT * FROM ({ROLL}) WHERE issues > 0)"
+add("SNK11_gate_report", gate_report, f"SELECT gate, status, issues, (SELECT count(CASE WHEN status = 'failed' THEN 1 END) = 0 FROM {SOME}) AS approved FROM {SOME}", "dataset_index")
 add("SNK13_transcript_export", lambda t: t.spark.read.json(sink.export_transcripts(t.conversations.selectExpr("CAST(conv_id AS STRING) AS participant_id", "turn AS ord", "CAST(turn AS DOUBLE) AS start_time", "role AS speaker", "text"), work_folder(t.spark, "script"))).groupBy("speaker").agg(F.count("*").alias("n")),
     "SELECT role AS speaker, count(*) AS n FROM conversations GROUP BY 1")
 
@@ -211,7 +213,7 @@ def issue_tables(t):
     return t.spark.read.parquet(path).groupBy("gate", "check").agg(F.count("*").alias("n"))
 
 
-add("SNK15_issue_tables", issue_tables)
+add("SNK15_issue_tables", issue_tables, f"SELECT gate, \"check\", count(*) AS n FROM ({ISSUES}) GROUP BY 1, 2", "dataset_index")
 
 
 def graph_files(t):
@@ -221,7 +223,9 @@ def graph_files(t):
     return t.spark.read.text(paths["graphml"]).groupBy(F.regexp_extract("value", "^<([a-z/]+)", 1).alias("element")).agg(F.count("*").alias("n"))
 
 
-add("SNK7_graph_files", graph_files)
+ENDS = f"(SELECT src AS e FROM ({BUILT}) UNION SELECT dst FROM ({BUILT}))"
+add("SNK7_graph_files", graph_files,
+    f"SELECT 'node' AS element, count(*) AS n FROM {ENDS} UNION ALL SELECT 'edge', count(*) FROM ({BUILT}) UNION ALL SELECT * FROM (VALUES ('graphml', 1), ('/graph', 1)) v", "dataset_index")
 
 
 def presence(t):
@@ -235,7 +239,8 @@ add("DQ8_export_gate", lambda t: presence(t).filter("check = 'manifest'").select
     "SELECT 'export' AS gate, 'warning' AS status")
 add("AGG28_version_record", lambda t: src.version_record(t.pages.select(F.col("url").alias("file_path"), F.length("html").alias("size")), "pages", 100).select("dataset_hash", "dataset_source"),
     "SELECT sha256(string_agg(e, '' ORDER BY e)) AS dataset_hash, 'pages' AS dataset_source FROM (SELECT url || length(html) AS e FROM pages ORDER BY url LIMIT 100)")
-add("AGG29_reproducibility", lambda t: sink.reproducibility_row(t.spark, {"seed": 42, "alpha": 0.3}).crossJoin(t.documents.agg(F.count("*").alias("rows"))).select("config_hash", "rows"))
+add("AGG29_reproducibility", lambda t: sink.reproducibility_row(t.spark, {"seed": 42, "alpha": 0.3}).crossJoin(t.documents.agg(F.count("*").alias("n"))).select("config_hash", "n"),
+    """SELECT substr(sha256('{"alpha": 0.3, "seed": 42}'), 1, 16) AS config_hash, count(*) AS n FROM documents""")
 
 
 def halves(t):

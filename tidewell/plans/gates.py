@@ -84,6 +84,7 @@ def every_issue(t):
 QISS = f"SELECT 'quality' AS gate, 'quality_reject' AS check, 'warning' AS severity, 'Quality below threshold' AS message, participant_id FROM ({Q}) WHERE overall < 3e-1"
 ROLL = (f"SELECT g AS gate, count(gate) AS issues, count(CASE WHEN severity = 'error' THEN 1 END) AS errors, CASE WHEN count(CASE WHEN severity = 'error' THEN 1 END) = 0 THEN 'passed' WHEN g IN ('features', 'embeddings') THEN 'warning' ELSE 'failed' END AS status "
         f"FROM (VALUES ('integrity'), ('consistency'), ('quality'), ('leakage'), ('features'), ('embeddings')) v(g) LEFT JOIN (({INTEG}) UNION ALL ({CONS}) UNION ALL ({QISS}) UNION ALL ({LEAK}) UNION ALL ({VECS}) UNION ALL ({EMB})) i ON i.gate = g GROUP BY g")
+ISSUES = f"({INTEG}) UNION ALL ({CONS}) UNION ALL ({QISS}) UNION ALL ({LEAK}) UNION ALL ({VECS}) UNION ALL ({EMB})"
 GATES = ("integrity", "consistency", "quality", "leakage", "features", "embeddings")
 add("DQ9_gate_roll_up", lambda t: gt.roll_up(every_issue(t), gates=GATES), ROLL, "dataset_index")
 add("DQ9_approval", lambda t: gt.approval(gt.roll_up(every_issue(t), gates=GATES)),

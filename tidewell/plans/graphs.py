@@ -159,7 +159,8 @@ ADJ = "SELECT DISTINCT g, src, dst FROM (SELECT g, src, dst FROM (SELECT o_custk
 add("GR28_batched_adjacency", lambda t: gr.batched_adjacency(t.orders.selectExpr("o_custkey % 25 AS g", "concat('User:', o_custkey) AS src", "concat('Session:', o_orderkey) AS dst"), "g"),
     f"SELECT a.g, src, dst, nodes, (SELECT max(n) FROM (SELECT g, count(DISTINCT src) AS n FROM ({ADJ}) GROUP BY 1)) AS padded_to FROM ({ADJ}) a JOIN (SELECT g, count(DISTINCT src) AS nodes FROM ({ADJ}) GROUP BY 1) b ON a.g = b.g")
 add("GR29_graph_with_issues", lambda t: gt.graph_issues(gr.nodes_of(gr.build_graph("temporal", idx(t))), gr.build_graph("temporal", idx(t))).groupBy("check").agg(F.count("*").alias("n")).unionByName(
-        gr.build_graph("temporal", idx(t)).groupBy(F.col("rel_type").alias("check")).agg(F.count("*").alias("n"))))
+        gr.build_graph("temporal", idx(t)).groupBy(F.col("rel_type").alias("check")).agg(F.count("*").alias("n"))),
+    f"SELECT rel_type AS \"check\", count(*) AS n FROM ({BUILT}) GROUP BY 1 UNION ALL SELECT 'temporal', 1 WHERE (SELECT max(k) FROM (SELECT count(*) AS k FROM {SES} GROUP BY participant_id)) = 1", "dataset_index")
 add("UDF5_builder_by_name", lambda t: gr.build_graph("research", idx(t), study="s", model="m").groupBy("rel_type").agg(F.count("*").alias("n")),
     f"SELECT rel_type, count(*) AS n FROM (SELECT rel_type FROM ({BUILT}) UNION ALL SELECT k FROM (SELECT DISTINCT participant_id FROM {SES}), (VALUES ('BELONGS_TO'), ('USES_MODEL')) v(k)) GROUP BY 1", "dataset_index")
 add("JN14_dangling_edges", lambda t: gr.dangling(t.edge, t.node.filter("label <> 'Session'")),

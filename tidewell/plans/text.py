@@ -9,6 +9,7 @@ from tidewell.functions.numeric import r9
 from tidewell.operators import transcripts as tr
 from tidewell.plans.registry import add, q4, q9
 from tidewell.schemas import EMOTION_LABELS, EMOTION_TERMS, LEXICONS, MENTIONS, NEGATION_WORDS, NEGATIVE_WORDS, POSITIVE_WORDS, PRONOUN_WORDS
+from tidewell.session import spread_if_small
 
 # Words of the lexicons are rare in the documents, so each text gets a closing remark by its id.
 REMARK = ("CASE doc_id % 8 WHEN 0 THEN ' I feel sad and lonely, my mother was worried.' WHEN 1 THEN ' A good and happy day! I will go to work tomorrow.' "
@@ -17,7 +18,7 @@ REMARK = ("CASE doc_id % 8 WHEN 0 THEN ' I feel sad and lonely, my mother was wo
 
 
 def said(t):
-    return t.documents.select("doc_id", F.concat("text", F.expr(REMARK)).alias("text"))
+    return spread_if_small(t.documents.select("doc_id", "text")).select("doc_id", F.concat("text", F.expr(REMARK)).alias("text"))
 
 
 SAID = f"(SELECT doc_id, text || {REMARK} AS text FROM documents)"
