@@ -86,7 +86,7 @@ add("ARR5_fused_vectors", lambda t: exploded(vs.fused(parts(t)).select("particip
 
 
 def neighbours(t):
-    a = t.embeddings.select("vec_id", E.alias("a"))
+    a = t.embeddings.select("vec_id", F.col("embedding").alias("a"))
     b = t.embeddings.select((F.col("vec_id") - 1).alias("vec_id"), F.when(F.col("label") == 0, F.slice(F.col("embedding"), 1, 10)).otherwise(F.col("embedding")).alias("b"))
     return a.join(b, "vec_id")
 

@@ -60,5 +60,5 @@ def spread_if_small(df: DataFrame, limit: int = 1 << 30) -> DataFrame:
     A small file with one row group is read by one task. Large inputs split by themselves and pass
     through without a shuffle.
     """
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size < limit else df
