@@ -29,16 +29,21 @@ def neighbourhood(
 ) -> DataFrame:
     """Nodes within ``hops`` of each root with their distance (GR1 to GR5).
 
-    ``roots`` has ``root``. A root itself is not listed.
+    ``roots`` has ``root``. A root itself is not listed. Links and frontiers are written once per
+    step, so a step does not compute the earlier ones again.
     """
     if max_hops is not None and hops > max_hops:
         raise ValueError(f"at most {max_hops} hops")
     links = (edge if directed else symmetric(edge)).select("src", "dst").distinct()
+    if hops > 1:
+        links = reliable_checkpoint(links)  # every step reads it
     seen = roots.select(F.col("root"), F.col("root").alias("node_id"), F.lit(0).alias("depth"))
     frontier = seen.select("root", "node_id")
     for step in range(1, hops + 1):
         reached = frontier.join(links, frontier["node_id"] == links["src"]).select("root", F.col("dst").alias("node_id")).distinct()
         frontier = reached.join(seen.select("root", "node_id"), ["root", "node_id"], "left_anti")
+        if step < hops:
+            frontier = reliable_checkpoint(frontier)
         seen = seen.unionByName(frontier.withColumn("depth", F.lit(step)))
     return seen.filter("depth > 0").select("root", "node_id", F.col("depth").cast("long").alias("depth"))
 
@@ -91,7 +96,7 @@ def incident_counts(edge: DataFrame, roots: DataFrame, hops: int = 3) -> DataFra
     An edge between two reached nodes counts once: edges at sources plus edges at targets minus
     those with both ends inside, each a plain count.
     """
-    reach = neighbourhood(edge, roots, hops).select("root", "node_id")
+    reach = reliable_checkpoint(neighbourhood(edge, roots, hops).select("root", "node_id"))
     rows = edge.select("src", "dst")
     per_node = rows.groupBy(F.col("src").alias("node_id")).agg(F.count("*").alias("o")).join(
         rows.filter("src <> dst").groupBy(F.col("dst").alias("node_id")).agg(F.count("*").alias("i")), "node_id", "full"
