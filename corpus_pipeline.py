@@ -1,12 +1,69 @@
-"""A training-data pipeline: each stage applies one operator to all that the stage before kept."""
+"""A training-data pipeline: each stage applies one operator to all that the stage before kept.
+
+All stages but the last return the columns of ``documents``. A stage is judged on its own input.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidewell.llm.bpe import encode_documents
+from tidewell.llm.common import documents, reliable_checkpoint, table
+from tidewell.llm.decontaminate import decontaminated
+from tidewell.llm.exact import exact_duplicates
+from tidewell.llm.language import identify, learn
+from tidewell.llm.queries import vocabulary_path
+from tidewell.llm.simhash import near_duplicates
+
+#: Bits per letter over which a text is in no learned language; prose of a learned one needs 2 to 4, a text
+#: all of whose letters are unknown about 15.
+MOST_BITS = 9.0
+
+
+def _kept(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    return docs.join(ids.select("doc_id").distinct(), "doc_id", "left_semi").select(*docs.columns)
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a letter, or in no learned language, go; the others carry the language found.
+
+    If no row has a language to learn from, nothing can be judged and all rows stay as they are.
+    """
+    model = learn(docs)
+    if not model.languages:
+        return docs
+    found = identify(docs, model, with_row=True).filter((F.col("lang_pred") != "und") & (F.col("bits_per_letter") <= MOST_BITS))
+    return found.select(*[F.col("lang_pred").alias(c) if c == "lang" else F.col(f"_row.`{c}`") for c in docs.columns])
+
+
+def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The row with the smallest id of each group of equal texts stays."""
+    return _kept(docs, exact_duplicates(docs).filter("kept"))
+
+
+def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each near-duplicate component stays."""
+    return _kept(docs, near_duplicates(docs).filter("doc_id = component_id"))
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold at least half of a test item's words in common passages go."""
+    return decontaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token counts and digests of ids and decoded text."""
+    return encode_documents(docs, vocabulary_path())
 
-from tidewell.llm.common import documents, reliable_checkpoint
 
-STAGES: list = []
+STAGES = [
+    ("language_id", language_id),
+    ("exact_dedup", exact_dedup),
+    ("simhash_near_dedup", simhash_near_dedup),
+    ("benchmark_decontamination", benchmark_decontamination),
+    ("bpe_encoding", bpe_encoding),
+]
 
 #: The stages cannot be said in SQL; tests/llm holds run() against brute force.
 ORACLE_SQL = None

@@ -5,10 +5,15 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidewell.llm.bpe import encode_documents
-from tidewell.llm.common import documents
+from tidewell.llm.common import documents, table
+from tidewell.llm.decontaminate import contamination
+from tidewell.llm.exact import exact_duplicates
+from tidewell.llm.language import identify, learn
 from tidewell.llm.secrets import scan_secrets
+from tidewell.llm.simhash import near_duplicates
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -20,12 +25,38 @@ def vocabulary_path() -> str:
     return str(public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_duplicates(documents(spark, sf_dir))
+
+
+SQL["op1_exact_dedup"] = r"""
+WITH texts AS (
+    SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS norm FROM documents
+)
+SELECT doc_id, min(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size, doc_id = min(doc_id) OVER same AS kept, sha256(norm) AS text_sha256
+FROM texts WINDOW same AS (PARTITION BY norm)
+"""
+
+
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(documents(spark, sf_dir))
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(documents(spark, sf_dir), vocabulary_path())
 
 
-QUERIES |= {"op2_secret_scan": op2_secret_scan, "op7_bpe": op7_bpe}
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(documents(spark, sf_dir))
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return identify(docs, learn(docs))
+
+
+QUERIES |= {f.__name__: f for f in (op1_exact_dedup, op2_secret_scan, op6_decontamination, op7_bpe, op8_simhash, op10_language_id)}
