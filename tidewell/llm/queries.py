@@ -5,15 +5,16 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tidewell.llm.bpe import encode_documents
 from tidewell.llm.common import documents, table
 from tidewell.llm.decontaminate import contamination
 from tidewell.llm.exact import exact_duplicates
 from tidewell.llm.language import identify, learn
+from tidewell.llm.passages import substring_dedup
 from tidewell.llm.secrets import scan_secrets
 from tidewell.llm.simhash import near_duplicates
+from tidewell.llm.substrings import byte_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -42,6 +43,10 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(documents(spark, sf_dir))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_dedup(documents(spark, sf_dir))
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
 
@@ -54,9 +59,13 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir))
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup(documents(spark, sf_dir))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     return identify(docs, learn(docs))
 
 
-QUERIES |= {f.__name__: f for f in (op1_exact_dedup, op2_secret_scan, op6_decontamination, op7_bpe, op8_simhash, op10_language_id)}
+QUERIES |= {f.__name__: f for f in (op1_exact_dedup, op2_secret_scan, op3_suffix_dedup, op6_decontamination, op7_bpe, op8_simhash, op9_substring_dedup, op10_language_id)}
