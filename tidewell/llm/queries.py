@@ -12,6 +12,7 @@ from tidewell.llm.decontaminate import contamination
 from tidewell.llm.exact import exact_duplicates
 from tidewell.llm.language import identify, learn
 from tidewell.llm.passages import substring_dedup
+from tidewell.llm.quality import quality_scores
 from tidewell.llm.secrets import scan_secrets
 from tidewell.llm.simhash import near_duplicates
 from tidewell.llm.substrings import byte_dedup
@@ -47,6 +48,10 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_dedup(documents(spark, sf_dir))
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
 
@@ -68,4 +73,4 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs, learn(docs))
 
 
-QUERIES |= {f.__name__: f for f in (op1_exact_dedup, op2_secret_scan, op3_suffix_dedup, op6_decontamination, op7_bpe, op8_simhash, op9_substring_dedup, op10_language_id)}
+QUERIES |= {f.__name__: f for f in (op1_exact_dedup, op2_secret_scan, op3_suffix_dedup, op5_quality, op6_decontamination, op7_bpe, op8_simhash, op9_substring_dedup, op10_language_id)}
