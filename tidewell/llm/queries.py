@@ -12,6 +12,8 @@ from tidewell.llm.decontaminate import contamination
 from tidewell.llm.exact import exact_duplicates
 from tidewell.llm.language import identify, learn
 from tidewell.llm.passages import substring_dedup
+from tidewell.llm.personal import learn as learn_personal
+from tidewell.llm.personal import scan_personal
 from tidewell.llm.quality import quality_scores
 from tidewell.llm.secrets import scan_secrets
 from tidewell.llm.simhash import near_duplicates
@@ -48,6 +50,11 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_dedup(documents(spark, sf_dir))
 
 
+def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return scan_personal(docs, learn_personal(docs))
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
 
@@ -73,4 +80,4 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs, learn(docs))
 
 
-QUERIES |= {f.__name__: f for f in (op1_exact_dedup, op2_secret_scan, op3_suffix_dedup, op5_quality, op6_decontamination, op7_bpe, op8_simhash, op9_substring_dedup, op10_language_id)}
+QUERIES |= {f.__name__: f for f in (op1_exact_dedup, op2_secret_scan, op3_suffix_dedup, op4_personal_data, op5_quality, op6_decontamination, op7_bpe, op8_simhash, op9_substring_dedup, op10_language_id)}
