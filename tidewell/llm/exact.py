@@ -108,9 +108,9 @@ def exact_duplicates(docs: DataFrame, batches: int = 2, id_col: str = "doc_id",
 
     # byte check of all rows whose digest others have too
     shared = groups.filter("n > 1").select("digest")
-    suspects = rows.join(shared, "digest", "left_semi").select("doc_id", "digest").distinct()
-    checked = texts.join(suspects, "doc_id").filter(digest(F.col("norm")) == F.col("digest"))
-    kinds = reliable_checkpoint(checked.groupBy("digest", "norm").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("n")).drop("norm").groupBy("digest").agg(F.count("*").alias("texts")).filter("texts > 1"))
+    suspects = rows.join(shared, "digest", "left_semi").select("doc_id")
+    checked = texts.join(suspects, "doc_id", "left_semi").select(digest(F.col("norm")).alias("digest"), "norm")
+    kinds = reliable_checkpoint(checked.distinct().groupBy("digest").agg(F.count("*").alias("texts")).filter("texts > 1"))
     if kinds.isEmpty():
         decided = rows.join(groups, "digest")
     else:  # one digest, several texts: these rows are grouped by their text as well
