@@ -16,6 +16,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewell.llm.common import reliable_checkpoint
 from tidewell.llm.tokens import Windows
 
 #: Columns of an anchor row: hashes of anchor and span, row key, first and last window start, anchor start.
@@ -73,11 +74,11 @@ def spans_of(values: np.ndarray, cuts: np.ndarray, width: int, part: int) -> Spa
 def repeated(rows: DataFrame) -> DataFrame:
     """Anchor rows whose anchor occurs again; ``lone`` if all its occurrences lie in equal spans.
 
-    Then every window of these spans is repeated. Counted with partial sums; the join back is a plain
-    one that Spark can split where an anchor is hot.
+    Then every window of these spans is repeated. Counted with partial sums and written, so that the
+    join back stands alone and Spark can split it where an anchor is hot.
     """
     groups = rows.groupBy("a").agg(F.count("*").alias("c"), F.min("s").alias("s0"), F.max("s").alias("s1")).filter("c > 1")
-    return rows.join(groups.select("a", (F.col("s0") == F.col("s1")).alias("lone")), "a")
+    return rows.join(reliable_checkpoint(groups.select("a", (F.col("s0") == F.col("s1")).alias("lone"))), "a")
 
 
 def distinct_spans(hits: DataFrame) -> DataFrame:

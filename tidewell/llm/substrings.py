@@ -123,7 +123,7 @@ def _sorted_bucket(width: int):
 def repeated_in_spans(spans: DataFrame, width: int = WIDTH, most: int = MOST_SPANS) -> DataFrame:
     """``g, s, j0, j1``: repeated window starts of each span, among the spans of its group."""
     groups = spans.groupBy("g").agg(F.count("*").alias("k"), F.sum("n").alias("c")).filter("c > 1")
-    sized = reliable_checkpoint(spans.join(groups, "g"))
+    sized = reliable_checkpoint(spans.join(reliable_checkpoint(groups), "g"))
     alone = sized.filter("k = 1").select("g", "s", F.lit(0).alias("j0"), (F.col("m") - 1).alias("j1"))
     cool, hot = sized.filter(F.col("k").between(2, most)), sized.filter(F.col("k") > most)
     size, hot_rows = sized.agg(F.sum(F.when(F.col("k").between(2, most), F.length("bytes"))), F.count(F.when(F.col("k") > most, 1))).first()
