@@ -15,7 +15,7 @@ def _mark(edges: DataFrame) -> tuple:
 def _large(edges: DataFrame) -> DataFrame:
     """Larger neighbours of a node move to its smallest neighbour."""
     both = edges.union(edges.select("b", "a"))
-    least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+    least = reliable_checkpoint(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))  # written, so the join on a hub can be split
     return both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
 
 

@@ -26,6 +26,8 @@ from tidewell.llm.common import id_text, reliable_checkpoint, slices, text_bytes
 from tidewell.llm.tokens import Windows, words
 
 WINDOW = 35
+#: Bytes of text hashed at a time; the hashing holds some forty times as much.
+SLICE = 1 << 20
 
 INSIDE = np.ones(256, bool)
 INSIDE[[0x20, *range(0x09, 0x0E)]] = False
@@ -40,7 +42,7 @@ def _anchor_rows(width: int):
     part, _ = _levels(width)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, limit=SLICE):
             data, bounds = text_bytes(batch.column(1))
             _, _, hashes, rows = words(data, bounds, INSIDE)
             cuts = np.searchsorted(rows, np.arange(batch.num_rows + 1))
@@ -59,7 +61,7 @@ def _extensions(width: int):
     part, half = _levels(width)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, limit=SLICE):
             data, bounds = text_bytes(batch.column(0))
             _, _, hashes, rows = words(data, bounds, INSIDE)
             cuts = np.searchsorted(rows, np.arange(batch.num_rows + 1))
@@ -103,8 +105,8 @@ def repeated_windows(docs: DataFrame, width: int = WINDOW) -> DataFrame:
     windows = grown.select("a", "s", "n", "shift", "r_again", "l_again", F.posexplode("windows").alias("j", "w"))
     alive = ((offset > width - half) | F.col("r_again").isNotNull()) & ((offset < half - part) | F.col("l_again").isNotNull())
     windows = reliable_checkpoint(windows.filter(alive).select("a", "s", "n", "j", "w"))
-    counts = windows.groupBy("w").agg(F.sum("n").alias("c")).filter("c > 1").select("w")
-    found = windows.join(counts, "w").groupBy("a", "s").agg(F.collect_list("j").alias("starts"))  # at most width - part + 1
+    counts = reliable_checkpoint(windows.groupBy("w").agg(F.sum("n").alias("c")).filter("c > 1").select("w"))
+    found = reliable_checkpoint(windows.join(counts, "w").groupBy("a", "s").agg(F.collect_list("j").alias("starts")))  # at most width - part + 1
     partial = hits.filter(~F.col("lone")).join(found, ["a", "s"]).select("key", "lo", F.explode("starts").alias("j"))
     return whole.union(partial.select("key", (F.col("lo") + F.col("j")).alias("lo"), (F.col("lo") + F.col("j")).alias("hi")))
 

@@ -35,7 +35,7 @@ WIDTH = 400
 MOST_SPANS = 1000
 #: Bytes of spans in a task's sort, on average.
 SORT_BYTES = 3 << 20
-SLICE = 2 << 20
+SLICE = 1 << 20
 
 SPAN = "g long, s long, n long, x int, y int, ref int, m int, bytes binary"
 FOUND = "g long, s long, j0 int, j1 int"
