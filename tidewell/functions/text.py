@@ -212,11 +212,11 @@ def part_of_speech(toks: Column) -> dict[str, Column]:
 
 
 def named_entities(text: Column) -> dict[str, Column]:
-    """Dates, times and the first five capitalised spans (TXT14)."""
+    """Dates, times and capitalised spans, all of them (TXT14); show as many as a view needs."""
     return {
         "date": F.regexp_extract_all(text, F.lit(r"(?U)\b(\d{1,2}[/-]\d{1,2}[/-]\d{2,4})\b"), 1),
         "time": F.regexp_extract_all(text, F.lit(r"(?U)\b(\d{1,2}:\d{2})\b"), 1),
-        "place": F.slice(F.regexp_extract_all(text, F.lit(r"(?U)\b([A-Z][a-z]+(?:\s[A-Z][a-z]+)*)\b"), 1), 1, 5),
+        "place": F.regexp_extract_all(text, F.lit(r"(?U)\b([A-Z][a-z]+(?:\s[A-Z][a-z]+)*)\b"), 1),
     }
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tidewell.functions.numeric import ratio
 from tidewell.operators.ordered import SLICE_ROWS, exact_quantiles, running_totals
-from tidewell.schemas import MODALITIES, VARIANTS, VARIANTS_DDL
+from tidewell.schemas import ERROR_ADVICE, MODALITIES, VARIANTS, VARIANTS_DDL
 
 
 def labelled(df: DataFrame) -> DataFrame:
@@ -170,13 +170,6 @@ def regression(df: DataFrame, pred: str = "pred", target: str = "target") -> Dat
     return out.crossJoin(exact_quantiles(rows, "a", [0.5]).withColumnRenamed("q0", "median_ae"))
 
 
-ADVICE = {
-    "false_positives": "Elevated false positives — review threshold calibration and negative class balance.",
-    "false_negatives": "False negatives present — consider recall-focused loss weighting.",
-    "overconfident": "High-confidence errors detected — run calibration and error case review.",
-}
-
-
 def error_analysis(df: DataFrame) -> DataFrame:
     """Error counts by kind and the advice that follows (EV11)."""
     conf = F.greatest(F.col("score"), 1.0 - F.col("score"))
@@ -188,9 +181,9 @@ def error_analysis(df: DataFrame) -> DataFrame:
         F.count_if((p != y) & (conf >= 0.8)).alias("high_confidence_errors"),
     )
     advice = F.array_compact(F.array(
-        F.when(F.col("false_positives") > F.col("false_negatives"), ADVICE["false_positives"]),
-        F.when(F.col("false_negatives") > 0, ADVICE["false_negatives"]),
-        F.when(F.col("high_confidence_errors") > 0, ADVICE["overconfident"]),
+        F.when(F.col("false_positives") > F.col("false_negatives"), ERROR_ADVICE["false_positives"]),
+        F.when(F.col("false_negatives") > 0, ERROR_ADVICE["false_negatives"]),
+        F.when(F.col("high_confidence_errors") > 0, ERROR_ADVICE["overconfident"]),
     ))
     return agg.withColumn("recommendations", F.array_join(advice, " "))
 

@@ -41,6 +41,12 @@ def row_issues(df: DataFrame, gate: str, rules: list[tuple[str, str, Column, Col
     )
 
 
+def repeated(df: DataFrame, count: str = "n", chunk: int = 100_000) -> DataFrame:
+    """Each row as often as its ``count`` says, in chunks, so that a large count does not burden one task."""
+    rows = df.filter(F.col(count) > 0).withColumn("_c", F.explode(F.expr(f"sequence(0, ({count} - 1) DIV {chunk})"))).repartition(*df.columns, "_c")
+    return rows.withColumn("_i", F.explode(F.expr(f"sequence(_c * {chunk} + 1, least({count}, (_c + 1) * {chunk}))"))).drop("_c", "_i")
+
+
 def integrity(index: DataFrame, listing: DataFrame, allowed: dict[str, tuple[str, ...]], min_size: int = 1) -> DataFrame:
     """Path given, file there, size, repeated path, extension (DQ1).
 
@@ -61,13 +67,8 @@ def integrity(index: DataFrame, listing: DataFrame, allowed: dict[str, tuple[str
         ("size", "error", there & (F.col("size") < min_size), F.concat(F.lit("Too small ("), F.col("size").cast("string"), F.lit(" bytes)"))),
         ("extension", "warning", there & ~extension_ok, F.concat(F.lit("Unexpected extension "), ext)),
     ])
-    twice = rows.filter(there & ~blank).groupBy("file_path").agg(
-        F.count("*").alias("n"), F.min("participant_id").alias("participant_id")
-    ).filter("n > 1")
-    # one row per repeat, made in chunks so that a path repeated very often does not burden one task
-    chunk = 100_000
-    twice = twice.withColumn("_c", F.explode(F.expr(f"sequence(0, (n - 2) DIV {chunk})"))).repartition("file_path", "_c")
-    twice = twice.withColumn("_again", F.explode(F.expr(f"sequence(_c * {chunk} + 2, least(n, (_c + 1) * {chunk} + 1))")))
+    twice = rows.filter(there & ~blank).groupBy("file_path").agg(F.count("*").alias("n"), F.min("participant_id").alias("participant_id"))
+    twice = repeated(twice.withColumn("n", F.col("n") - 1))
     return single.unionByName(issue(twice, "integrity", "duplicate", "warning", F.concat(F.lit("Duplicate path: "), name)))
 
 
@@ -147,8 +148,11 @@ def embeddings(features: DataFrame) -> DataFrame:
         ("empty_embedding", "error", F.size("v") == 0, "Empty embedding"),
         ("metadata", "warning", F.col("model_version").isNull(), "Missing version in sidecar"),
     ])
-    first = rows.groupBy("_d").agg(F.count("*").alias("n"), F.min("participant_id").alias("_first")).filter("n > 1")
-    again = rows.join(first, "_d").filter(F.col("participant_id") != F.col("_first"))
+    # of n equal vectors n - 1 are repeats, whosever they are: all but one row of the first participant
+    each = rows.groupBy("_d", "participant_id").agg(F.count("*").alias("n"))
+    first = each.groupBy("_d").agg(F.min("participant_id").alias("_first"))
+    again = each.join(first, "_d").withColumn("n", F.col("n") - F.when(F.col("participant_id").eqNullSafe(F.col("_first")), 1).otherwise(0))
+    again = repeated(again.select("_d", "participant_id", "n"))
     return single.unionByName(issue(again, "embeddings", "duplicate_embedding", "error", "Duplicate embedding checksum"))
 
 
@@ -175,7 +179,7 @@ def entity_issues(entities: DataFrame, as_of: str, schema_version: str | None =
 
     ``entities`` has ``uuid, label, confidence, created_at (text), schema_version, props (map)``.
     """
-    needs = F.create_map(*[x for k, v in REQUIRED_PROPERTIES.items() for x in (F.lit(k), F.array(*[F.lit(p) for p in v.split()]))])
+    needs = F.create_map(*[x for k, v in REQUIRED_PROPERTIES.items() for x in (F.lit(k), F.array(*[F.lit(p) for p in v]))])
     missing = F.array_except(needs[F.col("label")], F.map_keys("props"))
     at = F.try_to_timestamp(F.col("created_at"))
     rules = [

@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -119,45 +118,58 @@ def degrees(edge: DataFrame) -> DataFrame:
     return ends.groupBy("node_id").agg(F.count("*").alias("degree"))
 
 
-def connected_components(node: DataFrame, edge: DataFrame, max_rounds: int = 60) -> DataFrame:
+def reachable(edge: DataFrame, roots: DataFrame) -> DataFrame:
+    """All nodes that can be reached from any root over outgoing edges, roots included: ``node_id`` (MUT9).
+
+    One distinct set for all roots; each step visits only nodes not met before and the loop ends when
+    there are none, so depth and cycles need no bound.
+    """
+    links = reliable_checkpoint(edge.select("src", "dst").distinct())
+    frontier = reached = reliable_checkpoint(roots.select(F.col("root").alias("node_id")).distinct())
+    step = 0
+    while not frontier.isEmpty():
+        onward = frontier.join(links, frontier["node_id"] == links["src"]).select(F.col("dst").alias("node_id")).distinct()
+        frontier = reliable_checkpoint(onward.join(reached, "node_id", "left_anti"))
+        reached = reached.unionByName(frontier)
+        step += 1
+        if step % 8 == 0:
+            reached = reliable_checkpoint(reached)  # few files, however deep the graph
+    return reached
+
+
+def connected_components(node: DataFrame, edge: DataFrame) -> DataFrame:
     """Smallest node id of each node's component (GR11).
 
-    Alternates two star contractions: each node's larger neighbours are tied to its smallest
-    neighbour, then the smaller ones. The edge list never grows and ends as stars after O(log^2 n)
-    rounds. Neighbour minima are partial aggregates, so hubs combine on the map side. Each round is
-    checkpointed to the shared folder.
+    Nodes are numbered once. Then two star contractions alternate on the numbers: each node's larger
+    neighbours are tied to its smallest neighbour, then the smaller ones. The edge list never grows and
+    ends as stars after O(log^2 n) rounds; the loop runs to that fixpoint. Neighbour minima are partial
+    aggregates, so hubs combine on the map side. Each round is written to the shared folder.
     """
-    links = edge.select("src", "dst").filter("src <> dst").distinct()
+    ids = node.select("node_id").union(edge.select("src")).union(edge.select("dst")).distinct()
+    numbered = reliable_checkpoint(ids.withColumn("_n", F.monotonically_increasing_id()))
+    pairs = edge.select("src", "dst").filter("src <> dst").distinct()
+    pairs = pairs.join(numbered.toDF("src", "a"), "src").join(numbered.toDF("dst", "b"), "dst").select("a", "b")
 
     def star(rows: DataFrame, large: bool) -> DataFrame:
+        both = rows.unionAll(rows.select("b", "a")) if large else rows.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+        low = both.groupBy("a").agg(F.min("b").alias("_d")).select("a", F.least("_d", "a").alias("m"))
+        joined = both.join(low, "a")
         if large:
-            both = rows.unionAll(rows.select(F.col("dst"), F.col("src")))
-        else:
-            both = rows.select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst"))
-        low = both.groupBy("src").agg(F.min("dst").alias("_d")).select("src", F.least("_d", "src").alias("m"))
-        joined = both.join(low, "src")
-        if large:
-            out = joined.filter("dst > src").select(F.col("dst").alias("src"), F.col("m").alias("dst"))
-        else:
-            out = joined.select(F.col("dst").alias("src"), F.col("m").alias("dst")).unionAll(low.select("src", F.col("m").alias("dst")))
-        out = out.filter("src <> dst")
-        return out if large else out.distinct()
-
-    def mark(rows: DataFrame) -> tuple:
-        return tuple(rows.agg(F.count("*"), F.sum(F.xxhash64("src", "dst").cast("decimal(38,0)"))).first())
+            return joined.filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b")
+        out = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).unionAll(low.select("a", F.col("m").alias("b")))
+        return out.filter("a <> b").distinct()
 
-    links, before = reliable_checkpoint(links), None
-    for _ in range(max_rounds):
+    links, before = reliable_checkpoint(pairs), None
+    while True:
         links = reliable_checkpoint(star(star(links, True), False))
-        now = mark(links)
+        now = tuple(links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if now == before:
             break
         before = now
-    else:
-        raise RuntimeError(f"no fixpoint after {max_rounds} rounds")
-    members = links.groupBy("src").agg(F.min("dst").alias("component")).withColumnRenamed("src", "node_id")
-    ids = node.select("node_id").distinct().unionAll(links.select(F.col("dst").alias("node_id"))).distinct()
-    return ids.join(members, "node_id", "left").select("node_id", F.coalesce("component", "node_id").alias("component"))
+    centres = links.groupBy("a").agg(F.min("b").alias("_root")).withColumnRenamed("a", "_n")
+    rooted = reliable_checkpoint(numbered.join(centres, "_n", "left").select("node_id", F.coalesce("_root", "_n").alias("_root")))
+    names = rooted.groupBy("_root").agg(F.min("node_id").alias("component"))
+    return rooted.join(names, "_root").select("node_id", "component")
 
 
 def summary(node: DataFrame, edge: DataFrame, components: DataFrame | None = None) -> DataFrame:
@@ -219,20 +231,43 @@ def chain_counts(reach: DataFrame, key: str) -> DataFrame:
     return reach.groupBy(key).agg(F.count("*").alias("sessions"), F.sum("reaches").alias("temporal_links"))
 
 
-def ancestors(edge: DataFrame, rounds: int = 30, rel_types: Sequence[str] = TEMPORAL_EDGES) -> DataFrame:
-    """Longest distance from a chain start in a general temporal DAG, by relaxation to a fixpoint (GR6)."""
-    links = edge.filter(F.col("rel_type").isin(*rel_types)).select("src", "dst").distinct().persist(StorageLevel.MEMORY_AND_DISK)
+def ancestors(edge: DataFrame, rel_types: Sequence[str] = TEMPORAL_EDGES) -> DataFrame:
+    """Longest distance of each node from a chain start in a general temporal DAG (GR6).
+
+    Stretches of nodes with one predecessor are crossed by pointer doubling, so a chain of n sessions
+    takes about log2(n) rounds. Only nodes with several predecessors are left for relaxation, which
+    visits each level of them once. A cycle raises ValueError.
+    """
+    links = reliable_checkpoint(edge.filter(F.col("rel_type").isin(*rel_types)).select("src", "dst").distinct())
     ids = links.select(F.col("src").alias("node_id")).union(links.select("dst")).distinct()
-    level = reliable_checkpoint(ids.withColumn("level", F.lit(0)))
-    for _ in range(rounds):
-        step = level.join(links, level["node_id"] == links["src"]).groupBy("dst").agg((F.max("level") + 1).alias("up"))
-        nxt = level.join(step, level["node_id"] == step["dst"], "left").select("node_id", F.greatest("level", F.coalesce("up", F.lit(0))).alias("level"), (F.coalesce("up", F.lit(0)) > F.col("level")).alias("grew"))
-        nxt = reliable_checkpoint(nxt)
-        level = nxt.drop("grew")
-        if nxt.filter("grew").isEmpty():
-            links.unpersist()
-            return level
-    raise RuntimeError("the temporal edges hold a cycle or a chain longer than the round limit")
+    single = links.groupBy("dst").agg(F.min("src").alias("up"), F.count("*").alias("_in")).filter("_in = 1").select(F.col("dst").alias("node_id"), "up")
+    # up: the node that far steps lead back to; anchors (starts and meeting points) point to themselves
+    jumps = ids.join(single, "node_id", "left").select("node_id", F.coalesce("up", "node_id").alias("up"), F.when(F.col("up").isNull(), 0).otherwise(1).cast("long").alias("far"), F.col("up").isNull().alias("anchor"))
+    jumps = reliable_checkpoint(jumps)
+    nodes, reach = jumps.count(), 1
+    while not jumps.filter("NOT anchor").join(jumps.filter("NOT anchor").select(F.col("node_id").alias("up")), "up", "left_semi").isEmpty():
+        if reach > nodes:
+            raise ValueError("the temporal edges hold a cycle")
+        onward = jumps.select(F.col("node_id").alias("up"), F.col("up").alias("_up"), F.col("far").alias("_far"))
+        jumps = reliable_checkpoint(jumps.join(onward, "up").select("node_id", F.col("_up").alias("up"), (F.col("far") + F.col("_far")).alias("far"), "anchor"))
+        reach *= 2
+    # distances between anchors: a meeting point is one step from each predecessor, which lies far from its anchor
+    meeting = jumps.filter("anchor").select(F.col("node_id").alias("dst")).join(links, "dst")
+    steps = meeting.join(jumps.select(F.col("node_id").alias("src"), "up", "far"), "src").groupBy("up", "dst").agg((F.max("far") + 1).alias("cost"))
+    steps = reliable_checkpoint(steps)
+    level = reliable_checkpoint(jumps.filter("anchor").select("node_id", F.lit(0).cast("long").alias("level")))
+    anchors, rounds = level.count(), 0
+    while True:
+        gain = level.select(F.col("node_id").alias("up"), "level").join(steps, "up").groupBy(F.col("dst").alias("node_id")).agg(F.max(F.col("level") + F.col("cost")).alias("_l"))
+        new = reliable_checkpoint(level.join(gain, "node_id", "left").select("node_id", F.greatest("level", F.coalesce("_l", F.lit(0))).alias("level"), (F.coalesce("_l", F.lit(0)) > F.col("level")).alias("grew")))
+        level = new.drop("grew")
+        if new.filter("grew").isEmpty():
+            break
+        rounds += 1
+        if rounds > anchors:
+            raise ValueError("the temporal edges hold a cycle")
+    base = level.select(F.col("node_id").alias("up"), "level")
+    return jumps.join(base, "up").select("node_id", (F.col("level") + F.col("far")).alias("level"))
 
 
 def unlinked_pairs(pairs: DataFrame, edge: DataFrame) -> DataFrame:

@@ -11,26 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewell.operators.gates import edge_issues, entity_issues
-from tidewell.operators.graph import neighbourhood
-from tidewell.schemas import APPEND_ONLY_LABELS, NATURAL_KEYS
-
-# Default field values per label.
-DEFAULTS: dict[str, dict[str, object]] = {
-    "User": {"preferred_language": "en", "timezone": "UTC", "consent_status": "granted", "privacy_mode": "standard", "edge_enabled": True,
-             "cloud_enabled": True, "graph_version": "2.0.0", "reasoning_version": "1.0.0", "country": ""},
-    "Assessment": {"assessment_type": "phq9", "assessment_version": "1.0", "assessment_source": "app", "assessment_duration": 0, "language": "en"},
-    "Session": {"duration": 0, "quality_score": 0.0, "device": "unknown", "platform": "mobile", "network_type": "wifi", "processing_time": 0.0,
-                "language": "en", "battery_level": 1.0, "offline_mode": False, "edge_processing": False, "cloud_processing": True},
-    "Observation": {"quality": 0.8, "processing_version": "1.0.0"},
-    "Prediction": {"binary_prediction": 0, "model_version": "MODEL_010"},
-    "Risk": {"trend": "stable", "change_rate": 0.0},
-    "Emotion": {"source_modality": "multimodal"},
-    "Symptom": {"source": "inference"},
-    "Behaviour": {"duration": 0.0},
-    "Recommendation": {"priority": "medium", "status": "pending"},
-    "Intervention": {"status": "scheduled", "completion_status": "pending"},
-}
-ID_PREFIX = {"Observation": "obs", "Prediction": "pred", "Risk": "risk", "Emotion": "emo", "Symptom": "sym", "Behaviour": "beh", "Recommendation": "rec", "Intervention": "int"}
+from tidewell.operators.graph import reachable
+from tidewell.schemas import APPEND_ONLY_LABELS, ENTITY_DEFAULTS, ID_PREFIX, NATURAL_KEYS
 
 
 def upsert(old: DataFrame, new: DataFrame, key: str, updated: str | None = None) -> DataFrame:
@@ -69,7 +51,7 @@ def merge_edges(old: DataFrame, new: DataFrame) -> DataFrame:
 
 def with_defaults(df: DataFrame, label: str, key_parts: Sequence[str], prefix: str | None = None, defaults: dict[str, object] | None = None) -> DataFrame:
     """Fill default fields and derive a replayable id ``prefix_12hex`` (PRJ15)."""
-    values = DEFAULTS[label] if defaults is None else defaults
+    values = ENTITY_DEFAULTS[label] if defaults is None else defaults
     out = df
     for name, value in values.items():
         out = out.withColumn(name, F.coalesce(F.col(name), F.lit(value)) if name in df.columns else F.lit(value))
@@ -89,13 +71,12 @@ def soft_delete(df: DataFrame, match: Column, at: str) -> DataFrame:
     return df.withColumn("deleted_at", F.when(match, F.lit(at)).otherwise(F.col("deleted_at").cast("string")))
 
 
-def erase(node: DataFrame, edge: DataFrame, roots: DataFrame, owner: DataFrame | None = None, rounds: int = 6) -> tuple[DataFrame, DataFrame]:
-    """Remove roots and everything reachable over outgoing edges, with all incident edges (MUT9).
+def erase(node: DataFrame, edge: DataFrame, roots: DataFrame, owner: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Remove roots and everything reachable over outgoing edges, at any depth, with all incident edges (MUT9).
 
     Nodes shared with other users go too; ``owner`` (``node_id``) restricts the removal to owned nodes.
     """
-    reach = neighbourhood(edge, roots, rounds, directed=True, max_hops=None).select("node_id")
-    gone = reach.unionAll(roots.select(F.col("root").alias("node_id"))).distinct()
+    gone = reachable(edge, roots)
     if owner is not None:
         gone = gone.join(owner.select("node_id"), "node_id", "left_semi")
     return detach(node, edge, gone)

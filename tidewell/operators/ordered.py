@@ -1,7 +1,7 @@
 """Ordered per-key computation that does not put a heavy key into one task.
 
 A window partitioned by the key alone sorts all rows of that key in one task. Here keys with more
-than ``slice_rows`` rows are cut into time slices first. Every slice is an own window partition;
+than ``slice_rows`` rows are cut into slices along the order first. Every slice is an own window partition;
 what crosses slice borders (positions, previous rows, moments, decays) is merged afterwards from
 one small row per slice. Ordinary keys have the single slice 0 and cost no extra join.
 """
@@ -14,36 +14,32 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SLICE_ROWS = 2_000_000
-_TEMPORAL = {"timestamp", "timestamp_ntz", "date"}
+#: Sampled rows per slice, from which slice bounds are taken, and slices of one key at most.
+SAMPLES = 64
+MOST_SLICES = 4096
+#: Distinct values in a range of running totals.
+RANGE_VALUES = 100_000
 
 
-def _axis(df: DataFrame, name: str) -> str:
-    kind = dict(df.dtypes)[name]
-    source = f"unix_micros(CAST(`{name}` AS TIMESTAMP))" if kind in _TEMPORAL else f"`{name}`"
-    return f"CAST({source} AS DOUBLE)"
+def split_hot(df: DataFrame, keys: Sequence[str], order: Sequence[str], slice_rows: int = SLICE_ROWS) -> DataFrame:
+    """Add ``_slice``: 0 for ordinary keys, slices 1, 2, ... along ``order`` for heavy ones.
 
-
-def split_hot(
-    df: DataFrame, keys: Sequence[str], axis: str, slice_rows: int = SLICE_ROWS
-) -> DataFrame:
-    """Add ``_slice``: 0 for ordinary keys, slices 1, 2, ... along ``axis`` for heavy ones.
-
-    The broadcast table holds only keys above ``slice_rows``, so it has at most
-    ``rows / slice_rows`` rows (one million for 2e12 rows).
+    Bounds are rows of the data, picked from a sample by hash (so that each evaluation picks the same),
+    and compare on all columns of ``order``, of any type. So slices hold about ``slice_rows`` rows each,
+    even if a key's rows share one timestamp or a stray one lies far off. Slices outgrow ``slice_rows``
+    only beyond ``MOST_SLICES`` slices of a key, or by rows that are equal on all of ``order``.
     """
-    at = _axis(df, axis)
-    heavy = (
-        df.selectExpr(*keys, f"{at} AS _at")
-        .groupBy(*keys)
-        .agg(F.expr("count(*) AS _rows"), F.expr("min(_at) AS _lo"), F.expr("max(_at) AS _hi"))
-        .filter(f"_rows > {slice_rows}")
-        .selectExpr(*keys, "_lo", "_hi", f"ceil(_rows / {slice_rows}) * 4 AS _cuts")
-    )
-    cut = f"least(floor(({at} - _lo) / nullif(_hi - _lo, 0) * _cuts), _cuts - 1) + 1"
     columns = [f"`{c}`" for c in df.columns]
-    return df.join(F.broadcast(heavy), list(keys), "left").selectExpr(
-        *columns, f"CAST(coalesce({cut}, if(_cuts IS NULL, 0, 1)) AS BIGINT) AS _slice"
-    )
+    at = "struct(" + ", ".join(order) + ")"
+    rate = max(1, slice_rows // SAMPLES)
+    every = max(1, slice_rows // rate)
+    heavy = df.groupBy(*keys).agg(F.expr("count(*) AS _rows")).filter(f"_rows > {slice_rows}")
+    picked = df.selectExpr(*keys, f"{at} AS _at").filter(f"pmod(xxhash64({', '.join(keys)}, _at), {rate}) = 0")
+    numbered = picked.join(heavy, list(keys)).selectExpr(*keys, "_at", f"row_number() OVER (PARTITION BY {', '.join(keys)} ORDER BY _at) AS _k", f"greatest({every}, ceil(_rows / {rate} / {MOST_SLICES})) AS _step")
+    bounds = numbered.filter("_k % _step = 0").groupBy(*keys).agg(F.expr("array_sort(collect_list(_at)) AS _bounds"))
+    bounds = heavy.select(*keys).join(bounds, list(keys), "left").selectExpr(*keys, "1 AS _heavy", "_bounds")
+    number = f"IF(_heavy IS NULL, 0, 1 + coalesce(size(filter(_bounds, b -> b < {at})), 0))"
+    return df.join(bounds, list(keys), "left").selectExpr(*columns, f"CAST({number} AS BIGINT) AS _slice")
 
 
 def sequenced(
@@ -63,7 +59,7 @@ def sequenced(
     previous = previous or {}
     key, by = ", ".join(keys), ", ".join(order)
     columns = [f"`{c}`" for c in df.columns]
-    cut = split_hot(df, keys, order[0], slice_rows)
+    cut = split_hot(df, keys, order, slice_rows)
     inner = f"OVER (PARTITION BY {key}, _slice ORDER BY {by})"
     rows = cut.selectExpr(
         *columns,
@@ -119,7 +115,7 @@ def series_summary(
     rows = df.filter(f"{value} IS NOT NULL").selectExpr(
         key, f"{ts} AS _ts", f"{row_id} AS _id", f"CAST({value} AS DOUBLE) AS _x"
     )
-    cut = split_hot(rows, [key], "_ts", slice_rows)
+    cut = split_hot(rows, [key], ["_ts", "_id"], slice_rows)
     inner = f"OVER (PARTITION BY {key}, _slice ORDER BY _ts, _id)"
     local = cut.selectExpr(
         key,
@@ -225,39 +221,29 @@ def series_summary(
 
 
 def running_totals(
-    df: DataFrame, axis: str, sums: Sequence[str], descending: bool = False, by: Sequence[str] = (), slice_rows: int = SLICE_ROWS
+    df: DataFrame, axis: str, sums: Sequence[str], descending: bool = False, by: Sequence[str] = (), slice_rows: int = RANGE_VALUES
 ) -> DataFrame:
     """Add ``<name>_before`` for each of ``sums``: its total over all rows ahead on ``axis``.
 
     ``df`` has one row per value of ``axis`` (within ``by``, a handful of groups such as field
-    names). The axis is cut into 1024 equal ranges, crowded ranges further; only the range totals
-    (at most ``1024 + 4 * rows / slice_rows`` rows per group) are ordered in one task, the rows
-    themselves per range.
+    names). Large groups are cut into ranges of about equally many values; only the range totals (at
+    most ``MOST_SLICES`` per group) are ordered in one task, the rows themselves per range.
     """
-    by = list(by)
-    ends = [F.expr(f"CAST(min({axis}) AS DOUBLE) AS _min"), F.expr(f"CAST(max({axis}) AS DOUBLE) AS _max")]
-    bounds = F.broadcast(df.groupBy(*by).agg(*ends) if by else df.agg(*ends))
+    groups = [*by, "_all"]
     columns = [f"`{c}`" for c in df.columns]
-    ranged = (df.join(bounds, by) if by else df.crossJoin(bounds)).selectExpr(
-        *columns, f"coalesce(CAST(floor(({axis} - _min) / nullif(_max - _min, 0) * 1023) AS BIGINT), 0) AS _b"
-    )
-    cut = split_hot(ranged, [*by, "_b"], axis, slice_rows)
+    cut = split_hot(df.withColumn("_all", F.lit(0)), groups, [axis], slice_rows)
     way = "DESC" if descending else "ASC"
     ahead_rows = "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
-    totals = cut.groupBy(*by, "_b", "_slice").agg(*[F.expr(f"sum({s}) AS _t_{s}") for s in sums])
-    group = f"PARTITION BY {', '.join(by)}" if by else ""
-    ahead = totals.selectExpr(
-        *by, "_b", "_slice", *[f"coalesce(sum(_t_{s}) OVER ({group} ORDER BY _b {way}, _slice {way} {ahead_rows}), 0) AS _a_{s}" for s in sums]
-    )
-    inside = f"OVER (PARTITION BY {', '.join([*by, '_b', '_slice'])} ORDER BY {axis} {way} {ahead_rows})"
-    local = cut.selectExpr(*columns, "_b", "_slice", *[f"coalesce(sum({s}) {inside}, 0) AS _l_{s}" for s in sums])
-    return local.join(F.broadcast(ahead), [*by, "_b", "_slice"]).selectExpr(
-        *columns, *[f"_a_{s} + _l_{s} AS {s}_before" for s in sums]
-    )
+    key = ", ".join(groups)
+    totals = cut.groupBy(*groups, "_slice").agg(*[F.expr(f"sum({s}) AS _t_{s}") for s in sums])
+    ahead = totals.selectExpr(*groups, "_slice", *[f"coalesce(sum(_t_{s}) OVER (PARTITION BY {key} ORDER BY _slice {way} {ahead_rows}), 0) AS _a_{s}" for s in sums])
+    inside = f"OVER (PARTITION BY {key}, _slice ORDER BY {axis} {way} {ahead_rows})"
+    local = cut.selectExpr(*columns, "_all", "_slice", *[f"coalesce(sum({s}) {inside}, 0) AS _l_{s}" for s in sums])
+    return local.join(ahead, [*groups, "_slice"]).selectExpr(*columns, *[f"_a_{s} + _l_{s} AS {s}_before" for s in sums])
 
 
 def exact_quantiles(
-    df: DataFrame, column: str, quantiles: Sequence[float], by: Sequence[str] = (), slice_rows: int = SLICE_ROWS
+    df: DataFrame, column: str, quantiles: Sequence[float], by: Sequence[str] = (), slice_rows: int = RANGE_VALUES
 ) -> DataFrame:
     """Exact quantiles ``q0, q1, ...`` of a column, linearly interpolated; one row (per ``by``).
 
@@ -269,7 +255,7 @@ def exact_quantiles(
     counts = values.groupBy(*by, "_x").agg(F.expr("count(*) AS _n"))
     placed = running_totals(counts, "_x", ["_n"], by=by, slice_rows=slice_rows)
     size = F.expr("sum(_n) AS _all")
-    total = F.broadcast(counts.groupBy(*by).agg(size) if by else counts.agg(size))
+    total = counts.groupBy(*by).agg(size) if by else counts.agg(size)
     rows = placed.join(total, by) if by else placed.crossJoin(total)
     picks = []
     for i, q in enumerate(quantiles):

@@ -6,14 +6,16 @@ name (a closed vocabulary), never one per event.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from string import Formatter
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewell.functions.numeric import r4, rounded
 from tidewell.operators import series as sr
 from tidewell.operators.ordered import SLICE_ROWS, series_summary
 from tidewell.operators.timelines import latest_per, newest
-from tidewell.schemas import BEHAVIOUR_FIELDS, CATALOG, CATALOG_DDL, RULES, RULES_DDL
+from tidewell.schemas import BEHAVIOUR_FIELDS, CATALOG, CATALOG_DDL, RULES, RULES_DDL, STATE_SENTENCES, STORY, SUGGESTION_SENTENCES
 
 
 def _name_counts(fact: DataFrame, name: str, ts: str, row_id: str) -> DataFrame:
@@ -34,7 +36,7 @@ def emotion_profile(emotion: DataFrame) -> DataFrame:
     names = _name_counts(emotion, "emotion", "ts", "id").groupBy("user_id").agg(
         F.min_by("emotion", F.struct(-F.col("n"), F.col("seen"))).alias("dominant_emotion"),
         F.expr(
-            "transform(slice(array_sort(collect_list(if(n = 1, struct(seen, emotion), NULL))), 1, 5), r -> r.emotion)"
+            "transform(array_sort(collect_list(if(n = 1, struct(seen, emotion), NULL))), r -> r.emotion)"
         ).alias("rare_emotions"),
     )
     return moments.join(names, "user_id", "left").select(
@@ -341,30 +343,29 @@ def rule_suggestions(current: DataFrame, table: DataFrame, min_confidence: float
 
 
 # --- text from facts ----------------------------------------------------------------------------
+def sentence(template: str, **values: Column) -> Column:
+    """A fixed sentence with each ``{name}`` replaced by a column; null if one of them is."""
+    pieces: list[Column] = []
+    for text, name, _, _ in Formatter().parse(template):
+        pieces.append(F.lit(text))
+        if name:
+            pieces.append(values[name].cast("string"))
+    return F.concat(*pieces)
+
+
 def story(profile: DataFrame, evolution: DataFrame, window_days: int = 30) -> DataFrame:
     """A factual summary sentence chain per user (TXT22)."""
     rows = profile.join(evolution.select("user_id", "recovery_probability"), "user_id", "left")
-    change = (
-        F.when(F.col("risk_reduction") > 0.05,
-               "Recorded interactions show a gradual improvement in engagement indicators, with decreasing risk scores over time.")
-        .when(F.col("risk_reduction") < -0.05,
-              "Recent sessions show increased risk indicators. Consider the supportive recommendations provided.")
-        .otherwise("Your interaction patterns have remained relatively stable.")
-    )
+    change = F.when(F.col("risk_reduction") > 0.05, STORY["improving"]).when(F.col("risk_reduction") < -0.05, STORY["worsening"]).otherwise(STORY["stable"])
     parts = F.concat_ws(
         " ",
-        F.concat(F.lit(f"Over the past {window_days} days, "), F.col("sessions").cast("string"),
-                 F.lit(" recorded interaction(s) contributed to your evolving profile.")),
-        F.when(F.col("dominant_emotion") != "Neutral",
-               F.concat(F.lit("Dominant emotional tone observed: "), F.col("dominant_emotion"), F.lit(" (stability score: "),
-                        F.format_string("%.2f", rounded("stability", 2)), F.lit(")."))),
+        sentence(STORY["sessions"], days=F.lit(str(window_days)), sessions=F.col("sessions")),
+        F.when(F.col("dominant_emotion") != "Neutral", sentence(STORY["emotion"], emotion=F.col("dominant_emotion"), stability=F.format_string("%.2f", rounded("stability", 2)))),
         change,
-        F.when(F.size("recurring") > 0,
-               F.concat(F.lit("Recurring indicators noted: "), F.array_join(F.slice("recurring", 1, 3), ", "), F.lit("."))),
-        F.when(F.col("recovery_probability") > 0.6, "Patterns suggest positive momentum in recent sessions."),
+        F.when(F.size("recurring") > 0, sentence(STORY["recurring"], recurring=F.array_join(F.slice("recurring", 1, 3), ", "))),
+        F.when(F.col("recovery_probability") > 0.6, STORY["momentum"]),
     )
-    empty = "No session history is available yet to build your digital twin profile."
-    return rows.select("user_id", F.when(F.col("sessions") == 0, empty).otherwise(parts).alias("narrative"))
+    return rows.select("user_id", F.when(F.col("sessions") == 0, STORY["empty"]).otherwise(parts).alias("narrative"))
 
 
 def state_explanation(latest: DataFrame, emotions: DataFrame, symptoms: DataFrame, max_path: int = 6) -> DataFrame:
@@ -381,9 +382,9 @@ def state_explanation(latest: DataFrame, emotions: DataFrame, symptoms: DataFram
     )
     text = F.concat_ws(
         " ",
-        F.concat(F.lit("Latest risk score "), F.col("risk").cast("string"), F.lit(" for session "), F.col("session").cast("string"), F.lit(".")),
-        F.when(F.col("emotion").isNotNull(), F.concat(F.lit("Dominant emotion: "), F.col("emotion"), F.lit("."))),
-        F.when(F.col("symptom").isNotNull(), F.concat(F.lit("Primary symptom indicator: "), F.col("symptom"), F.lit("."))),
+        sentence(STATE_SENTENCES["risk"], risk=F.col("risk"), session=F.col("session")),
+        F.when(F.col("emotion").isNotNull(), sentence(STATE_SENTENCES["emotion"], emotion=F.col("emotion"))),
+        F.when(F.col("symptom").isNotNull(), sentence(STATE_SENTENCES["symptom"], symptom=F.col("symptom"))),
     )
     return rows.select(
         "user_id",
@@ -395,14 +396,14 @@ def state_explanation(latest: DataFrame, emotions: DataFrame, symptoms: DataFram
 def suggestion_explanation(suggestions: DataFrame, profile: DataFrame) -> DataFrame:
     """Why each suggestion was made (TXT23, TW16)."""
     rows = suggestions.join(profile.select("user_id", "recurring", "dominant_emotion", "recommendation_compliance", "risk_history_length"), "user_id")
+    percent = F.floor(F.col("recommendation_compliance") * 100 + 0.5).cast("long")
     why = F.concat_ws(
         " ",
-        F.concat(F.lit("Recommended "), F.col("type"), F.lit(" based on your recorded interaction history.")),
-        F.when(F.col("risk_history_length") > 0, F.concat(F.lit("Current risk level supports "), F.col("tier"), F.lit("-priority guidance."))),
-        F.when(F.size("recurring") > 0, F.concat(F.lit("Recurring indicators: "), F.array_join(F.slice("recurring", 1, 3), ", "), F.lit("."))),
-        F.when(F.col("dominant_emotion").isNotNull(), F.concat(F.lit("Emotional patterns include "), F.col("dominant_emotion"), F.lit("."))),
-        F.concat(F.lit("Recommendation confidence reflects "), F.floor(F.col("recommendation_compliance") * 100 + 0.5).cast("long").cast("string"),
-                 F.lit("% historical engagement with similar suggestions.")),
+        sentence(SUGGESTION_SENTENCES["type"], type=F.col("type")),
+        F.when(F.col("risk_history_length") > 0, sentence(SUGGESTION_SENTENCES["tier"], tier=F.col("tier"))),
+        F.when(F.size("recurring") > 0, sentence(SUGGESTION_SENTENCES["recurring"], recurring=F.array_join(F.slice("recurring", 1, 3), ", "))),
+        F.when(F.col("dominant_emotion").isNotNull(), sentence(SUGGESTION_SENTENCES["emotion"], emotion=F.col("dominant_emotion"))),
+        sentence(SUGGESTION_SENTENCES["compliance"], compliance=percent),
     )
     return rows.select("user_id", "rank", "type", "tier", why.alias("why"))
 

@@ -87,7 +87,7 @@ add("EV10_regression", lambda t: rd6(ev.regression(pairs(t))), "SELECT " + ", ".
 ERR = ("SELECT count(CASE WHEN pred = 1 AND label = 0 THEN 1 END) AS false_positives, count(CASE WHEN pred = 0 AND label = 1 THEN 1 END) AS false_negatives, count(CASE WHEN greatest(score, 1 - score) < 5e-1 THEN 1 END) AS low_confidence_count, "
        f"count(CASE WHEN pred <> label AND greatest(score, 1 - score) >= 8e-1 THEN 1 END) AS high_confidence_errors FROM {LABELLED}")
 add("EV11_error_analysis", lambda t: ev.error_analysis(t.scored),
-    f"SELECT *, concat_ws(' ', CASE WHEN false_positives > false_negatives THEN '{ev.ADVICE['false_positives']}' END, CASE WHEN false_negatives > 0 THEN '{ev.ADVICE['false_negatives']}' END, CASE WHEN high_confidence_errors > 0 THEN '{ev.ADVICE['overconfident']}' END) AS recommendations FROM ({ERR})", "scored")
+    f"SELECT *, concat_ws(' ', CASE WHEN false_positives > false_negatives THEN '{ev.ERROR_ADVICE['false_positives']}' END, CASE WHEN false_negatives > 0 THEN '{ev.ERROR_ADVICE['false_negatives']}' END, CASE WHEN high_confidence_errors > 0 THEN '{ev.ERROR_ADVICE['overconfident']}' END) AS recommendations FROM ({ERR})", "scored")
 add("EV12_predictive_entropy", lambda t: t.scored.select("doc_id", r9(vx.entropy(F.array(F.col("score"), 1 - F.col("score")))).alias("entropy")),
     f"SELECT doc_id, {q9('-(greatest(1e-8, score) * ln(greatest(1e-8, score)) + greatest(1e-8, 1 - score) * ln(greatest(1e-8, 1 - score)))')} AS entropy FROM scored", "scored")
 DESC = "count(value) AS n, " + ", ".join(f"{q9(e)} AS {n}" for n, e in {"mean": "avg(value)", "median": "median(value)", "variance": "var_pop(value)", "std_dev": "stddev_pop(value)", "ci_low": "avg(value) - 196e-2 * stddev_pop(value) / sqrt(count(value))", "ci_high": "avg(value) + 196e-2 * stddev_pop(value) / sqrt(count(value))"}.items())

@@ -237,8 +237,9 @@ def presence(t):
 add("DQ17_outputs_present", presence, "SELECT * FROM (VALUES ('csv', true), ('json', true), ('parquet', true), ('manifest', false), ('feature_coverage', (SELECT count(*) FROM embeddings) >= 1)) v(\"check\", passed)")
 add("DQ8_export_gate", lambda t: presence(t).filter("check = 'manifest'").select(F.lit("export").alias("gate"), F.when(F.col("passed"), "passed").otherwise("warning").alias("status")),
     "SELECT 'export' AS gate, 'warning' AS status")
-add("AGG28_version_record", lambda t: src.version_record(t.pages.select(F.col("url").alias("file_path"), F.length("html").alias("size")), "pages", 100).select("dataset_hash", "dataset_source"),
-    "SELECT sha256(string_agg(e, '' ORDER BY e)) AS dataset_hash, 'pages' AS dataset_source FROM (SELECT url || length(html) AS e FROM pages ORDER BY url LIMIT 100)")
+add("AGG28_version_record", lambda t: src.version_record(t.pages.select(F.col("url").alias("file_path"), F.length("html").alias("size")), "pages").select("dataset_hash", "dataset_source"),
+    "SELECT sha256(count(*) || ':' || " + " || ':' || ".join(f"coalesce(sum(('0x' || substr(e, {1 + 13 * k}, 13))::BIGINT), 0)" for k in range(4)) + ") AS dataset_hash, 'pages' AS dataset_source "
+    "FROM (SELECT sha256(url || '|' || length(html)) AS e FROM pages)")
 add("AGG29_reproducibility", lambda t: sink.reproducibility_row(t.spark, {"seed": 42, "alpha": 0.3}).crossJoin(t.documents.agg(F.count("*").alias("n"))).select("config_hash", "n"),
     """SELECT substr(sha256('{"alpha": 0.3, "seed": 42}'), 1, 16) AS config_hash, count(*) AS n FROM documents""")
 

@@ -66,13 +66,10 @@ def gone_users(t):
 
 
 CUSTS = "SELECT c_custkey FROM customer WHERE c_mktsegment = 'MACHINERY'"
-GONE = (f"SELECT 'User:' || c_custkey AS node_id FROM customer WHERE c_custkey IN ({CUSTS}) UNION SELECT 'Session:' || o_orderkey FROM orders WHERE o_custkey IN ({CUSTS}) UNION "
-        f"SELECT 'Prediction:' || l_orderkey || '-' || l_linenumber FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_custkey IN ({CUSTS})) UNION "
-        f"SELECT 'Symptom:' || l_partkey FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_custkey IN ({CUSTS})) UNION SELECT 'Symptom:' || l_partkey FROM lineitem WHERE 'Prediction:' || l_orderkey || '-' || l_linenumber IN "
-        f"(SELECT 'Prediction:' || l_orderkey || '-' || l_linenumber FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_custkey IN ({CUSTS})))")
-add("MUT9_erase_users", lambda t: mu.erase(t.node, t.edge, gone_users(t), rounds=3)[0],
-    f"SELECT * FROM node WHERE node_id NOT IN ({GONE})", "node")
-add("MUT9_erase_users_edges", lambda t: mu.erase(t.node, t.edge, gone_users(t), rounds=3)[1],
+GONE = (f"WITH RECURSIVE gone(id) AS (SELECT 'User:' || c_custkey FROM customer WHERE c_custkey IN ({CUSTS}) UNION SELECT e.dst FROM gone JOIN edge e ON e.src = gone.id) SELECT id FROM gone")
+add("MUT9_erase_users", lambda t: mu.erase(t.node, t.edge, gone_users(t))[0],
+    f"SELECT * FROM node WHERE node_id NOT IN ({GONE})", "node edge")
+add("MUT9_erase_users_edges", lambda t: mu.erase(t.node, t.edge, gone_users(t))[1],
     f"SELECT * FROM edge WHERE src NOT IN ({GONE}) AND dst NOT IN ({GONE})", "edge")
 add("MUT10_anonymise", lambda t: mu.withdraw_consent(mu.anonymise(old_users(t).withColumn("uuid", F.sha2("external_id", 256)), F.col("user_id") % 4 == 0, "2025-01-01"), F.col("user_id") % 5 == 0, "2025-01-02").select(
         "user_id", "external_id", "preferred_language", "consent_status", "country", "anonymized_at", "consent_withdrawn_at"),

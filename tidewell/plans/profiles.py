@@ -51,7 +51,7 @@ def flatten_lists(df):
 EMO = "SELECT user_id, id, ts, event_type AS emotion, k / 1e2 AS prob FROM checkin"
 EMO_P = (f"SELECT user_id, {q4('m')} AS average_emotion_score, {q4(f'sqrt(v + pow(m - {q4(chr(109))}, 2))')} AS variability FROM "
          f"(SELECT user_id, avg(prob) AS m, var_pop(prob) AS v FROM ({EMO}) GROUP BY 1)")
-EMO_N = ("SELECT user_id, arg_min(emotion, (-n, seen)) AS dominant_emotion, coalesce(array_to_string(list_slice(list(emotion ORDER BY seen) FILTER (WHERE n = 1), 1, 5), ','), '') AS rare_emotions "
+EMO_N = ("SELECT user_id, arg_min(emotion, (-n, seen)) AS dominant_emotion, coalesce(array_to_string(list(emotion ORDER BY seen) FILTER (WHERE n = 1), ','), '') AS rare_emotions "
          f"FROM (SELECT user_id, emotion, count(*) AS n, min((ts, id)) AS seen FROM ({EMO}) GROUP BY 1, 2) GROUP BY 1")
 EMO_ALL = (f"SELECT a.user_id, average_emotion_score, variability, {q4('greatest(0e0, 1 - variability)')} AS stability, dominant_emotion, rare_emotions "
            f"FROM ({EMO_P}) a JOIN ({EMO_N}) b ON a.user_id = b.user_id")

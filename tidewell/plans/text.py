@@ -9,7 +9,6 @@ from tidewell.functions.numeric import r9
 from tidewell.operators import transcripts as tr
 from tidewell.plans.registry import add, q4, q9
 from tidewell.schemas import EMOTION_LABELS, EMOTION_TERMS, LEXICONS, MENTIONS, NEGATION_WORDS, NEGATIVE_WORDS, POSITIVE_WORDS, PRONOUN_WORDS
-from tidewell.session import spread_if_small
 
 # Words of the lexicons are rare in the documents, so each text gets a closing remark by its id.
 REMARK = ("CASE doc_id % 8 WHEN 0 THEN ' I feel sad and lonely, my mother was worried.' WHEN 1 THEN ' A good and happy day! I will go to work tomorrow.' "
@@ -18,7 +17,8 @@ REMARK = ("CASE doc_id % 8 WHEN 0 THEN ' I feel sad and lonely, my mother was wo
 
 
 def said(t):
-    return spread_if_small(t.documents.select("doc_id", "text")).select("doc_id", F.concat("text", F.expr(REMARK)).alias("text"))
+    # dealt by id: a file of few row groups would leave the costly text columns to few tasks
+    return t.documents.select("doc_id", "text").repartition("doc_id").select("doc_id", F.concat("text", F.expr(REMARK)).alias("text"))
 
 
 SAID = f"(SELECT doc_id, text || {REMARK} AS text FROM documents)"
@@ -96,7 +96,7 @@ ASCII = r"regexp_replace(text, '[^\x00-\x7F]', 'x', 'g')"
 add("TXT14_named_entities", lambda t: said(t).select("doc_id", F.regexp_replace("text", r"[^\x00-\x7F]", "x").alias("text")).select(
         "doc_id", *[F.array_join(c, "|").alias(n) for n, c in tx.named_entities(F.col("text")).items()]),
     r"SELECT doc_id, array_to_string(regexp_extract_all(a, '\b\d{1,2}[/-]\d{1,2}[/-]\d{2,4}\b'), '|') AS date, array_to_string(regexp_extract_all(a, '\b\d{1,2}:\d{2}\b'), '|') AS time, "
-    r"array_to_string(list_slice(regexp_extract_all(a, '\b[A-Z][a-z]+(?:\s[A-Z][a-z]+)*\b'), 1, 5), '|') AS place FROM (SELECT doc_id, " + ASCII + f" AS a FROM {SAID})")
+    r"array_to_string(regexp_extract_all(a, '\b[A-Z][a-z]+(?:\s[A-Z][a-z]+)*\b'), '|') AS place FROM (SELECT doc_id, " + ASCII + f" AS a FROM {SAID})")
 add("TXT15_keyword_hits", lambda t: said(t).select("doc_id", F.explode(tx.keyword_hits(F.col("text"))).alias("category", "terms")).select("doc_id", "category", F.array_join("terms", ",").alias("terms")),
     "SELECT * FROM (" + " UNION ALL ".join(f"SELECT doc_id, '{c}' AS category, array_to_string(list_filter({lit(ts)}, lambda z: contains(low, z)), ',') AS terms FROM (SELECT doc_id, lower(text) AS low FROM {SAID})" for c, ts in LEXICONS.items()) + ") WHERE terms <> ''")
 

@@ -52,13 +52,3 @@ def reliable_checkpoint(df: DataFrame) -> DataFrame:
     path = work_folder(spark, "round")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
-
-
-def spread_if_small(df: DataFrame, limit: int = 1 << 30) -> DataFrame:
-    """Spread an input below ``limit`` bytes over all cores before costly per-row work.
-
-    A small file with one row group is read by one task. Large inputs split by themselves and pass
-    through without a shuffle.
-    """
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size < limit else df

@@ -170,7 +170,8 @@ def _attach(rows: DataFrame, labels: DataFrame | None, dataset: str) -> DataFram
     rows = rows.withColumns({"session_id": F.col("participant_id"), "dataset": F.lit(dataset), "language": F.lit("en")})
     if labels is None:
         return rows.withColumns({"label": F.lit("unknown"), "split": F.lit(None).cast("string")})
-    one = labels.groupBy("participant_id").agg(F.min("label").alias("label"), F.max("split").alias("split"))
+    # label and split come from one row: the first by label, then split
+    one = labels.groupBy("participant_id").agg(F.min(F.struct("label", "split")).alias("_one")).select("participant_id", "_one.label", "_one.split")
     return rows.join(one, "participant_id", "left").withColumn("label", F.coalesce("label", F.lit("unknown")))
 
 
@@ -214,13 +215,17 @@ def lexicons(spark: SparkSession, folder: str, defaults: DataFrame | None = None
     return rows.unionByName(defaults.join(rows.select("category").distinct(), "category", "left_anti"))
 
 
-def version_record(files: DataFrame, name: str, first: int = 100) -> DataFrame:
-    """Hash of the sorted (path, size) listing, first ``first`` entries (AGG28)."""
-    head = files.orderBy("file_path").limit(first)
-    entry = F.concat("file_path", F.col("size").cast("string"))
-    return head.agg(F.sha2(F.array_join(F.array_sort(F.collect_list(entry)), ""), 256).alias("dataset_hash")).withColumns(
-        {"dataset_source": F.lit(name), "validation_status": F.lit("pending")}
-    )
+def version_record(files: DataFrame, name: str) -> DataFrame:
+    """Hash over the (path, size) entries of all files, whatever their order (AGG28).
+
+    Each entry's sha256 is cut into four numbers; their sums over all files are hashed. Sums are
+    partial aggregates, so the listing is neither sorted nor gathered.
+    """
+    entry = F.sha2(F.concat("file_path", F.lit("|"), F.col("size").cast("string")), 256)
+    parts = [F.sum(F.conv(F.substring(entry, 1 + 13 * k, 13), 16, 10).cast("decimal(38,0)")).alias(f"_s{k}") for k in range(4)]
+    sums = files.agg(F.count("*").alias("_n"), *parts)
+    text = F.concat_ws(":", F.col("_n").cast("string"), *[F.coalesce(F.col(f"_s{k}"), F.lit(0).cast("decimal(38,0)")).cast("string") for k in range(4)])
+    return sums.select(F.sha2(text, 256).alias("dataset_hash"), F.lit(name).alias("dataset_source"), F.lit("pending").alias("validation_status"))
 
 
 def wav_header(spark: SparkSession, folder: str) -> DataFrame:
