@@ -34,7 +34,7 @@ WIDTH = 400
 #: Distinct spans of an anchor that are sorted in one task; an anchor with more is divided.
 MOST_SPANS = 1000
 #: Bytes of spans in a task's sort, on average.
-SORT_BYTES = 3 << 20
+SORT_BYTES = 2 << 20
 SLICE = 1 << 20
 
 SPAN = "g long, s long, n long, x int, y int, ref int, m int, bytes binary"
@@ -129,7 +129,8 @@ def repeated_in_spans(spans: DataFrame, width: int = WIDTH, most: int = MOST_SPA
     size, hot_rows = sized.agg(F.sum(F.when(F.col("k").between(2, most), F.length("bytes"))), F.count(F.when(F.col("k") > most, 1))).first()
     buckets = max(1, math.ceil((size or 0) / SORT_BYTES))
     dealt = cool.select("g", "s", "n", "m", "bytes", F.pmod(F.xxhash64("g"), F.lit(buckets)).alias("bucket"))
-    found = alone.union(dealt.groupBy("bucket").applyInArrow(_sorted_bucket(width), FOUND))
+    # dealt by number, which keeps Spark from putting many sorts into one task
+    found = alone.union(dealt.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_sorted_bucket(width), FOUND))
     if not hot_rows:
         return found
     halves = reliable_checkpoint(hot.select("g", "s", "n", "x", "y", "ref", "m", "bytes").mapInArrow(_divide(width), "pg long, ps long, base int, " + SPAN))
