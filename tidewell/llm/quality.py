@@ -183,7 +183,10 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     vectors = reliable_checkpoint(pooled(rows, word_vectors(rows)))
     known = labels.select(F.col("doc_id"), F.col(f"`{label_col}`").cast("int").alias("label")).dropna().groupBy("doc_id").agg(F.min("label").alias("label"))
     taught = vectors.filter(F.col("doc_id").isNotNull() & (crc_mod(F.col("doc_id"), modulus) != held_out)).join(known, "doc_id")
-    sample = taught.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows).select("pool", "label").toArrow()
+    # of far more labelled rows only those that can be among the smallest hashes go to the one task that picks
+    hashed, count = F.xxhash64("doc_id"), taught.select("doc_id").count()
+    least = int(2**64 * min(1.0, 1.5 * sample_rows / max(count, 1))) - 2**63 - 1
+    sample = taught.filter(hashed <= F.lit(least)).orderBy(hashed, "doc_id").limit(sample_rows).select("pool", "label").toArrow()
     flat = sample.column("pool").combine_chunks().flatten().to_numpy(zero_copy_only=False) if sample.num_rows else np.zeros(0, np.float32)
     net = train(flat.reshape(-1, POOL).astype(np.float64), (sample.column("label").to_numpy() > 0).astype(np.float64))
 
