@@ -36,6 +36,22 @@ def test_running_trend_over_micro_batches(spark, tmp_path):
             assert math.isclose(g[a], w[b], abs_tol=1e-9)
 
 
+def test_shuffled_deliveries_equal_the_batch(spark, tmp_path):
+    rows = spark.read.schema(TABLE_DDL["events"]).parquet(f"{FOLDER}/events.parquet")
+    for p in range(4):
+        rows.filter(F.pmod(F.xxhash64("event_id"), F.lit(4)) == p).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = st.arriving_files(spark, str(tmp_path / "in"), TABLE_DDL["events"], per_batch=1)
+    scores = stream.selectExpr("event_id AS id", "user_id", "CAST(ts AS TIMESTAMP) AS ts", "least(value / 200, 1D) AS risk")
+    updates = st.stream_to_table(st.running_trend(scores, gap_days=2, watermark="60 days"), "shuffled")
+    got = {r["user_id"]: r for r in st.newest_update(updates.filter("event = 'score'"), ["user_id"]).collect()}
+    want = {r["user_id"]: r for r in series_summary(rows.selectExpr("event_id AS id", "user_id", "ts", "least(value / 200, 1D) AS risk")).collect()}
+    for user, w in want.items():
+        g = got[user]
+        assert (g["n"], g["current_risk"], g["high"], g["n_gaps"]) == (w["n"], w["last"], w["n_high"], w["n_gaps"])
+        for a, b in (("slope", "slope"), ("exponential_trend", "ema")):
+            assert math.isclose(g[a], w[b], abs_tol=1e-9)
+
+
 def test_profile_updates_and_dedup(spark, tmp_path):
     deliveries(spark, tmp_path / "in")
     stream = st.arriving_files(spark, str(tmp_path / "in"), TABLE_DDL["events"], per_batch=1)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tidewell.functions.numeric import r9
 from tidewell.plans.registry import add, q9
+from tidewell.plans.series import alert_sql
 from tidewell.schemas import TABLE_DDL
 from tidewell.session import work_folder
 from tidewell.streaming import checkins as st
@@ -44,6 +45,18 @@ add("STR2_running_trend", lambda t: st.newest_update(trend_updates(t).filter("ev
         "user_id", "n", "current_risk", *[r9(c).alias(c) for c in ("average_risk", "slope", "moving_average", "exponential_trend", "step")], "high"),
     f"SELECT user_id, n, last AS current_risk, {q9('mean')} AS average_risk, {q9('slope')} AS slope, {q9('(last + coalesce(prev, 0e0) + coalesce(prev2, 0e0)) / least(n, 3)')} AS moving_average, {q9('ema')} AS exponential_trend, "
     f"{q9('coalesce(last - prev, 0e0)')} AS step, n_high AS high FROM trend", "trend")
+SERIES_ALERTS = ("risk_increase", "repeated_high_risk", "rapid_deterioration", "missing_checkins", "low_confidence")
+
+
+def stream_alerts(t):
+    """Alerts of each user after the last of the stream's scores."""
+    graded = events(t).selectExpr("event_id AS id", "user_id", "CAST(ts AS TIMESTAMP) AS ts", "least(value / 200, 1D) AS risk", f"{K} / 100.0D AS confidence")
+    trend = st.running_trend(graded, gap_days=2, watermark="1 hour", alert_gap_days=1)
+    latest = st.newest_update(st.stream_to_table(trend, "alerts").filter("event = 'score'").withColumn("event", F.lit("score")), ["user_id"])
+    return st.trend_alerts(latest, slope=0.002).withColumn("value", r9("value"))
+
+
+add("STR2_stream_alerts", stream_alerts, " UNION ALL ".join(alert_sql(k) for k in SERIES_ALERTS), "trend emotion")
 add("STR3_missing_timer", lambda t: trend_updates(t).filter("event = 'missing_checkins'").select("user_id", "n"),
     "SELECT user_id, n FROM trend WHERE epoch_ms(last_ts) + 2 * 86400000 <= (SELECT epoch_ms(max(ts)) FROM events) - 3600000", "trend")
 add("STR4_offline_queue", lambda t: st.stream_to_table(st.once_per_batch_id(events(t).selectExpr("CAST(ts AS TIMESTAMP) AS ts", "concat(user_id, '-', event_type) AS batch_id"), watermark="60 days"), "queue").select("batch_id"),
@@ -52,9 +65,9 @@ for _d in (1, 7, 30):
     add(f"STR5_summary_{_d}_days", lambda t, d=_d: st.period_summary(t.score, d).withColumn("mean_risk", r9("mean_risk")),
         f"SELECT user_id, make_timestamp(CAST(floor(epoch_us(ts) / ({_d} * 86400e6)) AS BIGINT) * {_d} * 86400000000) AS start, count(*) AS n, {q9('avg(risk)')} AS mean_risk, max(risk) AS peak_risk FROM score GROUP BY 1, 2", "score")
 for _d in (7, 30, 90, 180):
-    add(f"STR6_trailing_{_d}_days", lambda t, d=_d: st.trailing_summary(t.score, d, 1 if d < 90 else 30).withColumn("mean_risk", r9("mean_risk")),
-        f"SELECT user_id, e + to_days(CAST(i AS INTEGER) * {1 if _d < 90 else 30}) AS until, count(*) AS n, {q9('avg(risk)')} AS mean_risk, max(risk) AS peak_risk FROM (SELECT user_id, risk, make_timestamp((CAST(floor(epoch_us(ts) / ({1 if _d < 90 else 30} * 86400e6)) AS BIGINT) + 1) * {1 if _d < 90 else 30} * 86400000000) AS e, "
-        f"unnest(range(0, {_d // (1 if _d < 90 else 30)})) AS i FROM score) GROUP BY 1, 2", "score")
+    add(f"STR6_trailing_{_d}_days", lambda t, d=_d: st.trailing_summary(t.score, d, 1).withColumn("mean_risk", r9("mean_risk")),
+        f"SELECT user_id, e + to_days(CAST(i AS INTEGER) * 1) AS until, count(*) AS n, {q9('avg(risk)')} AS mean_risk, max(risk) AS peak_risk FROM (SELECT user_id, risk, make_timestamp((CAST(floor(epoch_us(ts) / (1 * 86400e6)) AS BIGINT) + 1) * 1 * 86400000000) AS e, "
+        f"unnest(range(0, {_d // 1})) AS i FROM score) GROUP BY 1, 2", "score")
 add("STR7_bursts", lambda t: st.bursts(t.score, "6 hours").withColumn("mean_risk", r9("mean_risk")),
     f"SELECT user_id, min(ts) AS start, count(*) AS n, {q9('avg(risk)')} AS mean_risk FROM (SELECT *, sum(CASE WHEN gap IS NULL OR gap >= 25e-2 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, id) AS b FROM seq) GROUP BY user_id, b", "seq")
 

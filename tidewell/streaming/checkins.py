@@ -5,6 +5,7 @@ The windowed functions take a batch or a streaming DataFrame alike.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidewell.operators.mutations import inference_rows
+from tidewell.operators.series import alerts
 from tidewell.session import work_folder
 
 WATERMARK = "7 days"
@@ -102,14 +104,22 @@ def bursts(score: DataFrame, gap: str = "7 days", watermark: str = WATERMARK) ->
 
 
 # --- running trend ------------------------------------------------------------------------------
-STATE = "n BIGINT, sx DOUBLE, six DOUBLE, x1 DOUBLE, x2 DOUBLE, x3 DOUBLE, ema DOUBLE, high BIGINT, last_us BIGINT"
+#: Sums over the scores older than the watermark; ``waiting`` is a JSON list of the younger ones.
+STATE = ("n BIGINT, sx DOUBLE, six DOUBLE, x1 DOUBLE, x2 DOUBLE, x3 DOUBLE, ema DOUBLE, high BIGINT, last_us BIGINT, n_gaps BIGINT, "
+         "confidence DOUBLE, waiting STRING, warned BOOLEAN")
 TREND = ("user_id BIGINT, event STRING, n BIGINT, current_risk DOUBLE, average_risk DOUBLE, slope DOUBLE, moving_average DOUBLE, "
-         "exponential_trend DOUBLE, step DOUBLE, high BIGINT")
-
-
-def fold_scores(state: tuple | None, x: np.ndarray, last_us: int, alpha: float = 0.3, high: float = 0.7) -> tuple:
-    """Add ordered scores to the sufficient statistics of a series."""
-    n, sx, six, x1, x2, x3, ema, hits, _ = state or (0, 0.0, 0.0, np.nan, np.nan, np.nan, 0.0, 0, 0)
+         "exponential_trend DOUBLE, step DOUBLE, high BIGINT, n_gaps BIGINT, last_confidence DOUBLE")
+SUMS = (0, 0.0, 0.0, np.nan, np.nan, np.nan, 0.0, 0, 0, 0, np.nan)
+DAY_US = 86_400_000_000
+
+
+def fold_scores(sums: tuple, rows: list[tuple], alpha: float = 0.3, high: float = 0.7, gap_days: int = 7) -> tuple:
+    """Add scores, given in order as (time in us, id, risk, confidence), to the sums of a series."""
+    if not rows:
+        return sums
+    n, sx, six, x1, x2, x3, ema, hits, last_us, gaps, _ = sums
+    x = np.array([r[2] for r in rows])
+    at = np.array([r[0] for r in rows] if n == 0 else [last_us, *(r[0] for r in rows)])
     m = len(x)
     six += float(np.dot(np.arange(n, n + m), x))
     decay = (1 - alpha) ** np.arange(m - 1, -1, -1)
@@ -117,45 +127,73 @@ def fold_scores(state: tuple | None, x: np.ndarray, last_us: int, alpha: float =
         ema = float(x[0] * decay[0] + alpha * np.dot(decay[1:], x[1:]))
     else:
         ema = float(ema * (1 - alpha) ** m + alpha * np.dot(decay, x))
+    gaps += int((np.diff(at) // DAY_US > gap_days).sum())
     tail = ([x3, x2, x1] + list(x))[-3:]
-    return (n + m, sx + float(x.sum()), six, float(tail[2]), float(tail[1]), float(tail[0]), ema, hits + int((x >= high).sum()), last_us)
+    confidence = np.nan if rows[-1][3] is None else float(rows[-1][3])
+    return (n + m, sx + float(x.sum()), six, float(tail[2]), float(tail[1]), float(tail[0]), ema, hits + int((x >= high).sum()), int(at[-1]), gaps, confidence)
 
 
 def trend_of(user: int, s: tuple, event: str) -> dict:
-    n, sx, six, x1, x2, x3, ema, hits, _ = s
+    n, sx, six, x1, x2, x3, ema, hits, _, gaps, confidence = s
     slope = (six - (n - 1) / 2 * sx) / (n * (n * n - 1) / 12) if n > 1 else 0.0
     last = [v for v in (x1, x2, x3) if not np.isnan(v)]
-    return {"user_id": user, "event": event, "n": n, "current_risk": x1, "average_risk": sx / n, "slope": slope,
-            "moving_average": sum(last) / len(last), "exponential_trend": ema, "step": x1 - x2 if n > 1 else 0.0, "high": hits}
+    return {"user_id": user, "event": event, "n": n, "current_risk": x1, "average_risk": sx / n, "slope": slope, "moving_average": sum(last) / len(last),
+            "exponential_trend": ema, "step": x1 - x2 if n > 1 else 0.0, "high": hits, "n_gaps": gaps, "last_confidence": float(confidence)}
 
 
-def running_trend(score: DataFrame, gap_days: float = 7, watermark: str = WATERMARK) -> DataFrame:
+def running_trend(score: DataFrame, gap_days: float = 7, watermark: str = WATERMARK, expire_days: float = 365, alert_gap_days: int = 7) -> DataFrame:
     """Trend after each micro-batch, and a ``missing_checkins`` row once a user stays away (STR2, STR3).
 
-    The state holds sums and the last three scores only, so it does not grow with the history.
+    Scores may arrive in any order within the watermark: those younger than it wait in the state, so
+    each row given is the trend over all scores in time order, as in a batch. Older ones are held as
+    sums, so the state grows with the watermark and not with the history; it ends ``expire_days`` after
+    the user's last score. ``score`` has ``user_id, id, ts, risk`` and may have ``confidence``.
     """
-    gap_ms = int(gap_days * 86_400_000)
+    gap_ms, expire_ms = int(gap_days * 86_400_000), int(max(expire_days, gap_days) * 86_400_000)
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held = state.get if state.exists else (*SUMS, "[]", False)
+        sums, waiting, warned = held[:11], [tuple(r) for r in json.loads(held[11])], held[12]
+        now_ms = state.getCurrentWatermarkMs()
         if state.hasTimedOut:
-            held = state.get
-            state.update(held)  # the sums stay, so a returning user goes on with the old history
-            yield pd.DataFrame([trend_of(key[0], held, "missing_checkins")])
+            now = fold_scores(sums, waiting, gap_days=alert_gap_days)
+            if warned:
+                state.remove()
+                return
+            state.update((*now, "[]", True))
+            state.setTimeoutTimestamp(max(now[8] // 1000 + expire_ms, now_ms + 1))
+            yield pd.DataFrame([trend_of(key[0], now, "missing_checkins")])
             return
-        rows = pd.concat(list(batches)).dropna(subset=["risk"]).sort_values(["ts", "id"])
-        if rows.empty:
+        rows = pd.concat(list(batches)).dropna(subset=["risk", "ts"])
+        fresh = zip((rows["ts"].astype("datetime64[us]").astype("int64")).tolist(), rows["id"].tolist(), rows["risk"].tolist(), rows["confidence"].astype(float).tolist())
+        waiting = sorted(waiting + [(t, i, x, None if np.isnan(c) else c) for t, i, x, c in fresh], key=lambda r: r[:2])
+        if not waiting and sums[0] == 0:
             return
-        at = int(pd.Timestamp(rows["ts"].iloc[-1]).value // 1000)
-        now = fold_scores(state.get if state.exists else None, rows["risk"].to_numpy(), at)
-        state.update(now)
-        due = at // 1000 + gap_ms
-        state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
+        ripe = [r for r in waiting if r[0] < now_ms * 1000]
+        sums = fold_scores(sums, ripe, gap_days=alert_gap_days)
+        waiting = waiting[len(ripe) :]
+        now = fold_scores(sums, waiting, gap_days=alert_gap_days)
+        state.update((*sums, json.dumps(waiting), False))
+        state.setTimeoutTimestamp(max(now[8] // 1000 + gap_ms, now_ms + 1))
         yield pd.DataFrame([trend_of(key[0], now, "score")])
 
-    marked = score.select("user_id", "id", F.col("ts").cast("timestamp").alias("ts"), "risk").withWatermark("ts", watermark)
+    confidence = F.col("confidence").cast("double") if "confidence" in score.columns else F.lit(None).cast("double")
+    marked = score.select("user_id", "id", F.col("ts").cast("timestamp").alias("ts"), "risk", confidence.alias("confidence")).withWatermark("ts", watermark)
     return marked.groupBy("user_id").applyInPandasWithState(step, TREND, STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
+def trend_alerts(trend: DataFrame, **thresholds) -> DataFrame:
+    """Alerts that each new trend row raises, stateless, so a stream can write them as they come (STR2).
+
+    Negative mood is a separate stream of emotions and raises nothing here.
+    """
+    inputs = trend.filter("event = 'score'").select(
+        "user_id", "n", F.col("current_risk").alias("last"), (F.col("current_risk") - F.col("step")).alias("prev"), F.col("high").alias("n_high"), "slope", "n_gaps",
+        "last_confidence", F.lit(0).alias("mood_n"), F.lit(None).cast("double").alias("mood_mean"),
+    )
+    return alerts(inputs, **thresholds)
+
+
 def incremental_profile(checkins: DataFrame) -> DataFrame:
     """Additive profile parts kept by built-in aggregates in update mode (STR10)."""
     return checkins.groupBy("user_id").agg(
@@ -172,18 +210,24 @@ def newest_update(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 # --- late rows and audit ------------------------------------------------------------------------
 def late_splitter(folder: str, key: str = "user_id", ts: str = "ts") -> Callable[[DataFrame, int], None]:
-    """Rows older than what the user already delivered in earlier batches go to a side table (STR8)."""
+    """Rows older than what the user already delivered in earlier batches go to a side table (STR8).
+
+    ``marks/batch=n`` holds one row per user seen up to batch n, so a batch reads only the table of the
+    batch before it.
+    """
     def write(df: DataFrame, batch: int) -> None:
         spark = df.sparkSession
-        seen = None
+        kind = dict(df.dtypes)[ts]
         if batch > 0:
-            marks = spark.read.parquet(f"{folder}/marks").filter(F.col("batch") < batch)
-            seen = marks.groupBy(key).agg(F.max("mark").alias("mark"))
-        rows = df.join(seen, key, "left") if seen is not None else df.withColumn("mark", F.lit(None).cast(dict(df.dtypes)[ts]))
+            seen = spark.read.schema(f"{key} {dict(df.dtypes)[key]}, mark {kind}").parquet(f"{folder}/marks/batch={batch - 1}")
+        else:
+            seen = df.select(F.col(key), F.lit(None).cast(kind).alias("mark")).limit(0)
+        rows = df.join(seen, key, "left")
         late = F.coalesce(F.col(ts) < F.col("mark"), F.lit(False))
         rows.filter(late).drop("mark").write.mode("overwrite").parquet(f"{folder}/late/batch={batch}")
         rows.filter(~late).drop("mark").write.mode("overwrite").parquet(f"{folder}/on_time/batch={batch}")
-        df.groupBy(key).agg(F.max(ts).alias("mark")).write.mode("overwrite").parquet(f"{folder}/marks/batch={batch}")
+        marks = seen.unionByName(df.select(key, F.col(ts).alias("mark"))).groupBy(key).agg(F.max("mark").alias("mark"))
+        marks.write.mode("overwrite").parquet(f"{folder}/marks/batch={batch}")
 
     return write
 
