@@ -466,6 +466,20 @@ def edges_to(edge: DataFrame, node_id: str) -> DataFrame:
     return edge.filter(F.col("dst") == node_id)
 
 
+def nodes_by_label(node: DataFrame, label: str) -> DataFrame:
+    return node.filter(F.col("label") == label)
+
+
+def snapshot(table: DataFrame, snapshot_id: str, version: str = "1.0.0") -> DataFrame:
+    """Rows of a node or edge table stamped for an append-only store of snapshots (GR27)."""
+    return table.withColumns({"snapshot_id": F.lit(snapshot_id), "snapshot_version": F.lit(version)})
+
+
+def restore(store: DataFrame, snapshot_id: str) -> DataFrame:
+    """A table as it was when the snapshot was taken (GR27)."""
+    return store.filter(F.col("snapshot_id") == snapshot_id).drop("snapshot_id", "snapshot_version")
+
+
 # --- export -------------------------------------------------------------------------------------
 def _xml(text) -> F.Column:
     out = F.replace(text, F.lit("&"), F.lit("&amp;"))

@@ -15,7 +15,7 @@ from tidewell.functions.numeric import r4, rounded
 from tidewell.operators import series as sr
 from tidewell.operators.ordered import SLICE_ROWS, series_summary
 from tidewell.operators.timelines import latest_per, newest
-from tidewell.schemas import BEHAVIOUR_FIELDS, CATALOG, CATALOG_DDL, RULES, RULES_DDL, STATE_SENTENCES, STORY, SUGGESTION_SENTENCES
+from tidewell.schemas import BEHAVIOUR_FIELDS, CATALOG, CATALOG_DDL, RULES, RULES_DDL, SEED_STATEMENT, STATE_SENTENCES, STORY, SUGGESTION_SENTENCES, TWIN_PROFILES
 
 
 def _name_counts(fact: DataFrame, name: str, ts: str, row_id: str) -> DataFrame:
@@ -353,6 +353,24 @@ def sentence(template: str, **values: Column) -> Column:
     return F.concat(*pieces)
 
 
+def node_link(twin: DataFrame, key: str = "user_id") -> DataFrame:
+    """Node-link document per user: the user, its profiles and the links between them (SNK8)."""
+    user = F.col(key).cast("string")
+    nodes = [F.struct(i.alias("id"), n.alias("label")) for i, n in [(user, F.lit("User")), *((F.lit(k), F.lit(v)) for k, v in TWIN_PROFILES.items())]]
+    links = [F.struct(user.alias("source"), F.lit(k).alias("target"), F.lit("HAS_PROFILE").alias("type")) for k in TWIN_PROFILES]
+    graph = F.struct(
+        F.lit(True).alias("directed"), F.lit(False).alias("multigraph"), F.create_map().cast("map<string,string>").alias("graph"),
+        F.array(*nodes).alias("nodes"), F.array(*links).alias("links"),
+    )
+    return twin.select(key, F.to_json(graph).alias("node_link"))
+
+
+def seed_statements(twin: DataFrame, key: str = "user_id") -> DataFrame:
+    """One statement per user that creates its twin with all columns as properties (SNK8)."""
+    props = F.to_json(F.struct(*[F.col(c) for c in twin.columns]))
+    return twin.select(key, sentence(SEED_STATEMENT, user_id=F.col(key), props=props).alias("statement"))
+
+
 def story(profile: DataFrame, evolution: DataFrame, window_days: int = 30) -> DataFrame:
     """A factual summary sentence chain per user (TXT22)."""
     rows = profile.join(evolution.select("user_id", "recovery_probability"), "user_id", "left")

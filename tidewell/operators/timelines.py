@@ -129,6 +129,12 @@ def fact_evolution(session: DataFrame, fact: DataFrame, kind: str, measures: Seq
     )
 
 
+def older_evolution(session: DataFrame, fact: DataFrame, kind: str, measure: str, link: str) -> DataFrame:
+    """Facts of the user's sessions over a single edge type, by their plain name only (JN19)."""
+    rows = with_links(fact, (link,)).drop("user_id").join(session.select("session_id", "user_id"), "session_id")
+    return rows.select("user_id", kind, measure, F.col("timestamp").alias("ts"))
+
+
 def behaviour_evolution(session: DataFrame, prediction: DataFrame, behaviour: DataFrame) -> DataFrame:
     """User to session to prediction to behaviour (JN4)."""
     hops = with_links(prediction, PREDICTION_LINKS).select("prediction_id", "session_id")

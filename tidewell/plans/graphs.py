@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 from tidewell.functions.numeric import r9
 from tidewell.operators import gates as gt
 from tidewell.operators import graph as gr
+from tidewell.operators import profiles as pf
 from tidewell.operators import timelines as tl
 from tidewell.plans.dataset import SES, idx
 from tidewell.plans.registry import add, q9
+from tidewell.schemas import TWIN_PROFILES
 
 USERS = "(SELECT 'User:' || c_custkey AS root FROM customer)"
 SYM = "sym AS (SELECT DISTINCT * FROM (SELECT src, dst FROM edge UNION ALL SELECT dst, src FROM edge))"
@@ -155,6 +157,16 @@ def versions(t):
 add("GR27_upserted_nodes", lambda t: gr.upserted_nodes(*versions(t)),
     "SELECT node_id, 'User' AS label, arg_max(props, arrival) AS props, max(arrival) AS arrival FROM (SELECT 'User:' || c_custkey AS node_id, c_mktsegment AS props, 1 AS arrival FROM customer UNION ALL SELECT 'User:' || o_custkey, o_orderstatus, o_orderkey + 2 FROM orders) GROUP BY 1")
 add("GR27_edges_from", lambda t: gr.edges_from(t.edge, "User:7").unionByName(gr.edges_to(t.edge, "Symptom:5")), "SELECT * FROM edge WHERE src = 'User:7' OR dst = 'Symptom:5'", "edge")
+add("GR27_nodes_by_label", lambda t: gr.nodes_by_label(t.node, "Symptom"), "SELECT * FROM node WHERE label = 'Symptom'", "node")
+
+
+def snapshots(table):
+    """Two snapshots of a table in one store; the later one has lost some rows."""
+    return gr.snapshot(table, "first").unionByName(gr.snapshot(table.filter(F.pmod(F.xxhash64(*table.columns), F.lit(3)) > 0), "second"))
+
+
+add("GR27_restored_nodes", lambda t: gr.restore(snapshots(t.node), "first"), "SELECT * FROM node", "node")
+add("GR27_restored_edges", lambda t: gr.restore(snapshots(t.edge), "first"), "SELECT * FROM edge", "edge")
 ADJ = "SELECT DISTINCT g, src, dst FROM (SELECT g, src, dst FROM (SELECT o_custkey % 25 AS g, 'User:' || o_custkey AS src, 'Session:' || o_orderkey AS dst FROM orders) UNION ALL SELECT o_custkey % 25, 'Session:' || o_orderkey, 'User:' || o_custkey FROM orders)"
 add("GR28_batched_adjacency", lambda t: gr.batched_adjacency(t.orders.selectExpr("o_custkey % 25 AS g", "concat('User:', o_custkey) AS src", "concat('Session:', o_orderkey) AS dst"), "g"),
     f"SELECT a.g, src, dst, nodes, (SELECT max(n) FROM (SELECT g, count(DISTINCT src) AS n FROM ({ADJ}) GROUP BY 1)) AS padded_to FROM ({ADJ}) a JOIN (SELECT g, count(DISTINCT src) AS nodes FROM ({ADJ}) GROUP BY 1) b ON a.g = b.g")
@@ -181,6 +193,20 @@ add("SNK9_dense_numbers", lambda t: gr.numbered_nodes(t.node).agg(F.min("idx").a
     "SELECT 0 AS low, count(DISTINCT node_id) - 1 AS high, count(DISTINCT node_id) AS n FROM node", "node")
 add("SNK16_text_rows", lambda t: t.session.select(F.concat_ws(",", F.col("session_id").cast("string"), F.col("user_id").cast("string"), "language").alias("line")),
     "SELECT concat_ws(',', session_id, user_id, language) AS line FROM session", "session")
+
+
+def twin_facts(t):
+    return t.session.groupBy("user_id").agg(F.count("*").alias("sessions"), F.count_distinct("language").alias("languages"))
+
+
+FACTS = "SELECT user_id, count(*) AS sessions, count(DISTINCT language) AS languages FROM session GROUP BY 1"
+NODES = ",".join(f'{{"id":"{k}","label":"{v}"}}' for k, v in TWIN_PROFILES.items())
+LINKS = " || ',' || ".join(f"""'{{"source":"' || user_id || '","target":"{k}","type":"HAS_PROFILE"}}'""" for k in TWIN_PROFILES)
+add("SNK8_node_link_export", lambda t: pf.node_link(twin_facts(t)),
+    f"""SELECT user_id, '{{"directed":true,"multigraph":false,"graph":{{}},"nodes":[{{"id":"' || user_id || '","label":"User"}},{NODES}],"links":[' || {LINKS} || ']}}' AS node_link FROM ({FACTS})""", "session")
+add("SNK8_seed_statements", lambda t: pf.seed_statements(twin_facts(t)),
+    """SELECT user_id, '// Digital Twin export for ' || user_id || chr(10) || 'MERGE (t:DigitalTwin {user_id: ''' || user_id || '''}) SET t += {"user_id":' || user_id || ',"sessions":' || sessions """
+    f"""|| ',"languages":' || languages || '}};' || chr(10) AS statement FROM ({FACTS})""", "session")
 add("SNK8_key_value_export", lambda t: t.session.groupBy("user_id").agg(F.count("*").alias("sessions"), F.count_distinct("language").alias("languages")).select(
         "user_id", F.explode(F.create_map(F.lit("sessions"), F.col("sessions"), F.lit("languages"), F.col("languages"))).alias("key", "value")),
     "SELECT user_id, 'sessions' AS key, count(*) AS value FROM session GROUP BY 1 UNION ALL SELECT user_id, 'languages', count(DISTINCT language) FROM session GROUP BY 1", "session")

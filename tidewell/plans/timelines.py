@@ -91,6 +91,11 @@ add("JN18_emotion_trend_rows", lambda t: tl.collected_trend(
     "SELECT s.user_id, row_number() OVER (PARTITION BY s.user_id ORDER BY e.timestamp, emotion_id) AS pos, emotion_id AS id, "
     "coalesce(emotion_name, emotion) AS emotion, probability, e.timestamp AS ts FROM session s JOIN emotion e ON e.session_id = s.session_id "
     "WHERE rel_type IN ('EXPRESSES', 'IDENTIFIED')", "session emotion")
+add("JN18_symptom_trend_rows", lambda t: tl.collected_trend(
+        tl.fact_evolution(t.session, t.symptom, "symptom", ["severity"], tl.SYMPTOM_LINKS), "symptom", "severity"),
+    "SELECT s.user_id, row_number() OVER (PARTITION BY s.user_id ORDER BY e.timestamp, symptom_id) AS pos, symptom_id AS id, "
+    "coalesce(symptom_name, symptom) AS symptom, severity, e.timestamp AS ts FROM session s JOIN symptom e ON e.session_id = s.session_id "
+    "WHERE rel_type IN ('INDICATES', 'IDENTIFIED')", "session symptom")
 add("JN18_behaviour_trend_rows", lambda t: tl.collected_trend(
         tl.behaviour_evolution(t.session, t.prediction, t.behaviour), "behaviour", "value"),
     f"SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, id) AS pos, id, behaviour, value, ts FROM ({_BEH})",
@@ -99,6 +104,15 @@ add("JN19_single_edge_variant", lambda t: tl.risk_progression(t.user, t.session,
     "SELECT s.user_id, p.session_id AS session, prediction_id, coalesce(risk_probability, risk_score) AS risk, confidence, created_at AS ts "
     "FROM usr u JOIN session s ON u.user_id = s.user_id JOIN prediction p ON p.session_id = s.session_id WHERE rel_type = 'PREDICTED'",
     "usr session prediction")
+# The older offline queries: one edge type each, no aliases, no filter on deleted rows.
+add("JN19_older_emotion_evolution", lambda t: tl.older_evolution(t.session, t.emotion, "emotion", "probability", "EXPRESSES"),
+    "SELECT s.user_id, e.emotion, probability, e.timestamp AS ts FROM session s JOIN emotion e ON e.session_id = s.session_id WHERE rel_type = 'EXPRESSES'", "session emotion")
+add("JN19_older_symptom_evolution", lambda t: tl.older_evolution(t.session, t.symptom, "symptom", "confidence", "INDICATES"),
+    "SELECT s.user_id, e.symptom, e.confidence, e.timestamp AS ts FROM session s JOIN symptom e ON e.session_id = s.session_id WHERE rel_type = 'INDICATES'", "session symptom")
+add("JN19_older_graph_statistics", lambda t: t.node.agg(F.count("*").alias("nodes")).crossJoin(t.edge.agg(F.count("*").alias("edges"))),
+    "SELECT (SELECT count(*) FROM node) AS nodes, (SELECT count(*) FROM edge) AS edges", "node edge")
+add("JN19_older_session_history", lambda t: tl.newest(t.session.select("user_id", "session_id", "timestamp"), "timestamp", "session_id", 12),
+    "SELECT * FROM (SELECT user_id, session_id, timestamp, row_number() OVER (PARTITION BY user_id ORDER BY timestamp DESC, session_id DESC) AS rank FROM session) WHERE rank <= 12", "session")
 
 # --- top n --------------------------------------------------------------------------------------
 add("TOP1_latest_session", lambda t: tl.session_history(t.session, 1).select("user_id", "session_id", "timestamp"),
