@@ -13,6 +13,7 @@ them, and the windows need no further count.
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -111,12 +112,16 @@ def repeated_windows(docs: DataFrame, width: int = WINDOW) -> DataFrame:
     return whole.union(partial.select("key", (F.col("lo") + F.col("j")).alias("lo"), (F.col("lo") + F.col("j")).alias("hi")))
 
 
-def covered(n: int, ranges: list | None, width: int) -> np.ndarray:
-    """Symbols covered by windows whose starts lie in the ranges."""
-    step = np.zeros(n + 1, np.int32)
-    for r in ranges or ():
-        step[r["lo"]] += 1
-        step[r["hi"] + width] -= 1
+def covered(cuts: np.ndarray, ranges: pa.Array, width: int) -> np.ndarray:
+    """Symbols of a slice that windows cover; row k has symbols cuts[k]:cuts[k + 1], ``ranges`` its window starts.
+
+    Works on the flat Arrow values: a row may have a range for each of its symbols.
+    """
+    flat = ranges.flatten()
+    base = np.repeat(cuts[:-1], ranges.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+    n = int(cuts[-1])
+    step = np.bincount(base + flat.field(0).to_numpy(zero_copy_only=False), minlength=n + 1)
+    step = step - np.bincount(base + flat.field(1).to_numpy(zero_copy_only=False) + width, minlength=n + 1)
     return np.cumsum(step[:n]) > 0
 
 
@@ -134,17 +139,15 @@ def substring_dedup(docs: DataFrame, width: int = WINDOW, id_col: str = "doc_id"
     made = 4 if with_text else 3
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, limit=SLICE):
             out: list[tuple[int, int, str, str]] = []
-            for text, found in zip(batch.column(1).fill_null("").to_pylist(), batch.column(2).to_pylist()):
-                parts = text.encode().split()
-                removed = 0
-                if found:
-                    gone = covered(len(parts), found, width)
-                    removed = int(gone.sum())
-                    kept = b" ".join([parts[k] for k in np.flatnonzero(~gone).tolist()])
-                else:
-                    kept = b" ".join(parts)
+            split = [text.encode().split() for text in batch.column(1).fill_null("").to_pylist()]
+            cuts = np.concatenate(([0], np.cumsum(np.fromiter(map(len, split), np.int64, len(split)))))
+            kept_words = ~covered(cuts, batch.column(2), width)
+            for k, parts in enumerate(split):
+                keep = kept_words[cuts[k] : cuts[k + 1]]
+                removed = len(parts) - int(keep.sum())
+                kept = b" ".join(itertools.compress(parts, keep.tolist()) if removed else parts)
                 out.append((len(parts), removed, hashlib.sha256(kept).hexdigest(), kept.decode() if with_text else ""))
             columns = list(zip(*out))
             yield pa.RecordBatch.from_arrays(

@@ -162,19 +162,18 @@ def byte_dedup(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text
     ranges = ranges_by_row(repeated_ranges(rows, width, most))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, limit=SLICE):
             data, cuts = text_bytes(batch.column(1))
+            gone = covered(cuts, batch.column(2), width)
+            begins = gone.copy()
+            begins[1:] &= ~gone[:-1]
+            inner = cuts[:-1][np.diff(cuts) > 0]
+            begins[inner] = gone[inner]
             out = []
-            for k, found in enumerate(batch.column(2).to_pylist()):
-                raw = data[cuts[k] : cuts[k + 1]]
-                removed = spans = 0
-                if found:
-                    gone = covered(len(raw), found, width)
-                    removed = int(gone.sum())
-                    spans = int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum())
-                    raw = raw[~gone]
-                kept = raw.tobytes()
-                out.append((len(data[cuts[k] : cuts[k + 1]]), removed, spans, hashlib.sha256(kept).hexdigest(), kept))
+            for k in range(batch.num_rows):
+                row = slice(cuts[k], cuts[k + 1])
+                kept = data[row][~gone[row]].tobytes()
+                out.append((int(cuts[k + 1] - cuts[k]), int(gone[row].sum()), int(begins[row].sum()), hashlib.sha256(kept).hexdigest(), kept))
             columns = list(zip(*out))
             arrays = [batch.column(0), *(pa.array(c, pa.int64()) for c in columns[:3]), pa.array(columns[3], pa.string())]
             names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
