@@ -1,6 +1,6 @@
 """Registered queries against their SQL twins.
 
-Every sixth query runs by default; set TIDEWELL_ALL=1 for all of them.
+Every third query runs by default; set TIDEWELL_ALL=1 for all of them, or run ``tests/compare.py``.
 """
 
 import os
@@ -12,7 +12,9 @@ from tidewell.plans import QUERIES, SQL, load_all
 
 load_all()
 NAMES = sorted(QUERIES)
-CHOSEN = NAMES if os.environ.get("TIDEWELL_ALL") else NAMES[::6]
+CHOSEN = NAMES if os.environ.get("TIDEWELL_ALL") else NAMES[::3]
+#: What these look for does not occur in the smallest tables; at sf0.01 they have rows.
+NONE_AT_SMALLEST = ("WIN13_unexpected_increase", "STR3_missing_timer")
 FOLDER = os.environ.get("TIDEWELL_SF_DIR", "/root/testdata/sf0.001")
 
 
@@ -24,7 +26,7 @@ def duck():
 @pytest.mark.parametrize("name", CHOSEN)
 def test_query(spark, duck, name):
     problem = compare(spark, duck, name, QUERIES[name], SQL.get(name), FOLDER)
-    assert problem is None or problem.startswith("EMPTY"), problem
+    assert problem is None or (problem.startswith("EMPTY") and name in NONE_AT_SMALLEST), problem
 
 
 def test_every_sql_has_a_query():
