@@ -29,10 +29,10 @@ from tidewell.llm.common import id_text, slices, texts_of
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 WORD_END = "</w>"
 
-SLICE = 12 << 20
+SLICE = 4 << 20
 
 #: Pieces kept in a task's memory at most; beyond, the memo starts anew.
-MEMO_PIECES = 500_000
+MEMO_PIECES = 300_000
 
 
 def byte_symbols() -> list[str]:
