@@ -156,6 +156,13 @@ def embeddings(features: DataFrame) -> DataFrame:
     return single.unionByName(issue(again, "embeddings", "duplicate_embedding", "error", "Duplicate embedding checksum"))
 
 
+def export_gate(exported: DataFrame, manifests: DataFrame, key: str = "participant_id") -> DataFrame:
+    """Whether the manifest listing names each exported key; a missing manifest only warns (DQ8)."""
+    listed = manifests.select(key).distinct().withColumn("_listed", F.lit(True))
+    status = F.when(F.col("_listed"), "passed").otherwise("warning")
+    return exported.select(key).distinct().join(listed, key, "left").select(key, F.lit("export").alias("gate"), status.alias("status"))
+
+
 def roll_up(issues: DataFrame, soft: tuple[str, ...] = ("features", "embeddings"), gates: tuple[str, ...] = ()) -> DataFrame:
     """Status per gate: errors fail it, or only warn for the soft gates (DQ9, SNK11, SNK12)."""
     counted = issues.groupBy("gate").agg(F.count("*").alias("issues"), F.count_if(F.col("severity") == "error").alias("errors"))

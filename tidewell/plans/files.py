@@ -235,8 +235,8 @@ def presence(t):
 
 
 add("DQ17_outputs_present", presence, "SELECT * FROM (VALUES ('csv', true), ('json', true), ('parquet', true), ('manifest', false), ('feature_coverage', (SELECT count(*) FROM embeddings) >= 1)) v(\"check\", passed)")
-add("DQ8_export_gate", lambda t: presence(t).filter("check = 'manifest'").select(F.lit("export").alias("gate"), F.when(F.col("passed"), "passed").otherwise("warning").alias("status")),
-    "SELECT 'export' AS gate, 'warning' AS status")
+add("DQ8_export_gate", lambda t: gt.export_gate(t.dataset_index, t.dataset_index.filter("modality = 'transcript'")),
+    "SELECT participant_id, 'export' AS gate, CASE WHEN bool_or(modality = 'transcript') THEN 'passed' ELSE 'warning' END AS status FROM dataset_index GROUP BY 1", "dataset_index")
 add("AGG28_version_record", lambda t: src.version_record(t.pages.select(F.col("url").alias("file_path"), F.length("html").alias("size")), "pages").select("dataset_hash", "dataset_source"),
     "SELECT sha256(count(*) || ':' || " + " || ':' || ".join(f"coalesce(sum(('0x' || substr(e, {1 + 13 * k}, 13))::BIGINT), 0)" for k in range(4)) + ") AS dataset_hash, 'pages' AS dataset_source "
     "FROM (SELECT sha256(url || '|' || length(html)) AS e FROM pages)")

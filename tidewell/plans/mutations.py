@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tidewell.operators import graph as gr
 from tidewell.operators import mutations as mu
 from tidewell.operators import profiles as pf
+from tidewell.operators.ordered import sequenced
 from tidewell.plans.gates import ENT, EU, entities
 from tidewell.plans.graphs import USERS
 from tidewell.plans.profiles import EVO, V, flat_twin
@@ -35,13 +36,14 @@ add("MUT4_merge_edges", lambda t: mu.merge_edges(t.edge, t.edge.filter("rel_type
 
 
 def recorded(t):
-    rows = t.order_links.selectExpr("o_orderkey AS session_id", "o_custkey AS user_id", "prev_key AS previous_session_id", "o_orderdate AS timestamp", "1.0D AS quality_score")
+    linked = sequenced(t.orders, ["o_custkey"], ["o_orderdate", "o_orderkey"], {"prev_key": "o_orderkey"})  # first sessions have no previous one
+    rows = linked.selectExpr("o_orderkey AS session_id", "o_custkey AS user_id", "prev_key AS previous_session_id", "o_orderdate AS timestamp", "1.0D AS quality_score")
     return mu.record_sessions(rows)
 
 
 LINKED = "(SELECT o_orderkey, o_custkey, lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS p FROM orders)"
 add("MUT5_record_sessions", lambda t: recorded(t)[1],
-    f"SELECT 'User:' || o_custkey AS src, 'Session:' || o_orderkey AS dst, 'HAS_SESSION' AS rel_type FROM {LINKED} WHERE p IS NOT NULL UNION ALL SELECT 'Session:' || p, 'Session:' || o_orderkey, 'TEMPORALLY_PRECEDES' FROM {LINKED} WHERE p IS NOT NULL")
+    f"SELECT 'User:' || o_custkey AS src, 'Session:' || o_orderkey AS dst, 'HAS_SESSION' AS rel_type FROM {LINKED} UNION ALL SELECT 'Session:' || p, 'Session:' || o_orderkey, 'TEMPORALLY_PRECEDES' FROM {LINKED} WHERE p IS NOT NULL")
 
 
 def nested(t):

@@ -78,7 +78,8 @@ AUDIT_DDL = ("operation STRING, request_id STRING, transaction_id STRING, entity
 
 
 def recent_audit(spark: SparkSession, path: str, n: int = 100) -> DataFrame:
-    return spark.read.schema(AUDIT_DDL).json(path).orderBy(F.desc("created_at")).limit(n)
+    """The newest entries; equal times are ordered by their ids."""
+    return spark.read.schema(AUDIT_DDL).json(path).orderBy(F.desc("created_at"), "transaction_id", "request_id", "entity_id").limit(n)
 
 
 def write_gate_report(gates: DataFrame, path: str) -> None:

@@ -48,9 +48,11 @@ def ingest(records: DataFrame, folder: str, checkpoint: str) -> None:
     """Nested inference records fanned out into fact and edge tables (STR1)."""
     def write(df: DataFrame, batch: int) -> None:
         df.persist()
-        for name, table in inference_rows(df).items():
-            table.write.mode("overwrite").parquet(f"{folder}/{name}/batch={batch}")
-        df.unpersist()
+        try:
+            for name, table in inference_rows(df).items():
+                table.write.mode("overwrite").parquet(f"{folder}/{name}/batch={batch}")
+        finally:
+            df.unpersist()
 
     run_available(records, write, checkpoint)
 
