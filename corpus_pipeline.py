@@ -21,8 +21,17 @@ from tidewell.llm.simhash import near_duplicates
 MOST_BITS = 9.0
 
 
-def _kept(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    return docs.join(ids.select("doc_id").distinct(), "doc_id", "left_semi").select(*docs.columns)
+def _keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with a key of each row, ``_key``, written, so that a row has the same key each time it is read."""
+    key = F.struct(F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]).alias("h"), F.monotonically_increasing_id().alias("n"))
+    return reliable_checkpoint(docs.withColumn("_key", key))
+
+
+def _first_of(rows: DataFrame, judged: DataFrame, *group: str) -> DataFrame:
+    """One of the keyed rows for each group of ``judged``: the smallest id, nulls last, then the smallest key."""
+    order = F.struct(F.col("doc_id").isNull().alias("null_id"), "doc_id", "_key")
+    chosen = judged.groupBy(*group).agg(F.min(order).alias("least")).select("least._key")
+    return rows.join(chosen, "_key", "left_semi").drop("_key")
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,13 +47,22 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The row with the smallest id of each group of equal texts stays."""
-    return _kept(docs, exact_duplicates(docs).filter("kept"))
+    """One row of each group of equal texts stays: one with the smallest id.
+
+    Rows are judged, not ids: a row whose id is null stays if no row with an id has its text, and just one
+    does of several; of rows that repeat both id and text one stays; texts that share an id are judged apart.
+    """
+    rows = _keyed(docs)
+    return _first_of(rows, exact_duplicates(rows, key_col="_key").filter("kept"), "keep_id", "text_sha256")
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each near-duplicate component stays."""
-    return _kept(docs, near_duplicates(docs).filter("doc_id = component_id"))
+    """One row of each near-duplicate component stays: one with the smallest id.
+
+    Rows are judged, not ids: null ids come after all others, and of rows with the same id one stays.
+    """
+    rows = _keyed(docs)
+    return _first_of(rows, near_duplicates(rows, key_col="_key"), "root")
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

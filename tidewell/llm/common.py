@@ -24,9 +24,10 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents")
 
 
-def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The two columns the operators work on; any further column, whatever its name, is left behind."""
-    return docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key_col: str | None = None) -> DataFrame:
+    """The columns the operators work on, with the row's key as ``_key`` if one is named; any further column, whatever its name, is left behind."""
+    key = [F.col(f"`{key_col}`").alias("_key")] if key_col else []
+    return docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"), *key)
 
 
 def crc_mod(doc_id: Column, modulus: int) -> Column:

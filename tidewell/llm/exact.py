@@ -87,7 +87,7 @@ def merge_batch(members: DataFrame, batch: DataFrame) -> DataFrame:
     return joined.unionByName(fresh)
 
 
-def exact_duplicates(docs: DataFrame, batches: int = 2, id_col: str = "doc_id", text_col: str = "text", digest=sha256) -> DataFrame:
+def exact_duplicates(docs: DataFrame, batches: int = 2, id_col: str = "doc_id", text_col: str = "text", digest=sha256, key_col: str | None = None) -> DataFrame:
     """One row per input row: ``doc_id, keep_id, group_size, kept, text_sha256``.
 
     Texts are equal when their bytes are after each run of blanks becomes one blank; null counts as
@@ -95,10 +95,13 @@ def exact_duplicates(docs: DataFrame, batches: int = 2, id_col: str = "doc_id",
     of the id, in ascending order, so a snapshot's id is always the smaller one. A repeated id gives a
     row each time and ``kept`` on each of its rows in its group; a null id is never the smallest unless
     all ids of its group are null, and then ``keep_id`` is null and the row stays. Other columns are
-    ignored. An empty table gives no rows. ``digest`` can be any function of the text.
+    ignored. An empty table gives no rows. ``digest`` can be any function of the text. With ``key_col``,
+    a column that differs from row to row, the result has it as ``_key``, so rows with one id can be told
+    apart.
     """
-    texts = id_text(docs, id_col, text_col).select("doc_id", normalised(F.col("text")).alias("norm"))
-    rows = reliable_checkpoint(texts.select("doc_id", digest(F.col("norm")).alias("digest"), F.sha2("norm", 256).alias("text_sha256")))
+    key = ["_key"] if key_col else []
+    texts = id_text(docs, id_col, text_col, key_col).select("doc_id", *key, normalised(F.col("text")).alias("norm"))
+    rows = reliable_checkpoint(texts.select("doc_id", *key, digest(F.col("norm")).alias("digest"), F.sha2("norm", 256).alias("text_sha256")))
     low, high = rows.agg(F.min("doc_id"), F.max("doc_id")).first()
     width = ((high - low) // batches + 1) if low is not None else 1
     number = F.coalesce(((F.col("doc_id") - F.lit(low if low is not None else 0)) / width).cast("int"), F.lit(batches - 1))
@@ -108,8 +111,9 @@ def exact_duplicates(docs: DataFrame, batches: int = 2, id_col: str = "doc_id",
 
     # byte check of all rows whose digest others have too
     shared = groups.filter("n > 1").select("digest")
-    suspects = rows.join(shared, "digest", "left_semi").select("doc_id")
-    checked = texts.join(suspects, "doc_id", "left_semi").select(digest(F.col("norm")).alias("digest"), "norm")
+    by = key or ["doc_id"]
+    suspects = rows.join(shared, "digest", "left_semi").select(*by)
+    checked = texts.join(suspects, by, "left_semi").select(digest(F.col("norm")).alias("digest"), "norm")
     kinds = reliable_checkpoint(checked.distinct().groupBy("digest").agg(F.count("*").alias("texts")).filter("texts > 1"))
     if kinds.isEmpty():
         decided = rows.join(groups, "digest")
@@ -118,5 +122,5 @@ def exact_duplicates(docs: DataFrame, batches: int = 2, id_col: str = "doc_id",
         split = odd.groupBy("digest", "norm").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("n"))
         decided = rows.join(groups, "digest").join(kinds.select("digest"), "digest", "left_anti").unionByName(odd.join(split, ["digest", "norm"]).drop("norm"))
     return decided.select(
-        "doc_id", "keep_id", F.col("n").cast("long").alias("group_size"), F.coalesce(F.col("doc_id") == F.col("keep_id"), F.col("keep_id").isNull()).alias("kept"), "text_sha256"
+        "doc_id", "keep_id", F.col("n").cast("long").alias("group_size"), F.coalesce(F.col("doc_id") == F.col("keep_id"), F.col("keep_id").isNull()).alias("kept"), "text_sha256", *key
     )

@@ -59,18 +59,19 @@ def majority(h: np.ndarray) -> int:
     return out
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, fp`` (as a signed long) of every row."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key_col: str | None = None) -> DataFrame:
+    """``doc_id, fp`` (as a signed long) of every row, and ``_key`` if a key is named."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             data, bounds = text_bytes(batch.column(1))
             raw, cuts = data.tobytes(), bounds.tolist()
             made = np.array([fingerprint(raw[a:b]) for a, b in zip(cuts, cuts[1:])], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made.view(np.int64)), *batch.columns[2:]], ["doc_id", "fp", *batch.schema.names[2:]])
 
-    rows = id_text(docs, id_col, text_col)
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, fp long")
+    rows = id_text(docs, id_col, text_col, key_col)
+    key = f", _key {rows.schema['_key'].dataType.simpleString()}" if key_col else ""
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, fp long{key}")
 
 
 def _pairs(shift: int) -> np.ndarray:
@@ -126,19 +127,21 @@ def links(distinct: DataFrame) -> DataFrame:
     return rows.groupBy("bucket").applyInArrow(lambda t: _links(t), "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key_col: str | None = None) -> DataFrame:
     """One row per input row: ``doc_id, fingerprint`` (16 hex digits), ``component_id``.
 
     Texts are taken whole; null and empty texts have fingerprint zero, which links like any other. The
     component is named by the smallest id in it. Equal fingerprints are one node, so groups of copies
     cost one row. Repeated rows and ids give a row each; a null id is never the smallest unless alone.
-    Other columns are ignored; an empty table gives no rows.
+    Other columns are ignored; an empty table gives no rows. With ``key_col``, a column that differs from
+    row to row, the result has it as ``_key``, and as ``root`` a fingerprint that names the component even
+    where ids are null or repeated.
     """
-    rows = reliable_checkpoint(fingerprints(docs, id_col, text_col))
+    rows = reliable_checkpoint(fingerprints(docs, id_col, text_col, key_col))
     nodes = reliable_checkpoint(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
     roots = components(links(nodes.select("fp")))
     member = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     member = reliable_checkpoint(member)
     named = member.groupBy("root").agg(F.min("least").alias("component_id"))
-    label = member.select("fp", "root").join(named, "root").select("fp", "component_id")
-    return rows.join(label, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    label = member.select("fp", "root").join(named, "root").select("fp", "component_id", "root")
+    return rows.join(label, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", *(["_key", "root"] if key_col else []))
