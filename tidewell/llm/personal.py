@@ -4,10 +4,13 @@ The patterns give the base spans: email, ip, card (Luhn), phone. The model is tr
 windows of a bounded sample of documents, labelled with their base spans, and on the same windows with
 values planted in further forms (phones without a plus sign, cards with dots, spaced emails) and with
 look-alikes that are no personal data (dates, versions, hex digests). Each kind needs a digit or an @,
-so windows without either hold nothing to find and are not decoded; all others of every text are.
+so windows without either are decoded only where they stand beside one that has it, or a span runs into
+them; all others of every text are.
 
-Windows of 64 characters overlap by half. Spans that a window's edge may have cut are left to its
-neighbour; what is left is reconciled over the whole text, surest first. A model span is kept if it is
+Windows of 64 characters overlap by half. Connected windows are one stretch: the emissions of both
+windows of a place are averaged and the CRF decodes the stretch as one sequence, which is widened while
+a span touches its edge. So a span has no greatest length and no edge cuts it. Spans are reconciled over
+the whole text, surest first. A model span is kept if it is
 sure enough, has the right digits, and no base span overlaps it; its kind is written ``model_...``.
 """
 
@@ -29,6 +32,10 @@ from tidewell.llm.tagger import Tagger
 KINDS = ("email", "ip", "card", "phone")
 WRITTEN = KINDS + tuple(f"model_{k}" for k in KINDS)
 WIDTH, STRIDE = 64, 32
+#: Weight of a window's emission at each of its places, where two windows meet.
+CENTRAL = np.minimum(np.arange(WIDTH) + 1.0, WIDTH - np.arange(WIDTH))
+#: Characters decoded at a time, or one stretch.
+DECODED = 16_384
 #: Documents of the training sample (those with a digit or @ and the smallest hash of their id), windows taken of each, and planted windows.
 SAMPLE_ROWS = 300
 SAMPLE_WINDOWS = 3
@@ -108,9 +115,26 @@ def encode(windows: list[str], table: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return codes, mask
 
 
+def last_window(length: int) -> int:
+    """Number of the last window on the grid that covers a text of this length."""
+    return max(0, -(-(length - WIDTH) // STRIDE))
+
+
+def stretches_of(text: str) -> list[tuple[int, int]]:
+    """First and last window of each connected run of windows that hold a trigger or are next to one that does."""
+    last, out = last_window(len(text)), []
+    for k in (a // STRIDE for a in window_starts(text)):
+        low, high = max(k - 1, 0), min(k + 1, last)
+        if out and low <= out[-1][1] + 1:
+            out[-1] = out[-1][0], high
+        else:
+            out.append((low, high))
+    return out
+
+
 def window_starts(text: str) -> list[int]:
     """Starts of the windows that hold a trigger, on a grid of half windows that covers the text."""
-    last = max(0, -(-(len(text) - WIDTH) // STRIDE)) if len(text) > WIDTH else 0
+    last = last_window(len(text))
     hit: set[int] = set()
     for m in TRIGGER.finditer(text):
         k = m.start() // STRIDE
@@ -224,39 +248,80 @@ Found = tuple[int, int, int, float]  # start, kind, end, certainty; relative to
 
 
 def decode_windows(tagger: Tagger, windows: list[str], table: np.ndarray) -> list[list[Found]]:
-    """Spans of each window; equal windows are decoded once."""
-    number: dict[str, int] = {}
-    for w in windows:
-        number.setdefault(w, len(number))
-    distinct, made = list(number), []
-    for k in range(0, len(distinct), 256):
-        part = distinct[k : k + 256]
-        codes, mask = encode(part, table)
-        scores = tagger.emissions(codes, mask)
+    """Spans of each window, or stretch of windows on the grid; equal ones are decoded once.
+
+    A place in two windows has the mean of both emissions, weighted by the distance to the window's edge,
+    and the CRF decodes a stretch as one sequence.
+    """
+    made: dict[str, list[Found]] = {w: [] for w in windows if not w}
+    distinct = sorted(dict.fromkeys(w for w in windows if w), key=lambda w: (len(w), w))
+    while distinct:
+        n = max(1, min(256, DECODED // len(distinct[0])))
+        while n > 1 and n * len(distinct[min(n, len(distinct)) - 1]) > DECODED:
+            n -= 1
+        part, distinct = distinct[:n], distinct[n:]
+        scores, mask = _emissions(tagger, part, table)
         tags = tagger.decode(scores, mask)
-        sure = np.take_along_axis(tagger.marginals(scores, mask)[0], tags[:, :, None], 2)[:, :, 0]
+        sure = np.take_along_axis(tagger.marginals(scores, mask, pairs_too=False)[0], tags[:, :, None], 2)[:, :, 0]
         for w, row, p in zip(part, tags.tolist(), sure):
             spans, at = [], 0
             while at < len(w):
-                if row[at] % 2:  # begins a span
-                    kind, end = row[at] // 2, at + 1
-                    while end < len(w) and row[end] == row[at] + 1:
+                if row[at] % 2 or (at == 0 and row[0]):  # begins a span, or goes on with one that began before
+                    kind, end = (row[at] - 1) // 2, at + 1
+                    while end < len(w) and row[end] == 2 + 2 * kind:
                         end += 1
                     spans.append((at, kind, end, float(p[at:end].min())))
                     at = end
                 else:
                     at += 1
-            made.append(spans)
-    return [made[number[w]] for w in windows]
-
-
-def reconcile(text: str, base: list[tuple[int, int, int]], found: Iterable[tuple[int, list[Found]]], sure: float = SURE) -> list[tuple[int, int, int]]:
-    """Model spans of a whole text from those of its windows."""
+            made[w] = spans
+    return [made[w] for w in windows]
+
+
+def _emissions(tagger: Tagger, stretches: list[str], table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    length = max(map(len, stretches))
+    scores, weight = np.zeros((len(stretches), length, tagger.tags)), np.zeros((len(stretches), length))
+    for parity in (0, 1):  # every other window: these do not overlap
+        places = [(r, k * STRIDE) for r, s in enumerate(stretches) for k in range(parity, last_window(len(s)) + 1, 2)]
+        for k in range(0, len(places), 256):
+            part = places[k : k + 256]
+            codes, mask = encode([stretches[r][a : a + WIDTH] for r, a in part], table)
+            window, place = np.nonzero(mask)
+            row, start = np.array(part).T
+            at = row[window], start[window] + place
+            scores[at] += tagger.emissions(codes, mask)[window, place] * CENTRAL[place, None]
+            weight[at] += CENTRAL[place]
+    mask = weight > 0
+    return scores / np.where(mask, weight, 1.0)[:, :, None], mask
+
+
+def model_spans(tagger: Tagger, texts: list[str], base: list[list[tuple[int, int, int]]], table: np.ndarray) -> list[list[tuple[int, int, int]]]:
+    """Model spans of each text. A stretch that a span may leave is widened, and decoded again, until none does."""
+    found: dict[int, list[tuple[int, list[Found]]]] = {}
+    todo = [(k, low, high) for k, t in enumerate(texts) for low, high in stretches_of(t)]
+    while todo:
+        cuts = [texts[k][low * STRIDE : high * STRIDE + WIDTH] for k, low, high in todo]
+        wider = []
+        for (k, low, high), cut, spans in zip(todo, cuts, decode_windows(tagger, cuts, table)):
+            last = last_window(len(texts[k]))
+            left = low > 0 and any(a == 0 for a, _, _, _ in spans)
+            right = high < last and any(b == len(cut) for _, _, b, _ in spans)
+            if left or right:
+                more = high - low + 1
+                wider.append((k, max(low - more * left, 0), min(high + more * right, last)))
+            elif spans:
+                found.setdefault(k, []).append((low * STRIDE, spans))
+        todo = wider
+    return [reconcile(t, base[k], found.get(k, ()), cut=False) for k, t in enumerate(texts)]
+
+
+def reconcile(text: str, base: list[tuple[int, int, int]], found: Iterable[tuple[int, list[Found]]], sure: float = SURE, cut: bool = True) -> list[tuple[int, int, int]]:
+    """Model spans of a whole text from those of its stretches, or of single windows, whose edges may ``cut`` spans."""
     best: dict[tuple[int, int, int], float] = {}
     for start, spans in found:
         for a, kind, b, p in spans:
-            cut = (a == 0 and start > 0) or (b == WIDTH and start + WIDTH < len(text))
-            if p >= sure and not cut and valid(text[start + a : start + b], kind):
+            part = cut and ((a == 0 and start > 0) or (b == WIDTH and start + WIDTH < len(text)))
+            if p >= sure and not part and valid(text[start + a : start + b], kind):
                 key = (start + a, kind, start + b)
                 best[key] = max(best.get(key, 0.0), p)
     taken, out = sorted((a, b) for a, _, b in base), []
@@ -292,18 +357,9 @@ def scan_personal(docs: DataFrame, tagger: Tagger, id_col: str = "doc_id", text_
         table = None
         for batch in slices(batches):
             texts = texts_of(batch.column(1))
-            places = [(k, a) for k, t in enumerate(texts) for a in window_starts(t)]
             rows = [base_spans(t) if TRIGGER.search(t) else [] for t in texts]
-            added: list[list[tuple[int, int, int]]] = [[] for _ in texts]
-            if places:
-                table = _code_table() if table is None else table
-                spans = decode_windows(shared.value, [texts[k][a : a + WIDTH] for k, a in places], table)
-                by: dict[int, list] = {}
-                for (k, a), s in zip(places, spans):
-                    if s:
-                        by.setdefault(k, []).append((a, s))
-                for k, found in by.items():
-                    added[k] = reconcile(texts[k], rows[k], found)
+            table = _code_table() if table is None else table
+            added = model_spans(shared.value, texts, rows, table)
             counts = [pa.array([sum(1 for s in r if s[1] == k) for r in rows], pa.int64()) for k in range(4)]
             base = pa.array([hashlib.sha256(_written(r).encode()).hexdigest() for r in rows], pa.string())
             both = pa.array([_written(sorted(r + m)) for r, m in zip(rows, added)], pa.string())

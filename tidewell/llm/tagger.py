@@ -62,8 +62,8 @@ class Tagger:
         h = np.concatenate((self._pass(x, mask, "0", False)[0], self._pass(x, mask, "1", False)[0]), axis=2)
         return h @ self.weights["w"] + self.weights["c"]
 
-    def marginals(self, scores: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Probability of each tag at each place, and summed probability of each tag pair at neighbouring places."""
+    def marginals(self, scores: np.ndarray, mask: np.ndarray, pairs_too: bool = True) -> tuple[np.ndarray, np.ndarray | None]:
+        """Probability of each tag at each place, and, if asked, summed probability of each tag pair at neighbouring places."""
         n, length, k = scores.shape
         move = self.weights["t"]
         fore, back = np.zeros((n, length, k)), np.zeros((n, length, k))
@@ -76,6 +76,8 @@ class Tagger:
             back[:, t] = np.where(mask[:, t + 1, None], step, back[:, t + 1])
         total = _logsum(fore[:, -1], 1)
         one = np.exp(fore + back - total[:, None, None]) * mask[:, :, None]
+        if not pairs_too:
+            return one, None
         pairs = fore[:, :-1, :, None] + move + (scores[:, 1:] + back[:, 1:])[:, :, None, :] - total[:, None, None, None]
         two = (np.exp(np.minimum(pairs, 0)) * mask[:, 1:, None, None]).sum(axis=(0, 1))
         return one, two
@@ -83,7 +85,7 @@ class Tagger:
     def decode(self, scores: np.ndarray, mask: np.ndarray) -> np.ndarray:
         """Best tag sequence of each window (Viterbi)."""
         n, length, k = scores.shape
-        best, came = scores[:, 0], np.zeros((n, length, k), np.int64)
+        best, came = scores[:, 0], np.zeros((n, length, k), np.int8)
         for t in range(1, length):
             options = best[:, :, None] + self.weights["t"]
             came[:, t] = options.argmax(axis=1)
