@@ -3,15 +3,15 @@
 Per language, a suffix automaton holds all substrings of a bounded sample of labelled text. A document
 is cut, from the left, into the longest phrases that the automaton knows; a letter it does not know is
 a phrase. Phrases times log2 of the sample's length, per letter, estimate the cross entropy in bits;
-the language that needs the fewest bits wins. Automata are built once, from the sample, and sent to the
-tasks as dense arrays whose size is bound by the sample; a task parses thousands of blocks of text in
+the language that needs the fewest bits wins. Every letter of a sample has a code of its own. Automata
+are built once, from the sample, and sent to the tasks as sparse arrays (sorted keys of state and code)
+whose size is bound by the sample, whatever the alphabet; a task parses thousands of blocks of text in
 lockstep. A phrase ends at the end of a block of ``BLOCK`` letters.
 """
 
 from __future__ import annotations
 
 import unicodedata
-from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -28,29 +28,47 @@ from tidewell.llm.common import crc_mod, slices, texts_of
 SAMPLE_ROWS = 60
 PASSAGE = 4000
 SAMPLE = 40_000
-#: Letters with a code of their own, by frequency in the sample; others share one.
-LETTERS = 94
+#: Codes of blanks and of letters that no sample holds; each letter of the samples has its own.
 SPACE, OTHER = 0, 1
 BLOCK = 1024
+#: Moves (states times letters of a language) up to which an automaton is a full table; larger ones are sorted keys.
+DENSE = 8_000_000
+
+
+@dataclass
+class Automaton:
+    local: np.ndarray  # code in the model -> code in this language, OTHER if its sample does not hold the letter
+    root: np.ndarray  # code in this language -> state
+    table: np.ndarray | None  # state * width + code -> state, or -1
+    keys: np.ndarray | None  # without a table: sorted state * width + code
+    targets: np.ndarray | None  # and their states
+
+    def step(self, state: np.ndarray, code: np.ndarray) -> np.ndarray:
+        """Next states, -1 where there is none."""
+        if self.table is not None:
+            return self.table.take(state * np.int32(len(self.root)) + code)
+        key = state.astype(np.int64) * len(self.root) + code
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys.take(at) == key, self.targets.take(at), np.int32(-1))
 
 
 @dataclass
 class Model:
     languages: list[str]
     letters: str
-    moves: list[np.ndarray]  # by language: state * width + code -> state, or -1
+    automata: list[Automaton]  # by language
     bits: list[float]  # cost of a phrase
 
-    @property
-    def width(self) -> int:
-        return len(self.letters) + 2
+
+#: Code points from here on are no letters.
+POINTS = 0x40000
 
 
 def code_table(letters: str) -> np.ndarray:
-    """Code of each code point of the basic plane."""
+    """Code of each code point below POINTS."""
     number = {c: k + 2 for k, c in enumerate(letters)}
-    table = np.zeros(1 << 16, np.uint8)
-    for point in range(1 << 16):
+    table = np.zeros(POINTS, np.min_scalar_type(len(letters) + 1))
+    for point in range(POINTS):
         low = chr(point).lower()
         if low.isalpha():
             table[point] = number.get(low, OTHER)
@@ -62,10 +80,7 @@ def codes_of(texts: list[str], table: np.ndarray) -> tuple[np.ndarray, np.ndarra
     texts = [t if t.isascii() else unicodedata.normalize("NFC", t) for t in texts]
     points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
     bounds = np.concatenate(([0], np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))))
-    codes = table[np.minimum(points, 0xFFFF)]
-    high = np.flatnonzero(points > 0xFFFF)
-    if len(high):
-        codes[high] = [OTHER if chr(p).isalpha() else SPACE for p in points[high].tolist()]
+    codes = table[np.minimum(points, POINTS - 1)]
     keep = codes != SPACE
     keep[1:] |= codes[:-1] != SPACE
     if len(keep):
@@ -74,8 +89,13 @@ def codes_of(texts: list[str], table: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return codes[keep], np.concatenate(([0], np.cumsum(keep)))[bounds]
 
 
-def automaton(codes: np.ndarray, width: int) -> np.ndarray:
-    """Suffix automaton of a code sequence as a flat table of moves; the last state is that of an unknown letter."""
+def automaton(codes: np.ndarray, total: int) -> Automaton:
+    """Suffix automaton of a sequence of codes below ``total``; the last state is that of an unknown letter."""
+    own = np.setdiff1d(codes, [SPACE, OTHER])
+    local = np.full(total, OTHER, np.int32)
+    local[SPACE] = SPACE
+    local[own] = np.arange(2, len(own) + 2)
+    codes, width = local[codes], len(own) + 2
     moves: list[dict[int, int]] = [{}]
     link, length = [-1], [0]
     last = 0
@@ -103,12 +123,16 @@ def automaton(codes: np.ndarray, width: int) -> np.ndarray:
                 link[q] = link[new] = copy
         last = new
     unknown = len(moves)
-    table = np.full((unknown + 1, width), -1, np.int32)
-    for state, out in enumerate(moves):
-        for c, to in out.items():
-            table[state, c] = to
-    table[0, table[0] < 0] = unknown
-    return table.ravel()
+    root = np.full(width, unknown, np.int32)
+    root[list(moves[0])] = list(moves[0].values())
+    moves[0] = dict(enumerate(root.tolist()))
+    keys = np.array([state * width + c for state, out in enumerate(moves) for c in sorted(out)], np.int64)
+    targets = np.array([out[c] for out in moves for c in sorted(out)], np.int32)
+    if (unknown + 1) * width > DENSE:
+        return Automaton(local, root, None, keys, targets)
+    table = np.full((unknown + 1) * width, -1, np.int32)
+    table[keys] = targets
+    return Automaton(local, root, table, None, None)
 
 
 def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", modulus: int = 4, held_out: int = 2) -> Model:
@@ -127,8 +151,8 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 
 def model_of(by: dict[str, list[str]]) -> Model:
     """Automata of the given texts by language; a language without a letter is left out."""
-    counts = Counter(c for texts in by.values() for t in texts for c in unicodedata.normalize("NFC", t).lower() if c.isalpha() and ord(c) < 1 << 16)
-    letters = "".join(c for c, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:LETTERS])
+    found = {c.lower() for texts in by.values() for t in texts for c in set(unicodedata.normalize("NFC", t))}
+    letters = "".join(sorted(c for c in found if len(c) == 1 and c.isalpha()))
     table = code_table(letters)
     model = Model([], letters, [], [])
     for language in sorted(by):
@@ -136,7 +160,7 @@ def model_of(by: dict[str, list[str]]) -> Model:
         codes = codes[:SAMPLE]
         if (codes != SPACE).any():
             model.languages.append(language)
-            model.moves.append(automaton(codes, model.width))
+            model.automata.append(automaton(codes, len(letters) + 2))
             model.bits.append(float(np.log2(max(len(codes), 2))))
     return model
 
@@ -157,17 +181,15 @@ def phrases(model: Model, codes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     if not longest:
         return out
     grid = codes[np.minimum(start[None, :] + np.arange(longest)[:, None], len(codes) - 1)].astype(np.int32)
-    for k, moves in enumerate(model.moves):
+    for k, known in enumerate(model.automata):
         state = np.zeros(len(start), np.int32)
         count = np.zeros(len(start), np.int32)
-        width = np.int32(model.width)
-        root = moves[: model.width]
         for t, n in enumerate(active.tolist()):
-            code = grid[t, :n]
-            to = moves.take(state[:n] * width + code)
+            code = known.local.take(grid[t, :n])
+            to = known.step(state[:n], code)
             miss = to < 0
             count[:n] += miss
-            np.copyto(to, root.take(code), where=miss)
+            np.copyto(to, known.root.take(code), where=miss)
             state[:n] = to
         out[:, k] = np.bincount(text, count + 1, len(sizes)).astype(np.int64)  # and the phrase that the end cuts off
     return out
