@@ -6,12 +6,12 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewell.session import reliable_checkpoint, work_folder
 
-__all__ = ["documents", "table", "reliable_checkpoint", "work_folder", "texts_of", "text_bytes", "slices", "mix", "crc_mod", "id_text"]
+__all__ = ["documents", "table", "reliable_checkpoint", "work_folder", "texts_of", "text_bytes", "slices", "mix", "crc_mod", "id_text", "row_numbers", "sorted_positions"]
 
 SLICE_BYTES = 4 << 20
 
@@ -75,3 +75,26 @@ def mix(h: np.ndarray) -> np.ndarray:
     h = h ^ (h >> np.uint64(29))
     h = h * np.uint64(0xC4CEB9FE1A85EC53)
     return h ^ (h >> np.uint64(32))
+
+
+def row_numbers(rows: DataFrame, group: str) -> DataFrame:
+    """A written table with dense ``pos`` from 0 within each ``group``, in the table's order, and the group's ``size``.
+
+    ``rows`` must be written with ``_at``, from ``monotonically_increasing_id``. Only one row per
+    group and written partition is gathered to add up the partitions before.
+    """
+    part = F.shiftright("_at", 33).alias("_part")
+    spans = rows.groupBy(group, part).agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
+    order = Window.partitionBy(group)
+    before = F.coalesce(F.sum("_n").over(order.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    spans = reliable_checkpoint(spans.select(group, "_part", (before - F.col("_first")).alias("_shift"), F.sum("_n").over(order).alias("size")))
+    return rows.withColumn("_part", F.shiftright("_at", 33)).join(spans, [group, "_part"]).withColumn("pos", F.col("_at") + F.col("_shift")).drop("_at", "_part", "_shift")
+
+
+def sorted_positions(rows: DataFrame, group: str, order: list[str]) -> DataFrame:
+    """``rows`` with their place ``pos`` in the order of their ``group`` and its ``size``.
+
+    Dealt by sampled ranges of group and order, so that a large group is many partitions.
+    """
+    placed = rows.repartitionByRange(group, *order).sortWithinPartitions(group, *order)
+    return row_numbers(reliable_checkpoint(placed.withColumn("_at", F.monotonically_increasing_id())), group)

@@ -5,7 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tidewell.llm import merkle
 from tidewell.llm.bpe import encode_documents
 from tidewell.llm.common import documents, table
 from tidewell.llm.decontaminate import contamination
@@ -80,4 +82,58 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs, learn(docs))
 
 
-QUERIES |= {f.__name__: f for f in (op1_exact_dedup, op2_secret_scan, op3_suffix_dedup, op4_personal_data, op5_quality, op6_decontamination, op7_bpe, op8_simhash, op9_substring_dedup, op10_language_id)}
+
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    without_breaks = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
+    found = merkle.audit(merkle.merkle_manifest(documents(spark, sf_dir), seen={"text": without_breaks}))
+    return found.withColumnRenamed("id", "doc_id")
+
+
+SQL["op11_merkle_manifest"] = r"""
+WITH RECURSIVE fields AS (
+    SELECT doc_id, source, text,
+        CASE WHEN doc_id IS NULL THEN '-' ELSE strlen(doc_id::VARCHAR) || ':' || doc_id END
+            || CASE WHEN source IS NULL THEN '-' ELSE strlen(source) || ':' || source END
+            || CASE WHEN lang IS NULL THEN '-' ELSE strlen(lang) || ':' || lang END
+            || CASE WHEN n_chars IS NULL THEN '-' ELSE strlen(n_chars::VARCHAR) || ':' || n_chars END AS head,
+        -- parity of the CRC-32 of the id as text: a step of eight bits per character
+        (list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+            lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))) & 1) = 1 AS tampered
+    FROM documents
+), leaves AS (
+    SELECT doc_id, CASE WHEN source IS NULL THEN '' ELSE '+' || source END AS tree,
+        sha256(head || CASE WHEN text IS NULL THEN '-' ELSE strlen(text) || ':' || text END) AS leaf,
+        sha256(head || CASE WHEN text IS NULL THEN '-' WHEN tampered THEN strlen(replace(text, chr(10), '')) || ':' || replace(text, chr(10), '') ELSE strlen(text) || ':' || text END) AS seen
+    FROM fields
+), placed AS (
+    SELECT *, row_number() OVER () AS rid, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY tree) AS n FROM leaves
+), nodes AS (
+    SELECT tree, 0 AS level, pos, n, leaf AS h FROM placed
+    UNION ALL
+    SELECT tree, level + 1, pos // 3, any_value((n + 2) // 3), sha256(string_agg(h, '' ORDER BY pos)) FROM nodes WHERE n > 1 GROUP BY tree, level, pos // 3
+), subroots AS (
+    SELECT tree, h, level AS height, row_number() OVER (ORDER BY tree) - 1 AS pos, count(*) OVER () AS n FROM nodes WHERE n = 1
+), tops AS (
+    SELECT 0 AS level, pos, n, h FROM subroots
+    UNION ALL
+    SELECT level + 1, pos // 3, any_value((n + 2) // 3), sha256(string_agg(h, '' ORDER BY pos)) FROM tops WHERE n > 1 GROUP BY level, pos // 3
+), every AS (
+    SELECT 0 AS part, tree, level, pos, h FROM nodes WHERE n > 1 UNION ALL SELECT 1, '', level, pos, h FROM tops WHERE n > 1
+), beside AS (
+    SELECT a.part, a.tree, a.level, a.pos, coalesce(string_agg(b.h, '' ORDER BY b.pos) FILTER (b.pos < a.pos), '') AS l, coalesce(string_agg(b.h, '' ORDER BY b.pos) FILTER (b.pos > a.pos), '') AS r
+    FROM every a JOIN every b ON a.part = b.part AND a.tree = b.tree AND a.level = b.level AND a.pos // 3 = b.pos // 3 GROUP BY ALL
+), steps AS (
+    SELECT p.rid, b.part, b.level, b.l, b.r FROM placed p JOIN beside b ON b.part = 0 AND b.tree = p.tree AND b.pos = p.pos // CAST(3 ** b.level AS BIGINT)
+    UNION ALL
+    SELECT p.rid, b.part, b.level, b.l, b.r FROM placed p JOIN subroots s USING (tree) JOIN beside b ON b.part = 1 AND b.pos = s.pos // CAST(3 ** b.level AS BIGINT)
+), chains AS (
+    SELECT rid, string_agg(l || r, '' ORDER BY part, level) AS siblings, list({'h': '', 'l': l, 'r': r} ORDER BY part, level) AS chain FROM steps GROUP BY rid
+), folded AS (
+    SELECT p.doc_id, p.leaf, s.h AS subroot, (SELECT h FROM tops WHERE n = 1) AS root, sha256(coalesce(c.siblings, '')) AS proof_sha256,
+        list_reduce(list_prepend({'h': p.seen, 'l': '', 'r': ''}, coalesce(c.chain, [])), lambda a, b: {'h': sha256(b.l || a.h || b.r), 'l': '', 'r': ''}).h AS folded_root
+    FROM placed p JOIN subroots s USING (tree) LEFT JOIN chains c USING (rid)
+)
+SELECT *, folded_root = root AS verified FROM folded
+"""
+
+QUERIES |= {f.__name__: f for f in (op1_exact_dedup, op2_secret_scan, op3_suffix_dedup, op4_personal_data, op5_quality, op6_decontamination, op7_bpe, op8_simhash, op9_substring_dedup, op10_language_id, op11_merkle_manifest)}
