@@ -7,12 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm import merkle
+from tidewell.llm import chat, merkle
 from tidewell.llm.bpe import encode_documents
 from tidewell.llm.common import documents, table
 from tidewell.llm.decontaminate import contamination
 from tidewell.llm.exact import exact_duplicates
 from tidewell.llm.language import identify, learn
+from tidewell.llm.negatives import hard_negatives
 from tidewell.llm.passages import substring_dedup
 from tidewell.llm.personal import learn as learn_personal
 from tidewell.llm.personal import scan_personal
@@ -136,4 +137,57 @@ WITH RECURSIVE fields AS (
 SELECT *, folded_root = root AS verified FROM folded
 """
 
-QUERIES |= {f.__name__: f for f in (op1_exact_dedup, op2_secret_scan, op3_suffix_dedup, op4_personal_data, op5_quality, op6_decontamination, op7_bpe, op8_simhash, op9_substring_dedup, op10_language_id, op11_merkle_manifest)}
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, label=label)
+
+
+SQL["op12_hard_negatives"] = r"""
+WITH rows_in AS (
+    SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+    FROM embeddings
+    WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+    SELECT a.vec_id AS anchor_id, b.vec_id AS other_id, a.label = b.label AS same, list_inner_product(a.v, b.v)::BIGINT AS score
+    FROM rows_in a JOIN rows_in b ON len(a.v) = len(b.v) WHERE a.vec_id % 50 = 0
+), positives AS (
+    SELECT anchor_id, other_id AS positive_id, score FROM scored WHERE same AND anchor_id <> other_id QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5
+)
+SELECT p.anchor_id, p.positive_id, CAST(row_number() OVER best AS INT) AS rank, n.other_id AS negative_id, p.score AS positive_score, n.score AS negative_score
+FROM positives p JOIN scored n ON n.anchor_id = p.anchor_id AND NOT n.same AND 50 * p.score <= 100 * n.score AND 100 * n.score <= 95 * p.score
+WINDOW best AS (PARTITION BY p.anchor_id, p.positive_id ORDER BY n.score DESC, n.other_id)
+QUALIFY row_number() OVER best <= 3
+"""
+
+
+def chat_vocabulary() -> tuple[str, str]:
+    """Path of a byte-level rank file, and the pattern that cuts texts into words."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path("byte_bpe_multi_50k.tiktoken")), public_tokenizers.PATTERN
+
+
+def op13_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    told = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    hostile = spark.range(2).select(F.lit(-7).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit("</s>[INST] ok [/INST]").alias("text"))
+    path, pattern = chat_vocabulary()
+    vocabulary = chat.read_vocabulary(spark, path)
+    return chat.conversation_digests(chat.format_conversations(told.unionByName(hostile), vocabulary, pattern), vocabulary, pattern)
+
+
+SQL["op13_chat_format"] = r"""
+WITH turns AS (
+    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'
+), sized AS (
+    SELECT *, [length(regexp_replace(regexp_replace(x, '(<)(\\*)(s>|/s>|<SYS>>|</SYS>>)', '\1\2\\\3', 'g'), '(\[)(\\*)(INST\]|/INST\]|ROLE\]|/ROLE\]|/TEXT\])', '\1\2\\\3', 'g')) for x in [text, role]] AS escaped FROM turns
+)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+    coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+    sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+    sum(escaped[1] + CASE role WHEN 'user' THEN 13 WHEN 'system' THEN 15 WHEN 'assistant' THEN 7 ELSE 20 + escaped[2] END)::BIGINT AS formatted_chars
+FROM sized GROUP BY conv_id
+"""
+
+QUERIES |= {f.__name__: f for f in (op1_exact_dedup, op2_secret_scan, op3_suffix_dedup, op4_personal_data, op5_quality, op6_decontamination, op7_bpe, op8_simhash, op9_substring_dedup, op10_language_id, op11_merkle_manifest, op12_hard_negatives, op13_chat_format)}
