@@ -11,9 +11,11 @@ from pyspark.sql import functions as F
 
 from tidewell.session import reliable_checkpoint, work_folder
 
-__all__ = ["documents", "table", "reliable_checkpoint", "work_folder", "texts_of", "text_bytes", "slices", "mix", "crc_mod", "id_text", "row_numbers", "sorted_positions"]
+__all__ = ["documents", "table", "reliable_checkpoint", "work_folder", "texts_of", "text_bytes", "slices", "SMALL_SLICE", "mix", "crc_mod", "id_text", "row_numbers", "sorted_positions"]
 
 SLICE_BYTES = 4 << 20
+#: Bytes of text hashed or parsed at a time where that holds many times as much.
+SMALL_SLICE = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

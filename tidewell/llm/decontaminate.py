@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import id_text, slices, text_bytes
+from tidewell.llm.common import SMALL_SLICE, id_text, slices, text_bytes
 from tidewell.llm.tokens import Windows, words
 
 MIN_MATCH = 5
@@ -166,7 +166,7 @@ def _marked(rows: DataFrame, benchmark: DataFrame, text: str, min_match: int, th
 def _pass(rows: DataFrame, shared, text: str, threshold: float) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = shared.value
-        for batch in slices(batches, text):
+        for batch in slices(batches, text, SMALL_SLICE):
             names = batch.schema.names
             n, cover, item, tiles = (batch.column(names.index(c)).to_pylist() for c in ("_n", "_cover", "_item", "_tiles"))
             for row, k, share, count in block.hits(batch.column(names.index(text))):

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewell.llm.common import crc_mod, slices, texts_of
+from tidewell.llm.common import SMALL_SLICE, crc_mod, slices, texts_of
 
 #: The sample of a language: this many rows at most (those with the smallest hash of their id), a
 #: passage of at most PASSAGE letters at a hashed place of each, SAMPLE letters in all.
@@ -211,7 +211,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
         table = code_table(known.letters)
-        for batch in slices(batches):
+        for batch in slices(batches, limit=SMALL_SLICE):
             best, score, rate = judge(known, texts_of(batch.column(2)), table)
             made = {"doc_id": batch.column(0), "held_out": batch.column(1), "lang_pred": pa.array(best, pa.string()), "score": pa.array(score), "bits_per_letter": pa.array(rate)}
             yield pa.RecordBatch.from_pydict(made | ({"_row": batch.column(3)} if with_row else {}))

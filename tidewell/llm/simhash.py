@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import id_text, reliable_checkpoint, slices, text_bytes
+from tidewell.llm.common import SMALL_SLICE, id_text, reliable_checkpoint, slices, text_bytes
 from tidewell.llm.components import components
 
 SEED = 42
@@ -63,7 +63,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """``doc_id, fp`` (as a signed long) of every row, and ``_key`` if a key is named."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, limit=SMALL_SLICE):
             data, bounds = text_bytes(batch.column(1))
             raw, cuts = data.tobytes(), bounds.tolist()
             made = np.array([fingerprint(raw[a:b]) for a, b in zip(cuts, cuts[1:])], np.uint64)

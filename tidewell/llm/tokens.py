@@ -11,16 +11,21 @@ BYTE_CODE = _RNG.integers(0, 1 << 64, 256, np.uint64)
 BASE = np.uint64(0x9FB21C651E98DF25)
 INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 _POWERS: dict[int, np.ndarray] = {}
+#: Powers a worker keeps: those for a slice of 1 MB.
+KEPT = (1 << 20) + 1
+#: Bytes whose words are hashed at a time; a piece ends between words.
+PIECE = 1 << 20
 
 
 def powers(base: np.uint64, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64; kept for the next call."""
+    """base**0 .. base**(n-1) modulo 2**64; up to KEPT of them are kept for the next call."""
     held = _POWERS.get(int(base))
     if held is None or len(held) < n:
-        size = max(n, 1 << 16)
-        steps = np.full(size, base, np.uint64)
+        steps = np.full(max(n, KEPT), base, np.uint64)
         steps[0] = 1
-        held = _POWERS[int(base)] = np.multiply.accumulate(steps)
+        held = np.multiply.accumulate(steps)
+        if len(held) == KEPT:
+            _POWERS[int(base)] = held
     return held[:n]
 
 
@@ -64,4 +69,11 @@ def words(data: np.ndarray, bounds: np.ndarray, inside: np.ndarray) -> tuple[np.
     """Starts, ends, hashes and rows of the words; ``inside`` says by byte value what belongs to a word."""
     starts, ends = runs(inside[data], bounds)
     rows = np.searchsorted(bounds, starts, "right") - 1
-    return starts, ends, window_hashes(BYTE_CODE[data], starts, ends), rows
+    hashes = np.empty(len(starts), np.uint64)
+    first = 0
+    while first < len(starts):  # a long text in pieces
+        at = int(starts[first])
+        last = max(int(np.searchsorted(ends, at + PIECE, "right")), first + 1)
+        hashes[first:last] = window_hashes(BYTE_CODE[data[at : int(ends[last - 1])]], starts[first:last] - at, ends[first:last] - at)
+        first = last
+    return starts, ends, hashes, rows
