@@ -8,6 +8,7 @@ from tidewell.functions import vectors as vx
 from tidewell.functions.numeric import r4, r9
 from tidewell.operators import signals as sg
 from tidewell.operators import vectorsets as vs
+from tidewell.operators.similar import top_similar
 from tidewell.operators.timelines import weekly_summary
 from tidewell.plans.registry import add, q4, q9
 
@@ -128,8 +129,13 @@ add("ARR9_user_similarity", lambda t: vs.pair_similarity(t.user.selectExpr("user
 add("JN16_pair_similarity", lambda t: vs.pair_similarity(t.user.selectExpr("user_id AS a", "user_id + 2 AS b"), weekly(t), research=True).filter("similarity > 0.9").select("a", "b"),
     "SELECT a, b FROM (SELECT x.user_id AS a, y.user_id AS b, x.n AS na, y.n AS nb, x.q AS qa, y.q AS qb, coalesce((SELECT sum(l.risk * r.risk) FROM w l JOIN w r ON l.pos = r.pos WHERE l.user_id = x.user_id AND r.user_id = y.user_id), 0e0) AS d "
     "FROM g x JOIN g y ON y.user_id = x.user_id + 2) WHERE na = nb AND d / (sqrt(qa) * sqrt(qb)) > 9e-1", "score")
+add("JN16_top_similar", lambda t: top_similar(weekly(t), 5, research=True),
+    "SELECT a, b, similarity, rank FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY similarity DESC, b) AS rank FROM (SELECT x.user_id AS a, y.user_id AS b, "
+    f"{q9('list_inner_product(x.v, y.v) / (sqrt(x.q) * sqrt(y.q))')} AS similarity FROM lists x JOIN lists y ON len(x.v) = len(y.v) AND x.user_id <> y.user_id)) WHERE rank <= 5", "score")
 from tidewell.plans.registry import SQL  # noqa: E402
 
+SQL["JN16_top_similar"] = SQL["JN16_top_similar"].replace(") SELECT a, b", f"), w AS ({WEEK}), lists AS (SELECT user_id, list(risk ORDER BY pos) AS v, sum(risk * risk) AS q FROM w GROUP BY 1) SELECT a, b", 1)
+
 for _n in ("ARR9_user_similarity", "JN16_pair_similarity"):
     _cte = f"w AS ({WEEK}), g AS (SELECT user_id, count(*) AS n, sum(risk * risk) AS q FROM w GROUP BY 1) SELECT a, b"
     SQL[_n] = SQL[_n].replace(") SELECT a, b", "), " + _cte, 1)
