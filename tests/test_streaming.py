@@ -1,6 +1,7 @@
 """Streams over several micro-batches equal the batch operators on all rows."""
 
 import math
+import random
 
 from pyspark.sql import functions as F
 
@@ -74,3 +75,42 @@ def test_missing_checkin_timer(spark, tmp_path):
     end = last.agg(F.max("t")).first()[0]
     silent = {r["user_id"] for r in last.collect() if (end - r["t"]).total_seconds() > 86400 + 3600}
     assert silent and silent <= away
+
+
+def trailing_by_hand(rows, days, step):
+    out = {}
+    for user, ts, risk in rows:
+        first = (ts // (step * 86400) + 1) * step * 86400
+        for k in range(days // step):
+            out.setdefault((user, first + k * step * 86400), []).append(risk)
+    return {key: (len(v), sum(v) / len(v), max(v)) for key, v in out.items()}
+
+
+def test_trailing_windows_from_panes(spark):
+    rng = random.Random(4)
+    rows = [(rng.randrange(3), rng.randrange(-200, 200) * 86400 + rng.randrange(86400), rng.random()) for _ in range(120)] + [(7, 86400 * 5, 0.5), (8, 0, 0.1), (8, -1, 0.2)]
+    df = spark.createDataFrame(rows, "user_id long, s long, risk double").selectExpr("user_id", "timestamp_seconds(s) AS ts", "risk")
+    for days, step in ((1, 1), (7, 1), (90, 1), (180, 1), (21, 7), (28, 28)):
+        got = st.trailing_summary(df, days, step).selectExpr("user_id", "unix_seconds(until) AS until", "n", "mean_risk", "peak_risk").collect()
+        want = trailing_by_hand(rows, days, step)
+        assert {(r["user_id"], r["until"]) for r in got} == set(want) and len(got) == len(want)
+        for r in got:
+            n, mean, peak = want[r["user_id"], r["until"]]
+            assert (r["n"], r["peak_risk"]) == (n, peak) and math.isclose(r["mean_risk"], mean, abs_tol=1e-12)
+
+
+def test_trailing_windows_are_not_shuffled_per_step(spark):
+    df = spark.range(4000).selectExpr("id % 4 AS user_id", "timestamp_seconds(id * 21600) AS ts", "rand(3) AS risk")
+    plan = st.trailing_summary(df, 180)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2  # panes, then panes by user: none after the windows are spread
+    assert "Exchange hashpartitioning" not in plan[: plan.index("Generate explode")]
+
+
+def test_trailing_windows_of_a_stream(spark, tmp_path):
+    batch = deliveries(spark, tmp_path / "in")
+    stream = st.arriving_files(spark, str(tmp_path / "in"), TABLE_DDL["events"], per_batch=1)
+    scores = stream.selectExpr("event_id AS id", "user_id", "CAST(ts AS TIMESTAMP) AS ts", "least(value / 200, 1D) AS risk")
+    got = st.stream_to_table(st.trailing_summary(scores, 7, watermark="1 hour"), "trailing").collect()
+    want = {(r["user_id"], r["until"]): (r["n"], r["peak_risk"]) for r in st.trailing_summary(batch.withColumn("ts", F.col("ts").cast("timestamp")), 7).collect()}
+    assert got and len(got) == len({(r["user_id"], r["until"]) for r in got})
+    assert all(want[r["user_id"], r["until"]] == (r["n"], r["peak_risk"]) for r in got)  # those that the watermark has closed

@@ -10,7 +10,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -80,19 +80,35 @@ def period_summary(score: DataFrame, days: int = 7, watermark: str = WATERMARK)
 
 
 def trailing_summary(score: DataFrame, days: int = 30, step_days: int = 1, watermark: str = WATERMARK) -> DataFrame:
-    """Sliding windows ending every ``step_days`` (STR6). Rows are first reduced to one per step,
-    so a long window multiplies summaries and not check-ins."""
+    """Sliding windows of ``days`` ending every ``step_days`` (STR6), from panes of one step each.
+
+    A batch merges panes: the steps are cut into blocks as long as a window, so a window is the end of one
+    block and the start of the next. Running totals from both ends of the blocks give every window as the
+    sum of two rows, whatever its length; nothing is copied per window and nothing is subtracted. A pane
+    row is moved once, by user, of whom there is one row per active step. A stream reduces rows to panes
+    first as well, and spreads the panes. ``days`` must be a multiple of ``step_days``.
+    """
+    steps = days // step_days
+    if steps < 1 or steps * step_days != days:
+        raise ValueError("days must be a multiple of step_days")
     if score.isStreaming:
-        rows = _marked(score, watermark).groupBy("user_id", F.window("ts", f"{days} days", f"{step_days} days").alias("w")).agg(
-            F.count("*").alias("n"), F.sum("risk").alias("s"), F.max("risk").alias("peak_risk")
-        )
+        panes = _marked(score, watermark).groupBy("user_id", F.window("ts", f"{step_days} days").alias("w")).agg(F.count("*").alias("n"), F.sum("risk").alias("s"), F.max("risk").alias("peak_risk"))
+        rows = panes.groupBy("user_id", F.window(F.window_time("w"), f"{days} days", f"{step_days} days").alias("w")).agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.max("peak_risk").alias("peak_risk"))
         return rows.select("user_id", F.col("w.end").alias("until"), "n", (F.col("s") / F.col("n")).alias("mean_risk"), "peak_risk")
-    daily = score.groupBy("user_id", F.window("ts", f"{step_days} days")["end"].alias("first_end")).agg(
-        F.count("*").alias("n"), F.sum("risk").alias("s"), F.max("risk").alias("peak_risk")
-    )
-    spread = F.explode(F.expr(f"sequence(0, {days // step_days - 1})")).alias("k")
-    rows = daily.select("*", spread).withColumn("until", F.expr(f"first_end + make_dt_interval(k * {step_days})"))
-    return rows.groupBy("user_id", "until").agg(F.sum("n").alias("n"), (F.sum("s") / F.sum("n")).alias("mean_risk"), F.max("peak_risk").alias("peak_risk"))
+    panes = score.groupBy("user_id", F.window("ts", f"{step_days} days")["end"].alias("end")).agg(F.count("*").alias("n"), F.sum("risk").alias("s"), F.max("risk").alias("m"))
+    panes = panes.withColumn("p", F.floor(F.unix_date(F.to_date("end")) / step_days)).withColumn("b", F.floor(F.col("p") / steps))
+    user, block = Window.partitionBy("user_id"), Window.partitionBy("user_id", "b")
+    start = block.orderBy("p").rowsBetween(Window.unboundedPreceding, 0)
+    end = block.orderBy(F.desc("p")).rowsBetween(Window.unboundedPreceding, 0)
+    total = lambda w: F.struct(F.sum("n").over(w).alias("n"), F.sum("s").over(w).alias("s"), F.max("m").over(w).alias("m"))
+    panes = panes.select("user_id", "end", "p", "b", total(start).alias("head"), total(end).alias("tail"), F.lead("p").over(user.orderBy("p")).alias("after"), F.lag("p").over(user.orderBy("p")).alias("before"))
+    last = F.least(F.col("after") - 1, (F.col("b") + 1) * steps - 1)  # the pane is the latest one for these steps of its block
+    first = F.greatest(F.col("before") + 1, F.col("b") * steps + 1)  # and the earliest one of its block for windows that begin at these
+    spread = lambda low, high, part: F.transform(F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<bigint>")), lambda k: F.struct(k.alias("k"), F.col(part).alias("v")))
+    at = F.concat(spread(F.lit(0).cast("long"), last - F.col("p"), "head"), spread(first - F.col("p") + steps - 1, F.lit(steps - 1).cast("long"), "tail"))
+    rows = panes.select("user_id", "end", F.explode(at).alias("w"))
+    rows = rows.select("user_id", (F.col("end") + F.make_dt_interval((F.col("w.k") * step_days).cast("int"))).alias("until"), "w.v.*")
+    return rows.groupBy("user_id", "until").agg(F.sum("n").alias("n"), (F.sum("s") / F.sum("n")).alias("mean_risk"), F.max("m").alias("peak_risk"))
 
 
 def bursts(score: DataFrame, gap: str = "7 days", watermark: str = WATERMARK) -> DataFrame:
