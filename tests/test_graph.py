@@ -101,3 +101,24 @@ def test_dense_numbers(spark):
 def test_temporal_levels(spark):
     edge = spark.createDataFrame([("a", "b", "FOLLOWED_BY"), ("b", "c", "FOLLOWED_BY"), ("a", "c", "FOLLOWED_BY")], "src STRING, dst STRING, rel_type STRING")
     assert {r["node_id"]: r["level"] for r in gr.ancestors(edge).collect()} == {"a": 0, "b": 1, "c": 2}
+
+
+def test_packed_root_sets_equal_sets(spark):
+    for seed, hops in ((4, 1), (6, 3)):
+        node, edge, pairs, n = random_graph(spark, seed, nodes=90, edges=100)
+        roots = node.select(F.col("node_id").alias("root"))  # over one word of roots
+        near = {}
+        for a, b in pairs:
+            near.setdefault(a, set()).add(b)
+            near.setdefault(b, set()).add(a)
+        reach = {}
+        for i in range(n):
+            seen = front = {f"n{i}"}
+            for _ in range(hops):
+                front = {y for x in front for y in near.get(x, ())} - seen
+                seen = seen | front
+            reach[f"n{i}"] = seen - {f"n{i}"}
+        want = {r: (len(s), sum(a in s or b in s for a, b in pairs)) for r, s in reach.items() if s}
+        assert {r["root"]: (r["node_count"], r["rel_count"]) for r in gr.incident_counts(edge, roots, hops).collect()} == want
+        got = sorted(tuple(r) for r in gr.labelled_within(edge, node, roots, "Session", hops).collect())
+        assert got == sorted((r, x) for r, s in reach.items() for x in s if int(x[1:]) % 2)

@@ -61,10 +61,71 @@ def guarded(reach: DataFrame, max_nodes: int = 500) -> DataFrame:
     return reach.join(checked.filter("_ok").select("root"), "root")
 
 
+#: Roots whose flags share one number.
+WORD = 64
+
+
+def numbered(node_ids: DataFrame) -> DataFrame:
+    """``node_id, _n``: a written table of distinct ids with a number each, in no order."""
+    return reliable_checkpoint(node_ids.distinct().withColumn("_n", F.monotonically_increasing_id()))
+
+
+class RootSets:
+    """Which roots reach a node, for very many roots: one row per node and word of roots, not per node and root.
+
+    Roots are numbered, ``WORD`` of them to a word, a bit each; ``reach`` has ``_n, word, bits`` for the
+    nodes within ``hops``, a root's own node left out as in ``neighbourhood``. A step sends words along links and
+    merges them with ``bit_or`` before and after the shuffle, so a hub that all users reach costs a row per word.
+    """
+
+    def __init__(self, edge: DataFrame, roots: DataFrame, hops: int) -> None:
+        ends = edge.select(F.col("src").alias("node_id")).union(edge.select("dst")).union(roots.select("root"))
+        self.ids = numbered(ends)
+        self.edges = reliable_checkpoint(edge.select("src", "dst").join(self.ids.toDF("src", "a"), "src").join(self.ids.toDF("dst", "b"), "dst").groupBy("a", "b").agg(F.count("*").alias("m")))
+        asked = roots.select("root").distinct().join(self.ids.toDF("root", "_n"), "root")
+        asked = reliable_checkpoint(asked.withColumn("_i", F.monotonically_increasing_id()))
+        bit = F.pmod("_i", F.lit(WORD)).cast("int")
+        self.roots = asked.select("root", "_n", F.shiftright("_i", 6).alias("word"), bit.alias("bit"))
+        links = self.edges.select(F.col("a").alias("_n"), F.col("b").alias("to")).union(self.edges.filter("a <> b").select("b", "a"))
+        links = reliable_checkpoint(links.distinct())
+        flag = F.expr("shiftleft(1L, bit)")
+        seen = frontier = self.roots.groupBy("_n", "word").agg(F.bit_or(flag).alias("bits"))
+        levels: list[DataFrame] = []
+        for step in range(1, hops + 1):
+            met = frontier.join(links, "_n").groupBy(F.col("to").alias("_n"), "word").agg(F.bit_or("bits").alias("bits"))
+            known = seen.select("_n", "word", F.col("bits").alias("old"))
+            fresh = met.join(known, ["_n", "word"], "left").select("_n", "word", F.col("bits").bitwiseAND(F.bitwise_not(F.coalesce("old", F.lit(0).cast("long")))).alias("bits"))
+            frontier = reliable_checkpoint(fresh.filter("bits <> 0"))
+            levels.append(frontier)
+            if step < hops:
+                seen = reliable_checkpoint(seen.unionByName(frontier).groupBy("_n", "word").agg(F.bit_or("bits").alias("bits")))
+        merged = levels[0]
+        for level in levels[1:]:
+            merged = merged.unionByName(level)
+        self.reach = reliable_checkpoint(merged.groupBy("_n", "word").agg(F.bit_or("bits").alias("bits")))
+
+    def totals(self, rows: DataFrame, weight: str, name: str) -> DataFrame:
+        """``root, name``: per root the sum of ``weight`` over the rows (``word, bits``) that hold its bit.
+
+        One sum per bit of a word, so rows are added up before they move; roots without a row have no total.
+        """
+        sums = [F.sum(F.shiftrightunsigned("bits", k).bitwiseAND(F.lit(1).cast("long")) * F.col(weight)).alias(f"_{k}") for k in range(WORD)]
+        per_word = rows.groupBy("word").agg(*sums)
+        parts = ", ".join(f"{k}, _{k}" for k in range(WORD))
+        per_root = per_word.select("word", F.expr(f"stack({WORD}, {parts}) AS (bit, {name})"))
+        return self.roots.join(per_root, ["word", "bit"]).select("root", name)
+
+    def pairs(self, rows: DataFrame) -> DataFrame:
+        """``root`` and the other columns of ``rows``, one row for each bit that is set."""
+        bits = F.filter(F.sequence(F.lit(0), F.lit(WORD - 1)), lambda k: F.expr("bits").bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), k)) != 0)
+        return rows.withColumn("bit", F.explode(bits)).drop("bits").join(self.roots.select("root", "word", "bit"), ["word", "bit"]).drop("word", "bit")
+
+
 def labelled_within(edge: DataFrame, node: DataFrame, roots: DataFrame, label: str, hops: int = 2) -> DataFrame:
-    """Distinct nodes of one label within reach (GR3)."""
-    wanted = node.filter(F.col("label") == label).select("node_id").distinct()
-    return neighbourhood(edge, roots, hops).join(wanted, "node_id", "left_semi").select("root", "node_id")
+    """Distinct nodes of one label within reach (GR3). Only the pairs of the result are written out."""
+    sets = RootSets(edge, roots, hops)
+    wanted = sets.ids.join(node.filter(F.col("label") == label).select("node_id").distinct(), "node_id", "left_semi")
+    return sets.pairs(sets.reach.join(wanted, "_n")).select("root", "node_id")
 
 
 def path_counts(edge: DataFrame, roots: DataFrame) -> DataFrame:
@@ -93,23 +154,15 @@ def incident_counts(edge: DataFrame, roots: DataFrame, hops: int = 3) -> DataFra
     """Nodes within reach and edges touching them (GR8).
 
     An edge between two reached nodes counts once: edges at sources plus edges at targets minus
-    those with both ends inside, each a plain count.
+    those with both ends inside. All three are sums over words of roots.
     """
-    reach = reliable_checkpoint(neighbourhood(edge, roots, hops).select("root", "node_id"))
-    rows = edge.select("src", "dst")
-    per_node = rows.groupBy(F.col("src").alias("node_id")).agg(F.count("*").alias("o")).join(
-        rows.filter("src <> dst").groupBy(F.col("dst").alias("node_id")).agg(F.count("*").alias("i")), "node_id", "full"
-    )
-    touch = reach.join(per_node, "node_id", "left").groupBy("root").agg(
-        F.count("*").alias("node_count"), F.sum(F.coalesce("o", F.lit(0)) + F.coalesce("i", F.lit(0))).alias("_t")
-    )
-    pair = rows.filter("src <> dst").groupBy("src", "dst").agg(F.count("*").alias("m"))
-    inside = (
-        reach.withColumnRenamed("node_id", "src").join(pair, "src")
-        .join(reach.withColumnRenamed("node_id", "dst"), ["root", "dst"], "left_semi")
-        .groupBy("root").agg(F.sum("m").alias("_b"))
-    )
-    return touch.join(inside, "root", "left").select("root", "node_count", (F.col("_t") - F.coalesce("_b", F.lit(0))).alias("rel_count"))
+    sets = RootSets(edge, roots, hops)
+    ends = sets.edges.select(F.col("a").alias("_n"), "m").union(sets.edges.filter("a <> b").select("b", "m"))
+    touched = sets.reach.join(ends.groupBy("_n").agg(F.sum("m").alias("d")), "_n", "left").select("word", "bits", F.lit(1).alias("one"), F.coalesce("d", F.lit(0)).alias("d"))
+    inner = sets.edges.filter("a <> b").join(sets.reach.toDF("a", "word", "bits_a"), "a").join(sets.reach.toDF("b", "word", "bits_b"), ["b", "word"])
+    inner = inner.select("word", F.col("bits_a").bitwiseAND(F.col("bits_b")).alias("bits"), "m").filter("bits <> 0")
+    counts = sets.totals(touched, "one", "node_count").join(sets.totals(touched, "d", "_t"), "root").join(sets.totals(inner, "m", "_b"), "root", "left")
+    return counts.filter("node_count > 0").select("root", "node_count", (F.col("_t") - F.coalesce("_b", F.lit(0))).alias("rel_count"))
 
 
 def degrees(edge: DataFrame) -> DataFrame:

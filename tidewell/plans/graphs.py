@@ -71,6 +71,9 @@ add("GR7_chain_counts", lambda t: gr.chain_counts(chain(t), "o_custkey"), f"SELE
 add("GR8_node_edge_counts", lambda t: gr.incident_counts(t.edge, users(t), 2),
     graph_sql(levels(USERS, 2) + f", reach AS ({union_levels(2)}), eid AS MATERIALIZED (SELECT src, dst, row_number() OVER () AS i FROM edge)",
               "SELECT root, node_count, rel_count FROM (SELECT root, count(*) AS node_count FROM reach GROUP BY 1) JOIN (SELECT root AS r2, count(DISTINCT i) AS rel_count FROM (SELECT root, i FROM reach JOIN eid ON src = node_id UNION ALL SELECT root, i FROM reach JOIN eid ON dst = node_id) GROUP BY 1) ON r2 = root"))
+add("GR8_three_hop_counts", lambda t: gr.incident_counts(t.edge, users(t), 3),
+    graph_sql(levels(USERS, 3) + f", reach AS ({union_levels(3)}), eid AS MATERIALIZED (SELECT src, dst, row_number() OVER () AS i FROM edge)",
+              "SELECT root, node_count, rel_count FROM (SELECT root, count(*) AS node_count FROM reach GROUP BY 1) JOIN (SELECT root AS r2, count(DISTINCT i) AS rel_count FROM (SELECT root, i FROM reach JOIN eid ON src = node_id UNION ALL SELECT root, i FROM reach JOIN eid ON dst = node_id) GROUP BY 1) ON r2 = root"))
 add("GR9_central_nodes", lambda t: gr.central_nodes(t.edge, t.node, users(t)),
     graph_sql("eid AS MATERIALIZED (SELECT src, dst, row_number() OVER () AS i FROM edge), both_ways AS MATERIALIZED (SELECT src, dst, i FROM eid UNION ALL SELECT dst, src, i FROM eid WHERE src <> dst), "
               f"paths AS (SELECT root, dst AS node_id FROM {USERS} r JOIN both_ways a ON a.src = root UNION ALL SELECT root, b.dst FROM {USERS} r JOIN both_ways a ON a.src = root JOIN both_ways b ON b.src = a.dst AND b.i <> a.i)",
