@@ -3,6 +3,7 @@
 import random
 from collections import Counter
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from tidewell.operators import graph as gr
@@ -122,3 +123,37 @@ def test_packed_root_sets_equal_sets(spark):
         assert {r["root"]: (r["node_count"], r["rel_count"]) for r in gr.incident_counts(edge, roots, hops).collect()} == want
         got = sorted(tuple(r) for r in gr.labelled_within(edge, node, roots, "Session", hops).collect())
         assert got == sorted((r, x) for r, s in reach.items() for x in s if int(x[1:]) % 2)
+
+
+def test_components_of_awkward_shapes_in_small_pieces(spark):
+    path = [(f"p{i:03d}", f"p{i + 1:03d}") for i in range(120)]
+    star = [("s000", f"s{i:03d}") for i in range(1, 80)]
+    ring = [(f"r{i:03d}", f"r{(i + 1) % 60:03d}") for i in range(60)]
+    loops = [("l1", "l1"), ("l2", "l3"), ("l3", "l2"), ("l2", "l3")]
+    edge = spark.createDataFrame([(a, b, "X") for a, b in path + star + ring + loops], "src STRING, dst STRING, rel_type STRING").repartition(4)
+    node = spark.createDataFrame([("alone", "User"), ("p000", "User")], "node_id STRING, label STRING")
+    got = {r["node_id"]: r["component"] for r in gr.connected_components(node, edge, local_links=10).collect()}
+    want = {x: y for pairs, y in ((path, "p000"), (star, "s000"), (ring, "r000"), (loops[1:], "l2")) for p in pairs for x in p} | {"l1": "l1", "alone": "alone"}
+    assert got == want
+    assert gr.connected_components(node.limit(0), edge.limit(0)).count() == 0
+
+
+def test_local_roots():
+    rng = random.Random(1)
+    a, b = (np.array([rng.randrange(200) for _ in range(150)]) for _ in range(2))
+    nodes, root = gr.local_roots(a, b, 3)
+    of = dict(zip(nodes.tolist(), root.tolist()))
+    parent = {n: n for n in of}
+    for x, y in zip(a.tolist(), b.tolist()):
+        while parent[x] != x:
+            x = parent[x]
+        while parent[y] != y:
+            y = parent[y]
+        parent[x] = y
+
+    def top(x):
+        return x if parent[x] == x else top(parent[x])
+
+    for x in of:
+        for y in of:
+            assert (of[x] == of[y]) == (top(x) == top(y))

@@ -6,9 +6,11 @@ Frontiers are made distinct (or counted) each step, so a hub is visited once per
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tidewell.operators.ordered import SLICE_ROWS, sequenced
@@ -190,37 +192,81 @@ def reachable(edge: DataFrame, roots: DataFrame) -> DataFrame:
     return reached
 
 
-def connected_components(node: DataFrame, edge: DataFrame) -> DataFrame:
+#: Links that a task joins at a time; when no more are left, one task does.
+LOCAL_LINKS = 250_000
+
+
+def local_roots(a: np.ndarray, b: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Every node of the links ``a, b`` and the root of its component among them, chosen by hash."""
+    nodes, at = np.unique(np.concatenate((a, b)), return_inverse=True)
+    key = (nodes.astype(np.uint64) + np.uint64(seed)) * np.uint64(0x9E3779B97F4A7C15)
+    order = np.argsort(key ^ (key >> np.uint64(29)), kind="stable")
+    rank = np.empty(len(nodes), np.int64)
+    rank[order] = np.arange(len(nodes))
+    u, v = rank[at[: len(a)]], rank[at[len(a) :]]
+    root = np.arange(len(nodes))
+    while True:
+        x, y = root[u], root[v]
+        if (x == y).all():
+            return nodes, nodes[order][root[rank]]
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while True:
+            up = root[root]
+            if (up == root).all():
+                break
+            root = up
+
+
+def _locally(seed: int, most: int):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            held.append(batch)
+            size += batch.num_rows
+            if size >= most:
+                yield joined(held)
+                held, size = [], 0
+        if size:
+            yield joined(held)
+
+    def joined(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        a, b = (np.concatenate([batch.column(k).to_numpy() for batch in held]) for k in (0, 1))
+        nodes, root = local_roots(a, b, seed)
+        return pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(root)], ["v", "root"])
+
+    return run
+
+
+def connected_components(node: DataFrame, edge: DataFrame, local_links: int = LOCAL_LINKS) -> DataFrame:
     """Smallest node id of each node's component (GR11).
 
-    Nodes are numbered once. Then two star contractions alternate on the numbers: each node's larger
-    neighbours are tied to its smallest neighbour, then the smaller ones. The edge list never grows and
-    ends as stars after O(log^2 n) rounds; the loop runs to that fixpoint. Neighbour minima are partial
-    aggregates, so hubs combine on the map side. Each round is written to the shared folder.
+    Nodes are numbered once and links dealt by source. A task joins its links by union-find,
+    ``local_links`` at a time, so that only (node, root) is moved. A node that tasks gave different roots
+    links these roots; the next round has these links alone. Roots are chosen by a hash that changes each
+    round, so a constant share of the nodes drops out of every round whatever the shape of the graph. The
+    roots of the rounds are then followed back. A round is one written table, whose size says if another one
+    is needed.
     """
-    ids = node.select("node_id").union(edge.select("src")).union(edge.select("dst")).distinct()
-    numbered = reliable_checkpoint(ids.withColumn("_n", F.monotonically_increasing_id()))
-    pairs = edge.select("src", "dst").filter("src <> dst").distinct()
-    pairs = pairs.join(numbered.toDF("src", "a"), "src").join(numbered.toDF("dst", "b"), "dst").select("a", "b")
-
-    def star(rows: DataFrame, large: bool) -> DataFrame:
-        both = rows.unionAll(rows.select("b", "a")) if large else rows.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        low = both.groupBy("a").agg(F.min("b").alias("_d")).select("a", F.least("_d", "a").alias("m"))
-        joined = both.join(low, "a")
-        if large:
-            return joined.filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b")
-        out = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).unionAll(low.select("a", F.col("m").alias("b")))
-        return out.filter("a <> b").distinct()
-
-    links, before = reliable_checkpoint(pairs), None
+    numbers = numbered(node.select("node_id").union(edge.select("src")).union(edge.select("dst")))
+    pairs = edge.select("src", "dst").filter("src <> dst")
+    pairs = pairs.join(numbers.toDF("dst", "b"), "dst").join(numbers.toDF("src", "a"), "src").select("a", "b")  # the join by source comes last
+    level, rounds = pairs, []
     while True:
-        links = reliable_checkpoint(star(star(links, True), False))
-        now = tuple(links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-        if now == before:
+        seen = Observation()
+        met = level.mapInArrow(_locally(len(rounds), local_links), "v long, root long").groupBy("v").agg(F.collect_set("root").alias("roots"))  # one root per task at most
+        best = F.array_min(F.transform("roots", lambda r: F.struct(F.xxhash64(r, F.lit(len(rounds))), r.alias("r"))))["r"]
+        met = met.select("v", best.alias("m"), "roots").observe(seen, F.sum(F.size("roots") - 1).alias("links"))
+        rounds.append(reliable_checkpoint(met))
+        links = seen.get["links"]
+        if not links:
             break
-        before = now
-    centres = links.groupBy("a").agg(F.min("b").alias("_root")).withColumnRenamed("a", "_n")
-    rooted = reliable_checkpoint(numbered.join(centres, "_n", "left").select("node_id", F.coalesce("_root", "_n").alias("_root")))
+        level = rounds[-1].select(F.col("m").alias("a"), F.explode("roots").alias("b")).filter("a <> b").distinct()
+        level = level.coalesce(1) if links <= local_links else level
+    labels = rounds[-1].select("v", F.col("m").alias("label"))
+    for earlier in reversed(rounds[:-1]):
+        up = labels.select(F.col("v").alias("m"), "label")
+        labels = reliable_checkpoint(earlier.select("v", "m").join(up, "m", "left").select("v", F.coalesce("label", "m").alias("label")))
+    rooted = reliable_checkpoint(numbers.join(labels.withColumnRenamed("v", "_n"), "_n", "left").select("node_id", F.coalesce("label", "_n").alias("_root")))
     names = rooted.groupBy("_root").agg(F.min("node_id").alias("component"))
     return rooted.join(names, "_root").select("node_id", "component")
 

@@ -84,7 +84,12 @@ add("GR10_degrees", lambda t: gr.degrees(t.edge), DEG, "edge")
 COMP = ("SELECT DISTINCT node_id, min(node_id) OVER (PARTITION BY g) AS component FROM (SELECT 'User:' || c_custkey AS node_id, c_custkey AS g FROM customer UNION ALL SELECT 'Session:' || o_orderkey, o_custkey FROM orders "
         "UNION ALL SELECT 'Prediction:' || l_orderkey || '-' || l_linenumber, o_custkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey) UNION ALL SELECT 'Symptom:' || p_partkey, 'Symptom:' || p_partkey FROM part UNION ALL SELECT 'Intervention:' || s_suppkey, 'Intervention:' || s_suppkey FROM supplier")
 add("GR11_connected_components", lambda t: gr.connected_components(t.node, plain_edges(t)), COMP)
-add("GR11_whole_graph_components", lambda t: gr.connected_components(t.node, t.edge).groupBy("component").agg(F.count("*").alias("nodes")))
+# labels spread over all links, only where one gets smaller, until none does
+SPREAD = ("ids AS (SELECT node_id FROM node UNION SELECT src FROM edge UNION SELECT dst FROM edge), cc(node_id, component) USING KEY (node_id) AS (SELECT node_id, node_id FROM ids UNION "
+          "SELECT s.dst, min(c.component) FROM cc c JOIN sym s ON s.src = c.node_id JOIN recurring.cc r ON r.node_id = s.dst WHERE c.component < r.component GROUP BY 1)")
+add("GR11_whole_graph_components", lambda t: gr.connected_components(t.node, t.edge).groupBy("component").agg(F.count("*").alias("nodes")),
+    graph_sql(SPREAD, "SELECT component, count(*) AS nodes FROM cc GROUP BY 1").replace("WITH edge", "WITH RECURSIVE edge", 1))
+add("GR11_whole_graph_members", lambda t: gr.connected_components(t.node, t.edge), graph_sql(SPREAD, "SELECT node_id, component FROM cc").replace("WITH edge", "WITH RECURSIVE edge", 1))
 SUMM = (f"SELECT nc AS node_count, ec AS edge_count, {q9('md')} AS mean_degree, xd AS max_degree, {q9('tc / CAST(greatest(sc - 1, 1) AS DOUBLE)')} AS temporal_density, {q9('2e0 * ec / (CAST(nc AS DOUBLE) * (nc - 1))')} AS density{{more}} FROM "
         "(SELECT count(*) AS nc, count(CASE WHEN label = 'Session' THEN 1 END) AS sc FROM node), (SELECT count(*) AS ec, count(CASE WHEN rel_type = 'TEMPORALLY_PRECEDES' THEN 1 END) AS tc FROM {edge}), "
         "(SELECT avg(degree) AS md, max(degree) AS xd FROM (SELECT node_id, count(*) AS degree FROM (SELECT src AS node_id FROM {edge} UNION ALL SELECT dst FROM {edge}) GROUP BY 1)){extra}")
@@ -98,6 +103,8 @@ add("GR12_temporal_density", lambda t: rounded(gr.summary(t.node, t.edge)).selec
 add("GR13_user_density", lambda t: gr.user_density(t.session), "SELECT user_id, count(*) AS sessions, min(timestamp) AS first_ts, max(timestamp) AS last_ts, CASE WHEN count(*) > 1 THEN CAST(count(*) AS DOUBLE) ELSE 0e0 END AS density FROM session GROUP BY 1", "session")
 add("GR14_graph_summary", lambda t: rounded(gr.summary(t.node, plain_edges(t), gr.connected_components(t.node, plain_edges(t)))),
     SUMM.format(more=", k AS num_components", edge="(SELECT * FROM edge WHERE rel_type <> 'IDENTIFIED')", extra=f", (SELECT count(DISTINCT component) AS k FROM ({COMP}))"), "node edge")
+add("GR14_whole_graph_summary", lambda t: rounded(gr.summary(t.node, t.edge, gr.connected_components(t.node, t.edge))),
+    graph_sql(SPREAD, SUMM.format(more=", k AS num_components", edge="edge", extra=", (SELECT count(DISTINCT component) AS k FROM cc)")).replace("WITH edge", "WITH RECURSIVE edge", 1))
 add("GR15_degree_report", lambda t: gr.top_degrees(gr.degrees(t.edge)), f"{DEG} ORDER BY degree DESC, node_id LIMIT 10", "edge")
 add("GR16_node_importance", lambda t: gr.importance(gr.degrees(t.edge)).withColumn("importance", r9("importance")), f"SELECT node_id, degree, {q9('degree / CAST(count(*) OVER () AS DOUBLE)')} AS importance FROM ({DEG})", "edge")
 BUILT = ("SELECT 'User:' || participant_id AS src, 'Session:' || session_id AS dst, 'HAS_SESSION' AS rel_type FROM {s} UNION ALL SELECT 'Session:' || session_id, 'Dataset:' || dataset, 'PART_OF_DATASET' FROM {s} "
