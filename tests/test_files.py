@@ -99,3 +99,15 @@ def test_failure_capture(spark):
     df = spark.createDataFrame([("a", 1), ("b", 0)], "k STRING, v INT")
     rows = {r["key"]: (r["result"], r["error"]) for r in reg.map_rows(df, "k", "v", lambda x: 10 // x).collect()}
     assert rows["a"] == ("10", None) and rows["b"][1].startswith("ZeroDivisionError")
+
+
+def test_quoted_transcripts(spark, tmp_path):
+    (tmp_path / "1_TRANSCRIPT.csv").write_text(
+        'start_time,stop_time,speaker,value\n1.0,2.0,Participant,"Well, I slept badly"\n\n2.0,3.5,Ellie,"She said ""no"",\nthen left"\n3.5,4,Participant,5" long\n4,5,"",\n', encoding="utf-8")
+    (tmp_path / "2_TRANSCRIPT.csv").write_text('﻿Start_Time\tStop_Time\tSpeaker\tText\n1\t2\tEllie\ta, b\n2\t3\tEllie\t"tab\there"\n', encoding="utf-8")
+    (tmp_path / "3_TRANSCRIPT.csv").write_text("start_time,stop_time,speaker,value\n", encoding="utf-8")
+    (tmp_path / "4_TRANSCRIPT.csv").write_text("", encoding="utf-8")
+    rows = sorted((r["file"][-16:-15], r["ord"], r["speaker"], r["start_time"], r["stop_time"], r["text"]) for r in src.transcripts(spark, str(tmp_path)).collect())
+    assert rows == [
+        ("1", 0, "Participant", 1.0, 2.0, "Well, I slept badly"), ("1", 1, "Ellie", 2.0, 3.5, 'She said "no", then left'), ("1", 2, "Participant", 3.5, 4.0, '5" long'), ("1", 3, "unknown", 4.0, 5.0, ""),
+        ("2", 0, "Ellie", 1.0, 2.0, "a, b"), ("2", 1, "Ellie", 2.0, 3.0, "tab here")]

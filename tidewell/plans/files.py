@@ -81,6 +81,22 @@ add("SRC4_transcript_csv", lambda t: src.transcripts(t.spark, transcript_files(t
     "SELECT role AS speaker, count(*) AS n, CAST(sum(turn) AS DOUBLE) AS starts FROM conversations WHERE text <> '' GROUP BY 1")
 
 
+def quoted_transcripts(t):
+    """All conversations as comma files of up to 1000 turns, every text quoted, line breaks and quotes inside."""
+    folder = work_folder(t.spark, "quoted")
+    text = F.concat(F.lit('"'), F.replace(F.concat(F.lit('He said, "'), "text", F.lit('"\nand left')), F.lit('"'), F.lit('""')), F.lit('"'))
+    line = F.concat_ws(",", F.col("turn").cast("string"), (F.col("turn") + 2).cast("string"), "role", text)
+    rows = t.conversations.select("conv_id", "turn", line.alias("l"), F.expr("turn DIV 1000").alias("piece"))
+    body = rows.groupBy("conv_id", "piece").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "l"))), lambda x: x["l"]), "\n").alias("b"))
+    body.select(F.concat(F.lit("Start_Time,Stop_Time,Speaker,Text\n"), "b").alias("value"), F.pmod("conv_id", F.lit(20)).alias("shard"), "conv_id", "piece").write.partitionBy("shard", "conv_id", "piece").text(folder, lineSep="\n")
+    return folder
+
+
+SPOKEN = r"""trim(regexp_replace('He said, "' || text || '" and left', '\s+', ' ', 'g'))"""
+add("SRC4_quoted_transcripts", lambda t: src.transcripts(t.spark, quoted_transcripts(t), "*.txt").select(F.regexp_extract("file", r"conv_id=(-?\d+)", 1).cast("long").alias("conv_id"), F.col("ord").cast("long").alias("ord"), "speaker", "start_time", "stop_time", F.md5("text").alias("text_md5"), "duration"),
+    f"SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS ord, role AS speaker, CAST(turn AS DOUBLE) AS start_time, turn + 2e0 AS stop_time, md5({SPOKEN}) AS text_md5, 2e0 AS duration FROM conversations")
+
+
 def plain(t):
     folder = work_folder(t.spark, "plain")
     t.documents.select(F.regexp_replace("text", "[\r\n]+", " ").alias("value"), "source").write.partitionBy("source").text(folder)

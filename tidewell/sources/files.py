@@ -10,6 +10,7 @@ from tidewell.functions.numeric import rounded
 from tidewell.functions.quality import alignment, label_class, parser_quality
 from tidewell.operators.dataset import session_index
 from tidewell.schemas import AUDIO_ENDINGS, FACIAL_MARKS, TEXT_ENDINGS, VIDEO_ENDINGS
+from tidewell.session import reliable_checkpoint
 
 INDEX_DDL = (
     "participant_id STRING, session_id STRING, dataset STRING, modality STRING, file_path STRING, label STRING, split STRING, "
@@ -91,15 +92,44 @@ def numbered_labels(spark: SparkSession, path: str) -> DataFrame:
     ).filter("participant_id IS NOT NULL")
 
 
+#: Columns of a delimited transcript that are read.
+MOST_COLUMNS = 32
+
+
+def delimited_records(spark: SparkSession, folder: str, pattern: str, most_columns: int = MOST_COLUMNS) -> DataFrame:
+    """Records of many delimited files with their own headers: ``file, ord, head, cells``.
+
+    Spark's CSV parser reads a file as a stream, so quoted delimiters, doubled quotes and quoted line breaks
+    stay inside their cell. Both delimiters are tried; a file whose first record has two cells by tabs is
+    read by tabs, any other by commas. Blank lines are no records; ``ord`` counts from 0 after the header.
+    """
+
+    def parsed(tabs: bool) -> DataFrame:
+        ddl = ", ".join(f"c{k} STRING" for k in range(most_columns))
+        options = {"sep": "\t" if tabs else ",", "quote": '"', "escape": '"', "multiLine": True, "header": False, "emptyValue": "", "pathGlobFilter": pattern}
+        rows = spark.read.schema(ddl).options(**options).csv(folder).select(F.col("_metadata.file_path").alias("file"), F.array(*[f"c{k}" for k in range(most_columns)]).alias("cells"))
+        # a file is read by one task, so its records have consecutive numbers; written, as they are read more than once
+        return reliable_checkpoint(rows.withColumn("_at", F.monotonically_increasing_id()))
+
+    by_tab, by_comma = parsed(True), parsed(False)
+
+    def heads(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("file").agg(F.min(F.struct("_at", "cells")).alias("_h")).select("file", F.col("_h._at").alias("_first"), F.transform("_h.cells", lambda c: F.trim(F.replace(c, F.lit(BOM), F.lit("")))).alias("head"))
+
+    tabbed = heads(by_tab).filter(F.get("head", F.lit(1)).isNotNull())
+    rows = by_tab.join(tabbed, "file").unionByName(by_comma.join(heads(by_comma).join(tabbed, "file", "left_anti"), "file"))
+    return rows.filter("_at > _first").select("file", (F.col("_at") - F.col("_first") - 1).cast("int").alias("ord"), "head", "cells")
+
+
 def transcripts(spark: SparkSession, folder: str, pattern: str = "*.csv") -> DataFrame:
-    """Delimited transcripts to ordered utterances; the first line decides the delimiter (SRC4, TXT9)."""
-    files = spark.read.option("pathGlobFilter", pattern).text(folder, wholetext=True).select("value", F.col("_metadata.file_path").alias("file"))
-    lines = files.select("file", F.filter(F.split("value", r"\r?\n"), lambda x: x != "").alias("l")).withColumn("sep", F.when(F.get("l", F.lit(0)).contains("\t"), "\t").otherwise(","))
-    cells = lines.select("file", "sep", F.split(F.get("l", F.lit(0)), F.col("sep")).alias("h"), F.posexplode(F.slice("l", 2, 1_000_000_000)).alias("ord", "line"))
-    rows = cells.withColumn("v", F.split("line", F.col("sep")))
+    """Delimited transcripts to ordered utterances; the first line decides the delimiter (SRC4, TXT9).
+
+    Cells may be quoted. White space in a text, a quoted line break too, becomes one blank.
+    """
+    rows = delimited_records(spark, folder, pattern)
 
     def pick(*names: str) -> Column:
-        return F.coalesce(*[F.when(F.array_contains("h", n), F.nullif(F.get("v", (F.array_position("h", n) - 1).cast("int")), F.lit(""))) for n in names])
+        return F.coalesce(*[F.when(F.array_contains("head", n), F.nullif(F.get("cells", (F.array_position("head", n) - 1).cast("int")), F.lit(""))) for n in names])
 
     start = F.coalesce(pick("start_time", "Start_Time").try_cast("double"), F.lit(0.0))
     stop = F.coalesce(pick("stop_time", "Stop_Time").try_cast("double"), start)
