@@ -62,12 +62,23 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def name_start(text: str, low: int, at: int) -> int:
+    """Where the run of name characters that ends at ``at`` begins, not before ``low``; looks no further left than four times the run."""
+    size = 64
+    while True:
+        first = max(low, at - size)
+        run = NAME.match(text[first:at][::-1]).end()
+        if run < at - first or first == low:
+            return at - run
+        size *= 4
+
+
 def emails(text: str) -> list[tuple[int, int]]:
     """Leftmost non-overlapping matches of name@domain, in time linear in the text."""
     found, end = [], 0
     at = text.find("@")
     while at >= 0:
-        low = at - NAME.match(text[end:at][::-1]).end() if at > end else at
+        low = name_start(text, end, at)
         domain = DOMAIN.match(text, at + 1) if low < at else None
         if domain:
             end = domain.end()
