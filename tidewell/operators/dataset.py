@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidewell.functions.numeric import blank_or_zero, r4
 from tidewell.functions.quality import sync_score
-from tidewell.operators.ordered import exact_quantiles
+from tidewell.operators.ordered import SLICE_ROWS, exact_quantiles, sequenced
 
 
 def session_index(index: DataFrame) -> DataFrame:
@@ -312,6 +312,33 @@ def stratified_oversample(df: DataFrame, label: str, row_id: str, seed: int = 42
     return df.join(F.broadcast(counts), label).withColumn("copy", F.explode(F.sequence(F.lit(1), copies))).drop("_n", "_top")
 
 
+def uniform(seed: str, number: Column) -> Column:
+    """A number in [0, 1) from a seed and a row number; 52 bits of an MD5, so that other engines can draw the same."""
+    return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}-"), number.cast("string"))), 1, 13), 16, 10).cast("long") / float(1 << 52)
+
+
+def weighted_sample(df: DataFrame, label: str, row_id: str, draws: int | None = None, seed: int = 42, slice_rows: int = SLICE_ROWS) -> DataFrame:
+    """Sampling with replacement by inverse class frequency: ``draw`` from 0 and the row drawn (TOP10).
+
+    Every draw takes a class, all alike, then a row of it, all alike; as many draws as rows, unless told.
+    Draws and rows meet by (class, position in the class), so a row that is drawn very often is many rows of
+    the draws' side of a join, which Spark can split, and no row is repeated by one task. Rows without a
+    label are not drawn; draws are seeded and positions follow ``row_id``, so a run can be repeated.
+    """
+    rows = df.filter(F.col(label).isNotNull())
+    counts = rows.groupBy(label).agg(F.count("*").alias("_n"))
+    classes = counts.select(label, "_n", (F.row_number().over(Window.orderBy(label)) - 1).alias("_class"), F.count("*").over(Window.partitionBy()).alias("_k"), F.sum("_n").over(Window.partitionBy()).alias("_all"))
+    known = classes.agg(F.max("_k"), F.max("_all")).first()  # classes and rows: two numbers
+    if not known[0]:
+        return rows.withColumn("draw", F.lit(0).cast("long")).limit(0)
+    numbers = df.sparkSession.range(known[1] if draws is None else draws).withColumnRenamed("id", "draw")
+    drawn = numbers.withColumn("_class", F.floor(uniform(f"{seed}-class", F.col("draw")) * known[0]).cast("int"))
+    drawn = drawn.join(classes.select(label, "_n", "_class"), "_class")
+    drawn = drawn.select("draw", label, (F.floor(uniform(f"{seed}-row", F.col("draw")) * F.col("_n")) + 1).alias("_pos"))
+    placed = sequenced(rows, [label], [row_id], position="_pos", slice_rows=slice_rows)
+    return drawn.join(placed, [label, "_pos"]).drop("_pos")
+
+
 def kfold(df: DataFrame, row_id: str, folds: int = 5, seed: int = 42) -> DataFrame:
     """Seeded fold number from a hash of the row id (TOP11)."""
     return df.withColumn("fold", F.pmod(F.xxhash64(F.lit(seed), F.col(row_id)), F.lit(folds)))

@@ -195,6 +195,11 @@ add("MTH14_sample_quality", lambda t: t.checkin.select("id", *[c.alias(n) for n,
 add("MTH18_sync_by_session", lambda t: ds.sync_by_session(t.conversations.selectExpr("conv_id AS session_id", "text"), t.conversations.groupBy(F.col("conv_id").alias("session_id")).agg((F.count("*") * 12.0).alias("seconds"))),
     f"SELECT conv_id AS session_id, count(*) * 12e0 AS seconds, CAST(sum(length(text)) AS BIGINT) AS chars, {q4('6e-1 * (least(sum(length(text)), count(*) * 12e0 * 15) / greatest(count(*) * 12e0 * 15, 1)) + 4e-1')} AS sync_score FROM conversations GROUP BY 1")
 add("TOP10_oversample", lambda t: ds.stratified_oversample(t.scored, "label", "doc_id").select("doc_id", "label", "copy"))
+DRAW = "CAST('0x' || md5('42-{}-' || draw)[1:13] AS BIGINT) / CAST(4503599627370496 AS DOUBLE)"
+add("TOP10_weighted_sample", lambda t: ds.weighted_sample(t.scored.select("doc_id", "label"), "label", "doc_id").select("draw", "label", "doc_id"),
+    "SELECT draw, p.label, doc_id FROM (SELECT draw, c.label, CAST(floor(" + DRAW.format("row") + " * c.n) AS BIGINT) + 1 AS pos FROM (SELECT unnest(range(0, (SELECT count(*) FROM scored WHERE label IS NOT NULL))) AS draw) d "
+    "JOIN (SELECT label, n, row_number() OVER (ORDER BY label) - 1 AS i, count(*) OVER () AS k FROM (SELECT label, count(*) AS n FROM scored WHERE label IS NOT NULL GROUP BY 1)) c ON c.i = floor(" + DRAW.format("class") + " * c.k)) x "
+    "JOIN (SELECT doc_id, label, row_number() OVER (PARTITION BY label ORDER BY doc_id) AS pos FROM scored) p ON p.label = x.label AND p.pos = x.pos", "scored")
 add("TOP11_kfold", lambda t: ds.kfold(t.scored.select("doc_id"), "doc_id"))
 add("TOP12_held_out_sizes", lambda t: ds.held_out_sizes(t.dataset_index, "participant_id"),
     "SELECT participant_id AS held, count(*) AS validation_rows, (SELECT count(*) FROM dataset_index) - count(*) AS training_rows FROM dataset_index GROUP BY 1", "dataset_index")
