@@ -203,18 +203,21 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     single language); ties go to the first language by name. Repeated rows give repeated results, other
     columns are ignored, a null id is not held out.
     """
-    whole = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")] if with_row else []
     doc_id, text = F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text")
-    rows = docs.select(doc_id, (crc_mod(F.col(f"`{id_col}`"), modulus) == held_out).alias("held_out"), text, *whole)
+    # with the whole row, its own text is read, so that no text is sent twice
+    carried = F.struct(*[(text.alias(c) if c == text_col else F.col(f"`{c}`")) for c in docs.columns]).alias("_row") if with_row else text
+    rows = docs.select(doc_id, (crc_mod(F.col(f"`{id_col}`"), modulus) == held_out).alias("held_out"), carried)
+    at = docs.columns.index(text_col) if with_row else 0
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
         table = code_table(known.letters)
-        for batch in slices(batches, limit=SMALL_SLICE):
-            best, score, rate = judge(known, texts_of(batch.column(2)), table)
+        texts = (pa.RecordBatch.from_arrays([*b.columns, b.column(2).flatten()[at] if with_row else b.column(2)], ["doc_id", "held_out", "_row", "text"]) for b in batches)
+        for batch in slices(texts, limit=SMALL_SLICE):
+            best, score, rate = judge(known, texts_of(batch.column(3)), table)
             made = {"doc_id": batch.column(0), "held_out": batch.column(1), "lang_pred": pa.array(best, pa.string()), "score": pa.array(score), "bits_per_letter": pa.array(rate)}
-            yield pa.RecordBatch.from_pydict(made | ({"_row": batch.column(3)} if with_row else {}))
+            yield pa.RecordBatch.from_pydict(made | ({"_row": batch.column(2)} if with_row else {}))
 
     schema = T.StructType([rows.schema["doc_id"]]).add("held_out", "boolean").add("lang_pred", "string").add("score", "double").add("bits_per_letter", "double")
     return rows.mapInArrow(run, schema.add(rows.schema["_row"]) if with_row else schema)
