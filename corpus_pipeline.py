@@ -21,17 +21,21 @@ from tidewell.llm.simhash import near_duplicates
 MOST_BITS = 9.0
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """``docs`` with a key of each row, ``_key``, written, so that a row has the same key each time it is read."""
-    key = F.struct(F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]).alias("h"), F.monotonically_increasing_id().alias("n"))
-    return reliable_checkpoint(docs.withColumn("_key", key))
+def _keyed(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` with a key of each row, written, so that a row has the same key each time it is read; and the key's name."""
+    name = "_key"
+    while name in docs.columns:
+        name += "_"
+    content = [F.col(f"`{f.name}`") for f in docs.schema.fields if "map<" not in f.dataType.simpleString()]  # maps have no hash
+    key = F.struct(F.xxhash64(*content).alias("h"), F.monotonically_increasing_id().alias("n"))
+    return reliable_checkpoint(docs.withColumn(name, key)), name
 
 
-def _first_of(rows: DataFrame, judged: DataFrame, *group: str) -> DataFrame:
+def _first_of(rows: DataFrame, key: str, judged: DataFrame, *group: str) -> DataFrame:
     """One of the keyed rows for each group of ``judged``: the smallest id, nulls last, then the smallest key."""
     order = F.struct(F.col("doc_id").isNull().alias("null_id"), "doc_id", "_key")
-    chosen = judged.groupBy(*group).agg(F.min(order).alias("least")).select("least._key")
-    return rows.join(chosen, "_key", "left_semi").drop("_key")
+    chosen = judged.groupBy(*group).agg(F.min(order).alias("least")).select(F.col("least._key").alias(key))
+    return rows.join(chosen, key, "left_semi").drop(key)
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,8 +56,8 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Rows are judged, not ids: a row whose id is null stays if no row with an id has its text, and just one
     does of several; of rows that repeat both id and text one stays; texts that share an id are judged apart.
     """
-    rows = _keyed(docs)
-    return _first_of(rows, exact_duplicates(rows, key_col="_key").filter("kept"), "keep_id", "text_sha256")
+    rows, key = _keyed(docs)
+    return _first_of(rows, key, exact_duplicates(rows, key_col=key).filter("kept"), "keep_id", "text_sha256")
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,8 +65,8 @@ def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
     Rows are judged, not ids: null ids come after all others, and of rows with the same id one stays.
     """
-    rows = _keyed(docs)
-    return _first_of(rows, near_duplicates(rows, key_col="_key"), "root")
+    rows, key = _keyed(docs)
+    return _first_of(rows, key, near_duplicates(rows, key_col=key), "root")
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
