@@ -70,8 +70,8 @@ _PAIRS = ("SELECT user_id, rn - 1 AS pair, from_session, session_id AS to_sessio
           "WINDOW w AS (PARTITION BY user_id ORDER BY timestamp, session_id)) WHERE from_session IS NOT NULL")
 add("JN8_consecutive_sessions", lambda t: tl.consecutive_sessions(t.session), _PAIRS, "session")
 add("JN9_edge_endpoints", lambda t: tl.resolve_edges(t.edge, t.node.filter("label <> 'Symptom'")),
-    "SELECT edge.* FROM edge SEMI JOIN (SELECT node_id FROM node WHERE label <> 'Symptom') a ON edge.src = a.node_id "
-    "SEMI JOIN (SELECT node_id FROM node WHERE label <> 'Symptom') b ON edge.dst = b.node_id",
+    "SELECT l.src, l.dst, l.rel_type FROM (SELECT e.src, e.dst, e.rel_type FROM edge e JOIN (SELECT DISTINCT node_id AS a FROM node WHERE label <> 'Symptom') ON e.src = a) l "
+    "JOIN (SELECT DISTINCT node_id AS b FROM node WHERE label <> 'Symptom') ON l.dst = b",
     "edge node")
 add("JN10_label_lookup", lambda t: tl.lookup_or(
         t.documents.select("doc_id", "lang"), t.labels.select("doc_id", F.when(F.col("quality") == 1, "normal").otherwise("depression").alias("label")),
