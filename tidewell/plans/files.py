@@ -14,6 +14,7 @@ from tidewell.schemas import LEXICONS
 from tidewell.session import work_folder
 from tidewell.sinks import files as sink
 from tidewell.sources import files as src
+from tidewell.sources import headers as hd
 from tidewell.sources import registry as reg
 
 COUNTED = "SELECT modality, count(*) AS n, CAST(sum(transcript_length) AS BIGINT) AS chars FROM dataset_index GROUP BY 1"
@@ -277,3 +278,90 @@ def mean_pair(texts: pd.Series) -> pd.Series:
 
 add("UDF3_embedding_hook", lambda t: reg.embed(t.conversations, "text", mean_pair).selectExpr("conv_id", "turn", "CAST(embedding[0] AS DOUBLE) AS chars"),
     "SELECT conv_id, turn, CAST(length(text) AS DOUBLE) AS chars FROM conversations")
+
+
+# --- headers of media and array files ---------------------------------------------------------------
+def little(number, size):
+    """A number as little-endian hex digits."""
+    digits = F.lpad(F.hex(F.lit(number) if isinstance(number, int) else number), 2 * size, "0")
+    return F.concat(*[F.substring(digits, 2 * i + 1, 2) for i in reversed(range(size))])
+
+
+def ascii_hex(text):
+    return F.lit(text.encode().hex())
+
+
+def samples(t):
+    """Vectors in groups of 50 ids as 16-bit samples: ``g, arrays, n, body`` (hex)."""
+    one = F.transform("embedding", lambda x: little(F.pmod(F.floor(x * 1000), F.lit(65536)), 2))
+    rows = t.embeddings.select(F.expr("vec_id DIV 50").alias("g"), F.array_join(one, "").alias("h"), F.size("embedding").alias("k"))
+    return rows.groupBy("g").agg(F.count("*").alias("arrays"), F.sum(F.greatest("k", F.lit(0))).alias("n"), F.array_join(F.collect_list("h"), "").alias("body"))
+
+
+def sound_files(t):
+    """Audio files made of the vectors: a chunk before the format, odd rates, other forms, no samples, cut headers."""
+    rows = samples(t).withColumns({"rate": F.expr("CASE g % 5 WHEN 1 THEN 12345 WHEN 3 THEN 8000 ELSE 16000 END"), "body": F.expr("IF(g % 5 = 3, '', body)")})
+    rows = rows.withColumn("bytes", F.length("body") / 2).withColumn("bytes", F.col("bytes").cast("long")).withColumn("twice", F.col("rate") * 2)
+    head = F.concat(F.when(F.expr("g % 5 = 2"), ascii_hex("RIFX")).otherwise(ascii_hex("RIFF")), little(36, 4), ascii_hex("WAVE"), ascii_hex("LIST"), little(5, 4), ascii_hex("notes\0"))
+    form = F.concat(ascii_hex("fmt "), little(16, 4), little(1, 2), little(1, 2), little("rate", 4), little("twice", 4), little(2, 2), little(16, 2))
+    whole = F.concat(head, form, ascii_hex("data"), little("bytes", 4), "body")
+    made = rows.select(F.concat("g", F.lit("_AUDIO.wav")).alias("name"), F.unhex(F.when(F.expr("g % 5 = 4"), F.substring(whole, 1, 80)).otherwise(whole)).alias("content"))
+    folder = work_folder(t.spark, "sounds")
+    sink.write_blobs(made, folder)
+    return folder
+
+
+def media_rules(t):
+    """Headers of the listed files and of one in seven that the index names but nobody wrote."""
+    found = src.listing(t.spark, sound_files(t)).select("file_path", F.regexp_extract("name", "^[0-9]+", 0).alias("participant_id"))
+    lost = found.filter("participant_id % 7 = 0").select(F.concat("file_path", F.lit(".lost.wav")).alias("file_path"), "participant_id")
+    owners = found.unionByName(lost)
+    return hd.file_issues(hd.file_errors(hd.media_headers(owners)), owners)
+
+
+GROUPS = "(SELECT vec_id // 50 AS g, CAST(vec_id // 50 AS VARCHAR) AS p, count(*) AS arrays, CAST(coalesce(sum(len(embedding)), 0) AS BIGINT) AS n FROM embeddings GROUP BY 1)"
+add("DQ20_media_headers", media_rules,
+    " UNION ALL ".join(f"SELECT 'file' AS gate, 'audio_validation' AS check, '{severity}' AS severity, p || '{text}' AS message, p AS participant_id FROM {GROUPS} WHERE {cond}" for severity, text, cond in (
+        ("warning", "_AUDIO.wav: unexpected_sample_rate:12345", "g % 5 = 1"), ("error", "_AUDIO.wav: unreadable:not a RIFF file of this kind", "g % 5 = 2"), ("warning", "_AUDIO.wav: zero_duration", "g % 5 = 3 OR (g % 5 IN (0, 1) AND n = 0)"),
+        ("error", "_AUDIO.wav: unreadable:file ends inside its header", "g % 5 = 4"), ("error", "_AUDIO.wav.lost.wav: missing", "g % 7 = 0"))))
+add("DQ20_audio_headers", lambda t: src.wav_header(t.spark, sound_files(t)).filter("error IS NULL").select(F.regexp_extract("file_path", "([0-9]+)_AUDIO", 1).alias("participant_id"), "channels", "sample_rate", "bit_depth", "duration_seconds"),
+    "SELECT p AS participant_id, 1 AS channels, r AS sample_rate, 16 AS bit_depth, floor(CASE WHEN g % 5 = 3 THEN 0 ELSE n END / CAST(r AS DOUBLE) * 1e3 + 5000001e-7) / 1e3 AS duration_seconds "
+    f"FROM (SELECT *, CASE g % 5 WHEN 1 THEN 12345 WHEN 3 THEN 8000 ELSE 16000 END AS r FROM {GROUPS}) WHERE g % 5 NOT IN (2, 4)")
+
+
+def array_folder(t):
+    """``<g>_acoustic.npy`` for every group, ``<g>_visual.npy`` for two groups of three, every eleventh one cut short."""
+    def stored(name, first):
+        head = F.concat(F.lit("{'descr': '<i2', 'fortran_order': False, 'shape': ("), first, F.lit(", 1), }\n"))
+        size = little(F.length(head), 2)
+        whole = F.concat(F.lit("934e554d50590100"), size, F.hex(head.cast("binary")), "body")
+        return F.struct(F.concat("g", F.lit(name)).alias("name"), F.unhex(F.when(F.expr("g % 11 = 5"), F.substring(whole, 1, 60)).otherwise(whole)).alias("content"))
+
+    both = F.array(stored("_acoustic.npy", F.col("n").cast("string")), F.when(F.expr("g % 3 <> 0"), stored("_visual.npy", F.col("arrays").cast("string"))))
+    folder = work_folder(t.spark, "arrays")
+    sink.write_blobs(samples(t).select(F.explode(F.array_compact(both)).alias("f")).select("f.*"), folder)
+    return folder
+
+
+def array_lengths(t):
+    files = src.numbered_files(t.spark, array_folder(t))
+    return hd.array_participants(files, hd.media_headers(files))
+
+
+add("SRC14_array_headers", array_lengths,
+    "SELECT p AS participant_id, CASE WHEN g % 11 <> 5 THEN CAST(n AS DOUBLE) END AS audio_length, CASE WHEN g % 3 <> 0 AND g % 11 <> 5 THEN CAST(arrays AS DOUBLE) END AS visual_length, CASE WHEN g % 3 = 0 THEN 'visual' ELSE '' END AS missing_files, "
+    "CASE WHEN g % 11 <> 5 THEN '' WHEN g % 3 = 0 THEN 'unreadable:file ends inside its header' ELSE 'unreadable:file ends inside its header,unreadable:file ends inside its header' END AS errors "
+    f"FROM {GROUPS}")
+
+
+def blank_transcripts(t):
+    folder = work_folder(t.spark, "scripts")
+    made = t.documents.select(F.concat(F.col("doc_id").cast("string"), F.lit("_TRANSCRIPT.csv")).alias("name"), F.expr("IF(doc_id % 9 = 0, ' \t\n  ', text)").cast("binary").alias("content"))
+    sink.write_blobs(made.filter("name IS NOT NULL"), folder)
+    owners = src.listing(t.spark, folder).select("file_path", F.regexp_extract("name", "^[0-9]+", 0).alias("participant_id"))
+    return hd.file_issues(hd.transcript_errors(owners), owners)
+
+
+add("DQ20_empty_transcripts", blank_transcripts,
+    "SELECT 'file' AS gate, 'transcript_validation' AS check, 'warning' AS severity, doc_id || '_TRANSCRIPT.csv: empty_transcript' AS message, CAST(doc_id AS VARCHAR) AS participant_id FROM documents "
+    r"WHERE doc_id % 9 = 0 OR text IS NULL OR NOT regexp_matches(text, '\S')")

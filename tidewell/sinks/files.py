@@ -4,11 +4,15 @@ from __future__ import annotations
 
 import hashlib
 import json
+import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewell.operators.graph import graphml_lines
+from tidewell.session import reliable_checkpoint
+from tidewell.sources.headers import located
 
 
 def _flat(df: DataFrame) -> DataFrame:
@@ -145,3 +149,32 @@ def outputs_present(spark: SparkSession, paths: dict[str, str], processed: DataF
         done = processed.agg(F.count("*").alias("n")).crossJoin(participants.select("participant_id").distinct().agg(F.count("*").alias("p")))
         rows = rows.unionByName(done.select(F.lit("feature_coverage").alias("check"), (F.col("n") >= F.least("p", F.lit(1))).alias("passed")))
     return rows
+
+
+def write_blobs(df: DataFrame, folder: str) -> DataFrame:
+    """One file per row of ``name, content`` (binary), written by the tasks; returns ``file_path, size``.
+
+    A file is written under a name of its attempt and then moved, so a repeated task replaces its own files. Names are taken to
+    be distinct; a null content gives an empty file.
+    """
+    from tidewell.sources.files import qualified
+
+    folder = qualified(df.sparkSession, folder)
+
+    def write(batches):
+        for batch in batches:
+            paths, sizes = [], []
+            for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                path, data = f"{folder}/{name}", content or b""
+                system, local = located(path)
+                above, _, last = local.rpartition("/")
+                system.create_dir(above, recursive=True)
+                attempt = f"{above}/.{last}.{uuid.uuid4().hex}"
+                with system.open_output_stream(attempt) as out:
+                    out.write(data)
+                system.move(attempt, local)
+                paths.append(path)
+                sizes.append(len(data))
+            yield pa.RecordBatch.from_pydict({"file_path": pa.array(paths, pa.string()), "size": pa.array(sizes, pa.int64())})
+
+    return reliable_checkpoint(df.select("name", "content").mapInArrow(write, "file_path STRING, size LONG"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +13,7 @@ from tidewell.functions.quality import alignment, label_class, parser_quality
 from tidewell.operators.dataset import session_index
 from tidewell.schemas import AUDIO_ENDINGS, FACIAL_MARKS, TEXT_ENDINGS, VIDEO_ENDINGS
 from tidewell.session import reliable_checkpoint
+from tidewell.sources.headers import children, media_headers
 
 INDEX_DDL = (
     "participant_id STRING, session_id STRING, dataset STRING, modality STRING, file_path STRING, label STRING, split STRING, "
@@ -26,6 +29,12 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """A path with its file system, as the session resolves it."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(target).toString()
+
+
 def dataset_index(spark: SparkSession, path: str) -> DataFrame:
     """Flat index CSV with a header (SRC1)."""
     return spark.read.schema(INDEX_DDL).option("header", True).option("enforceSchema", False).csv(path)
@@ -163,10 +172,21 @@ def classify(name: Column) -> Column:
 
 
 def listing(spark: SparkSession, folder: str) -> DataFrame:
-    """Recursive listing with size and kind; contents are not read (SRC6)."""
-    df = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select("path", "length", "modificationTime")
-    name = F.element_at(F.split("path", "/"), -1)
-    return df.select(F.col("path").alias("file_path"), name.alias("name"), F.col("length").alias("size"), classify(name).alias("modality"))
+    """Recursive listing with size and kind, empty files included; contents are not read (SRC6).
+
+    Folders are listed by tasks, level by level, so the tree does not pass through the driver. One folder is listed by one task.
+    Spark's own file sources leave out files of no bytes, which the integrity rules ask for.
+    """
+    level = spark.createDataFrame([(qualified(spark, folder),)], "path STRING")
+    found = []
+    while True:
+        rows = reliable_checkpoint(level.repartition("path").mapInArrow(children, "path STRING, name STRING, size LONG, folder BOOLEAN"))
+        found.append(rows.filter("NOT folder"))
+        level = rows.filter("folder").select("path")
+        if level.isEmpty():
+            break
+    files = reduce(DataFrame.unionByName, found)
+    return files.select(F.col("path").alias("file_path"), "name", "size", classify(F.col("name")).alias("modality"))
 
 
 def interview_files(spark: SparkSession, folder: str, labels: DataFrame | None = None) -> DataFrame:
@@ -259,15 +279,7 @@ def version_record(files: DataFrame, name: str) -> DataFrame:
 
 
 def wav_header(spark: SparkSession, folder: str) -> DataFrame:
-    """Channel count, rate and duration from the first 44 bytes of PCM files (DQ20)."""
-    raw = spark.read.format("binaryFile").option("pathGlobFilter", "*.wav").option("recursiveFileLookup", True).load(folder)
-
-    def number(at: int, size: int) -> Column:
-        hexed = F.hex(F.substring("content", at, size))
-        swapped = F.concat(*[F.substring(hexed, 2 * i + 1, 2) for i in reversed(range(size))])
-        return F.conv(swapped, 16, 10).cast("long")
-
-    rate, align = number(25, 4), number(33, 2)
-    rows = raw.select(F.col("path").alias("file_path"), F.col("length").alias("size"), number(23, 2).alias("channels"), rate.alias("sample_rate"), number(35, 2).alias("bit_depth"), align.alias("_a"))
-    frames = (F.col("size") - 44) / F.when(F.col("_a") > 0, F.col("_a"))
-    return rows.withColumn("duration_seconds", rounded(frames / F.when(F.col("sample_rate") > 0, F.col("sample_rate")), 3)).drop("_a")
+    """Channel count, rate and duration of PCM files, by ranged reads (DQ20)."""
+    files = listing(spark, folder).filter(F.lower("name").endswith(".wav")).select("file_path", "size")
+    fields = media_headers(files).select("file_path", "channels", "sample_rate", "bit_depth", F.col("seconds").alias("duration_seconds"), "error")
+    return files.join(fields, "file_path")
