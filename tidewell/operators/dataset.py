@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewell.functions.multiset import multiset_state, state_hash
 from tidewell.functions.numeric import blank_or_zero, r4
 from tidewell.functions.quality import sync_score
 from tidewell.operators.ordered import SLICE_ROWS, exact_quantiles, sequenced
@@ -164,20 +165,20 @@ def manifest(index: DataFrame) -> DataFrame:
             F.array_join(F.array_sort(F.collect_list(F.concat_ws("=", F.coalesce(column, F.lit("unknown")), F.col("n").cast("string")))), ",").alias(f"{column}s"),
         )
 
-    content = index.agg(F.sum(F.xxhash64("participant_id", "file_path").cast("decimal(38,0)")).cast("string").alias("content_hash"))
+    content = multiset_state(index, ("participant_id", "file_path")).select(state_hash().alias("content_hash"))
     return counts("label").crossJoin(counts("language").drop("sample_count")).crossJoin(content)
 
 
 def passport(sessions: DataFrame, approved: bool | None = None) -> DataFrame:
     """The dataset's identity card in one row (AGG23)."""
+    content = multiset_state(sessions, sessions.columns).select(state_hash().alias("content_hash"))
     return sessions.agg(
         F.count("*").alias("num_samples"),
         F.count_distinct("participant_id").alias("participants"),
         F.array_join(F.array_sort(F.collect_set("language")), ",").alias("languages"),
         r4(F.avg("quality_score")).alias("quality_score"),
         F.lit("approved" if approved in (None, True) else "rejected").alias("validation_status"),
-        F.sum(F.xxhash64(*[c for c in sessions.columns]).cast("decimal(38,0)")).cast("string").alias("content_hash"),
-    )
+    ).crossJoin(content)
 
 
 # --- first rows, duplicates and splits -----------------------------------------------------------

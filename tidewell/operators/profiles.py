@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tidewell.functions.numeric import r4, rounded
 from tidewell.operators import series as sr
+from tidewell.operators.bands import band_join
 from tidewell.operators.ordered import SLICE_ROWS, series_summary
 from tidewell.operators.timelines import latest_per, newest
 from tidewell.schemas import BEHAVIOUR_FIELDS, CATALOG, CATALOG_DDL, RULES, RULES_DDL, SEED_STATEMENT, STATE_SENTENCES, STORY, SUGGESTION_SENTENCES, TWIN_PROFILES
@@ -288,12 +289,8 @@ def rules(spark) -> DataFrame:
 
 
 def risk_matches(current: DataFrame, table: DataFrame) -> DataFrame:
-    """Catalog rows whose band holds the current risk, both ends included (JN13).
-
-    ``table`` is one of the fixed catalogs above (at most 13 rows), hence the broadcast.
-    """
-    fits = (F.col("current_risk") >= F.col("min_risk")) & (F.col("current_risk") <= F.col("max_risk"))
-    return current.join(F.broadcast(table), fits)
+    """Catalog rows whose band holds the current risk, both ends included (JN13); the catalog may be of any size."""
+    return band_join(current, table, "current_risk", "min_risk", "max_risk")
 
 
 def scored_suggestions(current: DataFrame, table: DataFrame, seen: DataFrame | None = None, penalty: float = 0.15) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidewell.functions import quality as ql
+from tidewell.functions.multiset import multiset_state, state_hash, updated
 from tidewell.functions.numeric import r4, r9
 from tidewell.operators import dataset as ds
 from tidewell.operators.ordered import exact_quantiles
@@ -67,11 +68,36 @@ def counts_text(column):
     return f"(SELECT string_agg(coalesce({column}, 'unknown') || '=' || n, ',' ORDER BY coalesce({column}, 'unknown') || '=' || n) FROM (SELECT {column}, count(*) AS n FROM dataset_index GROUP BY 1))"
 
 
-add("AGG22_manifest", lambda t: ds.manifest(t.dataset_index).drop("content_hash"),
-    f"SELECT (SELECT count(*) FROM dataset_index) AS sample_count, {counts_text('label')} AS labels, {counts_text('language')} AS languages", "dataset_index")
-add("AGG23_passport", lambda t: ds.passport(idx(t)).drop("content_hash"),
+def hash_sql(source, columns, doubles=()):
+    """Twin of the multiset hash: length before each field, four 52-bit lanes, their sums hashed."""
+    def field(c):
+        text = f"CAST(CAST(floor({c} * 1e9 + 5e-1) AS BIGINT) AS VARCHAR)" if c in doubles else f"CAST({c} AS VARCHAR)"
+        return f"CASE WHEN {c} IS NULL THEN '-' ELSE length({text}) || ':' || {text} END"
+
+    lanes = " || ':' || ".join(f"CAST(coalesce(sum(CAST('0x' || substr(d, {1 + 13 * k}, 13) AS BIGINT)), 0) AS VARCHAR)" for k in range(4))
+    return f"(SELECT sha256(CAST(count(*) AS VARCHAR) || ':' || {lanes}) FROM (SELECT sha256({' || '.join(field(c) for c in columns)}) AS d FROM {source}))"
+
+
+add("AGG22_manifest", lambda t: ds.manifest(t.dataset_index),
+    f"SELECT (SELECT count(*) FROM dataset_index) AS sample_count, {counts_text('label')} AS labels, {counts_text('language')} AS languages, {hash_sql('dataset_index', ('participant_id', 'file_path'))} AS content_hash", "dataset_index")
+
+
+def after_changes(t):
+    """Hash of the index once its text rows are gone and its audio rows stand twice, from the states of those rows alone."""
+    def state(rows):
+        return multiset_state(rows, ("participant_id", "file_path"))
+
+    index = t.dataset_index
+    return updated(state(index), state(index.filter("modality = 'audio'")), state(index.filter("modality LIKE '%transcript%'"))).select("rows", state_hash().alias("content_hash"))
+
+
+CHANGED = "(SELECT * FROM dataset_index WHERE modality NOT LIKE '%transcript%' UNION ALL SELECT * FROM dataset_index WHERE modality = 'audio')"
+add("AGG22_changed_hash", after_changes, f"SELECT (SELECT count(*) FROM {CHANGED}) AS rows, {hash_sql(CHANGED, ('participant_id', 'file_path'))} AS content_hash", "dataset_index")
+SESSION_COLUMNS = ("participant_id", "session_id", "dataset", "split", "label", "language", "has_audio", "has_transcript", "has_visual", "audio_path", "transcript_path", "video_path", "audio_length",
+                   "transcript_length", "quality_score", "sync_score")
+add("AGG23_passport", lambda t: ds.passport(idx(t).select(*SESSION_COLUMNS)),
     f"SELECT count(*) AS num_samples, count(DISTINCT participant_id) AS participants, string_agg(DISTINCT language, ',' ORDER BY language) AS languages, {q4('avg(quality_score)')} AS quality_score, "
-    f"'approved' AS validation_status FROM {SES}", "dataset_index")
+    f"'approved' AS validation_status, {hash_sql(SES, SESSION_COLUMNS, ('audio_length', 'quality_score', 'sync_score'))} AS content_hash FROM {SES}", "dataset_index")
 
 # --- projections on the dataset side ---------------------------------------------------------------
 add("PRJ7_split_filter", lambda t: t.dataset_index.filter("split = 'train' AND dataset = 'dvlog'").select("participant_id", "file_path"),

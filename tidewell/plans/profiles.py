@@ -8,6 +8,7 @@ from tidewell.functions.numeric import r9
 from tidewell.operators import profiles as pf
 from tidewell.operators import series as sr
 from tidewell.operators import timelines as tl
+from tidewell.operators.bands import band_join
 from tidewell.operators.ordered import series_summary
 from tidewell.plans.registry import add, q4, q9
 from tidewell.plans.series import EVOLUTION, RECORD, RECOVERY, STATE, STATE0, S4, Z
@@ -192,6 +193,8 @@ DIVERSE = ("SELECT * FROM (SELECT user_id, type, tier, current_risk, priority_sc
            f"FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY priority_score DESC, type) AS r, row_number() OVER (PARTITION BY user_id, tier ORDER BY priority_score DESC, type) AS tr FROM ({SCORED}))) WHERE rank <= 4")
 add("JN13_risk_band_join", lambda t: pf.risk_matches(t.score.selectExpr("user_id", "id", "risk AS current_risk"), pf.catalog(t.spark)).select("user_id", "id", "type"),
     f"SELECT user_id, id, type FROM score JOIN ({CAT}) c ON risk >= min_risk AND risk <= max_risk", "score")
+add("JN13_wide_catalog", lambda t: band_join(t.customer.select("c_custkey", "c_acctbal"), t.part.selectExpr("p_partkey", "p_retailprice - p_size / 10e0 AS low", "p_retailprice + p_size * p_size / 100e0 AS high"), "c_acctbal", "low", "high", 0).select("c_custkey", "p_partkey"),
+    "SELECT c_custkey, p_partkey FROM customer JOIN part ON c_acctbal >= CAST(p_retailprice AS DOUBLE) - p_size / 1e1 AND c_acctbal <= CAST(p_retailprice AS DOUBLE) + p_size * p_size / 1e2")
 add("TOP6_suggestion_scores", lambda t: pf.scored_suggestions(current(t), pf.catalog(t.spark), seen(t)), SCORED, "trend checkin")
 add("TOP7_diversified", lambda t: pf.diversified(pf.scored_suggestions(current(t), pf.catalog(t.spark), seen(t)), 4), DIVERSE, "trend checkin")
 add("MUT11_rule_suggestions", lambda t: pf.rule_suggestions(current(t), pf.rules(t.spark)),
