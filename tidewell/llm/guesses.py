@@ -2,14 +2,15 @@
 
 A value is cut into words, dates, repeats, keyboard walks and brute-force spans. Costs are logarithms
 (base 10) of the guesses each span takes; a cut into k spans also pays log10(k!) for their order. The
-cheapest cut wins. Long values cost time in proportion to their length, as spans other than repeats
-are at most ``LONGEST`` characters.
+cheapest cut wins. A caller who only asks whether a value is worth ``enough`` bounds the work by it:
+what costs that much already is not followed, whatever the length of the value.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from collections.abc import Iterable
 
 #: Common words, most used first; the rank is the number of guesses.
 WORDS = (
@@ -21,11 +22,23 @@ WORDS = (
     "apple orange banana cookie coffee computer internet network manager temporary foobar none null true false "
     "your here insert replace enter value string word name this that with from have not the and for are but key api"
 ).split()
-RANKS = {w: k + 1 for k, w in enumerate(WORDS)}
+
+
+class Ranks(dict):
+    """Rank of each word, the first being 1, and the length of the longest."""
+
+    def __init__(self, words: Iterable[str]) -> None:
+        super().__init__()
+        for w in words:
+            self.setdefault(w, len(self) + 1)
+        self.longest = max(map(len, self), default=0)
+
+
+RANKS = Ranks(WORDS)
 ROWS = ("`1234567890-=", "qwertyuiop[]", "asdfghjkl;'", "zxcvbnm,./")
 LEET = str.maketrans("4@831!05$7", "aabeiiosst")
 DATE = re.compile(r"(?:19|20)\d\d([-/._]?)(?:0[1-9]|1[0-2])\1(?:0[1-9]|[12]\d|3[01])|(?:0[1-9]|[12]\d|3[01])([-/._]?)(?:0[1-9]|1[0-2])\2(?:19|20)\d\d|(?:19|20)\d\d")
-LONGEST = 16
+WALK_START, WALK_STEP = math.log10(47.0), math.log10(2.5)
 
 
 def _neighbours() -> dict[str, str]:
@@ -51,80 +64,100 @@ def alphabet(value: str) -> int:
     return size + 33 * bool(re.search("[^A-Za-z0-9]", value))
 
 
-def spans(value: str) -> dict[int, list[tuple[int, float, str]]]:
-    """By end: start, cost and kind of each span that is a word, date, repeat or walk."""
-    low, plain = value.lower(), value.lower().translate(LEET)
-    found: dict[int, list[tuple[int, float, str]]] = {}
-
-    def add(start: int, end: int, cost: float, kind: str) -> None:
-        found.setdefault(end, []).append((start, cost, kind))
-
-    n = len(value)
-    for i in range(n):
-        for j in range(i + 3, min(n, i + LONGEST) + 1):
-            rank = RANKS.get(low[i:j])
+class Spans:
+    """Spans that are a word, date, repeat or walk and cost less than ``limit``, asked for from left to right."""
+
+    def __init__(self, value: str, limit: float, ranks: Ranks = RANKS) -> None:
+        self.value, self.ranks, self.limit = value, ranks, limit
+        low = value.lower()
+        self.low = low if len(low) == len(value) else "".join(c.lower() if len(c.lower()) == 1 else c for c in value)
+        self.plain = self.low.translate(LEET)
+        self.base = math.log10(max(alphabet(value), 2))
+        self.units = min(int(limit / self.base), len(value) // 2)
+        # by unit, 0 for walks: the run looked at last
+        self.runs: dict[int, tuple[int, int]] = {}
+
+    def _run_end(self, unit: int, i: int) -> int:
+        """End of the run from i in which each character equals the one a unit before, or is its neighbour (unit 0)."""
+        step = unit or 1
+        start, end = self.runs.get(unit, (0, 0))
+        if i < start or i + step > end:
+            value, low = self.value, self.low
+            end = min(i + step, len(value))
+            while end < len(value) and (value[end] == value[end - unit] if unit else low[end] in NEAR.get(low[end - 1], "") or abs(ord(low[end]) - ord(low[end - 1])) == 1):
+                end += 1
+            self.runs[unit] = (i, end)
+        return end
+
+    def at(self, i: int) -> list[tuple[int, float, str]]:
+        """(end, cost, kind) of the spans that start at i."""
+        value, low, plain, n = self.value, self.low, self.plain, len(self.value)
+        found: list[tuple[int, float, str]] = []
+        for j in range(i + 3, min(n, i + self.ranks.longest) + 1):
+            rank = self.ranks.get(low[i:j])
             leet = rank is None
-            rank = rank or RANKS.get(plain[i:j])
+            rank = rank or self.ranks.get(plain[i:j])
             if rank:
-                cased = value[i:j] != low[i:j]
-                add(i, j, math.log10(rank + 1) + 0.31 * cased + 0.6 * leet, "word")
+                found.append((j, math.log10(rank + 1) + 0.31 * (value[i:j] != low[i:j]) + 0.6 * leet, "word"))
         for size in (10, 8, 4):
-            if DATE.fullmatch(value, i, min(i + size, n)) and i + size <= n:
-                add(i, i + size, math.log10(365.0 * 100 if size > 4 else 120) + 0.6 * (size == 10), "date")
-    base = math.log10(max(alphabet(value), 2))
-    for unit in range(1, LONGEST + 1):
-        i = 0
-        while i + 2 * unit <= n:
-            j = i + unit
-            while j < n and value[j] == value[j - unit]:
-                j += 1
-            times = (j - i) // unit
+            if i + size <= n and DATE.fullmatch(value, i, i + size):
+                found.append((i + size, math.log10(365.0 * 100 if size > 4 else 120) + 0.6 * (size == 10), "date"))
+        for unit in range(1, min(self.units, (n - i) // 2) + 1):
+            times = (self._run_end(unit, i) - i) // unit
             if times >= 2 and times * unit >= 3:
-                add(i, i + times * unit, unit * base + math.log10(times), "repeat")
-                i = j - unit + 1
-            else:
-                i += 1
-    i = 0
-    while i < n - 2:
-        j = i + 1
-        while j < n and (low[j] in NEAR.get(low[j - 1], "") or ord(low[j]) - ord(low[j - 1]) in (1, -1)):
-            j += 1
-        if j - i >= 3:
-            for start in range(i, min(j - 2, i + LONGEST)):
-                add(start, j, math.log10(47.0) + (j - start - 1) * math.log10(2.5), "walk")
-        i = max(j, i + 1)
+                found.append((i + times * unit, unit * self.base + math.log10(times), "repeat"))
+        end = self._run_end(0, i)
+        if end - i >= 3:
+            found.append((end, WALK_START + (end - i - 1) * WALK_STEP, "walk"))
+        return [f for f in found if f[1] < self.limit]
+
+
+def spans(value: str, ranks: Ranks = RANKS) -> dict[int, list[tuple[int, float, str]]]:
+    """By end: start, cost and kind of each span that is a word, date, repeat or walk, unless brute force is as cheap for all."""
+    found: dict[int, list[tuple[int, float, str]]] = {}
+    source = Spans(value, len(value) * math.log10(max(alphabet(value), 2)), ranks)
+    for i in range(len(value)):
+        for end, cost, kind in source.at(i):
+            found.setdefault(end, []).append((i, cost, kind))
     return found
 
 
-def guess_cost(value: str) -> float:
+def guess_cost(value: str, enough: float | None = None, ranks: Ranks = RANKS) -> float:
     """log10 of the guesses for the cheapest cut of ``value``; 0 for an empty one.
 
-    The state is (position, spans so far); the count is capped by the value's length over 3 plus 1,
-    as every span but a brute-force one has at least three characters and two brute-force spans in a
-    row are never cheaper than one.
+    With ``enough`` the answer is exact below it and ``enough`` otherwise. The state is (position, spans so far, whether the last
+    one is brute force). No cut dearer than the limit is followed: that bounds the number of spans (k! grows), the unit of a
+    repeat and the reach of brute force, so a costly value ends after a few dozen characters.
     """
     n = len(value)
     if n == 0:
         return 0.0
-    found = spans(value)
     per_char = math.log10(max(alphabet(value), 2))
-    most = 2 * (n // 3) + 1
-    if n > 4 * LONGEST:  # the order term only adds; long values are judged by the cheapest cut without it
-        best = [0.0] * (n + 1)
-        for j in range(1, n + 1):
-            best[j] = min([best[j - 1] + per_char, *(best[i] + c for i, c, _ in found.get(j, ()))])
-        return best[n]
-    none = math.inf
-    # brute[j][k], other[j][k]: cheapest with k spans up to j, the last one brute force or not
-    brute = [[none] * (most + 2) for _ in range(n + 1)]
-    other = [[none] * (most + 2) for _ in range(n + 1)]
-    other[0][0] = 0.0
-    for j in range(1, n + 1):
-        for k in range(1, most + 1):
-            brute[j][k] = min(brute[j - 1][k], other[j - 1][k - 1]) + per_char
-        for i, cost, _ in found.get(j, ()):
-            for k in range(1, most + 1):
-                c = min(brute[i][k - 1], other[i][k - 1]) + cost
-                if c < other[j][k]:
-                    other[j][k] = c
-    return min(min(brute[n][k], other[n][k]) + math.lgamma(k + 1) / math.log(10) for k in range(1, most + 1))
+    limit = n * per_char if enough is None else min(enough, n * per_char)
+    order = [0.0]
+    while len(order) <= n + 1 and order[-1] < limit:
+        order.append(math.lgamma(len(order) + 1) / math.log(10))
+    most, none = len(order) - 1, math.inf
+    source = Spans(value, limit, ranks)
+    # cheapest by number of spans: ending in brute force here, or in another span at each position ahead
+    brute: list[float] | None = None
+    ahead: dict[int, list[float]] = {0: [0.0] + [none] * most}
+    for i in range(n):
+        other = ahead.pop(i, None)
+        if other is None and brute is None:
+            if not ahead:
+                return limit
+            continue
+        other, brute = other or [none] * (most + 1), brute or [none] * (most + 1)
+        best = [min(a, b) for a, b in zip(other, brute, strict=True)]
+        for end, cost, _ in source.at(i):
+            for k in range(most):
+                c = best[k] + cost
+                if c + order[k + 1] < limit:
+                    states = ahead.setdefault(end, [none] * (most + 1))
+                    states[k + 1] = min(states[k + 1], c)
+        longer = [none] + [min(brute[k], other[k - 1]) + per_char for k in range(1, most + 1)]
+        longer = [c if c + order[k] < limit else none for k, c in enumerate(longer)]
+        brute = longer if min(longer) < none else None
+    ends = [s for s in (ahead.get(n), brute) if s]
+    return min([limit, *(s[k] + order[k] for s in ends for k in range(1, most + 1))])

@@ -18,7 +18,7 @@ from tidewell.llm.passages import substring_dedup
 from tidewell.llm.personal import learn as learn_personal
 from tidewell.llm.personal import scan_personal
 from tidewell.llm.quality import quality_scores
-from tidewell.llm.secrets import scan_secrets
+from tidewell.llm.secrets import common_words, scan_secrets
 from tidewell.llm.simhash import near_duplicates
 from tidewell.llm.substrings import byte_dedup
 
@@ -46,7 +46,8 @@ FROM texts WINDOW same AS (PARTITION BY norm)
 
 
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan_secrets(documents(spark, sf_dir))
+    docs = documents(spark, sf_dir)
+    return scan_secrets(docs, ranks=common_words(docs))
 
 
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
