@@ -5,20 +5,20 @@ The windowed functions take a batch or a streaming DataFrame alike.
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
 
 from tidewell.operators.mutations import inference_rows
 from tidewell.operators.series import alerts
 from tidewell.session import work_folder
 
 WATERMARK = "7 days"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def arriving_files(spark: SparkSession, folder: str, ddl: str, pattern: str | None = None, per_batch: int = 1000) -> DataFrame:
@@ -122,10 +122,10 @@ def bursts(score: DataFrame, gap: str = "7 days", watermark: str = WATERMARK) ->
 
 
 # --- running trend ------------------------------------------------------------------------------
-#: Sums over the scores older than the watermark; ``waiting`` is a JSON list of the younger ones.
-STATE = ("n BIGINT, sx DOUBLE, six DOUBLE, x1 DOUBLE, x2 DOUBLE, x3 DOUBLE, ema DOUBLE, high BIGINT, last_us BIGINT, n_gaps BIGINT, "
-         "confidence DOUBLE, waiting STRING, warned BOOLEAN")
-TREND = ("user_id BIGINT, event STRING, n BIGINT, current_risk DOUBLE, average_risk DOUBLE, slope DOUBLE, moving_average DOUBLE, "
+#: Sums over the scores older than the watermark, the time of the user's timer, and whether it has fired.
+SUMS_DDL = ("n BIGINT, sx DOUBLE, six DOUBLE, x1 DOUBLE, x2 DOUBLE, x3 DOUBLE, ema DOUBLE, high BIGINT, last_us BIGINT, n_gaps BIGINT, "
+            "confidence DOUBLE, timer BIGINT, warned BOOLEAN")
+TREND = ("event STRING, n BIGINT, current_risk DOUBLE, average_risk DOUBLE, slope DOUBLE, moving_average DOUBLE, "
          "exponential_trend DOUBLE, step DOUBLE, high BIGINT, n_gaps BIGINT, last_confidence DOUBLE")
 SUMS = (0, 0.0, 0.0, np.nan, np.nan, np.nan, 0.0, 0, 0, 0, np.nan)
 DAY_US = 86_400_000_000
@@ -159,45 +159,92 @@ def trend_of(user: int, s: tuple, event: str) -> dict:
             "exponential_trend": ema, "step": x1 - x2 if n > 1 else 0.0, "high": hits, "n_gaps": gaps, "last_confidence": float(confidence)}
 
 
-def running_trend(score: DataFrame, gap_days: float = 7, watermark: str = WATERMARK, expire_days: float = 365, alert_gap_days: int = 7) -> DataFrame:
-    """Trend after each micro-batch, and a ``missing_checkins`` row once a user stays away (STR2, STR3).
+class TrendProcessor(StatefulProcessor):
+    """Keeps a user's sums, the scores younger than the watermark, and one event-time timer.
 
-    Scores may arrive in any order within the watermark: those younger than it wait in the state, so
-    each row given is the trend over all scores in time order, as in a batch. Older ones are held as
-    sums, so the state grows with the watermark and not with the history; it ends ``expire_days`` after
-    the user's last score. ``score`` has ``user_id, id, ts, risk`` and may have ``confidence``.
+    The first timer says that the user stays away; the second, at the expiry, ends the state. New scores
+    replace either.
     """
-    gap_ms, expire_ms = int(gap_days * 86_400_000), int(max(expire_days, gap_days) * 86_400_000)
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = state.get if state.exists else (*SUMS, "[]", False)
-        sums, waiting, warned = held[:11], [tuple(r) for r in json.loads(held[11])], held[12]
-        now_ms = state.getCurrentWatermarkMs()
-        if state.hasTimedOut:
-            now = fold_scores(sums, waiting, gap_days=alert_gap_days)
-            if warned:
-                state.remove()
-                return
-            state.update((*now, "[]", True))
-            state.setTimeoutTimestamp(max(now[8] // 1000 + expire_ms, now_ms + 1))
-            yield pd.DataFrame([trend_of(key[0], now, "missing_checkins")])
-            return
-        rows = pd.concat(list(batches)).dropna(subset=["risk", "ts"])
-        fresh = zip((rows["ts"].astype("datetime64[us]").astype("int64")).tolist(), rows["id"].tolist(), rows["risk"].tolist(), rows["confidence"].astype(float).tolist())
-        waiting = sorted(waiting + [(t, i, x, None if np.isnan(c) else c) for t, i, x, c in fresh], key=lambda r: r[:2])
+    def __init__(self, id_type: str, gap_ms: int, expire_ms: int, alert_gap_days: int):
+        self.id_type, self.gap_ms, self.expire_ms, self.alert_gap_days = id_type, gap_ms, expire_ms, alert_gap_days
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.sums = handle.getValueState("sums", SUMS_DDL)
+        self.waiting = handle.getListState("waiting", f"us BIGINT, id {self.id_type}, risk DOUBLE, confidence DOUBLE")
+
+    def _held(self) -> tuple[tuple, int | None, bool]:
+        held = self.sums.get()
+        return (SUMS, None, False) if held is None else (tuple(held[:11]), held[11], held[12])
+
+    def _keep(self, sums: tuple, old: int | None, timer: int, warned: bool) -> None:
+        if old is not None and old != timer:
+            self.handle.deleteTimer(old)
+        if old != timer:
+            self.handle.registerTimer(timer)
+        self.sums.update((*sums, timer, warned))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        now_ms = timerValues.getCurrentWatermarkInMs()
+        sums, timer, _ = self._held()
+        fresh = []
+        for part in rows:
+            part = part.dropna(subset=["risk", "us"])
+            confidence = part["confidence"].astype(float)
+            fresh += zip(part["us"].astype("int64").tolist(), part["id"].tolist(), part["risk"].astype(float).tolist(), confidence.astype(object).where(confidence.notna(), None).tolist())
+        waiting = sorted([*self.waiting.get(), *fresh], key=lambda r: (r[0], r[1] is not None, r[1]))
         if not waiting and sums[0] == 0:
             return
-        ripe = [r for r in waiting if r[0] < now_ms * 1000]
-        sums = fold_scores(sums, ripe, gap_days=alert_gap_days)
-        waiting = waiting[len(ripe) :]
-        now = fold_scores(sums, waiting, gap_days=alert_gap_days)
-        state.update((*sums, json.dumps(waiting), False))
-        state.setTimeoutTimestamp(max(now[8] // 1000 + gap_ms, now_ms + 1))
+        ripe = sum(r[0] < now_ms * 1000 for r in waiting)
+        if ripe:
+            sums, waiting = fold_scores(sums, waiting[:ripe], gap_days=self.alert_gap_days), waiting[ripe:]
+            if waiting:
+                self.waiting.put(waiting)
+            else:
+                self.waiting.clear()
+        elif fresh:
+            self.waiting.appendList(fresh)
+        now = fold_scores(sums, waiting, gap_days=self.alert_gap_days)
+        self._keep(sums, timer, max(now[8] // 1000 + self.gap_ms, now_ms + 1), False)
         yield pd.DataFrame([trend_of(key[0], now, "score")])
 
+    def handleExpiredTimer(self, key, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        sums, timer, warned = self._held()
+        if timer != expiredTimerInfo.getExpiryTimeInMs():
+            return
+        waiting = sorted(self.waiting.get(), key=lambda r: (r[0], r[1] is not None, r[1]))
+        now = fold_scores(sums, waiting, gap_days=self.alert_gap_days)
+        self.waiting.clear()
+        if warned:
+            self.sums.clear()
+            return
+        # the fired timer is removed by Spark
+        self._keep(now, None, max(now[8] // 1000 + self.expire_ms, timerValues.getCurrentWatermarkInMs() + 1), True)
+        yield pd.DataFrame([trend_of(key[0], now, "missing_checkins")])
+
+    def close(self) -> None:
+        pass
+
+
+def running_trend(score: DataFrame, gap_days: float = 7, watermark: str = WATERMARK, expire_days: float = 365, alert_gap_days: int = 7) -> DataFrame:
+    """Trend after each micro-batch, and a ``missing_checkins`` row once a user stays away (STR2, STR3).
+
+    Scores may arrive in any order within the watermark: those younger than it wait in a list state, so
+    each row given is the trend over all scores in time order, as in a batch. Older ones are held as
+    sums, so the state grows with the watermark and not with the history; it ends ``expire_days`` after
+    the user's last score. A batch appends its scores to the list, and writes the list anew only when the
+    watermark has passed some of it. ``score`` has ``user_id, id, ts, risk`` and may have ``confidence``;
+    rows without time or risk are left out. State of this kind needs the RocksDB store, which is set on the session.
+    """
+    score.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    types = dict(score.dtypes)
+    gap_ms, expire_ms = int(gap_days * 86_400_000), int(max(expire_days, gap_days) * 86_400_000)
     confidence = F.col("confidence").cast("double") if "confidence" in score.columns else F.lit(None).cast("double")
-    marked = score.select("user_id", "id", F.col("ts").cast("timestamp").alias("ts"), "risk", confidence.alias("confidence")).withWatermark("ts", watermark)
-    return marked.groupBy("user_id").applyInPandasWithState(step, TREND, STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    marked = score.select("user_id", "id", F.col("ts").cast("timestamp").alias("ts"), F.col("risk").cast("double").alias("risk"), confidence.alias("confidence")).withWatermark("ts", watermark)
+    return marked.withColumn("us", F.unix_micros("ts")).groupBy("user_id").transformWithStateInPandas(
+        TrendProcessor(types["id"], gap_ms, expire_ms, alert_gap_days), f"user_id {types['user_id']}, {TREND}", "append", "EventTime"
+    )
 
 
 def trend_alerts(trend: DataFrame, **thresholds) -> DataFrame:
