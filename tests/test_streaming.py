@@ -114,3 +114,23 @@ def test_trailing_windows_of_a_stream(spark, tmp_path):
     want = {(r["user_id"], r["until"]): (r["n"], r["peak_risk"]) for r in st.trailing_summary(batch.withColumn("ts", F.col("ts").cast("timestamp")), 7).collect()}
     assert got and len(got) == len({(r["user_id"], r["until"]) for r in got})
     assert all(want[r["user_id"], r["until"]] == (r["n"], r["peak_risk"]) for r in got)  # those that the watermark has closed
+
+
+def test_state_ends_and_begins_anew(spark, tmp_path):
+    """A user away for longer than the expiry starts again; text ids, null risks and equal times are kept apart."""
+    day = 86_400
+    files = [
+        [("u", "b", 0, 0.2), ("u", "a", 0, 0.1), ("w", "z", 0, 0.9), ("u", "n", 1, None)],
+        [("w", "y", 20 * day, 0.8)],
+        [("w", "x", 40 * day, 0.7)],
+        [("u", "c", 60 * day, 0.5), ("w", "v", 60 * day, 0.6)],
+    ]
+    for k, rows in enumerate(files):
+        df = spark.createDataFrame(rows, "user_id string, id string, s long, risk double").selectExpr("user_id", "id", "timestamp_seconds(s + 864000) AS ts", "risk")
+        df.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = st.arriving_files(spark, str(tmp_path / "in"), "user_id string, id string, ts timestamp, risk double", per_batch=1)
+    rows = st.stream_to_table(st.running_trend(stream, gap_days=5, watermark="1 day", expire_days=15), "expiry").collect()
+    u = sorted((r["batch"], r["event"], r["n"], r["current_risk"]) for r in rows if r["user_id"] == "u")
+    assert [(e, n, x) for _, e, n, x in u][:2] == [("score", 2, 0.2), ("missing_checkins", 2, 0.2)]
+    assert [(e, n, x) for _, e, n, x in u if n == 1] == [("score", 1, 0.5)] and len(u) == 3
+    assert max(r["n"] for r in rows if r["user_id"] == "w") == 4  # the watermark never was 15 days past the last of these

@@ -193,7 +193,12 @@ class TrendProcessor(StatefulProcessor):
             part = part.dropna(subset=["risk", "us"])
             confidence = part["confidence"].astype(float)
             fresh += zip(part["us"].astype("int64").tolist(), part["id"].tolist(), part["risk"].astype(float).tolist(), confidence.astype(object).where(confidence.notna(), None).tolist())
-        waiting = sorted([*self.waiting.get(), *fresh], key=lambda r: (r[0], r[1] is not None, r[1]))
+        waiting = list(self.waiting.get())
+        ends = max([sums[8], *(r[0] for r in waiting)]) + self.expire_ms * 1000
+        if fresh and (sums[0] or waiting) and ends <= now_ms * 1000 and ends <= min(r[0] for r in fresh):
+            sums, waiting = SUMS, []  # the state has ended, though its timer had no batch to fire in
+            self.waiting.clear()
+        waiting = sorted(waiting + fresh, key=lambda r: (r[0], r[1] is not None, r[1]))
         if not waiting and sums[0] == 0:
             return
         ripe = sum(r[0] < now_ms * 1000 for r in waiting)
@@ -232,8 +237,8 @@ def running_trend(score: DataFrame, gap_days: float = 7, watermark: str = WATERM
 
     Scores may arrive in any order within the watermark: those younger than it wait in a list state, so
     each row given is the trend over all scores in time order, as in a batch. Older ones are held as
-    sums, so the state grows with the watermark and not with the history; it ends ``expire_days`` after
-    the user's last score. A batch appends its scores to the list, and writes the list anew only when the
+    sums, so the state grows with the watermark and not with the history; it ends once the watermark is
+    ``expire_days`` past the user's last score, and a later score begins a new series. A batch appends its scores to the list, and writes the list anew only when the
     watermark has passed some of it. ``score`` has ``user_id, id, ts, risk`` and may have ``confidence``;
     rows without time or risk are left out. State of this kind needs the RocksDB store, which is set on the session.
     """
