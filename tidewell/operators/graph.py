@@ -498,11 +498,27 @@ def co_occurrence(walks: DataFrame, window: int = 2) -> DataFrame:
     return both.groupBy("a", "b").agg(F.sum("n").alias("n"))
 
 
+#: A prime whose squares fit in 64 bits; fifth powers are one to one modulo it.
+START_PRIME = 2_147_483_647
+
+
 def _start_vectors(node: DataFrame, dim: int, seed: int) -> DataFrame:
-    """Seeded pseudo-normal vectors from hashes of (id, dimension): sums of uniforms, replayable."""
-    parts = [F.pmod(F.xxhash64("node_id", F.col("d"), F.lit(seed + i)), F.lit(1_000_003)) / 1_000_003.0 for i in range(12)]
-    rows = node.select("node_id").distinct().withColumn("d", F.explode(F.sequence(F.lit(0), F.lit(dim - 1))))
-    return rows.select("node_id", "d", (sum(parts, F.lit(0.0)) - 6.0).alias("x"))
+    """Seeded pseudo-normal vectors, replayable: sums of twelve uniforms.
+
+    A node's MD5 gives the start and the step of a progression modulo a prime; its fifth powers are the
+    uniforms. Only integer arithmetic is done per dimension.
+    """
+    def part(first: int) -> F.Column:
+        return F.pmod(F.conv(F.substring("h", first, 8), 16, 10).cast("long"), F.lit(START_PRIME))
+
+    def uniform(j: F.Column) -> F.Column:
+        t = (F.col("s") + j * F.col("step")) % START_PRIME
+        t2 = t * t % START_PRIME
+        return (t2 * t2 % START_PRIME) * t % START_PRIME / float(START_PRIME)
+
+    nodes = node.select("node_id").distinct().withColumn("h", F.md5(F.concat(F.lit(f"{seed}:"), "node_id")))
+    rows = nodes.select("node_id", part(1).alias("s"), part(9).alias("step"), F.explode(F.sequence(F.lit(0), F.lit(dim - 1))).alias("d"))
+    return rows.select("node_id", "d", (sum((uniform(F.col("d").cast("long") * 12 + i) for i in range(12)), F.lit(0.0)) - 6.0).alias("x"))
 
 
 def projected_vectors(node: DataFrame, edge: DataFrame, dim: int = 64, rounds: int = 3, seed: int = 0) -> DataFrame:

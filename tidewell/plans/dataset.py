@@ -185,6 +185,8 @@ add("DQ16_split_summary", lambda t: ds.split_summary(moved(t).filter("split <> '
     f"SELECT *, overlapping = 0 AS valid FROM (SELECT count(CASE WHEN tr THEN 1 END) AS train_count, count(CASE WHEN de THEN 1 END) AS dev_count, count(CASE WHEN te THEN 1 END) AS test_count, count(CASE WHEN n > 1 THEN 1 END) AS overlapping, "
     f"(SELECT count(DISTINCT participant_id) FROM dataset_index WHERE participant_id NOT IN (SELECT participant_id FROM {MOVED} WHERE split <> 'train' OR participant_id <> '3')) AS unassigned "
     f"FROM (SELECT participant_id, bool_or(split = 'train') AS tr, bool_or(split = 'dev') AS de, bool_or(split = 'test') AS te, count(DISTINCT split) AS n FROM {MOVED} WHERE split <> 'train' OR participant_id <> '3' GROUP BY 1))", "dataset_index")
+add("TOP9_issue_list", lambda t: ds.duplicates(t.dataset_index, ["participant_id", "session_id"]),
+    "SELECT participant_id, session_id, count(*) AS n FROM dataset_index GROUP BY 1, 2 HAVING count(*) > 1", "dataset_index")
 add("TOP9_capped_issue_list", lambda t: ds.duplicates(t.dataset_index, ["participant_id", "session_id"]).orderBy("participant_id").limit(20),
     "SELECT participant_id, session_id, count(*) AS n FROM dataset_index GROUP BY 1, 2 HAVING count(*) > 1 ORDER BY participant_id LIMIT 20", "dataset_index")
 

@@ -47,14 +47,14 @@ def plain_edges(t):
 add("GR1_user_neighbourhood", lambda t: gr.neighbourhood(t.edge, users(t), 2), graph_sql(levels(USERS, 2), union_levels(2)))
 add("GR1_limited_neighbourhood", lambda t: gr.limited(gr.neighbourhood(t.edge, users(t), 2), 20),
     graph_sql(levels(USERS, 2), f"SELECT root, node_id, depth FROM (SELECT *, row_number() OVER (PARTITION BY root ORDER BY depth, node_id) AS r FROM ({union_levels(2)})) WHERE r <= 20"))
-SESSIONS = "(SELECT 'Session:' || o_orderkey AS root FROM orders WHERE o_orderpriority = '1-URGENT')"
-add("GR2_session_neighbourhood", lambda t: gr.neighbourhood(t.edge, t.orders.filter("o_orderpriority = '1-URGENT'").select(F.concat(F.lit("Session:"), F.col("o_orderkey").cast("string")).alias("root")), 2),
+SESSIONS = "(SELECT 'Session:' || o_orderkey AS root FROM orders)"
+add("GR2_session_neighbourhood", lambda t: gr.neighbourhood(t.edge, t.orders.select(F.concat(F.lit("Session:"), F.col("o_orderkey").cast("string")).alias("root")), 2),
     graph_sql(levels(SESSIONS, 2), union_levels(2)))
 add("GR3_label_radius", lambda t: gr.labelled_within(t.edge, t.node, users(t), "Symptom", 3),
     graph_sql(levels(USERS, 3), f"SELECT root, node_id FROM ({union_levels(3)}) WHERE node_id LIKE 'Symptom:%'"))
 SINCE = "(SELECT 'Session:' || o_orderkey AS root FROM orders WHERE o_orderdate >= TIMESTAMP '1998-06-01')"
-add("GR4_temporal_radius", lambda t: gr.neighbourhood(plain_edges(t), t.orders.filter("o_orderdate >= '1998-06-01'").select(F.concat(F.lit("Session:"), F.col("o_orderkey").cast("string")).alias("root")), 2),
-    graph_sql("sy2 AS (SELECT DISTINCT * FROM (SELECT src, dst FROM edge WHERE rel_type <> 'IDENTIFIED' UNION ALL SELECT dst, src FROM edge WHERE rel_type <> 'IDENTIFIED')), " + levels(SINCE, 2, "sy2"), union_levels(2)))
+add("GR4_temporal_radius", lambda t: gr.neighbourhood(t.edge, t.orders.filter("o_orderdate >= '1998-06-01'").select(F.concat(F.lit("Session:"), F.col("o_orderkey").cast("string")).alias("root")), 2),
+    graph_sql(levels(SINCE, 2), union_levels(2)))
 add("GR5_guarded_subgraph", lambda t: gr.guarded(gr.neighbourhood(t.edge, users(t), 2), 5000).groupBy("root").agg(F.count("*").alias("nodes")),
     graph_sql(levels(USERS, 2), f"SELECT root, count(*) AS nodes FROM ({union_levels(2)}) GROUP BY 1"))
 CHAIN = "SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS pos, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders"
@@ -128,21 +128,64 @@ CLIN = ("SELECT 'Session:' || id AS src, 'Emotion:' || id || '_Joy' AS dst, 'EXP
 add("GR19_clinical_edges", lambda t: gr.clinical_edges(clinical(t)), CLIN, "checkin")
 add("GR20_research_edges", lambda t: gr.research_edges(idx(t), "study1", "model1"),
     f"SELECT 'User:' || participant_id AS src, d AS dst, k AS rel_type FROM (SELECT DISTINCT participant_id FROM {SES}), (VALUES ('ResearchStudy:study1', 'BELONGS_TO'), ('ModelVersion:model1', 'USES_MODEL')) v(d, k)", "dataset_index")
-add("GR21_random_walks", lambda t: gr.random_walks(plain_edges(t), users(t), length=5, walks=2))
-add("GR21_walk_co_occurrence", lambda t: gr.co_occurrence(gr.random_walks(plain_edges(t), users(t), length=4, walks=1)))
-add("GR22_projected_vectors", lambda t: gr.projected_vectors(gr.nodes_of(gr.build_edges(idx(t))), gr.build_edges(idx(t)), dim=8, rounds=2))
+add("GR21_random_walks", lambda t: gr.random_walks(t.edge, users(t)))
+add("GR21_walk_co_occurrence", lambda t: gr.co_occurrence(gr.random_walks(t.edge, users(t))))
+
+
+def walk_check(t):
+    """Walks, rows and steps of each user's walks, and how many steps do not follow a link."""
+    walks = gr.random_walks(t.edge, users(t))
+    after = walks.select("root", "walk", (F.col("step") - 1).alias("step"), F.col("node_id").alias("b"))
+    links = gr.symmetric(t.edge).select(F.col("src").alias("node_id"), F.col("dst").alias("b")).distinct().withColumn("linked", F.lit(True))
+    moves = walks.join(after, ["root", "walk", "step"], "left").join(links, ["node_id", "b"], "left")
+    return moves.groupBy("root").agg(F.count_distinct("walk").alias("walks"), F.count("*").alias("rows"), F.count_distinct("step").alias("steps"),
+                                     F.count_if(F.col("b").isNotNull() & F.col("linked").isNull()).alias("broken"))
+
+
+add("GR21_walk_check", walk_check,
+    f"SELECT root, 20 AS walks, CASE WHEN n > 0 THEN 200 ELSE 20 END AS rows, CASE WHEN n > 0 THEN 10 ELSE 1 END AS steps, 0 AS broken FROM (SELECT root, count(src) AS n FROM {USERS} LEFT JOIN edge ON src = root OR dst = root GROUP BY 1)".replace("AS rows", 'AS "rows"')
+    .replace("edge ON src = root OR dst = root", "(SELECT src FROM edge UNION ALL SELECT dst FROM edge) ON src = root"), "edge")
+
+
+def projected_sql(dim, rounds):
+    """The vectors of ``projected_vectors`` over the session graph, round by round."""
+    p = gr.START_PRIME
+    t = f"((s + (d * 12 + {{i}}) * step) % {p})"
+    power = f"((({t} * {t} % {p}) * ({t} * {t} % {p}) % {p}) * {t} % {p} / {p}e0)"
+    start = " + ".join(power.format(i=i) for i in range(12))
+    part = f"CAST('0x' || substr(md5('0:' || node_id), {{0}}, 8) AS BIGINT) % {p}"
+    ctes = [
+        f"b AS MATERIALIZED ({BUILT})", "l AS MATERIALIZED (SELECT a, z, count(*) AS m FROM (SELECT src AS a, dst AS z FROM b UNION ALL SELECT dst, src FROM b) GROUP BY 1, 2)",
+        f"n AS (SELECT node_id, {part.format(1)} AS s, {part.format(9)} AS step FROM (SELECT src AS node_id FROM b UNION SELECT dst FROM b))",
+        f"v0 AS MATERIALIZED (SELECT node_id, d, {start} - 6 AS x FROM n, (SELECT unnest(range(0, {dim})) AS d))",
+    ]
+    for k in range(rounds):
+        ctes += [f"y{k} AS (SELECT a, d AS yd, sum(x * m) * 5e-1 AS y FROM l JOIN v{k} ON node_id = z GROUP BY 1, 2)",
+                 f"w{k} AS MATERIALIZED (SELECT node_id, d, x + coalesce(y, 0) AS x FROM v{k} LEFT JOIN y{k} ON a = node_id AND yd = d)",
+                 f"v{k + 1} AS MATERIALIZED (SELECT node_id, d, x / l AS x FROM w{k} JOIN (SELECT node_id AS o, sqrt(sum(x * x)) + 1e-8 AS l FROM w{k} GROUP BY 1) ON o = node_id)"]
+    return f"SELECT * FROM (WITH {', '.join(ctes)} SELECT node_id, CAST(d AS INTEGER) AS d, {q9('x')} AS x FROM v{rounds})"
+
+
+def session_graph(t):
+    return gr.build_edges(idx(t))
+
+
+add("GR22_projected_vectors", lambda t: gr.projected_vectors(gr.nodes_of(session_graph(t)), session_graph(t)).withColumn("x", r9("x")), projected_sql(64, 3), "dataset_index")
 
 
 def part_features(t):
-    """Two features per node: a price for parts, a quantity for predictions."""
+    """One feature per node: a price of parts and sessions, a quantity of predictions, a balance of users."""
     line = t.lineitem.selectExpr("concat('Prediction:', l_orderkey, '-', l_linenumber) AS node_id", "l_quantity AS x").groupBy("node_id").agg(F.max("x").alias("x"))
     part = t.part.selectExpr("concat('Symptom:', p_partkey) AS node_id", "p_retailprice AS x")
-    return line.unionByName(part).select("node_id", F.lit(0).cast("long").alias("d"), "x")
+    session = t.orders.selectExpr("concat('Session:', o_orderkey) AS node_id", "o_totalprice AS x")
+    user = t.customer.selectExpr("concat('User:', c_custkey) AS node_id", "c_acctbal AS x")
+    return line.unionByName(part).unionByName(session).unionByName(user).select("node_id", F.lit(0).cast("long").alias("d"), "x")
 
 
-PF = "SELECT 'Prediction:' || l_orderkey || '-' || l_linenumber AS node_id, max(l_quantity) AS x FROM lineitem GROUP BY 1 UNION ALL SELECT 'Symptom:' || p_partkey, p_retailprice FROM part"
-add("GR23_neighbour_mean", lambda t: gr.neighbour_mean(t.edge.filter("rel_type = 'IDENTIFIED'"), part_features(t)).withColumn("x", r9("x")),
-    f"SELECT node_id, 0 AS d, {q9('avg(x)')} AS x FROM (SELECT node_id, x FROM ({PF}) UNION ALL SELECT a, x FROM (SELECT DISTINCT src AS a, dst AS b FROM edge WHERE rel_type = 'IDENTIFIED' UNION SELECT DISTINCT dst, src FROM edge WHERE rel_type = 'IDENTIFIED') JOIN ({PF}) ON node_id = b) GROUP BY 1", "edge")
+PF = ("SELECT 'Prediction:' || l_orderkey || '-' || l_linenumber AS node_id, max(l_quantity) AS x FROM lineitem GROUP BY 1 UNION ALL SELECT 'Symptom:' || p_partkey, p_retailprice FROM part "
+      "UNION ALL SELECT 'Session:' || o_orderkey, o_totalprice FROM orders UNION ALL SELECT 'User:' || c_custkey, c_acctbal FROM customer")
+add("GR23_neighbour_mean", lambda t: gr.neighbour_mean(t.edge, part_features(t)).withColumn("x", r9("x")),
+    f"SELECT node_id, 0 AS d, {q9('avg(x)')} AS x FROM (SELECT node_id, x FROM ({PF}) UNION ALL SELECT a, x FROM (SELECT DISTINCT src AS a, dst AS b FROM edge UNION SELECT DISTINCT dst, src FROM edge) JOIN ({PF}) ON node_id = b WHERE a <> b) GROUP BY 1", "edge")
 
 
 def embedding_rows(t):

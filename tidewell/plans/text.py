@@ -74,8 +74,17 @@ add("TXT8_sentences", lambda t: said(t).select("doc_id", F.size(tx.sentences(F.c
     f"SELECT doc_id, len(s) AS n, sha256(array_to_string(s, '|')) AS digest FROM (SELECT doc_id, {SENT} AS s FROM {SAID})")
 add("TXT9_utterance_order", lambda t: t.conversations.filter(F.trim("text") != "").select("conv_id", "turn", F.length("text").cast("long").alias("chars")).orderBy("conv_id", "turn"),
     "SELECT conv_id, turn, length(text) AS chars FROM conversations WHERE trim(text) <> ''")
-add("TXT10_tokens", lambda t: said(t).select("doc_id", F.size(tx.tokens(F.col("text"))).cast("long").alias("n"), F.sha2(F.array_join(tx.tokens(F.col("text"), 512), " "), 256).alias("digest")),
-    f"SELECT doc_id, len(k) AS n, sha256(array_to_string(list_slice(k, 1, 512), ' ')) AS digest FROM (SELECT doc_id, {TOKENS} AS k FROM {SAID})")
+
+
+def token_lists(t):
+    """All tokens of a text, and those within a sequence length."""
+    lists = {"every": tx.tokens(F.col("text")), "cut": tx.tokens(F.col("text"), 512)}
+    digests = [F.sha2(F.array_join(c, " "), 256).alias(f"{n}_digest") for n, c in lists.items()]
+    return said(t).select("doc_id", *[F.size(c).cast("long").alias(n) for n, c in lists.items()], *digests)
+
+
+add("TXT10_tokens", token_lists,
+    f"SELECT doc_id, len(k) AS every, least(len(k), 512) AS cut, sha256(array_to_string(k, ' ')) AS every_digest, sha256(array_to_string(list_slice(k, 1, 512), ' ')) AS cut_digest FROM (SELECT doc_id, {TOKENS} AS k FROM {SAID})")
 SENTI = f"SELECT doc_id, text, p / n AS positive, q / n AS negative, 1 - abs((p - q) / n) AS neutral, (p - q) / n AS compound FROM (SELECT *, p + q + 1e0 AS n FROM (SELECT doc_id, text, len(list_intersect(s, {lit(POSITIVE_WORDS)})) AS p, len(list_intersect(s, {lit(NEGATIVE_WORDS)})) AS q FROM (SELECT doc_id, text, {SET} AS s FROM {SAID})))"
 LABEL = "CASE WHEN compound > 1e-1 THEN 'positive' WHEN compound < -1e-1 THEN 'negative' ELSE 'neutral' END"
 add("TXT11_sentiment", lambda t: said(t).select("doc_id", *[c.alias(n) for n, c in tx.sentiment(F.col("text")).items()]),
@@ -92,11 +101,11 @@ KIND = f"CASE WHEN {POS['negations']} THEN 'negations' WHEN {POS['pronouns']} TH
 add("TXT13_part_of_speech", lambda t: said(t).select("doc_id", *[F.size(c).cast("long").alias(n) for n, c in tx.part_of_speech(tx.tokens(F.col("text"))).items()]),
     "SELECT doc_id, " + ", ".join(f"count(CASE WHEN kind = '{n}' THEN 1 END) AS {n}" for n in ("nouns", "verbs", "pronouns", "adverbs", "negations"))
     + f" FROM (SELECT doc_id, {KIND} AS kind FROM (SELECT doc_id, unnest({TOKENS}) AS w FROM {SAID})) GROUP BY 1")
-ASCII = r"regexp_replace(text, '[^\x00-\x7F]', 'x', 'g')"
-add("TXT14_named_entities", lambda t: said(t).select("doc_id", F.regexp_replace("text", r"[^\x00-\x7F]", "x").alias("text")).select(
-        "doc_id", *[F.array_join(c, "|").alias(n) for n, c in tx.named_entities(F.col("text")).items()]),
+# a letter or digit of any script becomes an underscore, which ASCII word boundaries take for a word character as well
+PLAIN = r"regexp_replace(regexp_replace(text, '[^\x00-\x7F\p{L}\p{M}\p{N}]', '.', 'g'), '[^\x00-\x7F]', '_', 'g')"
+add("TXT14_named_entities", lambda t: said(t).select("doc_id", *[F.array_join(c, "|").alias(n) for n, c in tx.named_entities(F.col("text")).items()]),
     r"SELECT doc_id, array_to_string(regexp_extract_all(a, '\b\d{1,2}[/-]\d{1,2}[/-]\d{2,4}\b'), '|') AS date, array_to_string(regexp_extract_all(a, '\b\d{1,2}:\d{2}\b'), '|') AS time, "
-    r"array_to_string(regexp_extract_all(a, '\b[A-Z][a-z]+(?:\s[A-Z][a-z]+)*\b'), '|') AS place FROM (SELECT doc_id, " + ASCII + f" AS a FROM {SAID})")
+    r"array_to_string(regexp_extract_all(a, '\b[A-Z][a-z]+(?:\s[A-Z][a-z]+)*\b'), '|') AS place FROM (SELECT doc_id, " + PLAIN + f" AS a FROM {SAID})")
 add("TXT15_keyword_hits", lambda t: said(t).select("doc_id", F.explode(tx.keyword_hits(F.col("text"))).alias("category", "terms")).select("doc_id", "category", F.array_join("terms", ",").alias("terms")),
     "SELECT * FROM (" + " UNION ALL ".join(f"SELECT doc_id, '{c}' AS category, array_to_string(list_filter({lit(ts)}, lambda z: contains(low, z)), ',') AS terms FROM (SELECT doc_id, lower(text) AS low FROM {SAID})" for c, ts in LEXICONS.items()) + ") WHERE terms <> ''")
 

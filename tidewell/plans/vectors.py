@@ -69,9 +69,9 @@ RAG = "SELECT vec_id, label % 4 AS batch, embedding[1:(vec_id % 13 + label)]::DO
 RAGM = f"SELECT vec_id, v, max(len(v)) OVER (PARTITION BY batch) AS m FROM ({RAG})"
 add("ARR1_batch_padding", lambda t: vs.batch_padded(ragged(t), "batch", "v").select("vec_id", F.posexplode("padded").alias("pos", "x"), "mask").select("vec_id", F.col("pos").cast("long").alias("pos"), r9(F.col("x").cast("double")).alias("x"), F.get("mask", F.col("pos")).cast("double").alias("m")),
     f"SELECT vec_id, p AS pos, {q9('coalesce(v[p + 1], 0e0)')} AS x, CASE WHEN p < len(v) THEN 1e0 ELSE 0e0 END AS m FROM (SELECT vec_id, v, unnest(range(0, m)) AS p FROM ({RAGM}))")
-add("ARR2_matrix_padding", lambda t: t.embeddings.select("vec_id", vx.padded_matrix(F.array(F.slice("embedding", 1, 5), F.slice("embedding", 6, 3)), 3, 4).alias("m")).select("vec_id", F.posexplode("m").alias("row", "r")).select(
+add("ARR2_matrix_padding", lambda t: t.embeddings.select("vec_id", vx.padded_matrix(F.array(F.slice("embedding", 1, 40), F.slice("embedding", 41, 24)), 3, 48).alias("m")).select("vec_id", F.posexplode("m").alias("row", "r")).select(
         "vec_id", F.col("row").cast("long").alias("row"), F.posexplode("r").alias("c", "x")).select("vec_id", "row", F.col("c").cast("long").alias("c"), r9(F.col("x").cast("double")).alias("x")),
-    f"SELECT vec_id, r AS \"row\", c, {q9('CASE WHEN r = 0 THEN e[c + 1] WHEN r = 1 AND c < 3 THEN e[c + 6] ELSE 0e0 END')} AS x FROM {DV}, (SELECT unnest(range(0, 3)) AS r), (SELECT unnest(range(0, 4)) AS c)")
+    f"SELECT vec_id, r AS \"row\", c, {q9('CASE WHEN r = 0 AND c < 40 THEN e[c + 1] WHEN r = 1 AND c < 24 THEN e[c + 41] ELSE 0e0 END')} AS x FROM {DV}, (SELECT unnest(range(0, 3)) AS r), (SELECT unnest(range(0, 48)) AS c)")
 add("ARR3_presence_flags", lambda t: vs.presence(t.embeddings.selectExpr("vec_id", "IF(label < 3, embedding, NULL) AS a", "embedding AS b"), {"audio": "a", "text": "b"}).select("vec_id", F.explode("modality_mask").alias("modality", "present")),
     "SELECT vec_id, 'audio' AS modality, label < 3 AS present FROM embeddings UNION ALL SELECT vec_id, 'text', true FROM embeddings")
 add("ARR4_vector_problems", lambda t: t.embeddings.select("vec_id", F.array_join(vx.problems(F.expr("CASE WHEN vec_id % 9 = 1 THEN NULL WHEN vec_id % 9 = 2 THEN slice(embedding, 1, 10) WHEN vec_id % 9 = 3 THEN concat(embedding, array(CAST('NaN' AS FLOAT))) ELSE embedding END"), 64), ",").alias("problems")),
@@ -79,11 +79,11 @@ add("ARR4_vector_problems", lambda t: t.embeddings.select("vec_id", F.array_join
 
 
 def parts(t):
-    return t.embeddings.selectExpr("CAST(vec_id % 50 AS STRING) AS participant_id", "concat('m', label % 3) AS modality", "slice(embedding, 1, 4) AS v", "lpad(CAST(vec_id AS STRING), 9, '0') AS path")
+    return t.embeddings.selectExpr("CAST(vec_id % 50 AS STRING) AS participant_id", "concat('m', label % 3) AS modality", "embedding AS v", "lpad(CAST(vec_id AS STRING), 9, '0') AS path")
 
 
 add("ARR5_fused_vectors", lambda t: exploded(vs.fused(parts(t)).select("participant_id", F.col("fused").cast("array<double>").alias("fused")), "participant_id", "fused"),
-    unnest("SELECT CAST(pid AS VARCHAR) AS participant_id, flatten(list(v ORDER BY m)) AS s FROM (SELECT vec_id % 50 AS pid, label % 3 AS m, arg_min(e[1:4], vec_id) AS v FROM " + DV + " GROUP BY 1, 2) GROUP BY 1", "participant_id"))
+    unnest("SELECT CAST(pid AS VARCHAR) AS participant_id, flatten(list(v ORDER BY m)) AS s FROM (SELECT vec_id % 50 AS pid, label % 3 AS m, arg_min(e, vec_id) AS v FROM " + DV + " GROUP BY 1, 2) GROUP BY 1", "participant_id"))
 
 
 def neighbours(t):
