@@ -111,3 +111,24 @@ def test_quoted_transcripts(spark, tmp_path):
     assert rows == [
         ("1", 0, "Participant", 1.0, 2.0, "Well, I slept badly"), ("1", 1, "Ellie", 2.0, 3.5, 'She said "no", then left'), ("1", 2, "Participant", 3.5, 4.0, '5" long'), ("1", 3, "unknown", 4.0, 5.0, ""),
         ("2", 0, "Ellie", 1.0, 2.0, "a, b"), ("2", 1, "Ellie", 2.0, 3.0, "tab here")]
+
+
+def test_metadata_tables_take_the_first_record(spark, tmp_path):
+    from tidewell.operators import dataset as ds
+    from tidewell.sinks import files as sink
+    rows = [
+        ("p1", "s1", "daic", "normal", "en", "audio", "x1", "b.wav", 2.5), ("p1", "s1", "dvlog", "depression", "ta", "text", "x2", "a.csv", 0.0),
+        ("p1", "s2", "daic", None, "en", "video", "x3", "c, d.avi", None), (None, None, "daic", "normal", None, "audio", "x4", "e.wav", 1.0),
+    ]
+    index = spark.createDataFrame(rows, "participant_id string, session_id string, dataset string, label string, language string, modality string, sample_id string, file_path string, duration_seconds double")
+    tables = ds.metadata_tables(index)
+    people = {r["participant_id"]: tuple(r)[1:] for r in tables["participants"].collect()}
+    assert people == {"p1": ("dvlog", "depression", "ta"), None: ("daic", "normal", None)}
+    assert {r["session_id"]: tuple(r)[1:] for r in tables["sessions"].collect()} == {"s1": ("p1", "dvlog"), "s2": ("p1", "daic"), None: (None, "daic")}
+    assert tables["labels"].count() == tables["languages"].count() == 2
+    paths = sink.write_metadata(tables, str(tmp_path))
+    back = spark.read.option("header", True).csv(paths["files"])
+    assert {(r["modality"], r["sample_id"], r["file_path"], r["duration_seconds"]) for r in back.collect()} == {
+        ("audio", "x1", "b.wav", "2.5"), ("text", "x2", "a.csv", None), ("video", "x3", "c, d.avi", None), ("audio", "x4", "e.wav", "1.0")}
+    empty = ds.metadata_tables(index.limit(0))
+    assert all(t.count() == 0 for t in empty.values())

@@ -157,3 +157,15 @@ def test_local_roots():
     for x in of:
         for y in of:
             assert (of[x] == of[y]) == (top(x) == top(y))
+
+
+def test_trail_counts_by_hand(spark):
+    """Paths of two different edges, over parallel edges as well; a self-loop counts for nothing."""
+    edges = [("a", "b"), ("b", "a"), ("b", "c"), ("c", "d"), ("d", "d"), ("e", "f")]
+    got = {r["node_id"]: (r["one"], r["two"]) for r in gr.trail_counts(spark.createDataFrame(edges, "src string, dst string")).collect()}
+    ends = [(x, y, i) for i, (s, d) in enumerate(edges) if s != d for x, y in ((s, d), (d, s))]
+    want = {}
+    for n in {x for x, _, _ in ends}:
+        first = [(y, i) for x, y, i in ends if x == n]
+        want[n] = (len(first), sum(1 for y, i in first for x, _, j in ends if x == y and j != i))
+    assert got == want

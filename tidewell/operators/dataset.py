@@ -187,6 +187,22 @@ def first_per(df: DataFrame, keys: Sequence[str], order: Sequence[str], keep: Se
     return df.groupBy(*keys).agg(F.min_by(F.struct(*keep), F.struct(*order)).alias("_f")).select(*keys, "_f.*")
 
 
+def metadata_tables(index: DataFrame, order: Sequence[str] = ("file_path",)) -> dict[str, DataFrame]:
+    """Participants, sessions, files by modality, labels and languages of an index (SNK5).
+
+    The first record by ``order`` speaks for a participant or session. A duration of 0 or null is left
+    empty. Null ids form one participant and one session of their own.
+    """
+    people = first_per(index, ["participant_id"], order, ["dataset", "label", "language"])
+    return {
+        "participants": people,
+        "sessions": first_per(index, ["session_id"], order, ["participant_id", "dataset"]),
+        "files": index.select("modality", "sample_id", "participant_id", "file_path", F.when(F.col("duration_seconds") != 0, F.col("duration_seconds")).alias("duration_seconds")),
+        "labels": people.select("participant_id", "label"),
+        "languages": people.select("participant_id", "language"),
+    }
+
+
 def best_file(files: DataFrame) -> DataFrame:
     """First file per (participant, modality); transcripts prefer names with "transcript" (SRC8)."""
     rank = F.when((F.col("modality") == "transcript") & ~F.lower("file_path").contains("transcript"), 1).otherwise(0)

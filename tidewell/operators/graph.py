@@ -173,6 +173,18 @@ def degrees(edge: DataFrame) -> DataFrame:
     return ends.groupBy("node_id").agg(F.count("*").alias("degree"))
 
 
+def trail_counts(edge: DataFrame) -> DataFrame:
+    """Number of undirected paths of one and of two different edges from each node (JN19).
+
+    Paths are counted, not listed: each edge to a neighbour goes on over all the neighbour's other edges,
+    parallel ones and those back to the start included. Self-loops are left out.
+    """
+    links = edge.filter("src <> dst")
+    degree = degrees(links)
+    ends = links.select(F.col("src").alias("start"), F.col("dst").alias("node_id")).unionAll(links.select(F.col("dst").alias("start"), F.col("src").alias("node_id")))
+    return ends.join(degree, "node_id").groupBy(F.col("start").alias("node_id")).agg(F.count("*").alias("one"), F.sum(F.col("degree") - 1).alias("two"))
+
+
 def reachable(edge: DataFrame, roots: DataFrame) -> DataFrame:
     """All nodes that can be reached from any root over outgoing edges, roots included: ``node_id`` (MUT9).
 

@@ -135,6 +135,23 @@ def older_evolution(session: DataFrame, fact: DataFrame, kind: str, measure: str
     return rows.select("user_id", kind, measure, F.col("timestamp").alias("ts"))
 
 
+def older_timeline(user: DataFrame, session: DataFrame) -> DataFrame:
+    """All sessions of the known users, deleted ones included (JN19)."""
+    return session.join(user.select("user_id"), "user_id").select("user_id", "session_id", "timestamp")
+
+
+def older_risk_progression(user: DataFrame, session: DataFrame, prediction: DataFrame) -> DataFrame:
+    """Scores under their older name only, null where a prediction has the newer one (JN19)."""
+    hops = older_timeline(user, session).select("user_id", "session_id")
+    return with_links(prediction, ("PREDICTED",)).drop("user_id").join(hops, "session_id").select("user_id", F.col("session_id").alias("session"), F.col("risk_score").alias("risk"), F.col("created_at").alias("ts"))
+
+
+def older_high_risk(session: DataFrame, prediction: DataFrame, threshold: float = 0.7) -> DataFrame:
+    """Distinct (session, risk) at or above the threshold under the older name (JN19)."""
+    rows = with_links(prediction, ("PREDICTED",)).filter(F.col("risk_score") >= threshold)
+    return rows.join(session.select("session_id"), "session_id").select(F.col("session_id").alias("session"), F.col("risk_score").alias("risk")).distinct()
+
+
 def behaviour_evolution(session: DataFrame, prediction: DataFrame, behaviour: DataFrame) -> DataFrame:
     """User to session to prediction to behaviour (JN4)."""
     hops = with_links(prediction, PREDICTION_LINKS).select("prediction_id", "session_id")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import functions as F
 
+from tidewell.operators import dataset as ds
 from tidewell.operators import gates as gt
 from tidewell.plans.dataset import INDEX_SQL, idx
 from tidewell.plans.gates import ISSUES, ROLL, every_issue
@@ -30,6 +31,38 @@ def index_round_trip(t):
 
 
 add("SRC1_index_csv", index_round_trip, COUNTED, "dataset_index")
+def metadata_records(t):
+    return t.dataset_index.selectExpr("*", "concat(file_path, '#', modality) AS sample_id", "IF(transcript_length % 7 = 0, 0D, transcript_length / 4D) AS duration_seconds")
+
+
+def metadata_rows(t):
+    """All five tables, written as CSV and read again, as (table, key, field, value)."""
+    tables = ds.metadata_tables(metadata_records(t))
+    paths = sink.write_metadata(tables, work_folder(t.spark, "metadata"))
+    keys = {"participants": "participant_id", "sessions": "session_id", "files": "sample_id", "labels": "participant_id", "languages": "participant_id"}
+    out = None
+    for name, path in paths.items():
+        rows = t.spark.read.option("header", True).schema(", ".join(f"{c} STRING" for c in [*[c for c in tables[name].columns if c != "modality"], *(["modality"] if name == "files" else [])])).csv(path)
+        cells = F.explode(F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).alias("value")) for c in rows.columns if c != keys[name]]))
+        part = rows.select(F.lit(name).alias("table_name"), F.col(keys[name]).alias("key"), cells.alias("c")).select("table_name", "key", "c.*")
+        out = part if out is None else out.unionAll(part)
+    return out
+
+
+FIRST_OF = "arg_min({0}, file_path) AS {0}"
+PEOPLE = f"SELECT participant_id, {', '.join(FIRST_OF.format(c) for c in ('dataset', 'label', 'language'))} FROM dataset_index GROUP BY 1"
+FILED = ("SELECT file_path || '#' || modality AS sample_id, modality, participant_id, file_path, CASE WHEN transcript_length % 7 = 0 OR transcript_length = 0 THEN NULL ELSE CAST(transcript_length / 4e0 AS VARCHAR) END AS duration_seconds FROM dataset_index")
+
+
+def cells_sql(table, key, fields, rows):
+    return " UNION ALL ".join(f"SELECT '{table}' AS table_name, {key} AS key, '{f}' AS field, {f} AS value FROM ({rows})" for f in fields)
+
+
+add("SNK5_written_tables", metadata_rows, " UNION ALL ".join((
+    cells_sql("participants", "participant_id", ("dataset", "label", "language"), PEOPLE),
+    cells_sql("sessions", "session_id", ("participant_id", "dataset"), "SELECT session_id, arg_min(participant_id, file_path) AS participant_id, arg_min(dataset, file_path) AS dataset FROM dataset_index GROUP BY 1"),
+    cells_sql("files", "sample_id", ("modality", "participant_id", "file_path", "duration_seconds"), FILED),
+    cells_sql("labels", "participant_id", ("label",), PEOPLE), cells_sql("languages", "participant_id", ("language",), PEOPLE))), "dataset_index")
 add("SNK1_index_export", lambda t: by_modality(t.spark.read.parquet(sink.export_index(t.dataset_index, work_folder(t.spark, "index"))["parquet"])), COUNTED, "dataset_index")
 
 

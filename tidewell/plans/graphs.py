@@ -67,6 +67,11 @@ def chain(t):
 add("GR6_temporal_chain", chain, f"SELECT *, n - pos AS reaches FROM ({CHAIN})")
 add("GR6_chain_levels", lambda t: gr.ancestors(t.edge).withColumn("level", F.col("level").cast("long")),
     f"SELECT 'Session:' || o_orderkey AS node_id, pos - 1 AS level FROM ({CHAIN}) WHERE n > 1")
+add("JN19_older_temporal_chain", lambda t: chain(t).select("o_custkey", "o_orderkey", "reaches").filter("reaches > 0"),
+    f"SELECT a.o_custkey, a.o_orderkey, count(*) AS reaches FROM ({CHAIN}) a JOIN ({CHAIN}) b ON b.o_custkey = a.o_custkey AND b.pos > a.pos GROUP BY 1, 2")
+add("JN19_older_subgraph_paths", lambda t: gr.trail_counts(t.edge),
+    graph_sql("eid AS MATERIALIZED (SELECT src, dst, row_number() OVER () AS i FROM edge WHERE src <> dst), bw AS MATERIALIZED (SELECT src AS a, dst AS z, i FROM eid UNION ALL SELECT dst, src, i FROM eid)",
+              "SELECT node_id, one, coalesce(two, 0) AS two FROM (SELECT a AS node_id, count(*) AS one FROM bw GROUP BY 1) LEFT JOIN (SELECT x.a AS k, count(*) AS two FROM bw x JOIN bw y ON y.a = x.z AND y.i <> x.i GROUP BY 1) ON k = node_id"))
 add("GR7_chain_counts", lambda t: gr.chain_counts(chain(t), "o_custkey"), f"SELECT o_custkey, count(*) AS sessions, CAST(sum(n - pos) AS BIGINT) AS temporal_links FROM ({CHAIN}) GROUP BY 1")
 add("GR8_node_edge_counts", lambda t: gr.incident_counts(t.edge, users(t), 2),
     graph_sql(levels(USERS, 2) + f", reach AS ({union_levels(2)}), eid AS MATERIALIZED (SELECT src, dst, row_number() OVER () AS i FROM edge)",

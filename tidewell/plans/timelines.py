@@ -115,6 +115,13 @@ add("JN19_older_graph_statistics", lambda t: t.node.agg(F.count("*").alias("node
 add("JN19_older_session_history", lambda t: tl.newest(t.session.select("user_id", "session_id", "timestamp"), "timestamp", "session_id", 12),
     "SELECT * FROM (SELECT user_id, session_id, timestamp, row_number() OVER (PARTITION BY user_id ORDER BY timestamp DESC, session_id DESC) AS rank FROM session) WHERE rank <= 12", "session")
 
+add("JN19_older_user_timeline", lambda t: tl.older_timeline(t.user, t.session),
+    "SELECT u.user_id, session_id, timestamp FROM usr u JOIN session s ON s.user_id = u.user_id", "usr session")
+add("JN19_older_risk_progression", lambda t: tl.older_risk_progression(t.user, t.session, t.prediction),
+    "SELECT u.user_id, s.session_id AS session, risk_score AS risk, created_at AS ts FROM usr u JOIN session s ON s.user_id = u.user_id JOIN prediction p ON p.session_id = s.session_id WHERE rel_type = 'PREDICTED'", "usr session prediction")
+add("JN19_older_high_risk_sessions", lambda t: tl.older_high_risk(t.session, t.prediction),
+    "SELECT DISTINCT s.session_id AS session, risk_score AS risk FROM session s JOIN prediction p ON p.session_id = s.session_id WHERE rel_type = 'PREDICTED' AND risk_score >= 7e-1", "session prediction")
+
 # --- top n --------------------------------------------------------------------------------------
 add("TOP1_latest_session", lambda t: tl.session_history(t.session, 1).select("user_id", "session_id", "timestamp"),
     "SELECT user_id, session_id, timestamp FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY timestamp DESC, session_id DESC) AS r "

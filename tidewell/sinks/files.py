@@ -47,6 +47,11 @@ def export_samples(index: DataFrame, folder: str) -> dict[str, str]:
     return write_formats(index.select(*cols), folder, "samples")
 
 
+def write_metadata(tables: dict[str, DataFrame], folder: str) -> dict[str, str]:
+    """The metadata tables as CSV, that of the files with a folder for each modality (SNK5)."""
+    return {name: write_formats(df, folder, name, ("csv",), ("modality",) if name == "files" else ())["csv"] for name, df in tables.items()}
+
+
 def save_sessions(sessions: DataFrame, folder: str) -> str:
     """``sessions.parquet`` (SNK2)."""
     return write_formats(sessions, folder, "sessions", ("parquet",))["parquet"]
