@@ -132,3 +132,20 @@ def test_metadata_tables_take_the_first_record(spark, tmp_path):
         ("audio", "x1", "b.wav", "2.5"), ("text", "x2", "a.csv", None), ("video", "x3", "c, d.avi", None), ("audio", "x4", "e.wav", "1.0")}
     empty = ds.metadata_tables(index.limit(0))
     assert all(t.count() == 0 for t in empty.values())
+
+
+def test_layouts_with_and_without_labels(spark, tmp_path):
+    from tidewell.sources import registry as reg
+    deep = tmp_path / "a" / "7_P" / "participant_data" / "text"
+    deep.mkdir(parents=True)
+    (deep / "0.txt").write_text("hello")
+    numbers = tmp_path / "b" / "12"
+    numbers.mkdir(parents=True)
+    (numbers / "acoustic.npy").write_bytes(b"")
+    bare = [(r["participant_id"], r["modality"], r["label"], r["split"]) for r in reg.discover_all(spark, {"daic_woz": str(tmp_path / "a"), "dvlog": str(tmp_path / "b")}).collect()]
+    assert sorted(bare) == [("12", "audio", "unknown", None), ("7", "text", "unknown", None)]
+    (tmp_path / "a" / "splits").mkdir()
+    (tmp_path / "a" / "splits" / "dev_split.csv").write_text("Participant_ID,PHQ8_Binary\n7_P,1\n")
+    (tmp_path / "b" / "labels.csv").write_text("index,label,fold\n12,0,valid\n")
+    full = [(r["participant_id"], r["label"], r["split"]) for r in reg.discover_all(spark, {"daic_woz": str(tmp_path / "a"), "dvlog": str(tmp_path / "b")}).collect()]
+    assert sorted(full) == [("12", "normal", "dev"), ("7", "depression", "dev")]

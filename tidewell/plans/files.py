@@ -141,21 +141,38 @@ add("SRC5_plain_transcripts", plain, "SELECT 'unknown' AS speaker, 0 AS ords")
 add("SRC6_listing", lambda t: src.listing(t.spark, transcript_files(t)).groupBy("modality").agg(F.count("*").alias("n")), "SELECT 'text' AS modality, count(*) AS n FROM (SELECT DISTINCT conv_id, turn // 1000 FROM conversations WHERE text <> '')")
 add("SRC6_classified_names", lambda t: t.pages.select("page_id", src.classify(F.concat(F.element_at(F.split("url", "/"), -1), F.expr("CASE page_id % 6 WHEN 0 THEN '_CLNF_AUs.txt' WHEN 1 THEN '.wav' WHEN 2 THEN '.mp4' WHEN 3 THEN '_TRANSCRIPT.csv' WHEN 4 THEN '_COVAREP.csv' ELSE '.bin' END"))).alias("kind")),
     "SELECT page_id, CASE WHEN regexp_matches(lower(url), '(clnf|hog|gaze|pose|_aus)[^/]*$') THEN 'facial_features' ELSE CASE page_id % 6 WHEN 0 THEN 'facial_features' WHEN 1 THEN 'audio' WHEN 2 THEN 'video' WHEN 3 THEN 'transcript' WHEN 4 THEN 'audio_features' ELSE 'other' END END AS kind FROM pages")
-add("SRC7_adapter_discovery", lambda t: reg.discover(t.spark, "daic_woz", interview_tree(t)).groupBy("modality", "label").agg(F.count("*").alias("n")),
-    "SELECT 'text' AS modality, 'unknown' AS label, count(DISTINCT conv_id) AS n FROM conversations WHERE text <> ''")
-add("UDF2_adapter_by_name", lambda t: reg.discover_all(t.spark, {"daic_woz": interview_tree(t)}).select("participant_id", "dataset").distinct(),
-    "SELECT DISTINCT CAST(conv_id AS VARCHAR) AS participant_id, 'daic_woz' AS dataset FROM conversations WHERE text <> ''")
-
-
 def interview_tree(t):
-    """Folders ``id=<conv>_P/participant_data`` with one text file each."""
+    """Folders ``<conv>_P/participant_data/text`` with all texts, a file for up to 1000 turns, and official split files for up to 1000 ids."""
     folder = work_folder(t.spark, "interviews")
-    body = t.conversations.filter("text <> ''").groupBy("conv_id").agg(F.max(F.regexp_replace("text", "[\r\n]+", " ")).alias("value"))
-    body.select("value", F.concat(F.col("conv_id").cast("string"), F.lit("_P/participant_data")).alias("path")).withColumn("sub", F.lit("x")).select(
-        "value", F.regexp_extract("path", "^[^/]+", 0).alias("p"), F.lit("participant_data").alias("q")).write.partitionBy("p", "q").text(folder)
+    lines = t.conversations.filter("text <> ''").select("conv_id", F.expr("turn DIV 1000").alias("piece"), F.struct("turn", "text").alias("l"))
+    texts = lines.groupBy("conv_id", "piece").agg(F.array_join(F.transform(F.array_sort(F.collect_list("l")), lambda x: x["text"]), "\n").alias("b"))
+    sink.write_blobs(texts.select(F.concat(F.col("conv_id").cast("string"), F.lit("_P/participant_data/text/"), F.col("piece").cast("string"), F.lit(".txt")).alias("name"), F.col("b").cast("binary").alias("content")), folder)
+    rows = idx(t).filter("split IN ('train', 'dev', 'test')").selectExpr("split", "CAST(participant_id AS BIGINT) DIV 1000 AS piece", "concat(participant_id, '_P,', CASE label WHEN 'depression' THEN '1' WHEN 'normal' THEN '0' ELSE '' END, ',1') AS line")
+    files = rows.groupBy("split", "piece").agg(F.concat(F.lit("Participant_ID,PHQ8_Binary,Gender\n"), F.array_join(F.collect_list("line"), "\n")).alias("b"))
+    sink.write_blobs(files.select(F.concat(F.lit("splits/"), "split", F.lit("_split_"), F.col("piece").cast("string"), F.lit(".csv")).alias("name"), F.col("b").cast("binary").alias("content")), folder)
+    return folder
+
+
+def numbered_tree(t):
+    """Array files of all groups of vectors and a label table for two groups of three."""
+    folder = array_folder(t)
+    samples(t).filter("g % 3 < 2").selectExpr("CAST(g AS STRING) AS index", "IF(g % 3 = 0, '1', '0') AS label", "IF(g % 2 = 0, 'valid', 'train') AS fold", "n / 10D AS duration", "'f' AS gender").write.option("header", True).csv(f"{folder}/labels.csv")
     return folder
 
 
+SAMPLE = ("sample_id", "participant_id", "session_id", "dataset", "modality", "label", "split", "language")
+INTERVIEWED = (f"SELECT p || '_text_' || piece AS sample_id, p AS participant_id, p AS session_id, 'daic_woz' AS dataset, 'text' AS modality, coalesce(label, 'unknown') AS label, split, 'en' AS language "
+               f"FROM (SELECT DISTINCT CAST(conv_id AS VARCHAR) AS p, turn // 1000 AS piece FROM conversations WHERE text <> '') LEFT JOIN ({LABELS_SQL}) ON participant_id = p")
+
+
+def numbered_sql():
+    return ("SELECT p || '_' || m AS sample_id, p AS participant_id, p AS session_id, 'dvlog' AS dataset, m AS modality, CASE g % 3 WHEN 0 THEN 'depression' WHEN 1 THEN 'normal' ELSE 'unknown' END AS label, "
+            f"CASE WHEN g % 3 < 2 THEN CASE WHEN g % 2 = 0 THEN 'dev' ELSE 'train' END END AS split, 'en' AS language FROM {GROUPS}, (VALUES ('audio'), ('visual')) v(m) WHERE m = 'audio' OR g % 3 <> 0")
+
+
+add("SRC7_adapter_discovery", lambda t: reg.discover(t.spark, "daic_woz", interview_tree(t)).select(*SAMPLE), INTERVIEWED, "dataset_index")
+
+
 def parsed(t):
     files = t.dataset_index.selectExpr("participant_id", "IF(modality = 'facial_features', 'video', modality) AS modality", "file_path")
     lengths = t.dataset_index.groupBy("participant_id").agg(F.max("audio_length").alias("audio_length"), F.lit(0.0).alias("video_length"), F.max("transcript_length").alias("transcript_length"), F.max(F.col("audio_length") * 0.9).alias("last_stop"), F.lit(0.5).alias("transcript_quality"))
@@ -398,3 +415,6 @@ def blank_transcripts(t):
 add("DQ20_empty_transcripts", blank_transcripts,
     "SELECT 'file' AS gate, 'transcript_validation' AS check, 'warning' AS severity, doc_id || '_TRANSCRIPT.csv: empty_transcript' AS message, CAST(doc_id AS VARCHAR) AS participant_id FROM documents "
     r"WHERE doc_id % 9 = 0 OR text IS NULL OR NOT regexp_matches(text, '\S')")
+
+add("SRC7_numbered_discovery", lambda t: reg.discover(t.spark, "dvlog", numbered_tree(t)).select(*SAMPLE), numbered_sql())
+add("UDF2_adapter_by_name", lambda t: reg.discover_all(t.spark, {"daic_woz": interview_tree(t), "dvlog": numbered_tree(t)}).select(*SAMPLE), f"{INTERVIEWED} UNION ALL {numbered_sql()}", "dataset_index")

@@ -216,6 +216,18 @@ def numbered_files(spark: SparkSession, folder: str, labels: DataFrame | None =
     return _attach(rows, labels, "dvlog").withColumn("sample_id", F.concat_ws("_", "participant_id", "modality"))
 
 
+def labelled_interviews(spark: SparkSession, folder: str) -> DataFrame:
+    """The interview layout with its official ``splits/*.csv``, where there are any, attached (SRC7)."""
+    where = f"{folder}/splits"
+    return interview_files(spark, folder, split_labels(spark, where) if path_exists(spark, where) else None)
+
+
+def labelled_numbers(spark: SparkSession, folder: str) -> DataFrame:
+    """The numeric layout with its ``labels.csv``, where there is one, attached (SRC7)."""
+    where = f"{folder}/labels.csv"
+    return numbered_files(spark, folder, numbered_labels(spark, where) if path_exists(spark, where) else None)
+
+
 def _attach(rows: DataFrame, labels: DataFrame | None, dataset: str) -> DataFrame:
     rows = rows.withColumns({"session_id": F.col("participant_id"), "dataset": F.lit(dataset), "language": F.lit("en")})
     if labels is None:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tidewell.sources import files
 
 Adapter = Callable[[SparkSession, str], DataFrame]
-_ADAPTERS: dict[str, Adapter] = {"daic_woz": files.interview_files, "dvlog": files.numbered_files}
+_ADAPTERS: dict[str, Adapter] = {"daic_woz": files.labelled_interviews, "dvlog": files.labelled_numbers}
 
 
 def register(name: str, adapter: Adapter) -> None:
