@@ -229,5 +229,8 @@ add("TOP10_weighted_sample", lambda t: ds.weighted_sample(t.scored.select("doc_i
     "JOIN (SELECT label, n, row_number() OVER (ORDER BY label) - 1 AS i, count(*) OVER () AS k FROM (SELECT label, count(*) AS n FROM scored WHERE label IS NOT NULL GROUP BY 1)) c ON c.i = floor(" + DRAW.format("class") + " * c.k)) x "
     "JOIN (SELECT doc_id, label, row_number() OVER (PARTITION BY label ORDER BY doc_id) AS pos FROM scored) p ON p.label = x.label AND p.pos = x.pos", "scored")
 add("TOP11_kfold", lambda t: ds.kfold(t.scored.select("doc_id"), "doc_id"))
+add("TOP11_fold_check", lambda t: ds.kfold(t.scored.select("doc_id"), "doc_id").groupBy("doc_id").agg(
+        F.count("*").alias("rows"), F.count_distinct("fold").alias("folds"), F.count_if(F.col("fold").between(0, 4)).alias("within")),
+    'SELECT doc_id, count(*) AS "rows", 1 AS folds, count(*) AS within FROM scored GROUP BY 1', "scored")
 add("TOP12_held_out_sizes", lambda t: ds.held_out_sizes(t.dataset_index, "participant_id"),
     "SELECT participant_id AS held, count(*) AS validation_rows, (SELECT count(*) FROM dataset_index) - count(*) AS training_rows FROM dataset_index GROUP BY 1", "dataset_index")

@@ -186,4 +186,21 @@ def meshes(t):
     return t.embeddings.select((F.col("vec_id") % 20).alias("rec"), (F.col("vec_id") / 20.0).alias("at"), pts.alias("points"))
 
 
-add("MTH17_facial_features", lambda t: sg.facial_features(meshes(t)))
+def point_sql(i):
+    return [f"e[{k % 64 + 1}]" for k in (i, i * 7 + 3, i * 11 + 5)]
+
+
+def distance_sql(i, j):
+    return "sqrt(" + " + ".join(f"({a} - {b}) * ({a} - {b})" for a, b in zip(point_sql(i), point_sql(j))) + ")"
+
+
+def eye_sql(at):
+    return f"({distance_sql(at + 1, at + 5)} + {distance_sql(at + 2, at + 4)}) / (2 * ({distance_sql(at, at + 3)} + 1e-8))"
+
+
+FACE = ("blink_rate", "smile_intensity", "gaze_forward_ratio", "yaw", "pitch", "roll")
+TURNED = ", ".join(f"{a} - {b} AS {n}" for n, a, b in zip(("yaw", "pitch", "roll"), point_sql(1), point_sql(152)))
+add("MTH17_facial_features", lambda t: sg.facial_features(meshes(t)).select("rec", *[r9(c).alias(c) for c in FACE]),
+    f"SELECT rec, {q9('count(CASE WHEN ear < 2e-1 THEN 1 END) / greatest(max(secs), 1e0)')} AS blink_rate, {q9('avg(mar)')} AS smile_intensity, {q9('avg(CASE WHEN ear > 2e-1 THEN 1e0 ELSE 0e0 END)')} AS gaze_forward_ratio, "
+    f"{', '.join(f'{q9(f'avg({c})')} AS {c}' for c in FACE[3:])} FROM (SELECT vec_id % 20 AS rec, vec_id / 2e1 AS secs, ({eye_sql(33)} + {eye_sql(263)}) / 2 AS ear, "
+    f"{distance_sql(13, 14)} / ({distance_sql(61, 291)} + 1e-8) AS mar, {TURNED} FROM {DV}) GROUP BY 1")
